@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterable
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -97,41 +96,43 @@ class Merges:
         out[(left < 0) | (right < 0)] = NO_RANK
         return out.reshape(shape)
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of each piece, each piece by itself."""
-        out: list = [None] * len(pieces)
-        by_length: dict[int, list[int]] = {}
-        for i, piece in enumerate(pieces):
-            rank = self.ranks.get(piece)
-            if rank is not None:
-                out[i] = np.array([rank], np.int32)
-            elif not piece:
-                out[i] = np.zeros(0, np.int32)
-            elif len(piece) > LONG:
-                out[i] = self._long(piece)
-            else:
-                by_length.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
-        for width, rows in by_length.items():
-            step = max(1, CELLS // width)
+    def encode_pieces(self, pieces: list[bytes], dtype: str = "<u4") -> list[bytes]:
+        """Ids of each piece, each piece by itself, as little-endian bytes."""
+        whole = list(map(self.ranks.get, pieces))
+        alone = np.array([0 if r is None else r for r in whole], dtype).tobytes()
+        size = np.dtype(dtype).itemsize
+        out: list = [alone[i * size : (i + 1) * size] if r is not None else b"" for i, r in enumerate(whole)]
+        open_ = np.array([i for i, r in enumerate(whole) if r is None and pieces[i]], np.int64)
+        lengths = np.fromiter((len(pieces[i]) for i in open_), np.int64, len(open_))
+        for i in open_[lengths > LONG]:
+            out[i] = self._long(pieces[i]).astype(dtype).tobytes()
+        open_, lengths = open_[lengths <= LONG], lengths[lengths <= LONG]
+        widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
+        for width in np.unique(widths):
+            rows = open_[widths == width]
+            step = max(1, CELLS // int(width))
             for at in range(0, len(rows), step):
-                self._matrix(pieces, rows[at : at + step], width, out)
+                self._matrix(pieces, rows[at : at + step], int(width), out, dtype)
         return out
 
-    def _matrix(self, pieces: list[bytes], rows: list[int], width: int, out: list) -> None:
+    def _matrix(self, pieces: list[bytes], rows: np.ndarray, width: int, out: list, dtype: str) -> None:
         lengths = np.array([len(pieces[i]) for i in rows])
         data = np.frombuffer(b"".join(pieces[i] for i in rows), np.uint8)
         ids = np.full((len(rows), width), -1, np.int32)
         ids[np.arange(width) < lengths[:, None]] = self.byte_ids[data]
-        left, ranks = np.array(rows), self.pair_ranks(ids[:, :-1], ids[:, 1:])
+        left, ranks = rows, self.pair_ranks(ids[:, :-1], ids[:, 1:])
         while len(left):
             at = ranks.argmin(axis=1)  # the leftmost minimum
             best = ranks[np.arange(len(at)), at]
             done = best == NO_RANK
             if done.any():
                 ended, kept = ids[done], lengths[done]
-                flat, ends = ended[np.arange(ended.shape[1]) < kept[:, None]], np.cumsum(kept)
-                for row, end, n in zip(left[done].tolist(), ends.tolist(), kept.tolist(), strict=True):
-                    out[row] = flat[end - n : end]
+                flat = ended[np.arange(ended.shape[1]) < kept[:, None]].astype(dtype).tobytes()
+                ends = np.cumsum(kept * np.dtype(dtype).itemsize)
+                start = 0
+                for row, end in zip(left[done].tolist(), ends.tolist(), strict=True):
+                    out[row] = flat[start:end]
+                    start = end
                 keep = ~done
                 ids, ranks, left, lengths, at, best = ids[keep], ranks[keep], left[keep], lengths[keep], at[keep], best[keep]
                 if not len(left):
@@ -174,26 +175,36 @@ class Merges:
         return ids
 
 
+class _Numbers(dict):
+    """piece -> its number; a new piece gets the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        self.new.append(piece)
+        return number
+
+
 class PieceCache:
-    """Little-endian ids of pieces, by piece; misses of a slice are encoded together."""
+    """Little-endian ids of pieces; pieces that a slice meets for the first time are encoded together."""
 
     def __init__(self, encode_many, entries: int = CACHE_ENTRIES):
-        self.known: dict[str, bytes] = {}
         self.encode_many, self.entries = encode_many, entries
+        self.numbers, self.store = _Numbers(), []
 
     def blobs(self, piece_lists: list[list[str]]) -> list[bytes]:
         """The ids of each list of pieces, joined."""
-        if len(self.known) > self.entries:
-            self.known = {}
-        get = self.known.get
-        found = [list(map(get, pieces)) for pieces in piece_lists]
-        missing = [i for i, x in enumerate(found) if None in x]
-        if missing:
-            new = list(set(chain.from_iterable(piece_lists[i] for i in missing)) - self.known.keys())
-            self.known.update(zip(new, self.encode_many(new), strict=True))
-            for i in missing:
-                found[i] = list(map(get, piece_lists[i]))
-        return list(map(b"".join, found))
+        if len(self.store) > self.entries:
+            self.numbers, self.store = _Numbers(), []
+        number = self.numbers.__getitem__
+        found = [list(map(number, pieces)) for pieces in piece_lists]
+        self.store += self.encode_many(self.numbers.new)
+        self.numbers.new = []
+        get = self.store.__getitem__
+        return [b"".join(map(get, numbers)) for numbers in found]
 
 
 #: The usual byte-level pattern, and the same cuts for Python's faster engine. Its classes agree with the Unicode
@@ -217,15 +228,7 @@ def cutter(pattern: str):
 def encoder(ranks: dict[bytes, int], pattern: str, dtype: str = "<u4"):
     """texts -> list of little-endian id bytes."""
     merges, cut = Merges(ranks), cutter(pattern)
-    size = np.dtype(dtype).itemsize
-
-    def encode_many(pieces: list[str]) -> list[bytes]:
-        ids = merges.encode_pieces([p.encode() for p in pieces])
-        blob = np.concatenate(ids or [np.zeros(0)]).astype(dtype).tobytes()
-        ends = (np.cumsum([len(x) for x in ids]) * size).tolist()
-        return [blob[a:b] for a, b in zip([0, *ends], ends)]
-
-    cache = PieceCache(encode_many)
+    cache = PieceCache(lambda pieces: merges.encode_pieces([p.encode() for p in pieces], dtype))
     return lambda texts: cache.blobs([cut(t) for t in texts])
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, quality, simhash, toxicity
+from . import ann, bpe, html, packing, quality, secrets, simhash, toxicity, warc, wordpiece
 
 QUERIES = {
+    "op1_html": html.op1_html,
+    "op2_token_counts": wordpiece.op2_token_counts,
     "op3_quality": quality.op3_quality,
+    "op4_secrets": secrets.op4_secrets,
     "op5_simhash": simhash.op5_simhash,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_warc": warc.op7_warc,
+    "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_ann": ann.op10_ann,
 }
 
 SQL: dict[str, str] = {}
