@@ -14,6 +14,7 @@ results; other columns of the input are ignored, whatever their names; an empty
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections.abc import Iterable
 
@@ -39,21 +40,19 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
 class Merges:
     """Rank tables of a byte-level BPE and the matrix encoder over them."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pairs: dict[tuple[int, int], int] | None = None):
+        """ranks: token -> rank, which is its id. Any two tokens merge whose bytes together are a token, and a piece that is a
+        token is not cut; with `pairs` ((left, right) -> rank) only those pairs merge, and every piece is built from bytes."""
+        self.ranks = ranks if pairs is None else {}
         self.vocab = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        keys, values = [], []
-        unordered = set()  # tokens that are part of a token of lower rank
-        for token, rank in ranks.items():
-            for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if left is not None and right is not None:
-                    keys.append(left << 32 | right)
-                    values.append(rank)
-                    unordered.update(r for r in (left, right) if r > rank)
-        self.unordered = frozenset(unordered)
-        self._build(np.array(keys, np.uint64), np.array(values, np.int32))
+        if pairs is None:
+            cuts = ((ranks.get(token[:cut]), ranks.get(token[cut:]), rank) for token, rank in ranks.items() for cut in range(1, len(token)))
+            pairs = {(left, right): rank for left, right, rank in cuts if left is not None and right is not None}
+        # tokens that are part of a token of lower rank
+        self.unordered = frozenset(part for pair, rank in pairs.items() for part in pair if part > rank)
+        keys = np.array([left << 32 | right for left, right in pairs], np.uint64)
+        self._build(keys, np.array(list(pairs.values()), np.int32))
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
         bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
@@ -225,13 +224,37 @@ def cutter(pattern: str):
     return lambda text: general(text) if odd(text) else simple(text)
 
 
-def encoder(ranks: dict[bytes, int], pattern: str, dtype: str = "<u4"):
+def encoder(merges: Merges, pattern: str, dtype: str = "<u4", entries: int = CACHE_ENTRIES):
     """texts -> list of little-endian id bytes."""
-    merges, cut = Merges(ranks), cutter(pattern)
-    cache = PieceCache(lambda pieces: merges.encode_pieces([p.encode() for p in pieces], dtype))
+    cut = cutter(pattern)
+    cache = PieceCache(lambda pieces: merges.encode_pieces([p.encode() for p in pieces], dtype), entries)
     return lambda texts: cache.blobs([cut(t) for t in texts])
 
 
+def byte_letters() -> dict[str, int]:
+    """The letters that byte-level vocabulary files write for bytes: printable Latin ones for themselves, others from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def read_tokenizer(data: bytes) -> tuple[Merges, int]:
+    """(merges, number of ids) of a tokenizer file: byte-level BPE whose ids follow the order of its merges."""
+    file = json.loads(data)
+    model, letters = file["model"], byte_letters()
+    if model["type"] != "BPE" or file["pre_tokenizer"]["type"] != "ByteLevel" or file["pre_tokenizer"]["add_prefix_space"] or file["normalizer"]:
+        raise ValueError("not a plain byte-level BPE file")
+    vocab = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
+    pairs, last = {}, -1
+    for merge in model["merges"]:
+        left, right = (bytes(letters[c] for c in part) for part in (merge.split(" ") if isinstance(merge, str) else merge))
+        rank = vocab[left + right]
+        if rank <= last:
+            raise ValueError("ids do not follow the merges")
+        pairs[vocab[left], vocab[right]] = last = rank
+    return Merges(vocab, pairs), max(vocab.values()) + 1
+
+
 def decode(vocab: dict[int, bytes], ids: Iterable[int]) -> bytes:
     return b"".join(map(vocab.__getitem__, ids))
 
@@ -242,7 +265,7 @@ def encode_decode(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "d
 
     def kernel():
         ranks = read_ranks(data.value)
-        encode, vocab = encoder(ranks, pattern), {v: k for k, v in ranks.items()}
+        encode, vocab = encoder(Merges(ranks), pattern), {v: k for k, v in ranks.items()}
 
         def step(batch):
             blobs = encode(common.texts_of(batch.column(1)))

@@ -9,8 +9,9 @@ Tokens are written once, with key and length. Only key and length are sorted (a
 key, so equal keys, such as copies, spread over ranges); sums within ranges and one row per range of totals give each
 document's place in the stream. Token ids then meet their place in one equi-join on the unique row number.
 
-Ids are those of the tokenizer file: texts are cut into pieces by its pre-tokenizer's pattern, and each distinct piece is
-encoded once a task by the library. Strings of special tokens in a text are ordinary text.
+Ids are those that the tokenizers library gives for the file: its merges are read into the matrix encoder of
+bpe.py, which encodes each distinct piece of a task once (the tests hold the ids against the library's). Strings of special
+tokens in a text are ordinary text.
 
 Defined cases: null and empty texts have the end id alone; repeated rows are packed as often as they occur; null ids
 are packed like others; other columns are ignored, whatever their names; an empty table gives an empty result.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .bpe import PieceCache, _file_bytes, cutter
+from .bpe import _file_bytes, encoder, read_tokenizer
 
 LENGTH = 2048
 END_ID = 1
@@ -65,30 +66,25 @@ def signs(size: int, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
 
 def document_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     """Hilbert key of each id array: the mean sign vector, scaled by its usual spread and put on the grid."""
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    ends = np.cumsum([len(x) for x in ids])
-    total = np.concatenate([np.zeros((1, table.shape[1])), np.cumsum(table[flat], axis=0, dtype=np.float64)])
-    starts = np.concatenate([[0], ends[:-1]]) if len(ids) else ends
-    mean = (total[ends] - total[starts]) / np.maximum(1, ends - starts)[:, None]
+    if not ids:
+        return np.zeros(0, np.int64)
+    sizes = np.array([len(x) for x in ids])
+    sums = np.add.reduceat(table[np.concatenate(ids)], np.cumsum(sizes) - sizes, axis=0)  # no id array is empty
+    mean = sums / sizes[:, None]
     return hilbert_keys(np.clip((np.tanh(3 * mean) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1))
 
 
 def tokenized(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, key, n, ids (little-endian unsigned 32-bit with the end id): written to the shared folder."""
-    data = df.sparkSession.sparkContext.broadcast(_file_bytes(tokenizer_path).decode())
+    data = df.sparkSession.sparkContext.broadcast(_file_bytes(tokenizer_path))
 
     def kernel():
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(data.value)
-        tokenizer.encode_special_tokens = True
-        size = tokenizer.get_vocab_size()
+        merges, size = read_tokenizer(data.value)
         kind = "<u2" if size <= 1 << 16 else "<u4"
-        encode = lambda pieces: [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        cache, cut, table = PieceCache(encode), cutter(pattern), signs(max(size, end_id + 1))
+        encode, table = encoder(merges, pattern, kind), signs(max(size, end_id + 1))
 
         def step(batch):
-            blobs = cache.blobs([cut(t) for t in common.texts_of(batch.column(1))])
+            blobs = encode(common.texts_of(batch.column(1)))
             ids = [np.append(np.frombuffer(b, kind), np.array(end_id, kind)) for b in blobs]
             return [batch.column(0), document_keys(ids, table), [len(x) for x in ids], [_thin(x) for x in ids]]
 
