@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import col, dot, norm, scale
+from .vectors import bound, col, dot, norm, scale
 
 #: Nearly parallel quaternions are interpolated linearly; sines this close to one count as gimbal lock.
 PARALLEL, GIMBAL = 0.9995, 0.99999
 
 
-def bound(c: Column | str, body) -> Column:
-    """body(c) with c computed once: a nested expression is bound to a lambda's variable instead of being repeated."""
-    return body(F.col(c)) if isinstance(c, str) else F.get(F.transform(F.array(c), body), F.lit(0))
-
-
 def quat(w, x, y, z) -> Column:
     return F.array(*[col(c).cast("double") for c in (w, x, y, z)])
 

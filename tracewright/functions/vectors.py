@@ -20,6 +20,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(c: Column | str, body) -> Column:
+    """body(c) with c computed once: a nested expression is bound to a lambda's variable instead of being repeated."""
+    return body(F.col(c)) if isinstance(c, str) else F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return _sum(F.zip_with(col(a), col(b), lambda x, y: x * y))
 
@@ -65,8 +70,11 @@ def cosine_distance(a: Column | str, b: Column | str) -> Column:
 
 def unit(a: Column | str) -> Column:
     """a at length one; vectors shorter than the guard stay as they are."""
-    n = norm(a)
-    return F.when(n > NORM_GUARD, F.transform(col(a), lambda x: x / n)).otherwise(col(a))
+
+    def body(v: Column) -> Column:
+        return bound(norm(v), lambda n: F.when(n > NORM_GUARD, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return bound(a, body)
 
 
 def parse_vector(text: Column | str) -> Column:
@@ -80,46 +88,58 @@ def column_of(seq: Column | str, dim: int) -> Column:
 
 def min_max(seq: Column | str, dims: int) -> Column:
     """Each dimension of a sequence mapped to [0, 1]; a (nearly) constant dimension is only shifted."""
-    lows = [F.array_min(column_of(seq, d)) for d in range(dims)]
-    highs = [F.array_max(column_of(seq, d)) for d in range(dims)]
-    spans = [F.when(h - low < RANGE_GUARD, F.lit(1.0)).otherwise(h - low) for low, h in zip(lows, highs)]
-    return F.transform(col(seq), lambda p: F.array(*[(p[d] - lows[d]) / spans[d] for d in range(dims)]))
+
+
+    def body(s: Column) -> Column:
+        lows = F.array(*[F.array_min(column_of(s, d)) for d in range(dims)])
+        highs = F.array(*[F.array_max(column_of(s, d)) for d in range(dims)])
+        spans = F.zip_with(highs, lows, lambda h, low: F.when(h - low < RANGE_GUARD, F.lit(1.0)).otherwise(h - low))
+        one = lambda p, low, span: F.array(*[(p[d] - low[d]) / span[d] for d in range(dims)])
+        return bound(lows, lambda low: bound(spans, lambda span: F.transform(s, lambda p: one(p, low, span))))
+
+    return bound(seq, body)
 
 
 def relative_to_first(seq: Column | str) -> Column:
-    return F.transform(col(seq), lambda p: subtract(p, col(seq)[0]))
+    return bound(seq, lambda s: bound(s[0], lambda first: F.transform(s, lambda p: subtract(p, first))))
 
 
 def scaled_to_extent(seq: Column | str) -> Column:
     """A sequence divided by the largest distance of a point from the origin."""
-    extent = F.array_max(F.transform(col(seq), norm))
-    return F.when(extent > EXTENT_GUARD, F.transform(col(seq), lambda p: scale(p, 1 / extent))).otherwise(col(seq))
+
+
+    def body(s: Column) -> Column:
+        extent = F.array_max(F.transform(s, norm))
+        return bound(extent, lambda e: F.when(e > EXTENT_GUARD, F.transform(s, lambda p: scale(p, 1 / e))).otherwise(s))
+
+    return bound(seq, body)
 
 
 def resample(seq: Column | str, n: int) -> Column:
     """n points: linear interpolation at even steps; a sequence of n points or fewer repeats its last point instead."""
-    s, size = col(seq), F.size(col(seq))
 
-    def point(i: Column) -> Column:
-        at = i * (size - 1) / F.lit(max(1, n - 1))
-        low = F.least(F.floor(at).cast("int"), size - 1)
-        high = F.least(low + 1, size - 1)
-        between = F.zip_with(F.get(s, low), F.get(s, high), lambda x, y: x + (y - x) * (at - low))
-        return F.when(size <= n, F.get(s, F.least(i, size - 1))).otherwise(between)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), point)
+    def between(s: Column, low: Column, at: Column) -> Column:
+        return F.zip_with(F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1)), lambda x, y: x + (y - x) * (at - low))
+
+    def point(s: Column, i: Column) -> Column:
+        at = i * (F.size(s) - 1) / F.lit(float(max(1, n - 1)))
+        inner = bound(at, lambda a: bound(F.least(F.floor(a).cast("int"), F.size(s) - 1), lambda low: between(s, low, a)))
+        return F.when(F.size(s) <= n, F.get(s, F.least(i, F.size(s) - 1))).otherwise(inner)
+
+    return bound(seq, lambda s: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: point(s, i)))
 
 
 def flatten_by_dimension(seq: Column | str, dims: int) -> Column:
-    return F.concat(*[column_of(seq, d) for d in range(dims)])
+    return bound(seq, lambda s: F.concat(*[column_of(s, d) for d in range(dims)]))
 
 
 def multi_scale(seq: Column | str, dims: int, coarse: int, fine: int) -> Column:
     """Unit vector of the coarse and the fine resampling, each dimension in a block."""
-    parts = [flatten_by_dimension(resample(seq, n), dims) for n in (coarse, fine) if n > 0]
-    if not parts:
+    sizes = [n for n in (coarse, fine) if n > 0]
+    if not sizes:
         raise ValueError("coarse and fine are both zero")
-    return unit(F.concat(*parts))
+    return unit(bound(seq, lambda s: F.concat(*[flatten_by_dimension(resample(s, n), dims) for n in sizes])))
 
 
 def _or_zeros(seq: Column | str, vector: Column, width: int) -> Column:
@@ -139,9 +159,8 @@ def axis_embedding(seq: Column | str, coarse: int, fine: int) -> Column:
     """Orientation embedding of [x, y, z, w] quaternions by their unit rotation axes."""
 
     def axis(q: Column) -> Column:
-        s = F.sin(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q[3]))))
-        s = F.when(s == 0, F.lit(1.0)).otherwise(s)
-        return F.array(q[0] / s, q[1] / s, q[2] / s)
+        half = F.sin(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q[3]))))
+        return bound(F.when(half == 0, F.lit(1.0)).otherwise(half), lambda s: F.array(q[0] / s, q[1] / s, q[2] / s))
 
     return _or_zeros(seq, multi_scale(relative_to_first(F.transform(col(seq), axis)), 3, coarse, fine), 3 * (coarse + fine))
 
