@@ -60,8 +60,14 @@ def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+#: Bits of one dimension's sum in a packed 64-bit sum, and the most tokens that cannot overflow them.
+FIELD, MOST = 21, 1 << 20
+
+
 def signs(size: int, dims: int = DIMS, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1, 1], np.float32), (size, dims))
+    """For each id a pseudo-random 0 or 1 in each of the packed fields (0 stands for -1)."""
+    bits = np.random.default_rng(seed).integers(0, 2, (size, dims))
+    return (bits << FIELD * np.arange(dims)).sum(axis=1)
 
 
 def document_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
@@ -69,8 +75,13 @@ def document_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     if not ids:
         return np.zeros(0, np.int64)
     sizes = np.array([len(x) for x in ids])
-    sums = np.add.reduceat(table[np.concatenate(ids)], np.cumsum(sizes) - sizes, axis=0)  # no id array is empty
-    mean = sums / sizes[:, None]
+    packed = table[np.concatenate(ids)]
+    if sizes.max() <= MOST:
+        sums = np.add.reduceat(packed, np.cumsum(sizes) - sizes)[:, None] >> FIELD * np.arange(DIMS) & (1 << FIELD) - 1
+    else:  # field by field, which no length overflows
+        fields = packed[:, None] >> FIELD * np.arange(DIMS) & 1
+        sums = np.add.reduceat(fields, np.cumsum(sizes) - sizes, axis=0)
+    mean = 2 * sums / sizes[:, None] - 1
     return hilbert_keys(np.clip((np.tanh(3 * mean) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1))
 
 
