@@ -1,0 +1,189 @@
+"""Page, archive and vector operators and the pipeline against plain-Python versions."""
+
+import base64
+import collections
+import hashlib
+import html as stdlib_html
+import io
+import re
+import zipfile
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tracewright.llm import ann, common, html, packing, quality, secrets, simhash, toxicity, warc
+
+
+@pytest.fixture(scope="module")
+def pages(spark, sf):
+    return common.table(spark, sf, "pages")
+
+
+def test_main_text_of_the_articles(pages):
+    for r in html.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        assert r.text == " ".join(stdlib_html.unescape(re.sub(r"<[^>]+>", " ", article)).split())
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><div class="cookie-notice">We use the cookies of the site.</div>
+<nav><a href=x>Home</a></nav><main><article><header><h1>The &amp; title</h1></header><p>Short.</p><p>This is the <b>first</b>  paragraph of the
+article, and it&nbsp;is long enough to be decided by the rules of the first pass.</p><aside>See also the other thing</aside>
+<ul><li><a href=1>Related one</a></li><li><a href=2>Related two</a></li></ul><p>End.</p>
+<section id="comments"><article class="comment"><p>I am the reader and this is the comment that I wrote about the article, long as it is.</p></article></section></article></main>
+<form><label>Name</label><input></form><div class="sidebar"><p>The side bar of the page with the words that are the most usual ones.</p></div><script>var a = "<p>no</p>";</script>
+<footer>&copy; the site</footer></body></html>"""
+
+
+def test_main_text_rules(spark):
+    want = "The & title Short. This is the first paragraph of the article, and it is long enough to be decided by the rules of the first pass. End."
+    assert html.main_text(PAGE) == want
+    assert html.main_text(None) == html.main_text("") == html.main_text("<nav>a</nav>") == ""
+    assert html.main_text("plain  text\n&lt;b&gt;") == "plain text <b>"
+    assert html.main_text("<p>" + "a<" * 50_000) and html.main_text('<div title="open' + "x" * 1000) is not None
+    rows = spark.createDataFrame([(1, "u", PAGE, "a", 1), (1, "u", PAGE, "a", 1), (None, None, None, "b", 2)], "page_id long, url string, html string, text string, n_chars int")
+    assert collections.Counter(r.text for r in html.extract(rows).collect()) == {want: 2, "": 1}
+    assert html.extract(rows.limit(0)).count() == 0
+
+
+def test_warc_round_trip(spark, pages):
+    odd = [(10, None, None), (11, "http://x/é ä", ""), (12, "http://x", "same"), (13, "http://y", "same"), (13, "http://y", "same"), (None, "http://z", "same"), (15, "http://z", "é" * 100_000)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in odd], "page_id long, url string, html string, payload string, revisit int")
+    for table in (df, pages, df.limit(0)):
+        rows = warc.read_packages(warc.write_packages(table, common.scratch_path(spark, "warc"))).collect()
+        source = table.collect()
+        top = {}
+        for r in source:
+            if r.page_id is not None:
+                top[r.html or ""] = max(top.get(r.html or "", r.page_id), r.page_id)
+        many = collections.Counter(r.html or "" for r in source)
+        want = collections.Counter()
+        for r in source:
+            body = (r.html or "").encode()
+            again = many[r.html or ""] > 1 and r.page_id != top[r.html or ""]
+            want[(str(r.page_id), len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if again else "response", str(top[r.html or ""]) if again else None)] += 1
+        assert collections.Counter((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows) == want
+        assert {bytes(r.payload).decode() for r in rows if r.payload is not None} == set(many)
+
+
+def test_package_reader_takes_zip64_and_rejects_damage():
+    sink = io.BytesIO()
+    writer = warc.PackageWriter(sink)
+    for i in range(50):
+        writer.add(str(i), warc.make_record(str(i), "http://x", b"payload %d" % i, None, False))
+    writer.close()
+    data = sink.getvalue()
+    assert zipfile.ZipFile(io.BytesIO(data)).testzip() is None
+    read = lambda at, n: data[at : at + n]
+    rows = list(warc.PackageReader(read, len(data)).records())
+    assert [warc.id_of(h["warc-record-id"]) for h, _ in rows] == [str(i) for i in range(50)]
+    # the same central directory with every size and offset moved to a ZIP64 extra field
+    big = zip64_copy(data)
+    again = list(warc.PackageReader(lambda at, n: big[at : at + n], len(big)).records())
+    assert again == rows
+    with pytest.raises(ValueError):
+        warc.PackageReader(lambda at, n: b"\0" * n, 1000)
+
+
+def zip64_copy(data):
+    import struct
+
+    end = data.rfind(b"PK\x05\x06")
+    count, length, start = struct.unpack_from("<HII", data, end + 10)
+    at, entries = start, b""
+    for _ in range(count):
+        packed, full = struct.unpack_from("<II", data, at + 20)
+        n_name, n_extra, n_comment = struct.unpack_from("<HHH", data, at + 28)
+        (offset,) = struct.unpack_from("<I", data, at + 42)
+        extra = struct.pack("<HHQQQ", 1, 24, full, packed, offset)
+        head = bytearray(data[at : at + 46])
+        struct.pack_into("<II", head, 20, 0xFFFFFFFF, 0xFFFFFFFF)
+        struct.pack_into("<HHH", head, 28, n_name, len(extra), 0)
+        struct.pack_into("<I", head, 42, 0xFFFFFFFF)
+        entries += bytes(head) + data[at + 46 : at + 46 + n_name] + extra
+        at += 46 + n_name + n_extra + n_comment
+    record_at = start + len(entries)
+    record = b"PK\x06\x06" + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, count, count, len(entries), start)
+    locator = b"PK\x06\x07" + struct.pack("<IQI", 0, record_at, 1)
+    return data[:start] + entries + record + locator + b"PK\x05\x06" + struct.pack("<HHHHIIH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0)
+
+
+def brute_neighbours(ids, vectors, query_ids, k):
+    for q in query_ids:
+        scores = vectors @ vectors[ids.index(q)]
+        order = sorted((i for i in range(len(ids)) if ids[i] != q), key=lambda i: (-scores[i], ids[i]))
+        yield q, [(ids[i], scores[i]) for i in order[:k]]
+
+
+def test_nearest_neighbours(spark, sf):
+    rows = common.table(spark, "/root/testdata/sf0.01", "embeddings")
+    found = collections.defaultdict(list)
+    for r in ann.search(rows, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.vec_id, r.score))
+    table = rows.toPandas()
+    vectors, hits, total = np.vstack(table.embedding).astype(float), 0, 0
+    for q, best in brute_neighbours(table.vec_id.tolist(), vectors, [i for i in table.vec_id if i % 20 == 0], 20):
+        got = found.pop(q)
+        assert len(got) == 20 and got == sorted(got, key=lambda x: (-x[1], x[0]))
+        hits, total = hits + len({i for i, _ in got} & {i for i, _ in best}), total + 20
+        assert all(abs(s - vectors[table.vec_id.tolist().index(i)] @ vectors[table.vec_id.tolist().index(q)]) < 1e-12 for i, s in got)
+    assert not found and hits / total >= 0.9
+
+
+def test_nearest_neighbours_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    vectors = [(i, [1.0, 0.0, 0.0]) for i in range(40)] + [(i, [0.0, float(i), 1.0]) for i in range(40, 60)]
+    bad = [(100, None), (120, []), (140, [0.0, 0.0, 0.0]), (160, [nan, 1.0, 1.0]), (180, [inf, 0.0, 0.0]), (200, [1.0, None, 0.0]), (220, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (20, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, 1.0, 2) for r in vectors + bad], "vec_id long, embedding array<double>, score double, rank int")
+    rows = ann.search(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()
+    assert {r.query_id for r in rows} == {0, 20, 40}
+    assert [r.vec_id for r in rows if r.query_id == 20] == [i for i in range(21) if i != 20]  # ties: smaller ids
+    assert [r.vec_id for r in rows if r.query_id == 40] == list(range(59, 40, -1)) + [0]
+    few = ann.search(df.where("vec_id < 3"), F.col("id") == 0).collect()
+    assert [r.vec_id for r in few] == [1, 2]
+    assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_pipeline_equals_its_steps_in_plain_python(spark, sf):
+    docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
+    tox = toxicity.fit(docs, labels)
+    rows = docs.collect()
+    clean = [r for r in rows if tox.probability(toxicity.Scorer(tox)([(r.text or "").encode()]))[0] < toxicity.THRESHOLD]
+    left = spark.createDataFrame(clean, docs.schema)
+    model = quality.fit(left, labels)
+    good = {(r.doc_id) for r in quality.judge(left, model).where("kept").collect()}
+    kept = [r for r in clean if r.doc_id in good]
+    prints = [simhash.fingerprint((r.text or "").encode().lower().split()) for r in kept]
+    survivors, seen = [], []
+    groups = list(range(len(kept)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 2:
+                old, new = groups[i], groups[j]
+                groups = [new if g == old else g for g in groups]
+    for i, r in enumerate(kept):
+        if r.doc_id == min(kept[j].doc_id for j in range(len(kept)) if groups[j] == groups[i]):
+            survivors.append((r.doc_id, secrets.redacted(r.text or "", "[SECRET]")))
+    assert len(survivors) < len(kept) < len(clean) < len(rows) and not seen
+    found = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in found} == {i for i, _ in survivors}
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in survivors}
+    got = collections.Counter()
+    for r in found:
+        got[r.doc_id] += r.length
+        assert r.doc_tokens == want[r.doc_id]
+    assert got == want and packing.LENGTH == 2048
+
+
+def test_pipeline_stages_keep_columns_and_take_empty_tables(spark, sf):
+    docs = common.table(spark, sf, "documents")
+    frame = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, frame, sf)
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, sf).count() == 0

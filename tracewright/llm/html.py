@@ -53,7 +53,14 @@ _BOILER_WORDS = re.compile(
     r"share|sharing|social|related|recommend\w*|widget|login|signup|search|toolbar|masthead|skip|hidden)(?:$|[\s_-])"
 )
 _HEADER_WORDS = re.compile(r"(?:^|[\s_-])(?:header|topbar|top-bar|site-title)(?:$|[\s_-])")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A comment, a CDATA section, a declaration, or a tag; quoted values may hold any character, and a tag whose quotes do not
+#: close ends at the next angle bracket. Possessive, so that broken mark-up cannot make it backtrack.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^'\"<>]|\"[^\"]{0,2000}+\"|'[^']{0,2000}+')*+)>"
+    r"|<(?P<end2>/?)(?P<tag2>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs2>[^<>]*+)>",
+    re.S,
+)
 _ATTR = re.compile(r"""([A-Za-z_:][-\w:.]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -103,13 +110,13 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        tag = m[2]
+        tag = m["tag"] or m["tag2"]
         if tag is None:
             if m[0].startswith("<![CDATA["):
                 parts.append(m[0][9:-3])
             continue
         tag = tag.lower()
-        if m[1]:
+        if m["end"] or m["end2"]:
             if tag == "a":
                 in_link = 0
             elif tag in BLOCK_TAGS or tag in CONTAINERS:
@@ -121,7 +128,7 @@ def blocks(page: str) -> list[Block]:
                         del stack[i:]
                         break
             continue
-        attrs = m[3]
+        attrs = m["attrs"] or m["attrs2"] or ""
         if tag in SKIPPED:
             if not attrs.endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -194,8 +201,9 @@ def _inherit(found: list[Block], group, decides) -> None:
 
 
 def second_pass(found: list[Block]) -> None:
-    """Labels for open blocks: from neighbours in the same article, else content there; outside from any neighbour, else content."""
-    _inherit(found, lambda b: b.article, lambda b: bool(b.article) and not b.boiler and b.label is not None)
+    """Labels for open blocks: from neighbours in the same article (lists of links there decide only for themselves), else
+    content there; outside from any neighbour, else content."""
+    _inherit(found, lambda b: b.article, lambda b: bool(b.article) and not b.boiler and b.label is not None and b.linked / len(b.text) <= MAX_LINKS)
     for block in found:
         if block.article and block.label is None:
             block.label = True
