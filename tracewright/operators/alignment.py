@@ -59,7 +59,7 @@ def align(nominal: DataFrame, measured: DataFrame, metric: str, dims: int = 3, t
             px, py, d, segs, value = _rows(metric, x, y, left.seg_id.to_numpy(), right.seg_id.to_numpy())
             return pd.DataFrame({traj: key[0], "seg_id": segs, "points_order": np.arange(1, len(d) + 1), "distance": d, "nominal": list(px), "measured": list(py), "value": float(value), "status": "ok"})[columns]
         except Exception as e:  # noqa: BLE001  one bad trajectory must not stop the others
-            return pd.DataFrame([{traj: key[0], "status": f"{type(e).__name__}: {e}"}], columns=columns)
+            return pd.DataFrame([{**dict.fromkeys(columns), traj: key[0], "status": f"{type(e).__name__}: {e}"}])[columns]
 
     need = [traj, "seg_id", "ord", "v"]
     return nominal.select(*need).groupBy(*keys).cogroup(measured.select(*need).groupBy(*keys)).applyInPandas(run, schema)

@@ -392,11 +392,12 @@ def parse_vector_text(t):
 # --- aggregations --------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT user_id AS traj_id, CASE WHEN grouping(event_type) = 1 THEN user_id::VARCHAR ELSE event_type END AS seg_id, round(min(value), 6) AS min_distance, round(max(value), 6) AS max_distance, round(avg(value), 6) AS average_distance,
+@query("""SELECT user_id AS traj_id, CASE WHEN grouping(event_type) = 1 THEN user_id::VARCHAR ELSE event_type END AS seg_id, min(value) AS min_distance, max(value) AS max_distance, round(avg(value), 10) AS average_distance,
   round(CASE WHEN count(value) = 1 THEN 0.0 ELSE stddev_samp(value) END, 6) AS standard_deviation FROM events GROUP BY GROUPING SETS ((user_id, event_type), (user_id))""")
 def segment_summary_grouping_sets(t):
     e = t("events").select(F.col("user_id").alias("traj_id"), F.col("event_type").alias("seg_id"), "value")
-    return summary.info(e, "value").select("traj_id", "seg_id", *[r(c).alias(c) for c in ("min_distance", "max_distance", "average_distance", "standard_deviation")])
+    i = summary.info(e, "value")
+    return i.select("traj_id", "seg_id", "min_distance", "max_distance", r("average_distance", 10).alias("average_distance"), r("standard_deviation").alias("standard_deviation"))
 
 
 @query("""SELECT o_orderpriority AS priority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, round(stddev_samp(o_totalprice), 4) AS std, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY 1""")
@@ -465,10 +466,10 @@ def series_header(t):
     return h.select("user_id", "n", "start", "end", r(F.col("frequency") * 86_400_000_000.0).alias("frequency"))
 
 
-@query("SELECT user_id, round(min(value) * 0.001, 9) AS min, round(max(value) * 0.001, 9) AS max, round(avg(value) * 0.001, 9) AS mean, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT user_id, round(min(value) * 0.001, 9) AS min, round(max(value) * 0.001, 9) AS max, round(avg(value) * 0.001, 12) AS mean, count(*) AS n FROM events GROUP BY 1")
 def metric_documents(t):
     d = summary.documents(_events(t).withColumn("k", F.struct("at", "event_id")), "user_id", "k", "value")
-    return d.select("user_id", *[r(c, 9).alias(c) for c in ("min", "max", "mean")], F.size("values").cast("long").alias("n"))
+    return d.select("user_id", r("min", 9).alias("min"), r("max", 9).alias("max"), r("mean", 12).alias("mean"), F.size("values").cast("long").alias("n"))
 
 
 @query("SELECT o_orderstatus AS status, 'price' AS metric, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1 UNION ALL SELECT o_orderstatus, 'customer', round(avg(o_custkey), 4) FROM orders GROUP BY 1")
@@ -506,9 +507,9 @@ def moving_median(t):
     return t("events").select("event_id", r(series.moving_median("value", w, 4)).alias("m4"), r(series.moving_median("value", w, 5)).alias("m5"))
 
 
-@query(f"SELECT event_id, round(avg(value) {BY_USER} ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING), 6) AS mean FROM events")
+@query(f"SELECT event_id, round(avg(value) {BY_USER} ROWS BETWEEN 25 PRECEDING AND 24 FOLLOWING), 9) AS mean FROM events")
 def moving_mean(t):
-    return t("events").select("event_id", r(series.moving_mean("value", _w(), 50)).alias("mean"))
+    return t("events").select("event_id", r(series.moving_mean("value", _w(), 50), 9).alias("mean"))
 
 
 @query(f"SELECT event_id, min(value) {BY_USER} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS low, max(value) {BY_USER} ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS high FROM events")
@@ -907,11 +908,11 @@ def unwrap_near_half_turn(t):
 
 
 @query("""WITH p AS (SELECT user_id, value AS x, (event_id % 100)::DOUBLE AS y FROM events), m AS (SELECT user_id, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM p GROUP BY 1)
-  SELECT user_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y, count(*) AS n FROM p JOIN m USING (user_id) WHERE abs(x - mx) <= 2 * sx + 1e-12 AND abs(y - my) <= 2 * sy + 1e-12 GROUP BY 1""")
+  SELECT user_id, round(avg(x), 10) AS x, round(avg(y), 10) AS y, count(*) AS n FROM p JOIN m USING (user_id) WHERE abs(x - mx) <= 2 * sx + 1e-12 AND abs(y - my) <= 2 * sy + 1e-12 GROUP BY 1""")
 def rest_point_means(t):
     rows = t("events").select("user_id", F.array("value", (F.col("event_id") % 100).cast("double"), F.lit(0.0)).alias("v"))
     m = calibration.rest_points(rows, ["user_id"], "v")
-    return m.select("user_id", r(F.col("v")[0]).alias("x"), r(F.col("v")[1]).alias("y"), "n")
+    return m.select("user_id", r(F.col("v")[0], 10).alias("x"), r(F.col("v")[1], 10).alias("y"), "n")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
