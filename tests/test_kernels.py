@@ -161,3 +161,24 @@ def test_vector_expressions_on_odd_sequences(spark):
     assert np.linalg.norm(got[4].p) == pytest.approx(1)
     shares = spark.createDataFrame([("linear",), ("circular",), ("lcl",), ("",)], "m string").select(vectors.movement_share("m", "l", "linear")[0].alias("l")).collect()
     assert [r.l for r in shares] == pytest.approx([1.0, 0.25, 2 / 3, 0.0])
+
+
+def test_euler_orders_vectors_and_rates(spark):
+    from tracewright.operators import kinematics
+
+    rng = np.random.default_rng(3)
+    rows = [(v.tolist(), u.tolist(), w.tolist()) for v, u, w in zip(rng.normal(size=(12, 4)), rng.normal(size=(12, 3)), rng.normal(size=(12, 3)))]
+    rows += [([1.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [-2.0, 0.0, 0.0]), ([0.5**0.5, 0.0, 0.5**0.5, 0.0], [0.0, 1.0, 0.0], [0.0, 3.0, 0.0])]
+    df = spark.createDataFrame(rows, "p array<double>, u array<double>, v array<double>").withColumn("p", q.normalised("p"))
+    orders = [a + b + c for a in "XYZ" for b in "XYZ" for c in "XYZ" if a != b != c]
+    got = df.select("p", q.rotate(q.from_vectors("u", "v"), q.scale("u", 1 / q.norm("u"))).alias("t"), q.scale("v", 1 / q.norm("v")).alias("n"), *[q.from_euler(o, q.to_euler(o, "p")).alias(o) for o in orders]).collect()
+    for r in got:
+        assert np.allclose(r.t, r.n, atol=1e-6)
+        assert all(np.allclose(r[o], r.p, atol=1e-6) or np.allclose(r[o], -np.array(r.p), atol=1e-6) for o in orders)
+    spin = spark.range(6).select(F.lit(1).alias("k"), F.col("id").alias("at"), q.from_axis_angle(F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)), F.col("id") * 0.2).alias("p"))
+    rates = kinematics.angular_rates(spin, ["k"], "at", "p").orderBy("at")
+    assert [r.rate if r.rate is None else round(r.rate[2], 9) for r in rates.collect()] == [None] + [0.2] * 5
+    back = kinematics.integrated(rates, ["k"], "at", "rate").orderBy("at").collect()
+    assert all(np.allclose(r.orientation, r.p) for r in back)
+    turning = spin.select(q.derivative("p", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.2))).alias("d")).first()
+    assert np.allclose(turning.d, [0, 0, 0, 0.1])

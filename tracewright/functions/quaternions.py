@@ -249,3 +249,59 @@ def _transform_point(t: Column, p: Column) -> Column:
 
 def transform_quaternion(t: Column | str, q: Column | str) -> Column:
     return normalised(product(from_rotation(rotation_part(t)), q))
+
+
+def from_vectors(u: Column | str, v: Column | str) -> Column:
+    """Shortest rotation that turns u to the direction of v; opposite vectors turn about an axis normal to u."""
+    return bound(u, lambda a: bound(v, lambda b: _from_vectors(a, b)))
+
+
+def _from_vectors(u: Column, v: Column) -> Column:
+    size = norm(u) * norm(v)
+    c = dot(u, v) / size
+    cross = F.array(u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
+    normal = F.when(F.abs(u[0]) < 0.9 * norm(u), F.array(F.lit(0.0), u[2], -u[1])).otherwise(F.array(-u[2], F.lit(0.0), u[0]))
+    turned = normalised(F.concat(F.array(1 + c), scale(cross, 1 / size)))
+    half_turn = normalised(F.concat(F.array(F.lit(0.0)), normal))
+    return F.when(c > -1 + 1e-12, turned).otherwise(half_turn)
+
+
+def from_euler(order: str, angles: Column | str) -> Column:
+    """Quaternion of three successive turns (radians) about the moving axes named by order, such as 'XYZ' or 'ZXZ'."""
+
+    def about(axis: str, angle: Column) -> Column:
+        half = angle / 2
+        return F.array(F.cos(half), *[F.sin(half) if a == axis else F.lit(0.0) for a in "XYZ"])
+
+    a, b, c = order.upper()
+    return bound(angles, lambda t: product(product(about(a, t[0]), about(b, t[1])), about(c, t[2])))
+
+
+def to_euler(order: str, q: Column | str) -> Column:
+    """The three angles (radians) of from_euler, after Bernardes and Viollet (2022); where only a sum or difference is
+    determined, the first angle is 0."""
+    i, j, k = ("XYZ".index(a) for a in reversed(order.upper()))
+    proper = i == k
+    if proper:
+        k = 3 - i - j
+    sign = float((i - j) * (j - k) * (k - i) // 2)
+
+    def body(p: Column) -> Column:
+        w, x, y, z = p[0], p[i + 1], p[j + 1], p[k + 1] * sign
+        a, b, c, d = (w, x, y, z) if proper else (w - y, x + z, y + w, z - x)
+        middle = 2 * F.atan2(F.hypot(c, d), F.hypot(a, b))
+        plus, minus = F.atan2(b, a), F.atan2(d, c)
+        flat, steep = middle < 1e-7, F.abs(middle - F.pi()) < 1e-7
+        last = F.when(flat, 2 * plus).when(steep, -2 * minus).otherwise(plus - minus)
+        first = F.when(flat | steep, F.lit(0.0)).otherwise(plus + minus)
+        if not proper:
+            first, middle = first * sign, middle - F.pi() / 2
+        wrap = lambda t: F.when(t > F.pi(), t - 2 * F.pi()).when(t < -F.pi(), t + 2 * F.pi()).otherwise(t)
+        return F.array(wrap(first), middle, wrap(last))
+
+    return bound(q, body)
+
+
+def derivative(q: Column | str, rate: Column | str) -> Column:
+    """Time derivative of an orientation that turns with an angular rate given in its own frame."""
+    return scale(product(q, F.concat(F.array(F.lit(0.0)), col(rate))), F.lit(0.5))

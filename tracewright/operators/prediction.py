@@ -103,3 +103,19 @@ def staged_rerank(candidates: DataFrame, query_seq: str = "query_seq", seq: str
     rows = rows.withColumn("dtw_dist", F.coalesce("d__", F.lit(float("inf"))))
     rows = ranking.rank_by(rows, ["query_id"], ["dtw_dist", "rank_s1"], "rank_s2")
     return rows.withColumn("rank_change", F.col("rank_s1") - F.col("rank_s2")).drop("kim__", "keogh__", "k__", "stay__", "s__", "d__", query_seq, seq)
+
+
+#: Candidates up to this number are all compared by the full distance.
+SMALL_LIST = 500
+
+
+def adaptive_rerank(candidates: DataFrame, k: int, **options) -> DataFrame:
+    """staged_rerank that filters only lists of more than SMALL_LIST candidates: nine tenths pass the first bound, SMALL_LIST the second."""
+    share, most = (1.0, SMALL_LIST) if k <= SMALL_LIST else (0.9, SMALL_LIST)
+    return staged_rerank(candidates, kim_share=share, keogh_most=most, **options)
+
+
+def savings(reranked: DataFrame) -> DataFrame:
+    """query_id, candidates, dtw_calls, saved_percent: how many full distances the bounds spared."""
+    done = F.sum((F.col("dtw_dist") < float("inf")).cast("long"))
+    return reranked.groupBy("query_id").agg(F.count("*").alias("candidates"), done.alias("dtw_calls"), (100 * (1 - done / F.count("*"))).alias("saved_percent"))

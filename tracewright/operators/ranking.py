@@ -130,3 +130,20 @@ def composite(row_columns: dict[str, float]) -> Column:
 def hash_sample(rows: DataFrame, key: str, seed: str | int, n: int) -> DataFrame:
     """n rows in the order of md5(key and seed): repeatable on any system that has MD5."""
     return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
+
+
+#: Pair subsets of a distance table.
+SUBSETS = ("all", "minimum", "maximum", "smallest", "largest", "nearest", "farthest")
+
+
+def pair_subset(scored: DataFrame, subset: str = "nearest", limit: float | int | None = None) -> DataFrame:
+    """scored(query_id, id, distance) cut to a subset: distances of at least ('minimum') or at most ('maximum') limit, the
+    limit smallest or largest of each query, or its nearest or farthest row; ties to the smaller id."""
+    if subset not in SUBSETS:
+        raise ValueError(subset)
+    if subset == "all":
+        return scored
+    if subset in ("minimum", "maximum"):
+        return scored.where(F.col("distance") >= limit if subset == "minimum" else F.col("distance") <= limit)
+    order = F.col("distance").asc() if subset in ("smallest", "nearest") else F.col("distance").desc()
+    return top_k(scored, ["query_id"], [order, "id"], int(limit) if subset in ("smallest", "largest") else 1).drop("rank")

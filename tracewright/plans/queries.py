@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quaternions as q
 from ..functions import stats, vectors
-from ..operators import alignment, calibration, joins, prediction, ranking, series, summary
+from ..operators import alignment, calibration, joins, kinematics, prediction, ranking, series, summary
 from ..sources import tables
 from . import accuracy, search
 
@@ -821,6 +821,18 @@ def two_stage_search(t):
     return p.select("query_id", r("mean").alias("mean"), r("weighted").alias("weighted"), "n")
 
 
+@query()
+def embedding_sweep(t):
+    rows = search.embedding_sweep(_seqs(t).select(F.col("user_id").alias("id"), "seq"), [("short", 5, 0), ("both", 5, 10)], velocity=True)
+    return rows.select("config", "id", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("position", "velocity")])
+
+
+@query()
+def rerank_savings(t):
+    rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
+    return prediction.savings(prediction.staged_rerank(rows, kim_share=0.5, keogh_most=20, window=0.2))
+
+
 # --- geometry ------------------------------------------------------------------------------------------------------
 
 QUAT_SQL = "a AS (SELECT event_id, user_id, radians(value) AS a, radians((event_id % 90)::DOUBLE) AS b FROM events), q AS (SELECT *, [cos(a / 2), sin(a / 2) * 0.6, sin(a / 2) * 0.8, 0.0] AS p, [cos(b / 2), 0.0, 0.0, sin(b / 2)] AS r FROM a)"
@@ -871,6 +883,25 @@ def quaternion_algebra(t):
     return rows.select("event_id", *[F.transform(v, lambda x: F.round(x, 6)).alias(n) for n, v in named.items()])
 
 
+@query()
+def euler_orders(t):
+    """Angles of every pose in all twelve axis orders."""
+    orders = [a + b + c for a in "XYZ" for b in "XYZ" for c in "XYZ" if a != b != c]
+    rows = _quats(t)
+    return rows.select("event_id", *[F.transform(q.to_euler(o, "p"), lambda x: F.round(x, 5)).alias(o.lower()) for o in orders])
+
+
+@query()
+def angular_rates(t):
+    rows = _quats(t).join(_events(t).select("event_id", (F.col("at") / 3_600_000_000.0).alias("hours")), "event_id")
+    return kinematics.angular_rates(rows, ["user_id"], "hours", "p").select("event_id", F.transform("rate", lambda x: F.round(x, 4)).alias("rate"))
+
+
+@query(f"""WITH {HALVES_SQL}, {_topk_sql('head', 1, 'near')} SELECT query_id, id, distance FROM near""")
+def nearest_pair_subset(t):
+    return ranking.pair_subset(_head(t).select("query_id", "id", "distance"), "nearest")
+
+
 @query()
 def poses_in_robot_frame(t):
     rows = _quats(t).join(t("events").select("event_id", F.to_date("ts").alias("recording_date")), "event_id")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import prediction, ranking
+from ..functions import vectors
+from ..operators import alignment, prediction, ranking
 
 
 def first_stage(queries: DataFrame, rows: DataFrame, modalities: list[str], k: int, weights: DataFrame | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -48,3 +49,16 @@ def validation(rankings: DataFrame, weight_modes: DataFrame, reference: DataFram
         F.avg(F.when(F.col("is_truth") == 1, 1 / F.col("rank"))).alias("mrr"),
     )
     return scored.join(n, "query_id").select("query_id", "mode", "k", (F.coalesce("hits", F.lit(0)) / F.least("truths", "k")).alias("recall"), (F.col("common") / F.col("k")).alias("precision"), "mrr")
+
+
+def embedding_sweep(sequences: DataFrame, configs: list[tuple[str, int, int]], velocity: bool = False) -> DataFrame:
+    """config, id, position (and velocity) embeddings of every sequence under every (name, coarse, fine). One pass over the sequences."""
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("config"), vectors.position_embedding("seq", c, f).alias("position")) for name, c, f in configs])).alias("e__")
+    out = sequences.select("id", each).select("e__.config", "id", "e__.position")
+    if velocity:
+        parts = [alignment.velocity_embeddings(sequences, "seq", c, f, "velocity").select(F.lit(name).alias("config"), "id", "velocity") for name, c, f in configs]
+        v = parts[0]
+        for p in parts[1:]:
+            v = v.unionByName(p)
+        out = out.join(v, ["config", "id"])
+    return out
