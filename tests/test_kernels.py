@@ -91,6 +91,14 @@ def test_constrained_dtw_and_bounds():
     assert [k.half_up(x) for x in (0.5, 1.5, 2.4)] == [1, 2, 2]
 
 
+def test_pairs_together_equal_pairs_alone():
+    rng = np.random.default_rng(4)
+    pairs = [(rng.normal(size=(rng.integers(1, 30), 3)), rng.normal(size=(rng.integers(1, 30), 3))) for _ in range(60)]
+    for options in ({}, {"window": 0.05}, {"mode": "joint"}, {"normalise": True}):
+        alone = [k.constrained_dtw(a, b, **options) for a, b in pairs]
+        assert np.allclose(k.constrained_dtw_many(pairs, cells=5000, **options), alone)
+
+
 def test_smoothing_keeps_polynomials_and_pchip_keeps_monotony():
     t = np.arange(30.0)[:, None]
     cubic = np.hstack([t**3 - t, t**2, 2 * t])

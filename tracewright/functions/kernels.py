@@ -329,6 +329,45 @@ def constrained_dtw(a: np.ndarray, b: np.ndarray, mode: str = "position", window
     return float(best) if (acc.min(1) > best).any() else float(acc[-1, -1])
 
 
+def constrained_dtw_many(pairs: list, mode: str = "position", window: float = 0.15, rotate: bool = False, normalise: bool = False, cells: int = 2_000_000) -> list[float]:
+    """constrained_dtw of many pairs without a bound to beat: pairs are padded to one size, and each diagonal is one step for all."""
+    out: list[float] = []
+    ready = []
+    for a, b in pairs:
+        a, b = _prepared(a, b, mode, normalise)
+        if mode == "position":
+            a, b = a - a[0], b - b[0]
+            if rotate:
+                a, b = rotation_aligned(a, b)
+        ready.append((a, b))
+    at = 0
+    while at < len(ready):
+        n = m = 0
+        end = at
+        while end < len(ready):  # as many pairs as fit
+            wider = max(n, len(ready[end][0])), max(m, len(ready[end][1]))
+            if end > at and wider[0] * wider[1] * (end - at + 1) > cells:
+                break
+            (n, m), end = wider, end + 1
+        part = ready[at:end]
+        x, y = np.zeros((len(part), n, part[0][0].shape[1])), np.zeros((len(part), m, part[0][1].shape[1]))
+        for row, (a, b) in enumerate(part):
+            x[row, : len(a)], y[row, : len(b)] = a, b
+        sizes = np.array([(len(a), len(b)) for a, b in part])
+        ns, ms = sizes[:, 0, None], sizes[:, 1, None]
+        reach = np.maximum(np.floor(np.maximum(ns, ms) * window + 0.5), np.abs(ns - ms))
+        centre = np.floor(np.arange(1, n + 1) * ms / ns + 0.5)
+        inside = np.abs(np.arange(1, m + 1) - centre[:, :, None]) <= reach[:, :, None]
+        cost = np.where(inside, np.sqrt(sum((x[:, :, None, d] - y[:, None, :, d]) ** 2 for d in range(x.shape[2]))), np.inf)
+        acc = np.full((len(part), n + 1, m + 1), np.inf)
+        acc[:, 0, 0] = 0.0
+        for i, j in _diagonals(n, m):
+            acc[:, i + 1, j + 1] = cost[:, i, j] + np.minimum(np.minimum(acc[:, i, j + 1], acc[:, i + 1, j]), acc[:, i, j])
+        out += acc[np.arange(len(part)), sizes[:, 0], sizes[:, 1]].tolist()
+        at = end
+    return out
+
+
 def resampled_distance(a: np.ndarray, b: np.ndarray) -> float:
     """Frobenius distance after linear resampling to a's length and removal of the first points."""
     b = along(b, np.linspace(0, len(b) - 1, len(a)))

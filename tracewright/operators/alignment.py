@@ -72,14 +72,16 @@ def pair_distances(pairs: DataFrame, a: str, b: str, measure: str = "constrained
     a null or empty sequence get null."""
     kernel = getattr(k, measure)
 
+    together = measure == "constrained_dtw" and "best" not in options
+
     @F.pandas_udf("double")
     def distance(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(p, q):
-            if p is None or q is None or not len(p) or not len(q):
-                return None
-            return kernel(np.vstack(p).astype(float), np.vstack(q).astype(float), **options)
-
-        return pd.Series([one(p, q) for p, q in zip(x, y)], dtype=float)
+        rows = [i for i, (p, q) in enumerate(zip(x, y)) if p is not None and q is not None and len(p) and len(q)]
+        both = [(np.vstack(x.iloc[i]).astype(float), np.vstack(y.iloc[i]).astype(float)) for i in rows]
+        found = k.constrained_dtw_many(both, **options) if together else [kernel(p, q, **options) for p, q in both]
+        out = np.full(len(x), None, object)
+        out[rows] = found
+        return pd.Series(out, dtype="Float64").astype(object).where(lambda s: s.notna(), None)
 
     return pairs.withColumn(alias, distance(a, b))
 
