@@ -33,6 +33,8 @@ RADIUS = 2
 SHINGLE = 3
 SEED = 42
 BANDS = 6
+#: Most fingerprints that are named by a broadcast.
+MOST_HOT = 1000
 #: Queries that walk a partition's trees at once.
 QUERY_BLOCK = 20_000
 
@@ -167,12 +169,18 @@ def shard_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for each row of df."""
     prints = common.written(fingerprints(df, id_col, text_col), "simhash")
-    groups = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    groups = common.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     linked = common.written(components(shard_links(groups.select("fp"), radius)), "simhash-classes")
     named = linked.join(groups, linked.node == groups.fp).groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    each = groups.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(each, "fp").select("doc_id", "fp", "component_id")
+    each = groups.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    each = common.written(each, "simhash-named")
+    # Fingerprints with a thousandth of all rows or more number a thousand at most: they are broadcast, so that no task
+    # gets all rows of one; the others meet by a shuffle.
+    hot = F.col("n") >= max(1000, prints.count() // MOST_HOT)
+    frequent = each.where(hot).select("fp", "component_id")
+    out = prints.join(F.broadcast(frequent), "fp").unionByName(prints.join(F.broadcast(frequent), "fp", "left_anti").join(each.where(~hot).select("fp", "component_id"), "fp"))
+    return out.select("doc_id", "fp", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
