@@ -191,6 +191,16 @@ def test_secrets_stop_on_cycles_and_long_runs():
     assert secrets.redacted(f"a {SECRET} {SECRET}", "#") == "a # #"
 
 
+def test_secrets_encoded_twice_are_found_twice():
+    coded = base64.b64encode(SECRET.encode()).decode()
+    packed = base64.b64encode(gzip.compress(f"{coded} {coded}".encode(), mtime=0)).decode()
+    copies = [quote(SECRET, safe=""), coded, "".join(f"\\u{ord(c):04x}" for c in SECRET), packed]
+    for copy in copies:
+        text = f"a {copy}\nb {copy}"
+        assert [text[a:b] for k, a, b, _ in secrets.scan_text(text) if k == "assign"] == [copy, copy]
+    assert secrets.redacted(" ".join(copies), "#") == "# # # #"
+
+
 def test_redaction_keeps_other_columns(odd):
     rows = secrets.redact(odd, chars_col="n_tokens").collect()
     assert len(rows) == len(ODD) and odd.columns == list(rows[0].asDict())

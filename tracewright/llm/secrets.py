@@ -3,8 +3,9 @@ r"""Secret scans that unwrap nested encodings.
 Three kinds are sought (assign, access, hex; see KINDS) in the text itself, the base layer, and then in every layer
 that decoding uncovers. A worklist holds layers: each is scanned, and its percent-encoded and \u- or \x-escaped runs,
 base64 runs and, below base64, gzip, zlib, bz2 and xz data become new layers until none is new. A layer whose content
-was seen before in the document is not taken again, so cycles end. Positions in escaped layers map back character
-by character; a finding below base64 or compression covers the encoded run in the text.
+was seen before at the same place of the document is not taken again, so cycles end, and each copy of an encoded secret
+has its own span. Positions in escaped layers map back character by character; a finding below base64 or compression
+covers the encoded run in the text.
 
 Compressed data are unwrapped up to `MAX_UNPACKED` bytes a layer (a documented guard against decompression bombs; what is
 unpacked up to there is scanned). Documents are independent, so the scan needs no shuffle and no group is ever gathered.
@@ -81,6 +82,10 @@ class Layer:
             return self.whole
         return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
 
+    def key(self):
+        """What the layer holds and where: with equal keys, all that is found below is equal."""
+        return self.text, self.whole or (tuple(self.starts), tuple(self.ends))
+
     def children(self):
         text = self.text
         if "%" in text:
@@ -113,7 +118,7 @@ class Layer:
                     ends.append(b)
                 at = e.end()
             plain(m.end(), at)
-            yield Layer("".join(pieces), starts, ends)
+            yield Layer("".join(pieces), starts, ends, self.whole)
 
 
 def _percent(run: str):
@@ -174,15 +179,15 @@ def scan_text(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, depth) in code points of the text, by start, kind and end; depth 0 is the text itself.
     A span found at several depths is listed once, at the smallest."""
     found: dict[tuple[str, int, int], int] = {}
-    seen, work = {text}, [(Layer(text), 0)]
+    seen, work = set(), [(Layer(text), 0)]
     while work:
         below = []
         for layer, depth in work:
             for kind, start, end in find(layer.text):
                 found.setdefault((kind, *layer.locate(start, end)), depth)
             for child in layer.children():
-                if child.text and child.text not in seen:
-                    seen.add(child.text)
+                if child.text and (key := child.key()) not in seen:
+                    seen.add(key)
                     below.append((child, depth + 1))
         work = below
     return sorted(((k, a, b, d) for (k, a, b), d in found.items()), key=lambda x: (x[1], ORDER[x[0]], x[2]))
