@@ -201,6 +201,24 @@ def test_secrets_encoded_twice_are_found_twice():
     assert secrets.redacted(" ".join(copies), "#") == "# # # #"
 
 
+@pytest.mark.parametrize(
+    ("text", "covered"),
+    [
+        (r'{"token": "abc\u002Fdefghi"} é', r'token": "abc\u002Fdefghi'),
+        ("é password = p%40ssw0rd123 b", None),
+        ("é pass%77ord = abcdefgh b", "pass%77ord = abcdefgh"),
+        ("é api%5Fkey: abc%2Fdef b api_key: abc%2Fdef", "api%5Fkey: abc%2Fdef"),
+        ("secret= token%3Aabcdefgh", "token%3Aabcdefgh"),
+        ("5% off, secret : abc%252Fdefgh", "secret : abc%252Fdefgh"),
+    ],
+)
+def test_secrets_with_a_key_before_a_blank(text, covered):
+    got = [text[a:b] for k, a, b, _ in secrets.scan_text(text)]
+    assert got == [] if covered is None else covered in got
+    packed = base64.b64encode(text.encode()).decode()
+    assert bool(got) == bool(secrets.scan_text(f"a {packed} b"))
+
+
 def test_redaction_keeps_other_columns(odd):
     rows = secrets.redact(odd, chars_col="n_tokens").collect()
     assert len(rows) == len(ODD) and odd.columns == list(rows[0].asDict())

@@ -1,8 +1,8 @@
 r"""Secret scans that unwrap nested encodings.
 
 Three kinds are sought (assign, access, hex; see KINDS) in the text itself, the base layer, and then in every layer
-that decoding uncovers. A worklist holds layers: each is scanned, and its percent-encoded and \u- or \x-escaped runs,
-base64 runs and, below base64, gzip, zlib, bz2 and xz data become new layers until none is new. A layer whose content
+that decoding uncovers. A worklist holds layers: each is scanned, and its whole text with the percent-encoded or the \u-
+and \x-escaped characters decoded in place, its base64 runs and, below base64, gzip, zlib, bz2 and xz data become new layers until none is new. A layer whose content
 was seen before at the same place of the document is not taken again, so cycles end, and each copy of an encoded secret
 has its own span. Positions in escaped layers map back character by character; a finding below base64 or compression
 covers the encoded run in the text.
@@ -24,6 +24,7 @@ import re
 import zlib
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,53 +73,70 @@ def _matches(kind: str, text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """Decoded text whose character i came from [starts[i], ends[i]) of the document; without maps, all of it from `whole`."""
+    """Decoded text whose character i came from [starts[i], ends[i]) of the document; without maps, all of it from `whole`.
+    `cuts` are stretches that are also scanned alone."""
 
-    def __init__(self, text: str, starts=None, ends=None, whole: tuple[int, int] | None = None):
-        self.text, self.starts, self.ends, self.whole = text, starts, ends, whole
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None, cuts=()):
+        self.text, self.starts, self.ends, self.whole, self.cuts = text, starts, ends, whole, cuts
 
     def locate(self, start: int, end: int) -> tuple[int, int]:
         if self.whole:
             return self.whole
-        return (start, end) if self.starts is None else (self.starts[start], self.ends[end - 1])
+        return (start, end) if self.starts is None else (int(self.starts[start]), int(self.ends[end - 1]))
 
     def key(self):
         """What the layer holds and where: with equal keys, all that is found below is equal."""
-        return self.text, self.whole or (tuple(self.starts), tuple(self.ends))
+        return self.text, self.whole or (self.starts.tobytes(), self.ends.tobytes())
+
+    def found(self):
+        """Spans of the document that hold a secret in this layer."""
+        for kind, start, end in find(self.text):
+            yield kind, *self.locate(start, end)
+        for a, b in self.cuts:
+            for kind, start, end in find(self.text[a:b]):
+                yield kind, *self.locate(a + start, a + end)
 
     def children(self):
         text = self.text
-        if "%" in text:
-            yield from self._escaped(_PERCENT_RUN, _PERCENT, _percent)
-        if "\\u" in text or "\\x" in text:
-            yield from self._escaped(_ESCAPE_RUN, _ESCAPE, _unescape)
+        if "%" in text and _PERCENT.search(text):
+            yield self._escaped(_PERCENT_RUN, _PERCENT, _percent)
+        if ("\\u" in text or "\\x" in text) and _ESCAPE.search(text):
+            yield self._escaped(_ESCAPE_RUN, _ESCAPE, _unescape)
         if b"h" * MIN_BASE64 in text.encode("utf-8", "surrogatepass").translate(_B64_CLASS):
             for m in _BASE64_RUN.finditer(text):
                 decoded = unpacked(m[0])
                 if decoded is not None:
                     yield Layer(decoded, whole=self.locate(*m.span()))
 
-    def _escaped(self, runs: re.Pattern, part: re.Pattern, decode):
-        for m in runs.finditer(self.text):
-            pieces, starts, ends, at = [], [], [], m.start()
-
-            def plain(upto, at):
-                pieces.append(self.text[at:upto])
-                for i in range(at, upto):
-                    a, b = self.locate(i, i + 1)
-                    starts.append(a)
-                    ends.append(b)
-
-            for e in part.finditer(self.text, m.start(), m.end()):
-                plain(e.start(), at)
-                for char, a, b in decode(e[0]):
-                    pieces.append(char)
-                    a, b = self.locate(e.start() + a, e.start() + b)
-                    starts.append(a)
-                    ends.append(b)
-                at = e.end()
-            plain(m.end(), at)
-            yield Layer("".join(pieces), starts, ends, self.whole)
+    def _escaped(self, runs: re.Pattern, part: re.Pattern, decode) -> Layer:
+        """The whole text with its escapes decoded in place, so that what stands around a run is read with it. The runs
+        are its cuts: what stands before one may take its start for a short value."""
+        text, mapped, at, size = self.text, not self.whole, 0, 0
+        pieces, starts, ends, moved = [], [], [], []  # moved: where an escape ends in the text, and then in the layer
+        origin = (np.arange(len(text)), np.arange(1, len(text) + 1)) if self.starts is None else (self.starts, self.ends)
+        for e in part.finditer(text):
+            chars = list(decode(e[0]))
+            pieces += [text[at : e.start()], *(c for c, _, _ in chars)]
+            if mapped:
+                starts += [origin[0][at : e.start()], origin[0][[e.start() + a for _, a, _ in chars]]]
+                ends += [origin[1][at : e.start()], origin[1][[e.start() + b - 1 for _, _, b in chars]]]
+            size += e.start() - at + len(chars)
+            at = e.end()
+            moved.append((at, size))
+        pieces.append(text[at:])
+        if mapped:
+            starts, ends = np.concatenate([*starts, origin[0][at:]]), np.concatenate([*ends, origin[1][at:]])
+        else:
+            starts = ends = None
+        cuts, i = [], 0
+        for m in runs.finditer(text):  # no run cuts an escape
+            while i < len(moved) and moved[i][0] <= m.start():
+                i += 1
+            first = m.start() - (moved[i - 1][0] - moved[i - 1][1] if i else 0)
+            while i < len(moved) and moved[i][0] <= m.end():
+                i += 1
+            cuts.append((first, m.end() - (moved[i - 1][0] - moved[i - 1][1] if i else 0)))
+        return Layer("".join(pieces), starts, ends, self.whole, cuts)
 
 
 def _percent(run: str):
@@ -183,8 +201,8 @@ def scan_text(text: str) -> list[tuple[str, int, int, int]]:
     while work:
         below = []
         for layer, depth in work:
-            for kind, start, end in find(layer.text):
-                found.setdefault((kind, *layer.locate(start, end)), depth)
+            for span in layer.found():
+                found.setdefault(span, depth)
             for child in layer.children():
                 if child.text and (key := child.key()) not in seen:
                     seen.add(key)
