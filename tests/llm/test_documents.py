@@ -4,9 +4,10 @@ import base64
 import collections
 import gzip
 import hashlib
+import json
 import re
 import zlib
-from urllib.parse import quote
+from urllib.parse import quote, quote_plus
 
 import numpy as np
 import public_tokenizers as P
@@ -219,6 +220,38 @@ def test_secrets_with_a_key_before_a_blank(text, covered):
     assert bool(got) == bool(secrets.scan_text(f"a {packed} b"))
 
 
+def coded(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode()
+
+
+NOISE = " ".join(hashlib.sha256(bytes([i])).hexdigest()[:9] for i in range(60))
+ZIPPED = gzip.compress(f"{NOISE} {SECRET} {NOISE}".encode(), mtime=0)
+PEM = "\n".join(re.findall(".{1,64}", coded(ZIPPED)))
+
+
+@pytest.mark.parametrize(
+    ("text", "covered"),
+    [
+        *[(f"{p}{coded('hello ' + SECRET)} b", p + coded("hello " + SECRET)) for p in ("/cb/", "key_", "-", "ab-c/")],
+        (f"/cb/{coded(ZIPPED)} b", "/cb/" + coded(ZIPPED)),
+        (coded(SECRET + "12").rstrip("=") + "A", coded(SECRET + "12").rstrip("=") + "A"),
+        (f"a\n{PEM}\nb c", PEM),
+        (f"a\n{coded(ZIPPED)[:76]}\r\n  {coded(ZIPPED)[76:]}", f"{coded(ZIPPED)[:76]}\r\n  {coded(ZIPPED)[76:]}".rstrip("=")),
+        (json.dumps(PEM), json.dumps(PEM)[1:-1]),
+        (coded(b"\xff\xfe\x00 " + SECRET.encode() + b"\x80"), coded(b"\xff\xfe\x00 " + SECRET.encode() + b"\x80")),
+        (coded(b"\0user\0" + SECRET.encode()), coded(b"\0user\0" + SECRET.encode())),
+        *[(coded(SECRET.encode(c)), coded(SECRET.encode(c))) for c in ("utf-16", "utf-16-be", "utf-32")],
+        (quote(ZIPPED, safe="") + " b", None),
+        (quote_plus(ZIPPED) + " b", None),
+        ("é " + "".join(f"\\x{c:02x}" for c in ZIPPED) + " b", "".join(f"\\x{c:02x}" for c in ZIPPED)),
+        (f"a {repr(ZIPPED)} b", None),
+    ],
+)
+def test_secrets_in_odd_base64_and_bytes(text, covered):
+    spans = [text[a:b] for k, a, b, _ in secrets.scan_text(text) if k == "assign"]
+    assert spans and (covered is None or any(s.rstrip("=") == covered.rstrip("=") for s in spans))
+
+
 def test_redaction_keeps_other_columns(odd):
     rows = secrets.redact(odd, chars_col="n_tokens").collect()
     assert len(rows) == len(ODD) and odd.columns == list(rows[0].asDict())

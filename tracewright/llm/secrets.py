@@ -2,10 +2,12 @@ r"""Secret scans that unwrap nested encodings.
 
 Three kinds are sought (assign, access, hex; see KINDS) in the text itself, the base layer, and then in every layer
 that decoding uncovers. A worklist holds layers: each is scanned, and its whole text with the percent-encoded or the \u-
-and \x-escaped characters decoded in place, its base64 runs and, below base64, gzip, zlib, bz2 and xz data become new layers until none is new. A layer whose content
+and \x-escaped characters decoded in place, its base64 runs and, below base64 or escapes, gzip, zlib, bz2 and xz data
+become new layers until none is new. Base64 is read from each of a run's first four characters on, so a prefix does no
+harm, and over wrapped lines; streams may begin anywhere in decoded bytes, and bytes that are no text hide none around them. A layer whose content
 was seen before at the same place of the document is not taken again, so cycles end, and each copy of an encoded secret
 has its own span. Positions in escaped layers map back character by character; a finding below base64 or compression
-covers the encoded run in the text.
+covers the encoded run in the text, or the wrapped lines that it comes from.
 
 Compressed data are unwrapped up to `MAX_UNPACKED` bytes a layer (a documented guard against decompression bombs; what is
 unpacked up to there is scanned). Documents are independent, so the scan needs no shuffle and no group is ever gathered.
@@ -17,7 +19,6 @@ other columns are ignored, whatever their names (redact() passes them through);
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -50,7 +51,18 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE_RUN = re.compile(r"(?<![^\s\\])[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
-_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f�]")
+#: Lines of base64 under each other, also with written line ends; the last may be short.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)+" % MIN_BASE64)
+_BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
+#: The first bytes of gzip, zlib, bz2 and xz.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
+_WIDE = re.compile(rb"(?:[\x01-\x7f]\0{1,3}){6,}+[\x01-\x7f]?")
+_BYTE_ESCAPES = {"%": re.compile("%[0-9A-Fa-f]{2}"), "\\": re.compile(r"""\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|[abfnrtv\\'"])""")}
+_SIMPLE = dict(zip("abfnrtv", "\a\b\f\n\r\t\v"))
+_ESCAPED_MAGIC = {
+    "%": re.compile("%1f%8b|(?:x|%78)(?:%01|%5e|\\^|%9c|%da)|BZh|%42%5a|%fd(?:7|%37)", re.I),
+    "\\": re.compile(r"\\(?:x|u00)1f\\(?:x|u00)8b|\\037\\213|(?:x|\\(?:x|u00)78)(?:\\(?:x|u00)(?:01|5e|9c|da)|\^|\\(?:1|001|234|332))|BZh|\\(?:x|u00)fd|\\375", re.I),
+}
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -74,10 +86,10 @@ def _matches(kind: str, text: str) -> list[tuple[str, int, int]]:
 
 class Layer:
     """Decoded text whose character i came from [starts[i], ends[i]) of the document; without maps, all of it from `whole`.
-    `cuts` are stretches that are also scanned alone."""
+    `cuts` are stretches that are also scanned alone; `step` is how much deeper than its parent it lies."""
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None, cuts=()):
-        self.text, self.starts, self.ends, self.whole, self.cuts = text, starts, ends, whole, cuts
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None, cuts=(), step: int = 1):
+        self.text, self.starts, self.ends, self.whole, self.cuts, self.step = text, starts, ends, whole, cuts, step
 
     def locate(self, start: int, end: int) -> tuple[int, int]:
         if self.whole:
@@ -102,11 +114,41 @@ class Layer:
             yield self._escaped(_PERCENT_RUN, _PERCENT, _percent)
         if ("\\u" in text or "\\x" in text) and _ESCAPE.search(text):
             yield self._escaped(_ESCAPE_RUN, _ESCAPE, _unescape)
+        yield from self._packed()
         if b"h" * MIN_BASE64 in text.encode("utf-8", "surrogatepass").translate(_B64_CLASS):
             for m in _BASE64_RUN.finditer(text):
-                decoded = unpacked(m[0])
-                if decoded is not None:
-                    yield Layer(decoded, whole=self.locate(*m.span()))
+                for data, _ in aligned(m[0].rstrip("=")):
+                    yield from decoded(data, lambda a, b, m=m: self.locate(*m.span()))
+            for m in _WRAPPED.finditer(text):
+                breaks = [x.span() for x in _BREAK.finditer(text, *m.span())]
+                lines = list(zip([m.start(), *(b for _, b in breaks)], [*(a for a, _ in breaks), m.end()]))
+                line = np.repeat(np.arange(len(lines)), [b - a for a, b in lines])  # of each character
+                for data, skip in aligned("".join(text[a:b] for a, b in lines)):
+
+                    def place(a, b, skip=skip, line=line, lines=lines):  # the lines that bytes a to b come from
+                        return self.locate(lines[line[skip + 4 * a // 3]][0], lines[line[skip + (8 * b - 1) // 6]][1])
+
+                    yield from decoded(data, place, by_byte=not self.whole)
+
+    def _packed(self):
+        """Compressed data whose bytes are written with escapes."""
+        for sign, escapes in _BYTE_ESCAPES.items():
+            if _ESCAPED_MAGIC[sign].search(self.text):
+                data, starts, ends, at = bytearray(), [], [], 0
+                for m in escapes.finditer(self.text):
+                    value = _byte(m[0])
+                    data += self.text[at : m.start()].encode("latin-1", "replace") + value
+                    starts += [*range(at, m.start()), *[m.start()] * len(value)]
+                    ends += [*range(at + 1, m.start() + 1), *[m.end()] * len(value)]
+                    at = m.end()
+                data += self.text[at:].encode("latin-1", "replace")
+                starts += range(at, len(self.text))
+                ends += range(at + 1, len(self.text) + 1)
+                forms = [bytes(data)]
+                if sign == "%" and b"+" in data:  # in forms + is a blank, and a plus sign is escaped
+                    forms.append(bytes(32 if c == 43 and self.text[i] == "+" else c for c, i in zip(data, starts)))
+                for form in forms:
+                    yield from streams(form, lambda a, b: self.locate(starts[a], ends[b - 1]), 1)
 
     def _escaped(self, runs: re.Pattern, part: re.Pattern, decode) -> Layer:
         """The whole text with its escapes decoded in place, so that what stands around a run is read with it. The runs
@@ -160,37 +202,72 @@ def _unescape(run: str):
         i += 1
 
 
-def unpacked(run: str) -> str | None:
-    """The text in a base64 run, decompressed as long as it is compressed; None if it holds no text."""
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-    while (inner := _decompressed(data)) is not None:
-        data = inner
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if _CONTROL.search(text) else text
+def _byte(escape: str) -> bytes:
+    if escape[0] == "%":
+        return bytes.fromhex(escape[1:])
+    if escape[1] in "xu":
+        return bytes([code]) if (code := int(escape[2:], 16)) < 256 else b"?"
+    return bytes([int(escape[1:], 8) & 255]) if escape[1].isdigit() else _SIMPLE.get(escape[1], escape[1]).encode()
+
+
+def aligned(body: str):
+    """What a base64 run without its padding decodes to from each of its first four characters on, and how many are left
+    out before: a prefix of any length may stand before the data."""
+    body = body.replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        part = body[skip:]
+        part = part[:-1] if len(part) % 4 == 1 else part
+        yield base64.b64decode(part + "=" * (-len(part) % 4)), skip
+
+
+def decoded(data: bytes, place, step: int = 1, by_byte: bool = False):
+    """Layers of decoded bytes: their text, whatever else stands in it (bytes outside UTF-8 become U+FFFD, which is in no
+    finding), stretches of UTF-16 or UTF-32, and compressed streams. place(a, b): where bytes a to b come from."""
+    if by_byte:
+        spots = np.array([place(i, i + 1) for i in range(len(data))], np.int64).reshape(-1, 2)
+        yield Layer(data.decode("latin-1"), spots[:, 0].copy(), spots[:, 1].copy(), step=step)
+    else:
+        yield Layer(data.decode("utf-8", "replace"), whole=place(0, len(data)), step=step)
+    for m in _WIDE.finditer(data):
+        yield Layer(m[0].replace(b"\0", b"").decode(), whole=place(*m.span()), step=step)
+    yield from streams(data, place, step)
+
+
+def streams(data: bytes, place, step: int):
+    """The compressed streams that begin anywhere in data."""
+    at = 0
+    while m := _MAGIC.search(data, at):
+        inner, size = _decompressed(data[m.start() :])
+        at = m.start() + max(size, 1)
+        if inner:
+            yield Packed(inner, place(m.start(), at), step)
+
+
+class Packed:
+    """Decompressed bytes from `whole` of the document."""
+
+    def __init__(self, data: bytes, whole: tuple[int, int], step: int):
+        self.data, self.whole, self.step = data, whole, step
+
+    def key(self):
+        return self.data, self.whole
+
+    def found(self):
+        return ()
+
+    def children(self):
+        return decoded(self.data, lambda a, b: self.whole, 0)
 
 
-def _decompressed(data: bytes) -> bytes | None:
+def _decompressed(data: bytes) -> tuple[bytes, int]:
+    """What the stream at the start of data holds, and its length; nothing if there is none."""
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, MAX_UNPACKED)
-        if data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, MAX_UNPACKED)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, MAX_UNPACKED)
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, MAX_UNPACKED)
+        kind = data[:1]
+        tool = zlib.decompressobj(31) if kind == b"\x1f" else zlib.decompressobj() if kind == b"x" else bz2.BZ2Decompressor() if kind == b"B" else lzma.LZMADecompressor()
+        out = tool.decompress(data, MAX_UNPACKED)
+        return out, len(data) - len(tool.unused_data)
     except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return None
+        return b"", 0
 
 
 def scan_text(text: str) -> list[tuple[str, int, int, int]]:
@@ -202,11 +279,11 @@ def scan_text(text: str) -> list[tuple[str, int, int, int]]:
         below = []
         for layer, depth in work:
             for span in layer.found():
-                found.setdefault(span, depth)
+                found[span] = min(depth, found.get(span, depth))
             for child in layer.children():
-                if child.text and (key := child.key()) not in seen:
+                if (key := child.key()) not in seen:
                     seen.add(key)
-                    below.append((child, depth + 1))
+                    below.append((child, depth + child.step))
         work = below
     return sorted(((k, a, b, d) for (k, a, b), d in found.items()), key=lambda x: (x[1], ORDER[x[0]], x[2]))
 
