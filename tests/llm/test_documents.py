@@ -1,10 +1,12 @@
 """Text operators against plain-Python versions, on a fixture of odd rows and on the smallest documents table."""
 
 import base64
+import bz2
 import collections
 import gzip
 import hashlib
 import json
+import lzma
 import re
 import zlib
 from urllib.parse import quote, quote_plus
@@ -252,6 +254,26 @@ def test_secrets_in_odd_base64_and_bytes(text, covered):
     assert spans and (covered is None or any(s.rstrip("=") == covered.rstrip("=") for s in spans))
 
 
+@pytest.mark.parametrize("pack", [lambda d: gzip.compress(d, mtime=0), bz2.compress, lzma.compress])
+def test_secrets_in_later_members(pack):
+    for first, second in ((b"nothing here", SECRET.encode()), (SECRET[:9].encode(), SECRET[9:].encode())):
+        run = coded(pack(first) + pack(second))
+        assert [s[0] for s in secrets.scan_text(f"a {run} b")] == ["assign"]
+        assert secrets.redacted(f"a {run} b", "#") == "a # b"
+
+
+def test_secrets_at_the_end_of_long_streams(monkeypatch):
+    run = coded(gzip.compress(b"x, " + "é ".encode() * (24 << 20) + SECRET.encode(), mtime=0))
+    assert secrets.redacted(f"a {run} b", "#") == "a # b"
+    monkeypatch.setattr(secrets, "CHUNK", 1000)
+    monkeypatch.setattr(secrets, "MORE", 5000)
+    inner = coded(gzip.compress(SECRET.encode() + np.random.default_rng(1).bytes(3000), mtime=0))
+    for at in range(0, 1100, 90):  # whole secrets and whole inner runs, wherever a piece might end
+        for held in (SECRET, inner):
+            run = coded(gzip.compress(("," * at + " " + held + "," * 3000).encode(), mtime=0))
+            assert [s[:3] for s in secrets.scan_text(f"a {run} b")] == [("assign", 2, 2 + len(run))]
+
+
 def test_redaction_keeps_other_columns(odd):
     rows = secrets.redact(odd, chars_col="n_tokens").collect()
     assert len(rows) == len(ODD) and odd.columns == list(rows[0].asDict())

@@ -4,13 +4,16 @@ Three kinds are sought (assign, access, hex; see KINDS) in the text itself, the
 that decoding uncovers. A worklist holds layers: each is scanned, and its whole text with the percent-encoded or the \u-
 and \x-escaped characters decoded in place, its base64 runs and, below base64 or escapes, gzip, zlib, bz2 and xz data
 become new layers until none is new. Base64 is read from each of a run's first four characters on, so a prefix does no
-harm, and over wrapped lines; streams may begin anywhere in decoded bytes, and bytes that are no text hide none around them. A layer whose content
-was seen before at the same place of the document is not taken again, so cycles end, and each copy of an encoded secret
-has its own span. Positions in escaped layers map back character by character; a finding below base64 or compression
-covers the encoded run in the text, or the wrapped lines that it comes from.
+harm, and over wrapped lines; streams may begin anywhere in decoded bytes, and bytes that are no text hide none around
+them. A layer whose content was seen before at the same place of the document is not taken again, so cycles end, and each
+copy of an encoded secret has its own span. Positions in escaped layers map back character by character; a finding below
+base64 or compression covers the encoded run in the text, or the wrapped lines that it comes from.
 
-Compressed data are unwrapped up to `MAX_UNPACKED` bytes a layer (a documented guard against decompression bombs; what is
-unpacked up to there is scanned). Documents are independent, so the scan needs no shuffle and no group is ever gathered.
+Compressed data are unwrapped to their end, all members of a stream in one, by way of a temporary file of the task if they
+are long. That file is read in pieces of about `CHUNK` bytes, cut where no secret and no encoded run can stand, so memory
+does not follow the unpacked size. (Only where no such place comes within `MORE` bytes, pieces are cut anywhere, with an
+overlap.) What a cut-off or damaged stream gives up to there is scanned. Documents are independent, so the scan needs no
+shuffle and no group is ever gathered.
 
 Defined cases: null and empty texts have no spans; repeated rows get equal rows; null ids are scanned like others;
 other columns are ignored, whatever their names (redact() passes them through); an empty table gives an empty result.
@@ -20,9 +23,12 @@ from __future__ import annotations
 
 import base64
 import bz2
+import hashlib
 import lzma
+import mmap
 import re
 import zlib
+from tempfile import SpooledTemporaryFile
 from urllib.parse import unquote_to_bytes
 
 import numpy as np
@@ -40,7 +46,10 @@ KINDS = {
 }
 ORDER = {kind: i for i, kind in enumerate(KINDS)}
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-MAX_UNPACKED = 64 << 20
+#: Bytes of a piece of unpacked data, how far its end may be put off, and how much pieces share then; bytes that a
+#: decompressor takes and gives at once.
+CHUNK, MORE, OVERLAP = 8 << 20, 64 << 20, 1 << 16
+TAKEN, GIVEN = 1 << 14, 1 << 20
 MIN_BASE64 = 16
 
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
@@ -56,6 +65,9 @@ _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:[ \t]*+(?:\r
 _BREAK = re.compile(r"[ \t]*(?:\r?\n|(?:\\r)?\\n)[ \t>]*")
 #: The first bytes of gzip, zlib, bz2 and xz.
 _MAGIC = re.compile(rb"\x1f\x8b\x08|x[\x01\x5e\x9c\xda]|BZh[1-9]|\xfd7zXZ\0")
+_PADDING = re.compile(rb"\0*+")
+#: A byte that stands in no pattern and in no encoded run.
+_GAP = re.compile(rb"""[^\w+/=%\\\r\n \t>:"'.-]""")
 _WIDE = re.compile(rb"(?:[\x01-\x7f]\0{1,3}){6,}+[\x01-\x7f]?")
 _BYTE_ESCAPES = {"%": re.compile("%[0-9A-Fa-f]{2}"), "\\": re.compile(r"""\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|[abfnrtv\\'"])""")}
 _SIMPLE = dict(zip("abfnrtv", "\a\b\f\n\r\t\v"))
@@ -98,7 +110,8 @@ class Layer:
 
     def key(self):
         """What the layer holds and where: with equal keys, all that is found below is equal."""
-        return self.text, self.whole or (self.starts.tobytes(), self.ends.tobytes())
+        text = self.text if len(self.text) < 1000 else hashlib.blake2b(self.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        return text, self.whole or hashlib.blake2b(self.starts.tobytes() + self.ends.tobytes(), digest_size=16).digest()
 
     def found(self):
         """Spans of the document that hold a secret in this layer."""
@@ -227,30 +240,81 @@ def decoded(data: bytes, place, step: int = 1, by_byte: bool = False):
         spots = np.array([place(i, i + 1) for i in range(len(data))], np.int64).reshape(-1, 2)
         yield Layer(data.decode("latin-1"), spots[:, 0].copy(), spots[:, 1].copy(), step=step)
     else:
-        yield Layer(data.decode("utf-8", "replace"), whole=place(0, len(data)), step=step)
+        for a, b in pieces(data):
+            yield Layer(data[a:b].decode("utf-8", "replace"), whole=place(a, b), step=step)
     for m in _WIDE.finditer(data):
-        yield Layer(m[0].replace(b"\0", b"").decode(), whole=place(*m.span()), step=step)
+        for a in range(m.start(), m.end(), CHUNK):
+            a, b = max(m.start(), a - OVERLAP), min(m.end(), a + CHUNK)
+            yield Layer(data[a:b].replace(b"\0", b"").decode(), whole=place(a, b), step=step)
     yield from streams(data, place, step)
 
 
-def streams(data: bytes, place, step: int):
+def pieces(data):
+    """Bounds of pieces that hold all of data; no pattern and no encoding reaches over a cut at a _GAP."""
+    at = 0
+    while at < len(data):
+        end, back = min(len(data), at + CHUNK), at
+        if end < len(data):
+            gap = _GAP.search(data, end, end + MORE)
+            end = gap.start() if gap else min(len(data), end + MORE)
+        if at and not _GAP.match(data, at):
+            back = max(0, at - OVERLAP)
+        yield back, end
+        at = end
+
+
+def streams(data, place, step: int):
     """The compressed streams that begin anywhere in data."""
     at = 0
     while m := _MAGIC.search(data, at):
-        inner, size = _decompressed(data[m.start() :])
-        at = m.start() + max(size, 1)
+        inner, at = unpacked(data, m.start())
         if inner:
             yield Packed(inner, place(m.start(), at), step)
 
 
+def unpacked(data, start: int):
+    """What the stream at the start and the members that follow it hold, and where they end. A stream that breaks off
+    counts as one byte long, since another may begin in it."""
+    end = start
+    with SpooledTemporaryFile(CHUNK) as out:
+        while (m := _MAGIC.match(data, _PADDING.match(data, end).end() if end > start else start)) and data[m.start()] == data[start]:
+            upto = _member(data, m.start(), out)
+            if upto is None:
+                end = end if end > start else start + 1
+                break
+            end = upto
+        size = out.tell()
+        out.seek(0)
+        return out.read() if size <= CHUNK else mmap.mmap(out.fileno(), 0, access=mmap.ACCESS_READ), end
+
+
+def _member(data, at: int, out) -> int | None:
+    """Write what one member holds; where it ends, or None if it does not."""
+    first = data[at]
+    tool = zlib.decompressobj(31) if first == 0x1F else zlib.decompressobj() if first == 0x78 else bz2.BZ2Decompressor() if first == 0x42 else lzma.LZMADecompressor()
+    deflated = first in (0x1F, 0x78)
+    try:
+        while at < len(data) and not tool.eof:
+            taken = data[at : at + TAKEN]
+            at += len(taken)
+            out.write(tool.decompress(taken, GIVEN))
+            while not tool.eof and (tool.unconsumed_tail if deflated else not tool.needs_input):
+                out.write(tool.decompress(tool.unconsumed_tail if deflated else b"", GIVEN))
+        if deflated:
+            out.write(tool.flush())
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return None
+    return at - len(tool.unused_data) if tool.eof else None
+
+
 class Packed:
     """Decompressed bytes from `whole` of the document."""
 
-    def __init__(self, data: bytes, whole: tuple[int, int], step: int):
+    def __init__(self, data, whole: tuple[int, int], step: int):
         self.data, self.whole, self.step = data, whole, step
 
     def key(self):
-        return self.data, self.whole
+        return "packed", hashlib.blake2b(self.data, digest_size=16).digest(), self.whole
 
     def found(self):
         return ()
@@ -259,32 +323,27 @@ class Packed:
         return decoded(self.data, lambda a, b: self.whole, 0)
 
 
-def _decompressed(data: bytes) -> tuple[bytes, int]:
-    """What the stream at the start of data holds, and its length; nothing if there is none."""
-    try:
-        kind = data[:1]
-        tool = zlib.decompressobj(31) if kind == b"\x1f" else zlib.decompressobj() if kind == b"x" else bz2.BZ2Decompressor() if kind == b"B" else lzma.LZMADecompressor()
-        out = tool.decompress(data, MAX_UNPACKED)
-        return out, len(data) - len(tool.unused_data)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return b"", 0
-
-
 def scan_text(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, depth) in code points of the text, by start, kind and end; depth 0 is the text itself.
     A span found at several depths is listed once, at the smallest."""
     found: dict[tuple[str, int, int], int] = {}
-    seen, work = set(), [(Layer(text), 0)]
+    seen: dict = {}  # the least depth of each layer so far
+    work = [(iter([Layer(text)]), 0)]  # layers on the way down, so that one piece of unpacked data is held at a time
     while work:
-        below = []
-        for layer, depth in work:
-            for span in layer.found():
-                found[span] = min(depth, found.get(span, depth))
-            for child in layer.children():
-                if (key := child.key()) not in seen:
-                    seen.add(key)
-                    below.append((child, depth + child.step))
-        work = below
+        layers, above = work[-1]
+        layer = next(layers, None)
+        if layer is None:
+            work.pop()
+            continue
+        depth = above + layer.step if len(work) > 1 else 0
+        if len(work) > 1:
+            key = layer.key()
+            if seen.get(key, depth + 1) <= depth:
+                continue
+            seen[key] = depth
+        for span in layer.found():
+            found[span] = min(depth, found.get(span, depth))
+        work.append((layer.children(), depth))
     return sorted(((k, a, b, d) for (k, a, b), d in found.items()), key=lambda x: (x[1], ORDER[x[0]], x[2]))
 
 
