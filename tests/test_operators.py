@@ -3,12 +3,13 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from tracewright.operators import alignment, joins, prediction, ranking, series, summary
-from tracewright.plans import accuracy
+from tracewright.plans import accuracy, queries
 from tracewright.sources import tables
 from tracewright.streaming import summaries
 
@@ -99,6 +100,39 @@ def test_query_blocks_equal_the_broadcast(spark, monkeypatch):
     assert ranking.pairs(queries, rows).count() == few == 600
 
 
+def shape_preserving(y, x):
+    """Piecewise cubic Hermite interpolation of y at 0, 1, 2, ... with Fritsch and Carlson's slopes, in plain Python."""
+    n, d = len(y), [b - a for a, b in zip(y, y[1:])]
+    if n == 2:
+        return y[0] + d[0] * x
+
+    def end(a, b):
+        m = (3 * a - b) / 2
+        return 0.0 if m * a <= 0 else 3 * a if a * b <= 0 and abs(m) > 3 * abs(a) else m
+
+    slopes = [end(d[0], d[1]), *(2 * a * b / (a + b) if a * b > 0 else 0.0 for a, b in zip(d, d[1:])), end(d[-1], d[-2])]
+    i = min(int(x), n - 2)
+    u = x - i
+    return (2 * u**3 - 3 * u**2 + 1) * y[i] + (u**3 - 2 * u**2 + u) * slopes[i] + (3 * u**2 - 2 * u**3) * y[i + 1] + (u**3 - u**2) * slopes[i + 1]
+
+
+def test_kim_bound_of_whole_sequences(spark, sf):
+    t = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    seqs = {r.user_id: np.array(r.seq, float) for r in queries._seqs(t).collect()}
+    assert len({len(s) for s in seqs.values()}) > 1
+    want = {}
+    for i in (i for i in seqs if i % 50 == 0):
+        for j in (j for j in seqs if j != i):
+            a, b = seqs[i], seqs[j]
+            if min(len(a), len(b)) < 2:
+                want[i, j] = math.inf
+                continue
+            b = np.array([[shape_preserving(y, x) for y in b.T.tolist()] for x in np.linspace(0, len(b) - 1, len(a))])
+            want[i, j] = max(math.dist(x, y) for x, y in ((a[0], b[0]), (a[-1], b[-1]), (a.min(0), b.min(0)), (a.max(0), b.max(0))))
+    got = {(r.query_id, r.id): r.bound for r in queries.QUERIES["kim_bound_sequences"](spark, sf).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
 def test_percentiles_between_ranks(spark):
     rows = spark.createDataFrame([(float(i),) for i in range(1, 11)], "x double")
     r = series.midpoint_percentiles(rows, [], "x", [90, 50, 1]).first()

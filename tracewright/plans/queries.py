@@ -792,6 +792,13 @@ def cdtw(t):
     return d.select("query_id", "id", r("distance").alias("distance"))
 
 
+@query()
+def kim_bound_sequences(t):
+    """Kim's bound of whole sequences, the candidate resampled to the query's length; kim_bound is what its SQL can say."""
+    d = alignment.pair_distances(_sequence_pairs(t), "query_seq", "seq", "kim_bound")
+    return d.select("query_id", "id", r("distance").alias("bound"))
+
+
 @query()
 def keogh_bound(t):
     d = alignment.pair_distances(_sequence_pairs(t), "query_seq", "seq", "keogh_bound", window=0.15)
