@@ -323,6 +323,15 @@ def test_simhash_classes(spark, odd, docs, empty):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 4, 5, 6, 8]
 
 
+def test_one_of_each_keeps_every_class_when_ids_repeat(spark):
+    a, b, c = ("red green blue " * 20, "one two three four " * 20, "moon sun star sky sea " * 20)
+    rows = [(1, a), (1, b), (2, a), (3, c), (2, c), (2, c), (None, a), (4, None), (4, "")]
+    for some in (rows, rows[::-1]):
+        kept = simhash.one_of_each(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        known = [(r.doc_id, r.text or "") for r in kept if r.doc_id is not None]
+        assert sorted(known) == sorted([(1, a), (1, b), (2, c), (4, "")]) and len(kept) == 5
+
+
 def test_simhash_chains_and_hot_shards(spark):
     rng = np.random.default_rng(2)
     values = set()

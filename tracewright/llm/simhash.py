@@ -58,17 +58,20 @@ def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) ->
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long), one row for each row of df."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), one row for each row of df; with row_col, a column of longs, also row."""
 
     def kernel():
         def step(batch):
             values = [fingerprint(text.lower().split()) for text in common.bytes_of(batch.column(1))]
-            return [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64))]
+            return [batch.column(0), pa.array(np.array(values, np.uint64).view(np.int64)), *batch.columns[2:]]
 
         return step
 
-    return common.map_texts(df, [F.col(f"`{id_col}`").alias("doc_id"), common.text_column(df, text_col)], f"doc_id {dict(df.dtypes)[id_col]}, fp long", kernel)
+    columns, schema = [F.col(f"`{id_col}`").alias("doc_id"), common.text_column(df, text_col)], f"doc_id {dict(df.dtypes)[id_col]}, fp long"
+    if row_col:
+        columns, schema = [*columns, F.col(f"`{row_col}`").alias("row")], schema + ", row long"
+    return common.map_texts(df, columns, schema, kernel)
 
 
 def band_masks(bands: int = BANDS, radius: int = RADIUS) -> list[int]:
@@ -188,12 +191,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each class: the one whose id names it. Rows without an id stay."""
-    rows = common.written(classes(df, id_col, text_col).where("doc_id is not null"), "simhash-members")
-    others = rows.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = rows.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    key = df[id_col]
-    single = df.join(others.union(repeated).withColumnRenamed("doc_id", "simhash_dropped_id"), key == F.col("simhash_dropped_id"), "left_anti")
-    again = df.join(repeated.withColumnRenamed("doc_id", "simhash_kept_id"), key == F.col("simhash_kept_id"), "left_semi").dropDuplicates([id_col])
-    return single.unionByName(again)
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """df with one row of each class: the first of those whose id names it. Rows without an id stay.
+
+    Rows are told apart by a written number, not by their ids, which may repeat within a class or over several."""
+    row = "simhash_row"
+    while row.lower() in {c.lower() for c in df.columns}:
+        row += "_"
+    numbered = common.written(df.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    prints = fingerprints(numbered, id_col, text_col, row)
+    first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first")
+    groups = common.written(prints.groupBy("fp").agg(first), "simhash-distinct")
+    linked = common.written(components(shard_links(groups.select("fp"), radius)), "simhash-classes")
+    rooted = groups.join(linked, groups.fp == linked.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).where("first is not null").select(F.col("first.row").alias(row))
+    without = numbered.where(F.col(f"`{id_col}`").isNull())
+    return numbered.join(common.written(kept, "simhash-kept"), row, "left_semi").unionByName(without).select(*[f"`{c}`" for c in df.columns])
