@@ -6,6 +6,7 @@ import hashlib
 import html as stdlib_html
 import io
 import re
+import time
 import zipfile
 
 import numpy as np
@@ -47,6 +48,50 @@ def test_main_text_rules(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+PROSE = " ".join(["The man went to the house and it was late in the day."] * 4)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="layout has-sidebar"><article><p>{PROSE}</p></article></div>', PROSE),
+        (f'<article class="post comments-open"><p>{PROSE}</p></article>', PROSE),
+        (f'<article class="related-work"><p>{PROSE}</p></article>', PROSE),
+        (f'<article><p>{PROSE}</p><div id="postComments"><p>{PROSE}</p></div><section class="related-posts"><p>{PROSE}</p></section></article>', PROSE),
+        ("<div class='story'><p>He came home.</p><p>It was late.</p><p>The cat was on the mat and it slept.</p></div><ul><li><a href=a>Home</a><li><a href=b>News</a></ul>", "He came home. It was late. The cat was on the mat and it slept."),
+        (f"<a href=x><div>Read more about the house of the man and of all that was in it on the day</div></a><p>{PROSE}</p>", PROSE),
+        (f'<p>{PROSE} <span class="ad">buy <span>this</span> now</span> tail</p>', f"{PROSE} tail"),
+        (f'<p>{PROSE} <span class="ad">buy this now</p><p>{PROSE}</p>', f"{PROSE} {PROSE}"),
+        (f"""<article><div data-x="{'y' * 5000} a>b < c">{PROSE}</div></article>""", PROSE),
+        (f"<form><main><p>{PROSE}</p></main><input></form>", PROSE),
+        (f"<h1>Title</h1><p>Short.</p><p>{PROSE}</p><p>Kkk {'zzz ' * 60}</p><footer>x</footer>", f"Title Short. {PROSE}"),
+        (f"<p>{PROSE} 1 < 2 and <b>a <c</b></p><!-- <p>no</p>", f"{PROSE} 1 < 2 and a <c"),
+    ],
+)
+def test_main_text_of_pages_with_and_without_article(page, want):
+    assert html.main_text(page) == want
+
+
+def test_stop_words_length_and_links_decide(monkeypatch):
+    page = f"<p>{PROSE}</p><div>{'Xyz qqq ' * 40}</div><p>End.</p><ul><li><a href=x>{PROSE}</a></li></ul>"
+    assert html.main_text(page) == PROSE  # the end is as near to boilerplate as to content
+    monkeypatch.setattr(html, "STOP_WORDS", frozenset(["xyz"]))
+    assert html.main_text(page) == " ".join(("Xyz qqq " * 40).split())
+    monkeypatch.undo()
+    monkeypatch.setattr(html, "MAX_LINKS", 1.0)
+    assert html.main_text(page) == f"{PROSE} {PROSE}"
+    monkeypatch.undo()
+    monkeypatch.setattr(html, "SHORT", 1000)
+    assert html.main_text("<p>of the</p>" + page) != html.main_text(page)
+
+
+@pytest.mark.parametrize("page", ['<p><span class="ad">x' * 50_000, "<div>" * 60_000 + "</p>" * 60_000, '<a b="' * 160_000, """<a b='"<i c="'<""" * 70_000, "<head>" * 160_000, "<a href=x>y" * 90_000, "<!-" * 300_000, "<ul><li>" * 60_000, "<script" * 140_000, "<p " + "= " * 500_000])
+def test_broken_pages_take_linear_time(page):
+    begun = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - begun < 10  # a second or two; a quadratic scan would take minutes
+
+
 def test_warc_round_trip(spark, pages):
     odd = [(10, None, None), (11, "http://x/é ä", ""), (12, "http://x", "same"), (13, "http://y", "same"), (13, "http://y", "same"), (None, "http://z", "same"), (15, "http://z", "é" * 100_000)]
     df = spark.createDataFrame([(*r, "a", 1) for r in odd], "page_id long, url string, html string, payload string, revisit int")
