@@ -8,6 +8,7 @@ import hashlib
 import json
 import lzma
 import re
+import time
 import zlib
 from urllib.parse import quote, quote_plus
 
@@ -76,6 +77,43 @@ def test_byte_bpe_equals_the_library(spark, odd, docs, empty):
     assert (r.n_tokens, r.ids_sha256) == (0, hashlib.sha256(b"").hexdigest())
 
 
+def long_words(size):
+    rng = np.random.default_rng(5)
+    for letters in ("etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "ab", "\u00e9\u4e00a"):
+        yield "".join(rng.choice(list(letters), size))
+    yield from ("a" * size, "the" * (size // 3), "xiggins" * (size // 7), "ases" * (size // 4))
+
+
+@pytest.mark.parametrize("size", [257, 1000, 4001])
+def test_long_words_equal_the_libraries(size):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(open(path, "rb").read())
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    some = list(long_words(size))
+    found = bpe.Merges(ranks).encode_pieces([w.encode() for w in some])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [library.encode_ordinary(w) for w in some]
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    merges, _ = bpe.read_tokenizer(open(P.path("byte_bpe_50k.json"), "rb").read())
+    found = merges.encode_pieces([w.encode() for w in some])
+    assert [np.frombuffer(x, "<u4").tolist() for x in found] == [other.encode(w, add_special_tokens=False).ids for w in some]
+
+
+def test_a_word_of_a_megabyte_equals_the_library_in_seconds():
+    import tiktoken
+
+    ranks = bpe.read_ranks(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    merges = bpe.Merges(ranks)
+    for word in long_words(1_000_000):
+        begun = time.process_time()
+        found = merges.encode_pieces([word.encode()])[0]
+        assert time.process_time() - begun < 30  # four seconds at most on an idle machine
+        assert np.frombuffer(found, "<u4").tolist() == library.encode_ordinary(word)
+
+
 def greedy(word, initial, continuing):
     at = n = 0
     while at < len(word):
@@ -368,6 +406,17 @@ def test_packing_is_gapless_and_whole(spark, odd, docs, empty):
         assert max(r.sequence_id for r in rows) == (total - 1) // 2048
         whole = collections.Counter((r.doc_id, r.doc_tokens, r.ids_crc32) for r in rows if r.length == r.doc_tokens)
         assert all(want[k] >= c for k, c in whole.items())
+        stream = sorted(rows, key=lambda r: (r.sequence_id, r.offset))
+        ids_of = collections.defaultdict(list)
+        for r in df.collect():
+            ids_of[r.doc_id].append(np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4"))
+        starts = []
+        for r in stream:  # every piece is a stretch of a text of its id, and the pieces of a document follow each other
+            assert any(len(ids) == r.doc_tokens and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for ids in ids_of[r.doc_id])
+            starts.append(r.start == 0 or (r.doc_id, r.start) == upto)
+            upto = (r.doc_id, r.start + r.length)
+        assert all(starts) and sum(r.start == 0 for r in stream) == df.count()
+        assert sum(r.start + r.length == r.doc_tokens for r in stream) == df.count()
     assert packing.pack(empty, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
 
 

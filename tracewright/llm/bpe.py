@@ -3,9 +3,8 @@
 Texts are cut by the tokenizer's pattern. Pieces that a task has not met before are put, as rows of byte ids, into
 matrices of equal padded length; in every round each row merges its leftmost pair of minimum rank, pair ranks come
 from an open-addressing hash table, and the row is compacted. Rows without a mergeable pair leave the matrix.
-Rows of over `LONG` bytes merge, in one round, every non-overlapping occurrence of their minimum pair from the left,
-which is the same result as long as no pair with the new token ranks below it; tokens for which some pair does are known
-from the table, and those merge one pair a round.
+Rows of over `LONG` bytes are compacted by links instead of copies, and merge in one round all pairs of the smallest rank
+as far as that is the same as one after the other; a word of any length takes time in proportion to it.
 
 Defined cases: a null or empty text gives no ids (n_tokens 0, digests of the empty string); repeated rows give repeated
 results; other columns of the input are ignored, whatever their names; an empty table gives an empty result.
@@ -14,6 +13,7 @@ results; other columns of the input are ignored, whatever their names; an empty
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
 from collections.abc import Iterable
@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 NO_RANK = np.int32(2**31 - 1)
-LONG = 256
+#: Bytes of a row from which compaction is by links, and pairs that a round looks at whose merging may make smaller ranks.
+LONG, FEW = 256, 256
 #: Most entries of a task's piece cache; a full cache is emptied, which costs time but never changes a result.
 CACHE_ENTRIES = 400_000
 #: Cells of one padded matrix.
@@ -103,9 +104,16 @@ class Merges:
         out: list = [alone[i * size : (i + 1) * size] if r is not None else b"" for i, r in enumerate(whole)]
         open_ = np.array([i for i, r in enumerate(whole) if r is None and pieces[i]], np.int64)
         lengths = np.fromiter((len(pieces[i]) for i in open_), np.int64, len(open_))
-        for i in open_[lengths > LONG]:
-            out[i] = self._long(pieces[i]).astype(dtype).tobytes()
-        open_, lengths = open_[lengths <= LONG], lengths[lengths <= LONG]
+        wide, open_, lengths = open_[lengths > LONG], open_[lengths <= LONG], lengths[lengths <= LONG]
+        at = 0
+        while at < len(wide):  # by rows of together so many cells, one row at least
+            upto, cells = at + 1, len(pieces[wide[at]])
+            while upto < len(wide) and cells + len(pieces[wide[upto]]) <= CELLS:
+                cells += len(pieces[wide[upto]])
+                upto += 1
+            for i, ids in zip(wide[at:upto].tolist(), self._linked([pieces[i] for i in wide[at:upto]]), strict=True):
+                out[i] = ids.astype(dtype).tobytes()
+            at = upto
         widths = 1 << np.ceil(np.log2(np.maximum(lengths, 2))).astype(np.int64)
         for width in np.unique(widths):
             rows = open_[widths == width]
@@ -155,23 +163,80 @@ class Merges:
                 row, pair = line[ok], pair[ok]
                 ranks[row, pair] = self.pair_ranks(ids[row, pair], ids[row, pair + 1])
 
-    def _long(self, piece: bytes) -> np.ndarray:
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)]
-        while len(ids) > 1:
-            ranks = self.pair_ranks(ids[:-1], ids[1:])
-            best = ranks.min()
-            if best == NO_RANK:
-                break
-            at = np.flatnonzero(ranks == best)
-            if int(best) in self.unordered:
-                at = at[:1]
-            run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])  # in a run of overlapping pairs every second one merges
+    def _linked(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of long rows. Their cells lie in one flat matrix whose compaction is by links, so a round costs what it merges
+        and not the width of the rows. A round takes the smallest rank left in any row and merges its pairs from the left in
+        all rows, up to the first whose new token makes a pair of a smaller rank, which comes first then."""
+        lengths = np.array([len(p) for p in pieces])
+        ends = np.cumsum(lengths)
+        size = int(ends[-1])
+        # cell `size` is a stop: it is the neighbour of both ends of every row and merges with nothing
+        ids = np.append(self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)], np.int32(-1))
+        after, before = np.arange(1, size + 2), np.arange(-1, size)
+        after[ends - 1], before[ends - lengths] = size, size
+        after[size] = before[size] = size
+        ranks = np.full(size + 1, NO_RANK)
+        ranks[:size] = self.pair_ranks(ids[:size], ids[after[:size]])
+        waiting: dict[int, list[np.ndarray]] = {}  # rank -> cells that had it when they were put there
+        heap: list[int] = []
+        looked: dict[int, int] = {}  # how many pairs of a rank the next round looks at
+
+        def put(cells: np.ndarray) -> None:
+            found = ranks[cells]
+            order = np.argsort(found, kind="stable")
+            cells, found = cells[order], found[order]
+            cells = cells[: np.searchsorted(found, NO_RANK)]
+            cuts = np.flatnonzero(np.diff(found[: len(cells)])) + 1
+            for part in np.split(cells, cuts) if len(cells) else ():
+                rank = int(ranks[part[0]])
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heapq.heappush(heap, rank)
+                waiting[rank].append(part)
+
+        put(np.arange(size))
+        while heap:
+            rank = heapq.heappop(heap)
+            lists = waiting.pop(rank)
+            at = lists[0] if len(lists) == 1 else np.unique(np.concatenate(lists))
+            if rank in self.unordered and len(at) > (few := looked.get(rank, FEW)):  # the round may end early
+                waiting[rank] = [at[few:]]
+                heapq.heappush(heap, rank)
+                at, looked[rank] = at[:few], 2 * few
+            at = at[ranks[at] == rank]
+            if not len(at):
+                continue
+            run = np.concatenate([[0], np.cumsum(after[at[:-1]] != at[1:])])  # in a run of overlapping pairs every second one merges
             first = np.concatenate([[0], np.flatnonzero(np.diff(run)) + 1])
             at = at[(np.arange(len(at)) - first[run]) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = best
-            ids = np.delete(ids, at + 1)
-        return ids
+            right = after[at]
+            if rank in self.unordered:
+                beside = np.concatenate([[False], before[at[1:]] == right[:-1]])  # the cell before is a token of this round
+                lower = self.pair_ranks(np.where(beside, np.int32(rank), ids[before[at]]), np.full(len(at), rank, np.int32)) < rank
+                lower |= self.pair_ranks(np.full(len(at), rank, np.int32), ids[after[right]]) < rank
+                if lower.any():
+                    upto, looked[rank] = int(lower.argmax()) + 1, FEW
+                    if upto < len(at):  # overlapping pairs wait with them: each is a cell of this run of pairs
+                        later = np.union1d(at[upto:], right[upto - 1 :])
+                        later = later[ranks[later] == rank]
+                        if rank not in waiting:
+                            waiting[rank] = []
+                            heapq.heappush(heap, rank)
+                        waiting[rank].append(later)
+                    at, right = at[:upto], right[:upto]
+            far = after[right]
+            ids[at], ids[right], ranks[right] = rank, -1, NO_RANK
+            after[at] = far
+            before[far] = at
+            before[size] = size
+            left = before[at]
+            ranks[at] = self.pair_ranks(ids[at], ids[after[at]])
+            ranks[left] = self.pair_ranks(ids[left], ids[after[left]])
+            ranks[size] = NO_RANK
+            put(np.unique(np.concatenate([at, left])))
+        ids = ids[:size]
+        row = np.repeat(np.arange(len(pieces)), lengths)[ids >= 0]
+        return np.split(ids[ids >= 0], np.cumsum(np.bincount(row, minlength=len(pieces)))[:-1])
 
 
 class _Numbers(dict):
