@@ -15,9 +15,10 @@ from urllib.parse import quote, quote_plus
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm import bpe, common, packing, quality, secrets, simhash, toxicity, wordpiece
+from tracewright.llm import bpe, common, packing, quality, samples, secrets, simhash, toxicity, wordpiece
 
 LONG = "lorem ipsum dolor " * 20_000
 ODD = [
@@ -381,12 +382,25 @@ def test_simhash_chains_and_hot_shards(spark):
     values = sorted(values)
     signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
     df = spark.createDataFrame(signed, "fp long")
-    found = {r.node: r.root for r in simhash.components(simhash.shard_links(df)).collect()}
     want = collections.defaultdict(list)
     for s, k in zip(signed, brute_components(values)):
         want[k].append(s[0])
-    for members in want.values():
-        assert {found.get(m, m) for m in members} == {min(members)}
+    for block in (1, 300, simhash.SHARD_ROWS):  # whatever is searched at once
+        found = {r.node: r.root for r in simhash.components(simhash.shard_links(df, block=block)).collect()}
+        for members in want.values():
+            assert {found.get(m, m) for m in members} == {min(members)}
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    rows = [(7, f"text number {i} of an id that has many") for i in range(3000)] + [(i, f"other text {i}") for i in range(100, 120)] + [(None, "x"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (8, 0), *[(i, i % 2) for i in range(100, 120)]], "doc_id long, toxic int")
+    chosen = samples.sample_ids(labels, "toxic", lambda c: F.lit(True), (5, 50))
+    sampled = samples.sampled_rows(df, chosen).collect()
+    assert len(sampled) == len({r.sample_id for r in sampled}) and collections.Counter(r.y for r in sampled) == {0: 5, 1: 11}
+    all_in = samples.sparse_rows(samples.sampled_rows(df, chosen), lambda: toxicity.document_features)
+    some = samples.sparse_rows(samples.sampled_rows(df, chosen), lambda: toxicity.document_features, most=2000)
+    assert len(all_in[0]) == 16 and 0 < len(some[0]) < 16 and 8 * len(some[2]) <= 2000
 
 
 def test_packing_is_gapless_and_whole(spark, odd, docs, empty):

@@ -20,24 +20,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder in the warehouse if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, without a cluster, a folder in the warehouse if that is unset."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the application's part of the shared folder. That part is deleted when the driver ends."""
+    own = f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+    path, system = _hadoop_path(spark, own)
+    system.deleteOnExit(path)
+    return f"{own}/{label}-{uuid.uuid4().hex}"
+
 
+def written(df: DataFrame, label: str, instead_of: list[str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing already done.
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing already done."""
+    `instead_of`, a list kept by a caller that writes one state after the other, holds the path of the state before; it is
+    deleted and replaced by the new one's."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    if instead_of is not None:
+        for old in instead_of:
+            old, system = _hadoop_path(spark, old)
+            system.delete(old, True)
+        instead_of[:] = [path]
     return spark.read.schema(df.schema).parquet(path)
 
 

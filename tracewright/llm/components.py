@@ -1,6 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star rounds of DataFrame joins.
 
-Every round is written to the shared folder, so neither the plan nor the cost of a lost executor grows with the rounds.
+Every round is written to the shared folder in place of the one before, so neither the plan nor the cost of a lost
+executor grows with the rounds.
 Stars are found by a partial aggregation (smallest neighbour of each node); a hub of any degree is therefore never
 gathered in one place, and the join back to its links is one that adaptive execution can split.
 """
@@ -16,10 +17,11 @@ from . import common
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """links(a, b) of non-null comparable ids, either way round -> (node, root): root is the smallest id reachable.
     Nodes without links do not appear. An empty table gives an empty result."""
-    edges = common.written(_canonical(links), "links")
+    state_path: list[str] = []
+    edges = common.written(_canonical(links), "links", state_path)
     seen = None
     for _ in range(max_rounds):
-        edges = common.written(_canonical(_small_star(_large_star(edges))), "links")
+        edges = common.written(_canonical(_small_star(_large_star(edges))), "links", state_path)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,16 +25,23 @@ def sample_ids(labels: DataFrame, label: str, usable, per_class: tuple[int, int]
 
 
 def sampled_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """sample_id, text, y of the documents of sample_ids(), written once so that the corpus is scanned once."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("sample_id"), common.text_column(docs, text_col))
-    return common.written(rows.join(F.broadcast(chosen), "sample_id").repartition(16), "sampled")
+    """sample_id, text, y of the documents of sample_ids(), one row an id, written once so that the corpus is scanned once.
 
+    Of the rows of a repeated id that with the smallest text hash counts, so the sample is bounded in rows, too."""
+    rows = docs.select(F.col(f"`{id_col}`").alias("sample_id"), F.coalesce(common.text_column(docs, text_col), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(chosen), "sample_id").groupBy("sample_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return common.written(rows.select("sample_id", "least.text", "y").repartition(16), "sampled")
 
-def sparse_rows(rows: DataFrame, features: Callable):
+
+#: Most bytes of features that come to the driver, half of them for each class.
+FEATURE_BYTES = 512 << 20
+
+
+def sparse_rows(rows: DataFrame, features: Callable, most: int = FEATURE_BYTES):
     """(y, row starts, feature ids, feature values) of sampled_rows().
 
-    Features are made on the executors; `features()` returns texts (bytes) -> [(ids, values)], with at most as many
-    entries a text as there are hash buckets, so what comes to the driver is bounded."""
+    Features are made on the executors and written; `features()` returns texts (bytes) -> [(ids, values)]. Of each class
+    rows come to the driver in the order of the hash of their id until their features have half of `most` bytes."""
 
     def kernel():
         make = features()
@@ -46,8 +53,10 @@ def sparse_rows(rows: DataFrame, features: Callable):
         return step
 
     kind = dict(rows.dtypes)["sample_id"]
-    sparse = common.map_texts(rows, ["sample_id", "text", "y"], f"sample_id {kind}, y int, ids binary, vals binary", kernel)
-    got = sorted(sparse.collect(), key=lambda r: (str(r.sample_id), bytes(r.ids)))
+    sparse = common.written(common.map_texts(rows, ["sample_id", "text", "y"], f"sample_id {kind}, y int, ids binary, vals binary", kernel), "features")
+    upto = F.sum(F.length("ids") + F.length("vals")).over(Window.partitionBy("y").orderBy(F.xxhash64(F.col("sample_id").cast("string")), "sample_id"))
+    fitting = sparse.select("sample_id", "y", upto.alias("upto")).where(F.col("upto") <= most // 2).select("sample_id")  # as many rows as were sampled at most
+    got = sorted(sparse.join(F.broadcast(fitting), "sample_id").collect(), key=lambda r: (str(r.sample_id), bytes(r.ids)))
     ids = [np.frombuffer(r.ids, "<i4") for r in got]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
     none = [np.zeros(0, np.int32)]

@@ -35,8 +35,9 @@ SEED = 42
 BANDS = 6
 #: Most fingerprints that are named by a broadcast.
 MOST_HOT = 1000
-#: Queries that walk a partition's trees at once.
+#: Queries that walk a block's trees at once, and rows after which the complete shards of a block are searched.
 QUERY_BLOCK = 20_000
+SHARD_ROWS = 500_000
 
 
 def fingerprint(words: list[bytes], shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -146,27 +147,41 @@ class Forest:
         return label
 
 
-def shard_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+def shard_links(distinct: DataFrame, radius: int = RADIUS, block: int = SHARD_ROWS) -> DataFrame:
     """distinct(fp) -> links(a, b) that connect all fingerprints within the radius of each other."""
     masks = band_masks(radius=radius)
     signed = [int(np.uint64(m).astype(np.int64)) for m in masks]
     dealt = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "bits"))
 
     def run(batches):
-        keep = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches if b.num_rows]
-        if keep:
-            fp, choice, bits = (np.concatenate(x) for x in zip(*keep))
-            order = np.lexsort((fp, bits, choice))
-            fp, choice, bits = fp[order], choice[order], bits[order]
-            new = np.concatenate([[True], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])
-            shard = np.cumsum(new) - 1
-            met = np.bincount(shard)[shard] > 1  # a shard of one has nothing to search
-            fp, shard = fp[met], shard[met]
-            label = Forest(shard, fp.view(np.uint64)).roots(radius)
-            star = np.flatnonzero(label != np.arange(len(label)))
-            yield pa.RecordBatch.from_arrays([pa.array(fp[label[star]]), pa.array(fp[star])], names=["a", "b"])
-
-    return dealt.repartition("choice", "bits").mapInArrow(run, "a long, b long")
+        held, size = [], 0
+        for batch in batches:
+            part = tuple(batch.column(i).to_numpy() for i in range(3))
+            if not len(part[0]):
+                continue
+            held.append(part)
+            size += len(part[0])
+            if size >= block:  # search all shards but the last, which may go on
+                rows = tuple(np.concatenate(x) for x in zip(*held))
+                last = int(((rows[1] == rows[1][-1]) & (rows[2] == rows[2][-1])).argmax())
+                yield from searched(*(x[:last] for x in rows))
+                held, size = [tuple(x[last:] for x in rows)], 0
+        if held:
+            yield from searched(*(np.concatenate(x) for x in zip(*held)))
+
+    def searched(fp, choice, bits):
+        if not len(fp):
+            return
+        new = np.concatenate([[True], (choice[1:] != choice[:-1]) | (bits[1:] != bits[:-1])])
+        shard = np.cumsum(new) - 1
+        met = np.bincount(shard)[shard] > 1  # a shard of one has nothing to search
+        fp, shard = fp[met], shard[met]
+        label = Forest(shard, fp.view(np.uint64)).roots(radius)
+        star = np.flatnonzero(label != np.arange(len(label)))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[label[star]]), pa.array(fp[star])], names=["a", "b"])
+
+    # sorted, so that a task streams its shards and holds a block of them, or one large one, at a time
+    return dealt.repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp").mapInArrow(run, "a long, b long")
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
