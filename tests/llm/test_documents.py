@@ -3,6 +3,7 @@
 import base64
 import bz2
 import collections
+import contextlib
 import gzip
 import hashlib
 import json
@@ -10,7 +11,7 @@ import lzma
 import re
 import time
 import zlib
-from urllib.parse import quote, quote_plus
+from urllib.parse import quote, quote_plus, unquote
 
 import numpy as np
 import public_tokenizers as P
@@ -313,6 +314,65 @@ def test_secrets_at_the_end_of_long_streams(monkeypatch):
             assert [s[:3] for s in secrets.scan_text(f"a {run} b")] == [("assign", 2, 2 + len(run))]
 
 
+def backslashes(sign):
+    return lambda t: "".join(f"\\{sign}{ord(c):0{2 if sign == 'x' else 4}x}" for c in t)
+
+
+WRAPS = [
+    lambda t: quote(t, safe=""), lambda t: "".join(f"%{ord(c):02x}" for c in t), backslashes("u"), backslashes("x"), coded, lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+    lambda t: coded(gzip.compress(t.encode(), mtime=0)), lambda t: coded(zlib.compress(t.encode())), lambda t: "\n".join(re.findall(".{1,64}", coded(bz2.compress(t.encode())))),
+]
+
+
+def recovered(text, depth=5):
+    """All that decoding the text in plain ways gives, level by level."""
+    if depth == 0:
+        return
+    yield text
+    inner = {unquote(text), re.sub(r"\\u([0-9a-f]{4})|\\x([0-9a-f]{2})", lambda m: chr(int(m[1] or m[2], 16)), text)} - {text}
+    for run in re.findall(r"[A-Za-z0-9+/_\n-]{16,}=*", text):
+        with contextlib.suppress(ValueError):
+            data = base64.b64decode(run.replace("\n", "").replace("-", "+").replace("_", "/").rstrip("=") + "===")
+            for unpack in (bytes, gzip.decompress, zlib.decompress, bz2.decompress):
+                with contextlib.suppress(Exception):
+                    inner.add(unpack(data).decode("latin-1"))
+    for x in inner:
+        yield from recovered(x, depth - 1)
+
+
+def test_planted_secrets_in_random_layers_are_found_wherever_they_are():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        secret, run = SECRET, SECRET
+        for k in rng.integers(0, len(WRAPS), rng.integers(1, 5)):
+            run = WRAPS[k](("note " if rng.random() < 0.5 else "") + run)
+        text = f"é one {run} two\n{run}\nthree {run}."
+        assert any(secret in x for x in recovered(text, 6))
+        spans = secrets.scan_text(text)
+        for at in [m.start() for m in re.finditer(re.escape(run), text)]:
+            assert any(k == "assign" and a < at + len(run) and b > at for k, a, b, _ in spans), (run, spans)
+        left = secrets.redacted(text, "#")
+        assert run not in left and not any(secret in x for x in recovered(left, 6))
+
+
+@pytest.mark.parametrize("text", ["%" + "25" * 400_000 + "41", "%" + "25" * 400_000 + "zz", "\\" + "u005c" * 160_000 + "u0041", "%32%35" * 130_000, ("%25" * 40 + "41 ") * 7000])
+def test_nested_escapes_take_linear_time(text):
+    begun = time.process_time()
+    secrets.scan_text(text)
+    assert time.process_time() - begun < 15  # two seconds at most on an idle machine
+
+
+def test_deep_levels_of_mixed_escapes():
+    for levels in (2, 7, 40):
+        first = SECRET[0]
+        for i in range(levels):
+            first = (f"%{ord(first[0]):02x}" if i % 2 else f"\\u{ord(first[0]):04x}") + first[1:]
+        text = f"a {first}{SECRET[1:]} b"
+        assert [text[a:b] for k, a, b, _ in secrets.scan_text(text) if k == "assign"] == [first + SECRET[1:]]
+        packed = coded(text)
+        assert secrets.redacted(f"x {packed} y", "#") == "x # y"
+
+
 def test_redaction_keeps_other_columns(odd):
     rows = secrets.redact(odd, chars_col="n_tokens").collect()
     assert len(rows) == len(ODD) and odd.columns == list(rows[0].asDict())

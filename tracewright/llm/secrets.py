@@ -9,6 +9,10 @@ them. A layer whose content was seen before at the same place of the document is
 copy of an encoded secret has its own span. Positions in escaped layers map back character by character; a finding below
 base64 or compression covers the encoded run in the text, or the wrapped lines that it comes from.
 
+Signs that are themselves escaped over and over count as written plainly, and after `LEVELS` levels of other nested escapes
+all that are left are decoded in one pass: a secret holds none of these signs, so none is lost, and the time stays in
+proportion to the text.
+
 Compressed data are unwrapped to their end, all members of a stream in one, by way of a temporary file of the task if they
 are long. That file is read in pieces of about `CHUNK` bytes, cut where no secret and no encoded run can stand, so memory
 does not follow the unpacked size. (Only where no such place comes within `MORE` bytes, pieces are cut anywhere, with an
@@ -29,7 +33,6 @@ import mmap
 import re
 import zlib
 from tempfile import SpooledTemporaryFile
-from urllib.parse import unquote_to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +58,16 @@ MIN_BASE64 = 16
 _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _HEX_CLASS = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _B64_CLASS = bytes(104 if (chr(b).isalnum() and b < 128) or chr(b) in "+/-_" else 32 for b in range(256))
-_PERCENT_RUN = re.compile(r"(?<![^\s%])[^\s%]*(?:%[0-9A-Fa-f]{2}[^\s%]*)+")
-_PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE_RUN = re.compile(r"(?<![^\s\\])[^\s\\]*(?:\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})[^\s\\]*)+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
+#: One escape; a percent sign or backslash that is itself escaped, however often, counts as written plainly. No secret holds
+#: such a sign, so what the levels between could show is in the outer one, too.
+_ONE_PERCENT = r"%(?:25)*[0-9A-Fa-f]{2}"
+_ONE_ESCAPE = r"\\(?:u005[cC]|x5[cC])*(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2})"
+_PERCENT_RUN = re.compile(rf"(?<![^\s%])[^\s%]*(?:{_ONE_PERCENT}[^\s%]*)+")
+_PERCENT = re.compile(rf"(?:{_ONE_PERCENT})+")
+_ESCAPE_RUN = re.compile(rf"(?<![^\s\\])[^\s\\]*(?:{_ONE_ESCAPE}[^\s\\]*)+")
+_ESCAPE = re.compile(rf"(?:{_ONE_ESCAPE})+")
+#: Levels of escapes that are decoded one by one; below, all that are left are decoded at once.
+LEVELS = 6
 _BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % MIN_BASE64)
 #: Lines of base64 under each other, also with written line ends; the last may be short.
 _WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>]*+[A-Za-z0-9+/_-]++)+" % MIN_BASE64)
@@ -98,10 +107,11 @@ def _matches(kind: str, text: str) -> list[tuple[str, int, int]]:
 
 class Layer:
     """Decoded text whose character i came from [starts[i], ends[i]) of the document; without maps, all of it from `whole`.
-    `cuts` are stretches that are also scanned alone; `step` is how much deeper than its parent it lies."""
+    `cuts` are stretches that are also scanned alone; `step` is how much deeper than its parent it lies, `level` how many
+    levels of escapes were decoded in place before."""
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None, cuts=(), step: int = 1):
-        self.text, self.starts, self.ends, self.whole, self.cuts, self.step = text, starts, ends, whole, cuts, step
+    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, whole: tuple[int, int] | None = None, cuts=(), step: int = 1, level: int = 0):
+        self.text, self.starts, self.ends, self.whole, self.cuts, self.step, self.level = text, starts, ends, whole, cuts, step, level
 
     def locate(self, start: int, end: int) -> tuple[int, int]:
         if self.whole:
@@ -123,10 +133,16 @@ class Layer:
 
     def children(self):
         text = self.text
-        if "%" in text and _PERCENT.search(text):
-            yield self._escaped(_PERCENT_RUN, _PERCENT, _percent)
-        if ("\\u" in text or "\\x" in text) and _ESCAPE.search(text):
-            yield self._escaped(_ESCAPE_RUN, _ESCAPE, _unescape)
+        percent = "%" in text and _PERCENT.search(text)
+        escape = ("\\u" in text or "\\x" in text) and _ESCAPE.search(text)
+        if self.level >= LEVELS:
+            if percent or escape:
+                yield self._settled()
+        else:
+            if percent:
+                yield self._escaped(_PERCENT_RUN, _PERCENT, _percent)
+            if escape:
+                yield self._escaped(_ESCAPE_RUN, _ESCAPE, _unescape)
         yield from self._packed()
         if b"h" * MIN_BASE64 in text.encode("utf-8", "surrogatepass").translate(_B64_CLASS):
             for m in _BASE64_RUN.finditer(text):
@@ -191,20 +207,67 @@ class Layer:
             while i < len(moved) and moved[i][0] <= m.end():
                 i += 1
             cuts.append((first, m.end() - (moved[i - 1][0] - moved[i - 1][1] if i else 0)))
-        return Layer("".join(pieces), starts, ends, self.whole, cuts)
+        return Layer("".join(pieces), starts, ends, self.whole, cuts, level=self.level + 1)
+
+    def _settled(self) -> Layer:
+        """The text with all escapes decoded, also those that decoding makes, in one pass: a character that ends an escape
+        takes it off the end of what is read so far. Its cuts are what was literal and what was not."""
+        read: list[str] = []
+        starts: list[int] = []
+        origin: list[bool] = []
+        stops: list[int] = []
+        for i, char in enumerate(self.text):
+            start, made = i, False
+            while char in _HEX:
+                size = _closed(read, char)
+                if not size:
+                    break
+                code = int("".join(read[-(size - (1 if read[-size] == "%" else 2)) :]) + char, 16)
+                start, made = starts[-size], True
+                del read[-size:], starts[-size:], origin[-size:], stops[-size:]
+                char = chr(code) if code < 128 else "\ufffd"
+            read.append(char)
+            starts.append(start)
+            stops.append(i + 1)
+            origin.append(made)
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(np.array(origin))) + 1, [len(read)]]).tolist() if read else [0]
+        cuts = [(a, b) for a, b in zip(edges, edges[1:]) if b - a >= 6]
+        if self.whole:
+            return Layer("".join(read), whole=self.whole, cuts=cuts, level=self.level + 1)
+        first, last = np.array(starts, np.int64), np.array(stops, np.int64) - 1
+        if self.starts is None:
+            return Layer("".join(read), first, last + 1, cuts=cuts, level=self.level + 1)
+        return Layer("".join(read), self.starts[first], self.ends[last], cuts=cuts, level=self.level + 1)
+
+
+_HEX = frozenset("0123456789abcdefABCDEF")
+
+
+def _closed(read: list[str], char: str) -> int:
+    """How many characters at the end of what is read make an escape with the next one, a hexadecimal digit; 0 if none do."""
+    if len(read) > 1 and read[-1] in _HEX:
+        if read[-2] == "%":
+            return 2
+        if len(read) > 2 and read[-2] == "x" and read[-3] == "\\":
+            return 3
+        if len(read) > 4 and read[-4] == "u" and read[-5] == "\\" and read[-2] in _HEX and read[-3] in _HEX:
+            return 5
+    return 0
 
 
 def _percent(run: str):
     """(character, start, end) of a run of percent escapes; bytes outside UTF-8 become U+FFFD."""
-    at = 0
-    for char in unquote_to_bytes(run).decode("utf-8", "replace"):
-        size = 3 * (len(char.encode()) if char != "�" else 1)
-        yield char, at, min(len(run), at + size)
-        at += size
+    spots = [m.span() for m in re.finditer(_ONE_PERCENT, run)]
+    i = 0
+    for char in bytes(int(run[b - 2 : b], 16) for _, b in spots).decode("utf-8", "replace"):
+        size = len(char.encode()) if char != "�" else 1
+        upto = min(len(spots), i + size)
+        yield char, spots[min(i, upto - 1)][0], spots[upto - 1][1]
+        i = upto
 
 
 def _unescape(run: str):
-    parts = [(int(m[0][2:], 16), m.start(), m.end()) for m in re.finditer(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}", run)]
+    parts = [(int(re.search("[0-9A-Fa-f]+$", m[0])[0][-4 if m[0][-5:-4] == "u" else -2 :], 16), m.start(), m.end()) for m in re.finditer(_ONE_ESCAPE, run)]
     i = 0
     while i < len(parts):
         code, a, b = parts[i]
