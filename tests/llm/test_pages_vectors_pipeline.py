@@ -179,12 +179,15 @@ def test_nearest_neighbours(spark, sf):
 def test_nearest_neighbours_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = [(i, [1.0, 0.0, 0.0]) for i in range(40)] + [(i, [0.0, float(i), 1.0]) for i in range(40, 60)]
-    bad = [(100, None), (120, []), (140, [0.0, 0.0, 0.0]), (160, [nan, 1.0, 1.0]), (180, [inf, 0.0, 0.0]), (200, [1.0, None, 0.0]), (220, [1.0, 2.0]), (None, [1.0, 1.0, 1.0]), (20, [1.0, 0.0, 0.0])]
+    bad = [(100, None), (120, []), (140, [0.0, 0.0, 0.0]), (160, [nan, 1.0, 1.0]), (180, [inf, 0.0, 0.0]), (200, [1.0, None, 0.0]), (220, [1.0, 2.0]), (221, [3.0, 1.0]), (None, [1.0, 1.0, 1.0]), (20, [1.0, 0.0, 0.0])]
     df = spark.createDataFrame([(*r, 1.0, 2) for r in vectors + bad], "vec_id long, embedding array<double>, score double, rank int")
     rows = ann.search(df, F.col("id") % 20 == 0).orderBy("query_id", "rank").collect()
-    assert {r.query_id for r in rows} == {0, 20, 40}
-    assert [r.vec_id for r in rows if r.query_id == 20] == [i for i in range(21) if i != 20]  # ties: smaller ids
+    assert {r.query_id for r in rows} == {0, 20, 40, 220}
+    both = [[r.vec_id for r in rows if r.query_id == 20 and r.rank == k] for k in range(1, 21)]  # an id with two rows, each a query
+    assert both == [[i, i] for i in range(20)]  # ties: smaller ids
     assert [r.vec_id for r in rows if r.query_id == 40] == list(range(59, 40, -1)) + [0]
+    assert [r.vec_id for r in rows if r.query_id == 220] == [221]  # another length: its own kind
+    assert 20 in {r.vec_id for r in ann.search(df.where("vec_id in (18, 19, 20)"), F.col("id") == 20).collect()}  # the other row of the id
     few = ann.search(df.where("vec_id < 3"), F.col("id") == 0).collect()
     assert [r.vec_id for r in few] == [1, 2]
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
