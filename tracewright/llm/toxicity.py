@@ -62,7 +62,7 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(data), np.uint64)
     for size in range(1, max(SIZES) + 1):
         shifted = np.zeros_like(data)
-        shifted[: len(data) - size + 1] = data[size - 1 :]
+        shifted[: max(0, len(data) - size + 1)] = data[size - 1 :]
         h = h * power + shifted + np.uint64(1)
         if size in SIZES:
             ok = left >= size
