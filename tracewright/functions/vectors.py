@@ -191,8 +191,8 @@ def metadata_embedding(movement, length, duration, twist: dict, acceleration: di
     return unit(F.array(*[p.cast("double") for p in parts]))
 
 
-def lb_kim_same_length(a: Column | str, b: Column | str, dims: int) -> Column:
-    """Largest distance between the first points, last points, minima and maxima of two sequences of equal length."""
+def kim_bound(a: Column | str, b: Column | str, dims: int) -> Column:
+    """Largest distance between the first points, last points, minima and maxima of two sequences of any lengths."""
     ends = [(F.get(col(a), F.lit(0)), F.get(col(b), F.lit(0))), (F.element_at(col(a), -1), F.element_at(col(b), -1))]
     for pick in (F.array_min, F.array_max):
         ends.append(tuple(F.array(*[pick(column_of(s, d)) for d in range(dims)]) for s in (a, b)))

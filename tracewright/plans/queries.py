@@ -17,7 +17,7 @@ from ..functions import quaternions as q
 from ..functions import stats, vectors
 from ..operators import alignment, calibration, joins, kinematics, prediction, ranking, series, summary
 from ..sources import tables
-from . import accuracy, search
+from . import accuracy, recurrences, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -607,16 +607,16 @@ def minmax_normalise(t):
     return both.select(F.col("e.seq")[1].cast("long").alias("event_id"), r(F.col("e.scaled")[0]).alias("scaled"))
 
 
-def _shape_sql(coarse: int, fine: int) -> str:
+def _shape_cte(coarse: int, fine: int) -> str:
+    """f(user_id, v): position embeddings, not yet of unit length."""
     parts = " || ".join(_resample_sql("sc", n, d) for n in (coarse, fine) for d in (1, 2, 3))
-    return f"""WITH {SEQ_SQL}, c AS (SELECT user_id, n AS m, list_transform(seq, lambda p: [p[1] - seq[1][1], p[2] - seq[1][2], p[3] - seq[1][3]]) AS s0 FROM seqs),
+    return f"""{SEQ_SQL}, c AS (SELECT user_id, n AS m, list_transform(seq, lambda p: [p[1] - seq[1][1], p[2] - seq[1][2], p[3] - seq[1][3]]) AS s0 FROM seqs),
   e AS (SELECT *, list_max(list_transform(s0, lambda p: sqrt(p[1] * p[1] + p[2] * p[2] + p[3] * p[3]))) AS ext FROM c),
   s AS (SELECT user_id, m, list_transform(s0, lambda p: CASE WHEN ext > 1e-6 THEN [p[1] / ext, p[2] / ext, p[3] / ext] ELSE p END) AS sc FROM e),
-  f AS (SELECT user_id, {parts} AS v FROM s)
-  SELECT user_id, unnest(list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6))) AS x, generate_subscripts(v, 1) AS k FROM f"""
+  f AS (SELECT user_id, {parts} AS v FROM s)"""
 
 
-@query(_shape_sql(5, 10))
+@query(f"WITH {_shape_cte(5, 10)} SELECT user_id, unnest(list_transform(v, lambda x: round(x / sqrt(list_dot_product(v, v)), 6))) AS x, generate_subscripts(v, 1) AS k FROM f")
 def position_embedding(t):
     rows = _seqs(t).select("user_id", F.posexplode(vectors.position_embedding("seq", 5, 10)).alias("i", "x"))
     return rows.select("user_id", r("x").alias("x"), (F.col("i") + 1).cast("long").alias("k"))
@@ -629,15 +629,36 @@ def joint_embedding(t):
     return rows.select("user_id", r("x").alias("x"), (F.col("i") + 1).cast("long").alias("k"))
 
 
-@query()
+def _exploded(rows, vector, *keys, digits: int = 6):
+    """One row for each component of a vector; -0 counts as 0."""
+    return rows.select(*keys, F.posexplode(vector).alias("i", "x")).select(*keys, (F.col("i") + 1).cast("long").alias("k"), (r("x", digits) + 0.0).alias("x"))
+
+
+def _exploded_sql(source: str, *keys: str) -> str:
+    return f"SELECT {', '.join(keys)}, generate_subscripts(v, 1) AS k, unnest(list_transform(v, lambda c: round(c, 6) + 0.0)) AS x FROM {source}"
+
+
+AXIS_SQL = f"""WITH o AS (SELECT user_id AS traj_id, ts, event_id, radians(value % 100) AS a FROM events WHERE event_id % 2 = 0),
+  q AS (SELECT *, CASE WHEN sin(acos(greatest(-1.0, least(1.0, cos(a / 2))))) = 0 THEN 1.0 ELSE sin(acos(greatest(-1.0, least(1.0, cos(a / 2))))) END AS h FROM o),
+  l AS (SELECT traj_id, list([sin(a / 2) * 0.6 / h, sin(a / 2) * 0.8 / h, 0.0] ORDER BY ts, event_id) AS s0, count(*) AS m FROM q GROUP BY 1),
+  s AS (SELECT traj_id, m, list_transform(s0, lambda p: [p[1] - s0[1][1], p[2] - s0[1][2], p[3] - s0[1][3]]) AS sc FROM l),
+  f AS (SELECT traj_id, {' || '.join(_resample_sql('sc', n, d) for n in (5, 10) for d in (1, 2, 3))} AS v FROM s),
+  u AS (SELECT traj_id, CASE WHEN sqrt(list_dot_product(v, v)) > 1e-10 THEN list_transform(v, lambda c: c / sqrt(list_dot_product(v, v))) ELSE v END AS v FROM f)
+  {_exploded_sql('u', 'traj_id')}"""
+
+
+@query(AXIS_SQL)
 def axis_embedding(t):
     xyzw = tables.sequences(_orientations(t, 0), ["traj_id"]).withColumn("seq", F.transform("seq", lambda p: F.array(p[1], p[2], p[3], p[0])))
-    return xyzw.select("traj_id", F.transform(vectors.axis_embedding("seq", 5, 10), lambda x: F.round(x, 6)).alias("embedding"))
+    return _exploded(xyzw, vectors.axis_embedding("seq", 5, 10), "traj_id")
 
 
-@query()
+VELOCITY_SQL = f"WITH {recurrences.velocity('e', 'value', HOUR_SQL)} {_exploded_sql('e', 'user_id')}"
+
+
+@query(VELOCITY_SQL)
 def velocity_embedding(t):
-    return alignment.velocity_embeddings(_seqs(t), "seq", 5, 10).select("user_id", F.transform("velocity_embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return _exploded(alignment.velocity_embeddings(_seqs(t), "seq", 5, 10), "velocity_embedding", "user_id")
 
 
 STATS_SQL = "min({c}) AS mn{s}, max({c}) AS mx{s}, avg({c}) AS me{s}, median({c}) AS md{s}, coalesce(stddev_samp({c}), 0) AS sd{s}"
@@ -709,32 +730,31 @@ def pairwise_distances(t):
     return both.select("query_id", "id", *[r(f("qh", "head")).alias(n) for n, f in each.items()])
 
 
-@query(f"""WITH {SEQ_SQL}, m AS (SELECT user_id, seq FROM seqs), q AS (SELECT user_id AS query_id, seq AS a FROM m WHERE user_id % 50 = 0),
-  f AS (SELECT query_id, user_id AS id, a[1:40] AS a, seq[1:40] AS b FROM q, m WHERE len(a) >= 40 AND len(seq) >= 40),
-  g AS (SELECT query_id, id, [list_distance(a[1], b[1]), list_distance(a[40], b[40]),
-    list_distance({'[' + ', '.join(f'list_min(list_transform(a, lambda p: p[{d}]))' for d in (1, 2, 3)) + ']'}, {'[' + ', '.join(f'list_min(list_transform(b, lambda p: p[{d}]))' for d in (1, 2, 3)) + ']'}),
-    list_distance({'[' + ', '.join(f'list_max(list_transform(a, lambda p: p[{d}]))' for d in (1, 2, 3)) + ']'}, {'[' + ', '.join(f'list_max(list_transform(b, lambda p: p[{d}]))' for d in (1, 2, 3)) + ']'})] AS ds FROM f)
-  SELECT query_id, id, round(list_max(ds), 6) AS bound FROM g""")
+def _extreme_sql(side: str, pick: str) -> str:
+    return "[" + ", ".join(f"list_{pick}(list_transform({side}, lambda p: p[{d}]))" for d in (1, 2, 3)) + "]"
+
+
+@query(f"""WITH {recurrences.PAIRS} SELECT query_id, id, round(greatest(list_distance(a[1], b[1]), list_distance(a[-1], b[-1]), list_distance({_extreme_sql('a', 'min')}, {_extreme_sql('b', 'min')}), list_distance({_extreme_sql('a', 'max')}, {_extreme_sql('b', 'max')})), 6) AS bound FROM pairs""")
 def kim_bound(t):
-    s = _seqs(t).where("n >= 40").select(F.col("user_id").alias("id"), F.slice("seq", 1, 40).alias("seq"))  # the expression needs equal lengths
-    both = ranking.pairs(s.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("seq").alias("qs")), s)
-    return both.select("query_id", "id", r(vectors.lb_kim_same_length("qs", "seq", 3)).alias("bound"))
+    """Kim's bound of whole sequences as they are; kim_bound_sequences resamples the candidate to the query's length first."""
+    return _sequence_pairs(t).select("query_id", "id", r(vectors.kim_bound("query_seq", "seq", 3)).alias("bound"))
 
 
 # --- alignment -----------------------------------------------------------------------------------------------------
 
 
-def _aligned(t, metric):
+def _aligned(t, metric, digits: int = 6, off: float = 0.0):
     turned = metric in accuracy.ORIENTATION_METRICS
     sides = (_orientations(t, 0), _orientations(t, 1)) if turned else (_points(t, 0), _points(t, 1))
     d = alignment.align(*sides, metric, 4 if turned else 3)
-    return d.select("traj_id", "seg_id", "points_order", r("distance").alias("distance"), r("value").alias("value"), "status")
+    return d.select("traj_id", "seg_id", "points_order", r(F.col("distance") + off, digits).alias("distance"), r(F.col("value") + off, digits).alias("value"), "status")
 
 
-POINT_SQL = f"""WITH p AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS ord, event_id % 2 AS side, value AS x, {HOUR_SQL} AS y, (event_id % 100)::DOUBLE AS z FROM events),
+POINT_RAW_SQL = f"""WITH p AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS ord, event_id % 2 AS side, value AS x, {HOUR_SQL} AS y, (event_id % 100)::DOUBLE AS z FROM events),
   a AS (SELECT *, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM p WHERE side = 0 WINDOW w AS (PARTITION BY user_id ORDER BY ord)), b AS (SELECT * FROM p WHERE side = 1),
   t AS (SELECT b.user_id, b.event_type, b.ord, b.x AS bx, b.y AS by_, b.z AS bz, a.*, greatest(0, least(1, coalesce(((b.x - a.x) * (x2 - a.x) + (b.y - a.y) * (y2 - a.y) + (b.z - a.z) * (z2 - a.z)) / nullif(pow(x2 - a.x, 2) + pow(y2 - a.y, 2) + pow(z2 - a.z, 2), 0), 0))) AS s FROM b JOIN a ON a.user_id = b.user_id)
-  SELECT user_id AS traj_id, event_type AS seg_id, ord AS points_order, round(min(sqrt(pow(bx - x - s * coalesce(x2 - x, 0), 2) + pow(by_ - y - s * coalesce(y2 - y, 0), 2) + pow(bz - z - s * coalesce(z2 - z, 0), 2))), 6) AS distance FROM t GROUP BY ALL""".replace("t AS (SELECT b.user_id, b.event_type, b.ord, b.x AS bx, b.y AS by_, b.z AS bz, a.*,", "t AS (SELECT b.user_id, b.event_type, b.ord, b.x AS bx, b.y AS by_, b.z AS bz, a.x, a.y, a.z, x2, y2, z2,")
+  SELECT user_id AS traj_id, event_type AS seg_id, ord AS points_order, min(sqrt(pow(bx - x - s * coalesce(x2 - x, 0), 2) + pow(by_ - y - s * coalesce(y2 - y, 0), 2) + pow(bz - z - s * coalesce(z2 - z, 0), 2))) AS distance FROM t GROUP BY ALL""".replace("t AS (SELECT b.user_id, b.event_type, b.ord, b.x AS bx, b.y AS by_, b.z AS bz, a.*,", "t AS (SELECT b.user_id, b.event_type, b.ord, b.x AS bx, b.y AS by_, b.z AS bz, a.x, a.y, a.z, x2, y2, z2,")
+POINT_SQL = f"SELECT traj_id, seg_id, points_order, round(distance, 6) AS distance FROM ({POINT_RAW_SQL})"
 
 
 @query(POINT_SQL)
@@ -742,37 +762,37 @@ def point_to_curve(t):
     return _aligned(t, "point_to_curve").select("traj_id", "seg_id", "points_order", "distance")
 
 
-@query()
+@query(recurrences.SIDTW)
 def sidtw(t):
     return _aligned(t, "sidtw")
 
 
-@query()
+@query(recurrences.DTW)
 def dtw(t):
     return _aligned(t, "dtw")
 
 
-@query()
+@query(recurrences.FRECHET)
 def frechet(t):
     return _aligned(t, "frechet")
 
 
-@query()
+@query(recurrences.LCSS)
 def lcss(t):
     return _aligned(t, "lcss")
 
 
-@query()
+@query(recurrences.QAD)
 def qad(t):
-    return _aligned(t, "qad")
+    return _aligned(t, "qad", 5, 1e-7)  # a cosine near one leaves no more digits of its angle, and these angles often end in a half
 
 
-@query()
+@query(recurrences.QDTW)
 def qdtw(t):
-    return _aligned(t, "qdtw")
+    return _aligned(t, "qdtw", 5, 1e-7)
 
 
-@query()
+@query(recurrences.accuracy_summary(POINT_RAW_SQL))
 def accuracy_summary(t):
     """Every position metric, summed up for whole trajectories, segment by segment alignment for DTW."""
     results = accuracy.evaluate(_points(t, 0), _points(t, 1))
@@ -786,39 +806,48 @@ def _sequence_pairs(t):
     return ranking.pairs(s.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), s).where("id <> query_id")
 
 
-@query()
+@query(recurrences.CDTW)
 def cdtw(t):
     d = alignment.pair_distances(_sequence_pairs(t), "query_seq", "seq", "constrained_dtw", window=0.15)
     return d.select("query_id", "id", r("distance").alias("distance"))
 
 
-@query()
+@query(recurrences.KIM)
 def kim_bound_sequences(t):
-    """Kim's bound of whole sequences, the candidate resampled to the query's length; kim_bound is what its SQL can say."""
+    """Kim's bound, the candidate resampled to the query's length."""
     d = alignment.pair_distances(_sequence_pairs(t), "query_seq", "seq", "kim_bound")
     return d.select("query_id", "id", r("distance").alias("bound"))
 
 
-@query()
+@query(recurrences.KEOGH)
 def keogh_bound(t):
     d = alignment.pair_distances(_sequence_pairs(t), "query_seq", "seq", "keogh_bound", window=0.15)
     return d.select("query_id", "id", r("distance").alias("distance"))
 
 
-@query()
+@query(recurrences.RESAMPLED)
 def resampled_distance(t):
     d = alignment.pair_distances(_sequence_pairs(t), "query_seq", "seq", "resampled_distance")
     return d.select("query_id", "id", r("distance").alias("distance"))
 
 
-@query()
+@query(recurrences.STAGED)
 def staged_rerank(t):
     rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
     out = prediction.staged_rerank(rows, kim_share=0.5, keogh_most=20, window=0.2)
     return out.select("query_id", "id", "rank_s1", r("dtw_dist").alias("dtw_dist"), "rank_s2", "rank_change")
 
 
-@query()
+TWO_STAGE_SQL = f"""WITH RECURSIVE {_shape_cte(5, 10)}, jm AS (SELECT user_id, seq, n AS m FROM seqs), jf AS (SELECT user_id, {' || '.join(_resample_sql('seq', 8, d) for d in (1, 2, 3))} AS v FROM jm),
+  emb AS (SELECT 'position' AS modality, user_id AS id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM f UNION ALL SELECT 'joint', user_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) FROM jf),
+  ranked AS (SELECT a.id AS query_id, b.id, row_number() OVER (PARTITION BY modality, a.id ORDER BY 1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-10), b.id) AS rank FROM emb a JOIN emb b USING (modality) WHERE a.id % 50 = 0 AND a.id <> b.id QUALIFY rank <= 20),
+  fused AS (SELECT query_id, id, sum(1 / (60.0 + rank)) AS score FROM ranked GROUP BY ALL), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank_s1 FROM fused QUALIFY rank_s1 <= 20),
+  pairs AS (SELECT query_id, best.id, q.seq AS a, c.seq AS b, len(q.seq) AS n, len(c.seq) AS m FROM best JOIN seqs q ON q.user_id = query_id JOIN seqs c ON c.user_id = best.id), {recurrences.band(window=0.2)},
+  again AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY distance, rank_s1) AS rank FROM best JOIN cdtw USING (query_id, id)), targets AS (SELECT user_id AS id, avg(value) AS target FROM events GROUP BY 1)
+  SELECT query_id, round(avg(target), 6) AS mean, round(sum(target * score * score) / sum(score * score), 6) AS weighted, count(*) AS n FROM again JOIN targets USING (id) WHERE rank <= 5 GROUP BY 1"""
+
+
+@query(TWO_STAGE_SQL)
 def two_stage_search(t):
     """Fused candidates by position and joint embeddings, reranked, and the mean value of their first five as prediction."""
     s = _seqs(t).select(F.col("user_id").alias("id"), "seq").withColumn("position", vectors.position_embedding("seq", 5, 10)).withColumn("joint", vectors.joint_embedding("seq", 8, 0, 3))
@@ -828,16 +857,43 @@ def two_stage_search(t):
     return p.select("query_id", r("mean").alias("mean"), r("weighted").alias("weighted"), "n")
 
 
-@query()
+SWEEP = [("short", 5, 0), ("both", 5, 10)]
+UNIT_SQL = "CASE WHEN sqrt(list_dot_product(v, v)) > 1e-10 THEN list_transform(v, lambda c: c / sqrt(list_dot_product(v, v))) ELSE v END"
+SWEEP_SQL = " UNION ALL ".join(
+    f"SELECT '{name}' AS config, '{kind}' AS modality, * FROM ({sql})"
+    for name, coarse, fine in SWEEP
+    for kind, sql in (
+        ("position", f"WITH {_shape_cte(coarse, fine)}, u AS (SELECT user_id AS id, {UNIT_SQL} AS v FROM f) {_exploded_sql('u', 'id')}"),
+        ("joint", f"WITH {SEQ_SQL}, m AS (SELECT user_id, seq, n AS m FROM seqs), f AS (SELECT user_id, {' || '.join(_resample_sql('seq', n, d) for n in (coarse, fine) if n for d in (1, 2, 3))} AS v FROM m), u AS (SELECT user_id AS id, {UNIT_SQL} AS v FROM f) {_exploded_sql('u', 'id')}"),
+        ("velocity", f"WITH {recurrences.velocity('e', 'value', HOUR_SQL, tuple(n for n in (coarse, fine) if n))}, u AS (SELECT user_id AS id, v FROM e) {_exploded_sql('u', 'id')}"),
+    )
+)
+
+
+@query(SWEEP_SQL)
 def embedding_sweep(t):
-    rows = search.embedding_sweep(_seqs(t).select(F.col("user_id").alias("id"), "seq"), [("short", 5, 0), ("both", 5, 10)], velocity=True)
-    return rows.select("config", "id", *[F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("position", "velocity")])
+    """Position, joint and velocity embeddings of every user's sequence in two configurations."""
+    kinds = {"position": lambda c, f: vectors.position_embedding("seq", c, f), "joint": lambda c, f: vectors.joint_embedding("seq", c, f, 3)}
+    rows = search.embedding_sweep(_seqs(t).select(F.col("user_id").alias("id"), "seq"), SWEEP, kinds, velocity="seq")
+    return _exploded(rows, "vec", "config", "modality", "id")
+
 
+@query(f"""WITH h AS (SELECT event_id AS id, user_id AS parent, value AS x, (event_id % 100)::DOUBLE AS y FROM events), e AS (SELECT id, parent, 'plain' AS config, [x, y, 1.0] AS v FROM h UNION ALL SELECT id, parent, 'wide', [x * 3, y, 1.0] FROM h),
+  d AS (SELECT config, a.id AS query_id, b.id, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-10), 9) AS distance FROM e a JOIN e b USING (config) WHERE a.id % 50 = 0 AND a.parent <> b.parent)
+  SELECT * FROM (SELECT config, 'shape' AS modality, 'segment' AS level, query_id, id, distance, row_number() OVER (PARTITION BY config, query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 3""")
+def sweep_search(t):
+    """The nearest rows under two configurations; rows of the query's own user take no part."""
+    rows = t("events").select(F.col("event_id").alias("id"), F.col("user_id").alias("parent"), F.lit("segment").alias("level"), "value", (F.col("event_id") % 100).cast("double").alias("y"))
+    kinds = {"shape": lambda c, f: F.array(F.col("value") * float(c), F.col("y"), F.lit(1.0))}
+    each = search.embedding_sweep(rows, [("plain", 1, 0), ("wide", 3, 0)], kinds)
+    return search.sweep_search(each, F.col("id") % 50 == 0, 3, digits=9)
 
-@query()
+
+@query(recurrences.SAVINGS)
 def rerank_savings(t):
     rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
-    return prediction.savings(prediction.staged_rerank(rows, kim_share=0.5, keogh_most=20, window=0.2))
+    out = prediction.savings(prediction.staged_rerank(rows, kim_share=0.5, keogh_most=20, window=0.2))
+    return out.withColumn("saved_percent", r("saved_percent"))
 
 
 # --- geometry ------------------------------------------------------------------------------------------------------
@@ -882,26 +938,57 @@ def rigid_transform(t):
     return moved.select("event_id", *[r(F.col("m")[i]).alias(c) for i, c in enumerate("xyz")])
 
 
-@query()
+ALGEBRA_SQL = f"""WITH {QUAT_SQL}, c AS (SELECT event_id, a / 2 AS h, p, r, sqrt(p[2] * p[2] + p[3] * p[3]) AS v, list_dot_product(p, r) AS dot FROM q),
+  f AS (SELECT event_id, 'inverse' AS form, [p[1], -p[2], -p[3], -p[4]] AS x FROM c UNION ALL SELECT event_id, 'log', CASE WHEN v = 0 THEN [0.0, 0.0, 0.0, 0.0] ELSE [0.0, atan2(v, p[1]) * p[2] / v, atan2(v, p[1]) * p[3] / v, 0.0] END FROM c
+    UNION ALL SELECT event_id, 'half', CASE WHEN v = 0 THEN [1.0, 0.0, 0.0, 0.0] ELSE [cos(atan2(v, p[1]) / 2), sin(atan2(v, p[1]) / 2) * p[2] / v, sin(atan2(v, p[1]) / 2) * p[3] / v, 0.0] END FROM c
+    UNION ALL SELECT event_id, 'between', list_transform(range(1, 5), lambda k: (wa * p[k] + wb * r[k]) / sqrt(wa * wa + wb * wb + 2 * wa * wb * dot)) FROM (SELECT *, CASE WHEN abs(dot) > 0.9995 THEN 0.75 ELSE sin(0.75 * acos(abs(dot))) / sin(acos(abs(dot))) END AS wa, CASE WHEN dot < 0 THEN -1 ELSE 1 END * CASE WHEN abs(dot) > 0.9995 THEN 0.25 ELSE sin(0.25 * acos(abs(dot))) / sin(acos(abs(dot))) END AS wb FROM c)
+    UNION ALL SELECT event_id, 'axis_angle', CASE WHEN v = 0 THEN [1.0, 0.0, 0.0, 2 * atan2(v, p[1])] WHEN p[2] < 0 THEN [-p[2] / v, -p[3] / v, 0.0, -2 * atan2(v, p[1])] ELSE [p[2] / v, p[3] / v, 0.0, 2 * atan2(v, p[1])] END FROM c
+    UNION ALL SELECT event_id, 'rodrigues', [tan(h / 2) * 0.6, tan(h / 2) * 0.8, 0.0] FROM c UNION ALL SELECT event_id, 'canonical', CASE WHEN p[1] < 0 THEN list_transform(p, lambda x: -x) ELSE p END FROM c),
+  u AS (SELECT event_id, form, x AS v FROM f) {_exploded_sql('u', 'event_id', 'form')}"""
+
+
+@query(ALGEBRA_SQL)
 def quaternion_algebra(t):
     """Inverse, logarithm, power, interpolation, axis-angle and Rodrigues forms of every pose."""
-    rows = _quats(t)
     named = {"inverse": q.inverse("p"), "log": q.logarithm("p"), "half": q.power("p", 0.5), "between": q.slerp("p", "r", F.lit(0.25)), "axis_angle": q.axis_angle("p"), "rodrigues": q.rodrigues("p", True), "canonical": q.equivalent("p")}
-    return rows.select("event_id", *[F.transform(v, lambda x: F.round(x, 6)).alias(n) for n, v in named.items()])
+    forms = _quats(t).select("event_id", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), v.alias("v")) for n, v in named.items()])).alias("f")).select("event_id", "f.*")
+    return _exploded(forms, "v", "event_id", "form")
+
+
+AXIS_ORDERS = [a + b + c for a in "XYZ" for b in "XYZ" for c in "XYZ" if a != b != c]
+
+
+def _euler_sql(order: str) -> str:
+    """Angles of an axis order out of the rotation matrix m (row by row)."""
+    i, j, k = ("XYZ".index(a) for a in order)
+    m = lambda a, b: f"m[{3 * a + b + 1}]"
+    if i == k:
+        k = 3 - i - j
+        e = (i - j) * (j - k) * (k - i) // 2
+        return f"[atan2({m(j, i)}, {-e} * {m(k, i)}), acos(greatest(-1.0, least(1.0, {m(i, i)}))), atan2({m(i, j)}, {e} * {m(i, k)})]"
+    e = (i - j) * (j - k) * (k - i) // 2
+    return f"[atan2({-e} * {m(j, k)}, {m(k, k)}), asin(greatest(-1.0, least(1.0, {e} * {m(i, k)}))), atan2({-e} * {m(i, j)}, {m(i, i)})]"
+
+
+EULER_SQL = f"""WITH {QUAT_SQL}, t AS (SELECT event_id, a + 0.5 AS a FROM a), m AS (SELECT event_id, [cos(a) + 0.36 * (1 - cos(a)), 0.48 * (1 - cos(a)), 0.8 * sin(a), 0.48 * (1 - cos(a)), cos(a) + 0.64 * (1 - cos(a)), -0.6 * sin(a), -0.8 * sin(a), 0.6 * sin(a), cos(a)] AS m FROM t)
+  {' UNION ALL '.join(f"SELECT event_id, '{o.lower()}' AS axes, round(e[1], 5) + 0.0 AS first, round(e[2], 5) + 0.0 AS second, round(e[3], 5) + 0.0 AS third FROM (SELECT event_id, {_euler_sql(o)} AS e FROM m)" for o in AXIS_ORDERS)}"""
 
 
-@query()
+@query(EULER_SQL)
 def euler_orders(t):
-    """Angles of every pose in all twelve axis orders."""
-    orders = [a + b + c for a in "XYZ" for b in "XYZ" for c in "XYZ" if a != b != c]
-    rows = _quats(t)
-    return rows.select("event_id", *[F.transform(q.to_euler(o, "p"), lambda x: F.round(x, 5)).alias(o.lower()) for o in orders])
+    """Angles of every pose, turned on by half a radian about its axis, in all twelve axis orders."""
+    h = (F.radians("value") + 0.5) / 2
+    rows = t("events").select("event_id", q.quat(F.cos(h), F.sin(h) * 0.6, F.sin(h) * 0.8, F.lit(0.0)).alias("p"))
+    each = F.explode(F.array(*[F.struct(F.lit(o.lower()).alias("axes"), q.to_euler(o, "p").alias("e")) for o in AXIS_ORDERS])).alias("o")
+    return rows.select("event_id", each).select("event_id", "o.axes", *[(r(F.col("o.e")[i], 5) + 0.0).alias(n) for i, n in enumerate(("first", "second", "third"))])
 
 
-@query()
+@query(f"""WITH d AS (SELECT event_id, radians(value - lag(value) OVER w) AS turn, (epoch_us(ts) - lag(epoch_us(ts)) OVER w) / 3600000000.0 AS hours FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  s AS (SELECT event_id, hours, turn - 2 * pi() * round(turn / (2 * pi())) AS turn FROM d) SELECT event_id, round(0.6 * turn / nullif(hours, 0), 4) + 0.0 AS x, round(0.8 * turn / nullif(hours, 0), 4) + 0.0 AS y, CASE WHEN turn / nullif(hours, 0) IS NOT NULL THEN 0.0 END AS z FROM s""")
 def angular_rates(t):
     rows = _quats(t).join(_events(t).select("event_id", (F.col("at") / 3_600_000_000.0).alias("hours")), "event_id")
-    return kinematics.angular_rates(rows, ["user_id"], "hours", "p").select("event_id", F.transform("rate", lambda x: F.round(x, 4)).alias("rate"))
+    rates = kinematics.angular_rates(rows, ["user_id"], "hours", "p")
+    return rates.select("event_id", *[(r(F.col("rate")[i], 4) + 0.0).alias(c) for i, c in enumerate("xyz")])
 
 
 @query(f"""WITH {HALVES_SQL}, {_topk_sql('head', 1, 'near')} SELECT query_id, id, distance FROM near""")
@@ -909,7 +996,7 @@ def nearest_pair_subset(t):
     return ranking.pair_subset(_head(t).select("query_id", "id", "distance"), "nearest")
 
 
-@query()
+@query(recurrences.POSES)
 def poses_in_robot_frame(t):
     rows = _quats(t).join(t("events").select("event_id", F.to_date("ts").alias("recording_date")), "event_id")
     poses = rows.select("event_id", "recording_date", F.array("value", F.lit(10.0), F.lit(-5.0)).alias("position"), F.col("p").alias("orientation"))
@@ -918,24 +1005,29 @@ def poses_in_robot_frame(t):
     one = lambda x: F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0)], x, *[F.lit(v) for v in (0.0, 0.0, -1.0, 2.0, 0.0, 1.0, 0.0, 3.0, 0.0, 0.0, 0.0, 1.0)])
     matrices = days.select("valid_from", one(shift).alias("offset"), one(-shift).alias("instrument_to_robot"))
     out = accuracy.in_robot_frame(poses, matrices)
-    return out.select("event_id", *[F.transform(c, lambda x: F.round(x, 5)).alias(c) for c in ("position", "orientation", "angles")])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("part"), F.col(c).alias("v")) for c in ("position", "orientation", "angles")])).alias("e")
+    return _exploded(out.select("event_id", each).select("event_id", "e.*"), "v", "event_id", "part", digits=4)
 
 
-@query()
+@query(recurrences.CALIBRATION)
 def calibration_fit(t):
-    """Fit of the transform between points and their exactly turned and shifted copies, by event type: errors are zero."""
+    """Fit of the transform between points and their turned, shifted and disturbed copies, by event type, and what it leaves."""
     p = F.array("value", (F.col("event_id") % 100).cast("double"), (F.col("event_id") % 7).cast("double"))
     rows = t("events").select("event_type", p.alias("p"))
     turn = F.array(*[F.lit(v) for v in (0.36, -0.8, 0.48, 0.48, 0.6, 0.64, -0.8, 0.0, 0.6)])
-    rows = rows.withColumn("m", calibration.transformed("p", turn, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))))
+    moved = calibration.transformed("p", turn, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)))
+    rows = rows.withColumn("m", F.zip_with(moved, F.array(F.col("p")[1] % 13 / 10, F.col("p")[1] % 11 / 10, F.col("p")[1] % 9 / 10), lambda x, y: x + y))
     e = calibration.calibration_errors(rows, ["event_type"], "p", "m")
     return e.select("event_type", "n", r("mean_error").alias("mean_error"), r("max_error").alias("max_error"), r("rms_error").alias("rms_error"))
 
 
-@query()
+@query(f"""WITH {QUAT_SQL}, s AS (SELECT user_id, sum(cos(a / 2) * cos(a / 2)) AS cc, sum(cos(a / 2) * sin(a / 2)) AS cs, sum(sin(a / 2) * sin(a / 2)) AS ss, avg(cos(a / 2)) AS c, avg(sin(a / 2)) AS s FROM q GROUP BY 1),
+  g AS (SELECT user_id, atan2(2 * cs, cc - ss) / 2 AS e, atan2(s, c) AS m FROM s), u AS (SELECT user_id, 'eigen' AS method, [cos(e), sin(e) * 0.6, sin(e) * 0.8, 0.0] AS v FROM g UNION ALL SELECT user_id, 'arithmetic', [cos(m), sin(m) * 0.6, sin(m) * 0.8, 0.0] FROM g)
+  {_exploded_sql('u', 'user_id', 'method')}""")
 def mean_orientations(t):
-    m = calibration.mean_orientations(_quats(t), ["user_id"], "p").join(calibration.mean_orientations(_quats(t), ["user_id"], "p", "arithmetic").withColumnRenamed("p", "a"), "user_id")
-    return m.select("user_id", F.transform("p", lambda x: F.round(x, 5)).alias("eigen"), F.transform("a", lambda x: F.round(x, 5)).alias("arithmetic"))
+    """All orientations turn about one axis, so SQL can say the eigenvector, too."""
+    each = [calibration.mean_orientations(_quats(t), ["user_id"], "p", m).select("user_id", F.lit(m).alias("method"), "p") for m in ("eigen", "arithmetic")]
+    return _exploded(each[0].unionByName(each[1]), "p", "user_id", "method")
 
 
 @query("""WITH x AS (SELECT event_id, user_id, value * 3.6 - 180 AS a FROM events), m AS (SELECT user_id, max((abs(abs(a) - 180) < 5)::INT) AS near FROM x GROUP BY 1)

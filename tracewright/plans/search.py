@@ -51,14 +51,29 @@ def validation(rankings: DataFrame, weight_modes: DataFrame, reference: DataFram
     return scored.join(n, "query_id").select("query_id", "mode", "k", (F.coalesce("hits", F.lit(0)) / F.least("truths", "k")).alias("recall"), (F.col("common") / F.col("k")).alias("precision"), "mrr")
 
 
-def embedding_sweep(sequences: DataFrame, configs: list[tuple[str, int, int]], velocity: bool = False) -> DataFrame:
-    """config, id, position (and velocity) embeddings of every sequence under every (name, coarse, fine). One pass over the sequences."""
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("config"), vectors.position_embedding("seq", c, f).alias("position")) for name, c, f in configs])).alias("e__")
-    out = sequences.select("id", each).select("e__.config", "id", "e__.position")
-    if velocity:
-        parts = [alignment.velocity_embeddings(sequences, "seq", c, f, "velocity").select(F.lit(name).alias("config"), "id", "velocity") for name, c, f in configs]
-        v = parts[0]
-        for p in parts[1:]:
-            v = v.unionByName(p)
-        out = out.join(v, ["config", "id"])
+def embedding_sweep(rows: DataFrame, configs: list[tuple[str, int, int]], kinds: dict, velocity: str | None = None) -> DataFrame:
+    """config, modality, vec of every row under every (name, coarse, fine), with the row's id (and level and parent, if it has them).
+
+    kinds: modality -> function of (coarse, fine) that gives a vector expression over the row's columns, such as position,
+    joint or orientation sequences or figures of the metadata; `velocity` names the sequence column of velocity embeddings."""
+    keys = ["id", *[c for c in ("level", "parent") if c in rows.columns]]
+    each = [F.struct(F.lit(name).alias("config"), F.lit(kind).alias("modality"), vector(coarse, fine).alias("vec")) for name, coarse, fine in configs for kind, vector in kinds.items()]
+    out = rows.select(*keys, F.explode(F.array(*each)).alias("e__")).select("e__.config", "e__.modality", *keys, "e__.vec") if each else None
+    for name, coarse, fine in configs if velocity else ():
+        part = alignment.velocity_embeddings(rows, velocity, coarse, fine, "vec").select(F.lit(name).alias("config"), F.lit("velocity").alias("modality"), *keys, "vec")
+        out = part if out is None else out.unionByName(part)
     return out
+
+
+def sweep_search(embedded: DataFrame, is_query, k: int, digits: int | None = None) -> DataFrame:
+    """config, modality, level, query_id, id, distance, rank: the nearest rows of the same configuration, modality and level for
+    every row of embedding_sweep() that meets is_query; rows of the query's own trajectory (parent) are left out."""
+    same = ["config", "modality", "level"]
+    asked = embedded.where(is_query).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("parent").alias("query_parent"), *[F.col(c).alias(f"query_{c}") for c in same])
+    rows = embedded.withColumn("rn__", vectors.norm("vec"))
+    both = ranking.pairs(asked.withColumn("qn__", vectors.norm("query_vec")), rows).where(~F.col("parent").eqNullSafe(F.col("query_parent")))
+    for c in same:
+        both = both.where(F.col(c) == F.col(f"query_{c}"))
+    d = 1 - vectors.dot("vec", "query_vec") / (F.col("rn__") * F.col("qn__") + vectors.COSINE_GUARD)
+    scored = both.select(*same, "query_id", "id", (F.round(d, digits) if digits is not None else d).alias("distance"))
+    return ranking.top_k(scored, [*same, "query_id"], ["distance", "id"], k)
