@@ -96,7 +96,9 @@ def test_staged_rerank_keeps_pruned_rows_in_first_stage_order(spark):
 def test_query_blocks_equal_the_broadcast(spark, monkeypatch):
     queries, rows = spark.range(20).withColumnRenamed("id", "query_id"), spark.range(30)
     few = ranking.pairs(queries, rows).count()
-    monkeypatch.setattr(ranking, "MAX_BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(ranking, "MAX_BROADCAST_BYTES", 5)
+    monkeypatch.setattr(ranking, "BLOCK_BYTES", 40)
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", 7)
     assert ranking.pairs(queries, rows).count() == few == 600
 
 

@@ -28,5 +28,5 @@ def errors(actual: Column | str, predicted: Column | str) -> list[Column]:
 def weighted_mean(value: Column | str, weight: Column | str) -> Column:
     """Mean weighted over the rows that have a finite value and a weight; null without any."""
     value, weight = col(value), col(weight)
-    ok = value.isNotNull() & ~F.isnan(value) & weight.isNotNull()
+    ok = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")) & weight.isNotNull()
     return F.sum(F.when(ok, value * weight)) / F.nullif(F.sum(F.when(ok, weight)), F.lit(0.0))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats, vectors
-from . import ranking
+from ..sources.scratch import settled
+from . import ranking, series
 
 #: Added to a distance before it is inverted to a weight.
 DISTANCE_GUARD = 1e-6
@@ -72,7 +73,7 @@ def predictions_at(neighbours: DataFrame, ks: list[int]) -> DataFrame:
 def constant_predictors(rows: DataFrame, target: str) -> DataFrame:
     """predictor ('mean', 'median'), value, n and the errors of predicting it for every row. Two aggregations, one row joined back."""
     known = rows.where(F.col(target).isNotNull()).select(F.col(target).cast("double").alias("t__"))
-    values = known.agg(F.avg("t__").alias("mean"), F.expr("percentile(t__, 0.5)").alias("median"))
+    values = known.agg(F.avg("t__").alias("mean")).crossJoin(F.broadcast(series.midpoint_percentiles(known, [], "t__", [50]).withColumnRenamed("p50", "median")))
     each = values.select(F.explode(F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).alias("value")) for p in ("mean", "median")])).alias("p__"))
     return known.crossJoin(F.broadcast(each.select("p__.*"))).groupBy("predictor", "value").agg(F.count("*").alias("n"), *stats.errors("t__", "value"))
 
@@ -83,16 +84,17 @@ def neighbour_coverage(neighbours: DataFrame, errors: DataFrame) -> DataFrame:
     return nearest.join(errors, "query_id").agg(F.count("*").alias("n"), F.corr("distance", "error").alias("correlation"))
 
 
-def staged_rerank(candidates: DataFrame, query_seq: str = "query_seq", seq: str = "seq", kim_share: float = 1.0, keogh_most: int = 500, window: float = 0.2, mode: str = "position", normalise: bool = False, half_up: bool = False) -> DataFrame:
+def staged_rerank(candidates: DataFrame, query_seq: str = "query_seq", seq: str = "seq", kim_share: float | Column = 1.0, keogh_most: int = 500, window: float = 0.2, mode: str = "position", normalise: bool = False, half_up: bool = False) -> DataFrame:
     """candidates(query_id, id, rank_s1, sequences) with dtw_dist, rank_s2 and rank_change after two lower-bound filters.
 
     kim_share of a query's candidates (rounded up, or half up) survive the first bound, keogh_most of those the second; the rest
-    keep an infinite distance and their first-stage order. The bounds are heuristic for position sequences."""
+    keep an infinite distance and their first-stage order. The bounds are heuristic for position sequences, so near ones may be
+    lost; exact_rerank() loses none."""
     from .alignment import pair_distances
 
     q = Window.partitionBy("query_id")
     rows = pair_distances(candidates, query_seq, seq, "kim_bound", "kim__", mode=mode, normalise=normalise)
-    limit = F.count("*").over(q) * F.lit(kim_share)
+    limit = F.count("*").over(q) * (kim_share if isinstance(kim_share, Column) else F.lit(kim_share))
     limit = F.floor(limit + 0.5) if half_up else F.ceil(limit)
     rows = rows.withColumn("k__", F.row_number().over(q.orderBy("kim__", "rank_s1"))).withColumn("stay__", F.col("k__") <= limit)
     only = lambda c: F.when(F.col("stay__"), F.col(c))
@@ -105,14 +107,34 @@ def staged_rerank(candidates: DataFrame, query_seq: str = "query_seq", seq: str
     return rows.withColumn("rank_change", F.col("rank_s1") - F.col("rank_s2")).drop("kim__", "keogh__", "k__", "stay__", "s__", "d__", query_seq, seq)
 
 
-#: Candidates up to this number are all compared by the full distance.
+#: Lists of up to so many candidates are compared whole by the full distance.
 SMALL_LIST = 500
 
 
-def adaptive_rerank(candidates: DataFrame, k: int, **options) -> DataFrame:
-    """staged_rerank that filters only lists of more than SMALL_LIST candidates: nine tenths pass the first bound, SMALL_LIST the second."""
-    share, most = (1.0, SMALL_LIST) if k <= SMALL_LIST else (0.9, SMALL_LIST)
-    return staged_rerank(candidates, kim_share=share, keogh_most=most, **options)
+def adaptive_rerank(candidates: DataFrame, **options) -> DataFrame:
+    """staged_rerank that filters only queries with more than SMALL_LIST candidates: nine tenths pass the first bound, SMALL_LIST the second."""
+    share = F.when(F.count("*").over(Window.partitionBy("query_id")) <= SMALL_LIST, F.lit(1.0)).otherwise(F.lit(0.9))
+    return staged_rerank(candidates, kim_share=share, keogh_most=SMALL_LIST, **options)
+
+
+def exact_rerank(candidates: DataFrame, k: int, query_seq: str = "query_seq", seq: str = "seq", window: float = 0.2, dims: int = 3) -> DataFrame:
+    """The k candidates of each query with the smallest constrained DTW of positions: query_id, id, dtw_dist, rank_s2, dtw_calls.
+
+    A path pairs both last points and pairs every extreme with something inside the other's extent, so Kim's bound of the
+    moved, not resampled sequences never exceeds the distance. The k candidates with the smallest bounds are compared first;
+    then only those whose bound is not over the k-th distance so far. Nothing else can be among the k nearest."""
+    from .alignment import pair_distances
+
+    bound = vectors.kim_bound(vectors.relative_to_first(query_seq), vectors.relative_to_first(seq), dims)
+    rows = ranking.rank_by(candidates.withColumn("bound__", bound), ["query_id"], ["bound__", "id"], "order__")
+    first = settled(pair_distances(rows.where(F.col("order__") <= k), query_seq, seq, "constrained_dtw", "dtw_dist", window=window).select("query_id", "id", "dtw_dist"))
+    limits = first.groupBy("query_id").agg(F.max("dtw_dist").alias("limit__"))
+    # a hair of slack, as both sides are rounded
+    more = rows.where(F.col("order__") > k).join(limits, "query_id").where(F.col("bound__") <= F.col("limit__") * (1 + 1e-9) + 1e-9)
+    more = pair_distances(more, query_seq, seq, "constrained_dtw", "dtw_dist", window=window).select("query_id", "id", "dtw_dist")
+    every = first.unionByName(more)
+    calls = every.groupBy("query_id").agg(F.count("*").alias("dtw_calls"))
+    return ranking.top_k(every, ["query_id"], ["dtw_dist", "id"], k, "rank_s2").join(calls, "query_id").select("query_id", "id", "dtw_dist", "rank_s2", "dtw_calls")
 
 
 def savings(reranked: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Exact top-k search, fusion of rankings, and measures of ranking quality.
 
-A stated query set is compared with all rows in one pass: queries are broadcast only under `MAX_BROADCAST_QUERIES` (their
-number is counted first), else both sides are dealt in blocks and joined block by block; each task reduces its pairs
-to k rows a query before the shuffle by query (window group limit).
+A stated query set is compared with all rows in one pass: queries are broadcast only while they have `MAX_BROADCAST_BYTES`
+at most (they are measured first), else both sides are dealt in blocks of bounded size and joined block by block; each task
+reduces its pairs to k rows a query before the shuffle by query (window group limit). Whole rankings are made in ranges, so
+that no task holds all rows of a query.
 """
 
 from __future__ import annotations
@@ -11,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from . import series
 
-MAX_BROADCAST_QUERIES = 1000
+#: Most bytes of a broadcast query set; of a block of queries; rows of a block.
+MAX_BROADCAST_BYTES, BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 8 << 20, 50_000
 RRF_K = 60.0
 
 
@@ -24,38 +27,70 @@ def top_k(rows: DataFrame, keys: list[str], order: list, k: int, alias: str = "r
     return rank_by(rows, keys, order, alias).where(F.col(alias) <= k)
 
 
-def pairs(queries: DataFrame, rows: DataFrame, query_blocks: int = 16) -> DataFrame:
-    """Every query with every row. Up to MAX_BROADCAST_QUERIES queries go to the rows; more are dealt in blocks, and the rows
-    once to each block."""
-    n = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-    if n <= MAX_BROADCAST_QUERIES:
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row has: eight for a number, the length of texts, all components of vectors and sequences."""
+    size = F.lit(8)
+    for c, kind in df.dtypes:
+        c = F.col(f"`{c}`")
+        if kind.startswith("array<array"):
+            size = size + F.coalesce(F.aggregate(c, F.lit(0), lambda s, x: s + 16 + 8 * F.coalesce(F.size(x), F.lit(0))), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 16 + 8 * F.greatest(F.size(c), F.lit(0))
+        else:
+            size = size + (F.coalesce(F.octet_length(c), F.lit(0)) if kind == "string" else F.lit(8))
+    return size
+
+
+def pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every query with every row. Queries of MAX_BROADCAST_BYTES at most go to the rows; of more, both sides are dealt in
+    blocks by their sizes, and each pair of blocks is a key of its own."""
+    size = queries.agg(F.coalesce(F.sum(row_bytes(queries)), F.lit(0))).first()[0]
+    if size <= MAX_BROADCAST_BYTES:
         return rows.crossJoin(F.broadcast(queries))
-    q = queries.withColumn("block__", F.pmod(F.xxhash64(*queries.columns[:1]), F.lit(query_blocks)).cast("int"))
-    r = rows.withColumn("block__", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    return r.join(q, "block__").drop("block__")
+    return _block_pairs(queries, rows, -(-size // BLOCK_BYTES), -(-max(1, rows.count()) // BLOCK_ROWS))
+
+
+def _block_pairs(queries: DataFrame, rows: DataFrame, query_blocks: int, row_blocks: int) -> DataFrame:
+    plain = lambda df: [f"`{c}`" for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+    own = lambda df, n: F.pmod(F.xxhash64(*plain(df)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("query_block__", own(queries, query_blocks)).withColumn("row_block__", every(row_blocks))
+    r = rows.withColumn("row_block__", own(rows, row_blocks)).withColumn("query_block__", every(query_blocks))
+    return r.join(q, ["query_block__", "row_block__"]).drop("query_block__", "row_block__")
 
 
 def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int | None = None, allowed: Column | None = None) -> DataFrame:
     """queries(query_id, query_vec), rows(id, vec) -> query_id, id, distance, rank; the query itself is left out.
 
     Norms are computed once a row, not once a pair. Ties go to the smaller id; `digits` rounds before ranking."""
+    return top_k(_cosine_distances(queries, rows, digits, allowed), ["query_id"], ["distance", "id"], k)
+
+
+def cosine_ranking(queries: DataFrame, rows: DataFrame, digits: int | None = None, allowed: Column | None = None) -> DataFrame:
+    """All rows of cosine_top_k, ranked in ranges of (query, distance). Where the first few are wanted, that is cheaper."""
+    scored = _cosine_distances(queries, rows, digits, allowed)
+    return series.running_total(scored, ["query_id"], ["distance", "id"], F.lit(1).cast("long"), "rank")
+
+
+def _cosine_distances(queries: DataFrame, rows: DataFrame, digits: int | None, allowed: Column | None) -> DataFrame:
     q = queries.withColumn("qn__", vectors.norm("query_vec"))
     r = rows.withColumn("rn__", vectors.norm("vec"))
     both = pairs(q, r).where(F.col("id") != F.col("query_id") if allowed is None else allowed)
     d = 1 - vectors.dot("vec", "query_vec") / (F.col("rn__") * F.col("qn__") + vectors.COSINE_GUARD)
-    scored = both.select("query_id", "id", (F.round(d, digits) if digits is not None else d).alias("distance"))
-    return top_k(scored, ["query_id"], ["distance", "id"], k)
+    return both.select("query_id", "id", (F.round(d, digits) if digits is not None else d).alias("distance"))
 
 
-def reciprocal_rank_fusion(rankings: DataFrame, weights: DataFrame | None = None, k: float = RRF_K) -> DataFrame:
+def reciprocal_rank_fusion(rankings: DataFrame, weights: DataFrame | None = None, k: float = RRF_K, carry: list[str] = [], first: str | None = None) -> DataFrame:  # noqa: B006
     """rankings(query_id, modality, id, rank) -> query_id, id, rrf_score, rank. weights(modality, weight): a zero weight drops
-    the modality before the join, a missing one counts as one."""
+    the modality before the join, a missing one counts as one. `carry` names columns of the rankings that come along: those
+    of modality `first` where it has the id, else of any other."""
     if weights is not None:
         rankings = rankings.join(F.broadcast(weights), "modality", "left").where("weight is null or weight <> 0")
         weight = F.coalesce("weight", F.lit(1.0))
     else:
         weight = F.lit(1.0)
-    fused = rankings.groupBy("query_id", "id").agg(F.sum(weight / (k + F.col("rank"))).alias("rrf_score"))
+    along = [F.coalesce(F.max(F.when(F.col("modality") == first, F.col(c))), F.max(c)).alias(c) for c in carry]
+    fused = rankings.groupBy("query_id", "id").agg(F.sum(weight / (k + F.col("rank"))).alias("rrf_score"), *along)
     return rank_by(fused, ["query_id"], [F.desc("rrf_score"), "id"])
 
 
@@ -81,21 +116,30 @@ def reciprocal_ranks(ranking: DataFrame, truth: DataFrame) -> DataFrame:
 def ndcg(ranking: DataFrame, relevance: str, k: int, exponential: bool = False) -> DataFrame:
     """NDCG of the first k rows against the ideal order of all rows of the query."""
     gain = (F.pow(F.lit(2.0), F.col(relevance)) - 1) if exponential else F.col(relevance)
-    rows = rank_by(ranking.withColumn("gain__", gain), ["query_id"], [F.desc(relevance), "id"], "ideal__")
-    share = lambda place: F.sum(F.when(F.col(place) <= k, F.col("gain__") / F.log2(F.col(place) + 1.0)))
-    return rows.groupBy("query_id").agg(F.coalesce(share("rank") / F.nullif(share("ideal__"), F.lit(0.0)), F.lit(0.0)).alias("ndcg"))
+    rows = ranking.select("query_id", "id", "rank", F.col(relevance).alias("rel__"), gain.alias("gain__"))
+    ideal = top_k(rows, ["query_id"], [F.desc("rel__"), "id"], k, "ideal__")  # the first k of either order are enough
+    both = rows.where(F.col("rank") <= k).select("query_id", "gain__", F.col("rank").alias("place__"), F.lit(1).alias("found__")).unionByName(ideal.select("query_id", "gain__", F.col("ideal__").alias("place__"), F.lit(0).alias("found__")))
+    share = lambda found: F.sum(F.when(F.col("found__") == found, F.col("gain__") / F.log2(F.col("place__") + 1.0)))
+    return both.groupBy("query_id").agg(F.coalesce(share(1) / F.nullif(share(0), F.lit(0.0)), F.lit(0.0)).alias("ndcg"))
 
 
 def relevance_of_distance(rows: DataFrame, distance: str, variant: str = "scaled") -> DataFrame:
     """relevance in (0, 1]: 1/(1+d/max d), 1/(1+d), or 1 - min-max scaled d with floors."""
-    d, w = F.col(distance), Window.partitionBy("query_id")
-    top, low = F.max(distance).over(w), F.min(distance).over(w)
+    d, top, low = F.col(distance), F.col("top__"), F.col("low__")
+    if variant != "plain":
+        rows = rows.join(rows.groupBy("query_id").agg(F.max(distance).alias("top__"), F.min(distance).alias("low__")), "query_id")
     value = {
         "scaled": 1 / (1 + d / F.when(top > 0, top).otherwise(F.lit(1.0))),
         "plain": 1 / (1 + d),
         "min_max": F.greatest(F.lit(1e-6), 1 - (d - low) / F.greatest(F.lit(1e-6), top - low)),
     }[variant]
-    return rows.withColumn("relevance", value)
+    return rows.withColumn("relevance", value).drop("top__", "low__")
+
+
+def relevance_of_truths(truth: DataFrame, found: DataFrame, distance: str, variant: str = "scaled") -> DataFrame:
+    """truth(query_id, id) with the relevance of its distance in found; 0 where it was not found."""
+    scored = relevance_of_distance(found, distance, variant).select("query_id", "id", "relevance")
+    return truth.join(scored, ["query_id", "id"], "left").withColumn("relevance", F.coalesce("relevance", F.lit(0.0)))
 
 
 def coverage(reference: DataFrame, ranking: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..sources.scratch import settled
+
 
 def along(keys: list[str], order: list) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -108,13 +110,32 @@ def most_frequent(rows: DataFrame, keys: list[str], values: list[str]) -> DataFr
     return counted.withColumn("k__", F.row_number().over(w)).where("k__ = 1").drop("k__")
 
 
+def running_total(rows: DataFrame, keys: list[str], order: list[str], value: Column, alias: str) -> DataFrame:
+    """rows with the total of value over the rows of their group up to and with them. Groups of any size are split: rows are
+    dealt to ranges of (keys, order), and the totals of a group's earlier ranges, a row for each, are added.
+
+    `order` must tell the rows of a group apart."""
+    ranged = settled(rows.withColumn("add__", value).repartitionByRange(*keys, *order).withColumn("range__", F.spark_partition_id()))
+    totals = ranged.groupBy(*keys, "range__").agg(F.sum("add__").alias("sum__"))
+    earlier = F.sum("sum__").over(Window.partitionBy(*keys).orderBy("range__").rowsBetween(Window.unboundedPreceding, -1))
+    totals = totals.select(*[F.col(k).alias(f"{k}__of") for k in keys], F.col("range__").alias("r__"), F.coalesce(earlier, F.lit(0)).alias("before__"))
+    inside = F.sum("add__").over(Window.partitionBy("range__", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    same = F.col("range__") == F.col("r__")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}__of"))
+    out = ranged.withColumn("inside__", inside).join(totals, same)
+    return out.select(*[f"`{c}`" for c in rows.columns], (F.col("inside__") + F.col("before__")).alias(alias))
+
+
 def midpoint_percentiles(rows: DataFrame, keys: list[str], c: str, percents: list[float]) -> DataFrame:
     """p<percent> columns: the i-th of n sorted values stands at (i - 1/2) / n, with linear steps between.
 
-    Equal values are counted before the ordered pass, so its rows are distinct values, not readings."""
+    Equal values are counted before the ordered pass, so its rows are distinct values, not readings, and a large group is
+    dealt to several ranges."""
     counted = rows.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("double").alias("v__")).agg(F.count("*").alias("m__"))
-    w = Window.partitionBy(*keys).orderBy("v__")
-    upto = counted.withColumn("upto__", F.sum("m__").over(w)).withColumn("n__", F.sum("m__").over(Window.partitionBy(*keys)))
+    upto = running_total(counted, keys, ["v__"], F.col("m__"), "upto__")
+    sizes = upto.groupBy(*keys).agg(F.max("upto__").alias("n__"))
+    upto = upto.join(sizes, keys) if keys else upto.crossJoin(F.broadcast(sizes))  # without keys there is one size
     out = []
     for p in percents:
         at = F.greatest(F.lit(1.0), F.least(F.col("n__").cast("double"), p / 100 * F.col("n__") + 0.5))

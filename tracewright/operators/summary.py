@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
+from . import series
 
 
 def info(deviations: DataFrame, value: str, traj: str = "traj_id", seg: str = "seg_id", prefix: str = "") -> DataFrame:
@@ -18,10 +19,10 @@ def info(deviations: DataFrame, value: str, traj: str = "traj_id", seg: str = "s
 
 def overview(rows: DataFrame, value: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
     v = F.col(value)
-    return rows.groupBy(*keys).agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.expr(f"percentile(`{value}`, 0.5)").alias("median"),
-        stats.deviation(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-    )
+    figures = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), stats.deviation(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+    middle = series.midpoint_percentiles(rows, keys, value, [50]).withColumnRenamed("p50", "median")
+    figures = figures.join(middle, keys, "left") if keys else figures.crossJoin(F.broadcast(middle))  # one row each
+    return figures.select(*keys, "n", "mean", "median", "std", "min", "max")
 
 
 def prediction_errors(rows: DataFrame, actual: str, predicted: str, keys: list[str] = []) -> DataFrame:  # noqa: B006
@@ -29,10 +30,12 @@ def prediction_errors(rows: DataFrame, actual: str, predicted: str, keys: list[s
 
 
 def average_ranks(rows: DataFrame, keys: list[str], c: str, alias: str) -> DataFrame:
-    """rows with the average rank of c in its group: ties share the mean of their places."""
-    w = Window.partitionBy(*keys)
-    ties = Window.partitionBy(*keys, c)
-    return rows.withColumn(alias, F.rank().over(w.orderBy(c)) + (F.count("*").over(ties) - 1) / 2)
+    """rows with the average rank of c in its group: ties share the mean of their places. Null values get none.
+
+    Values are counted, ranked in ranges, and met again by value, so no group is sorted in one task."""
+    counted = rows.where(F.col(c).isNotNull()).groupBy(*keys, c).agg(F.count("*").alias("m__"))
+    placed = series.running_total(counted, keys, [c], F.col("m__"), "upto__").select(*keys, c, (F.col("upto__") - (F.col("m__") - 1) / 2).alias(alias))
+    return rows.join(placed, [*keys, c], "left")
 
 
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
@@ -67,6 +70,19 @@ def documents(deviations: DataFrame, key: str, order: str, value: str, factor: f
     return deviations.groupBy(key).agg(F.min(scaled).alias("min"), F.max(scaled).alias("max"), F.avg(scaled).alias("mean"), F.transform(ordered, lambda s: s.v).alias("values"))
 
 
+def top_labels(rows: DataFrame, keys: list[str], score: Column, label: str, k: int = 5) -> DataFrame:
+    """The k labels with the best scores of each group with their rank, smaller label first on a tie."""
+    scored = rows.select(*keys, label, score.alias("score"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), label)
+    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def finite_means(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """For each value column the mean over the rows where it is finite, and their number n_<column>."""
+    finite = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    return rows.groupBy(*keys).agg(*[f for c in values for f in (F.avg(finite(c)).alias(c), F.count(finite(c)).alias(f"n_{c}"))])
+
+
 def best_by(rows: DataFrame, keys: list[str], score: Column, label: str) -> DataFrame:
     """The row label with the best score of each group, smaller label on a tie."""
     return rows.groupBy(*keys).agg(F.max_by(F.struct(label, score.alias("score")), F.struct(score, F.lit(0))).alias("b__")).select(*keys, "b__.*")

@@ -118,9 +118,14 @@ TRUTH_SQL = "truth AS (SELECT a.id AS query_id, b.id FROM v a JOIN v b ON a.labe
 FULL_SQL = f"{HALVES_SQL}, {_topk_sql('vec', 1000000000, 'full_rank')}"
 
 
-def _full(t, k=1_000_000_000):
+def _ranked(asked, rows, k):
+    """The first k rows of every query, or all of them."""
+    return ranking.cosine_top_k(asked, rows, k, 9) if k else ranking.cosine_ranking(asked, rows, 9)
+
+
+def _full(t, k=None):
     v = _vectors(t)
-    return ranking.cosine_top_k(_asked(v, F.col("vec").alias("query_vec")), v.select("id", "vec"), k, digits=9)
+    return _ranked(_asked(v, F.col("vec").alias("query_vec")), v.select("id", "vec"), k)
 
 
 # --- search and fusion ---------------------------------------------------------------------------------------------
@@ -171,7 +176,7 @@ def decomposed_prediction(t):
 @query(f"""WITH {FULL_SQL}, m AS (SELECT truth.query_id, f.rank FROM truth LEFT JOIN full_rank f ON f.query_id = truth.query_id AND f.id = truth.id AND f.rank <= 50),
   {TRUTH_SQL} SELECT query_id, count(rank) AS hits, count(*) AS truths, round(count(rank)::DOUBLE / least(count(*), 50), 6) AS recall FROM m GROUP BY query_id""".replace(", m AS", f", {TRUTH_SQL}, m AS").replace(f",\n  {TRUTH_SQL} SELECT", " SELECT"))
 def recall_at_k(t):
-    return ranking.recall_at(_full(t), _truth(t), 50).select("query_id", "hits", "truths", r("recall").alias("recall"))
+    return ranking.recall_at(_full(t, 50), _truth(t), 50).select("query_id", "hits", "truths", r("recall").alias("recall"))
 
 
 @query(f"WITH {FULL_SQL}, {TRUTH_SQL} SELECT query_id, round(avg(1.0 / rank), 6) AS mrr, round(avg(rank), 6) AS mean_rank FROM truth JOIN full_rank USING (query_id, id) GROUP BY query_id")
@@ -188,26 +193,26 @@ def truth_coverage(t):
 HEAD_RANK_SQL = f"{FULL_SQL}, {_topk_sql('head', 1000000000, 'head_rank')}"
 
 
-def _head(t):
+def _head(t, k=None):
     h = _halves(t)
-    return ranking.cosine_top_k(_asked(h, F.col("head").alias("query_vec")), h.select("id", F.col("head").alias("vec")), 1_000_000_000, 9)
+    return _ranked(_asked(h, F.col("head").alias("query_vec")), h.select("id", F.col("head").alias("vec")), k)
 
 
 @query(f"""WITH {HEAD_RANK_SQL}, j AS (SELECT a.query_id, a.rank AS ra, b.rank AS rb FROM full_rank a JOIN head_rank b USING (query_id, id) WHERE a.rank <= 10)
   SELECT query_id, max(rb) AS coverage_point, round(max(rb) / 10.0, 6) AS expansion, round(count(*) FILTER (rb <= 10) / 10.0, 6) AS recall, round(avg(abs(rb - ra)), 6) AS mean_shift, round(median(abs(rb - ra)), 6) AS median_shift FROM j GROUP BY query_id""")
 def coverage_points(t):
-    c = ranking.coverage(_full(t), _head(t), 10)
+    c = ranking.coverage(_full(t, 10), _head(t), 10)
     return c.select("query_id", "coverage_point", *[r(x).alias(x) for x in ("expansion", "recall", "mean_shift", "median_shift")])
 
 
 @query(f"WITH {HEAD_RANK_SQL} SELECT query_id, round(count(*) / 10.0, 6) AS precision FROM (SELECT * FROM full_rank WHERE rank <= 10) a JOIN (SELECT * FROM head_rank WHERE rank <= 10) b USING (query_id, id) GROUP BY query_id")
 def precision_at_k(t):
-    return ranking.overlap_at(_full(t), _head(t), 10).select("query_id", r("precision").alias("precision"))
+    return ranking.overlap_at(_full(t, 10), _head(t, 10), 10).select("query_id", r("precision").alias("precision"))
 
 
 @query(f"WITH {HEAD_RANK_SQL} SELECT query_id, max(b.rank) AS prefix FROM (SELECT * FROM full_rank WHERE rank <= 50) a JOIN head_rank b USING (query_id, id) GROUP BY query_id")
 def prefix_for_common_top50(t):
-    return ranking.prefix_for_common(_full(t), _head(t), 50)
+    return ranking.prefix_for_common(_full(t, 50), _head(t), 50)
 
 
 def _ndcg_sql(gain: str, relevance: str) -> str:
@@ -234,11 +239,9 @@ def ndcg_exponential(t):
 @query(f"""WITH {HEAD_RANK_SQL}, a AS (SELECT query_id, f.rank AS x, h.rank AS y FROM full_rank f JOIN head_rank h USING (query_id, id))
   SELECT query_id, round(corr(x, y), 6) AS spearman FROM a GROUP BY query_id""")
 def spearman_of_rankings(t):
-    both = _full(t).select("query_id", "id", F.col("distance").alias("a")).join(_head(t).select("query_id", "id", F.col("rank").alias("b"), F.col("distance").alias("hd")), ["query_id", "id"])
-    # distances are ranked with shared places; here ids already break ties, so ranks stand for themselves
-    full = _full(t).select("query_id", "id", F.col("rank").alias("x"))
-    rows = both.join(full, ["query_id", "id"])
-    return summary.spearman(rows, ["query_id"], "x", "b").select("query_id", r("spearman").alias("spearman"))
+    # ids break ties, so both ranks are places already, and their correlation is Spearman's
+    both = _full(t).select("query_id", "id", F.col("rank").alias("a")).join(_head(t).select("query_id", "id", F.col("rank").alias("b")), ["query_id", "id"])
+    return both.groupBy("query_id").agg(r(F.corr("a", "b")).alias("spearman"))
 
 
 @query("""WITH x AS (SELECT o_orderpriority AS p, round(o_totalprice / 1000) AS a, o_custkey % 37 AS b FROM orders),
@@ -322,9 +325,10 @@ def window_pairing(t):
     return _nearest(t, F.col("gap__") <= 43_200_000_000)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
 def anti_join_pending(t):
-    return joins.pending(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    done = t("orders").select(F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).alias("c_custkey"))  # null where nothing is done
+    return joins.pending(t("customer").select("c_custkey"), done, "c_custkey")
 
 
 @query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal < -950)")
@@ -578,6 +582,7 @@ def path_length_and_kind(t):
 
 # --- vectors, embeddings, features ---------------------------------------------------------------------------------
 
+SEQ = "seq"
 SEQ_SQL = f"seqs AS (SELECT user_id, list([value, {HOUR_SQL}, (event_id % 100)::DOUBLE] ORDER BY ts, event_id) AS seq, count(*) AS n FROM events GROUP BY 1)"
 
 
@@ -593,18 +598,18 @@ def _seqs(t):
     return tables.sequences(_points(t), ["traj_id"]).withColumnRenamed("traj_id", "user_id")
 
 
-@query(f"WITH {SEQ_SQL}, m AS (SELECT user_id, seq, n AS m FROM seqs), f AS (SELECT user_id, unnest({_resample_sql('seq', 20, 1)}) AS x, generate_subscripts({_resample_sql('seq', 20, 1)}, 1) AS k FROM m) SELECT user_id, k, round(x, 6) AS x FROM f")
+@query(f"WITH {SEQ_SQL}, m AS (SELECT user_id, seq, n AS m FROM seqs), f AS (SELECT user_id, {', '.join(f'unnest({_resample_sql(SEQ, 20, d)}) AS {c}' for d, c in enumerate('xyz', 1))}, unnest(range(1, 21)) AS k FROM m) SELECT user_id, k, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM f")
 def resample_linear(t):
     rows = _seqs(t).select("user_id", F.posexplode(vectors.resample("seq", 20)).alias("i", "p"))
-    return rows.select("user_id", (F.col("i") + 1).cast("long").alias("k"), r(F.col("p")[0]).alias("x"))
+    return rows.select("user_id", (F.col("i") + 1).cast("long").alias("k"), *[r(F.col("p")[i]).alias(c) for i, c in enumerate("xyz")])
 
 
-@query("""WITH b AS (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1)
-  SELECT event_id, round((value - lo) / CASE WHEN hi - lo < 1e-9 THEN 1 ELSE hi - lo END, 6) AS scaled FROM events JOIN b USING (user_id)""")
+@query("""WITH b AS (SELECT user_id, min(value) AS lo, max(value) AS hi, min(event_id) AS lo2, max(event_id) AS hi2 FROM events GROUP BY 1)
+  SELECT event_id, round((value - lo) / CASE WHEN hi - lo < 1e-9 THEN 1 ELSE hi - lo END, 6) AS scaled, round((event_id - lo2) / CASE WHEN hi2 - lo2 < 1e-9 THEN 1.0 ELSE (hi2 - lo2)::DOUBLE END, 6) AS scaled_id FROM events JOIN b USING (user_id)""")
 def minmax_normalise(t):
     p = tables.sequences(_events(t).select("user_id", F.struct("ts", "event_id").alias("ord"), F.array("value", F.col("event_id").cast("double")).alias("v")), ["user_id"])
     both = p.select("user_id", F.explode(F.arrays_zip("seq", vectors.min_max("seq", 2).alias("scaled"))).alias("e"))
-    return both.select(F.col("e.seq")[1].cast("long").alias("event_id"), r(F.col("e.scaled")[0]).alias("scaled"))
+    return both.select(F.col("e.seq")[1].cast("long").alias("event_id"), r(F.col("e.scaled")[0]).alias("scaled"), r(F.col("e.scaled")[1]).alias("scaled_id"))
 
 
 def _shape_cte(coarse: int, fine: int) -> str:
@@ -720,14 +725,14 @@ def neighbour_coverage(t):
     return prediction.neighbour_coverage(near, errors).select("n", r("correlation").alias("correlation"))
 
 
-@query(f"""WITH {HALVES_SQL} SELECT a.id AS query_id, b.id, round(list_distance(a.head, b.head), 6) AS euclidean, round(list_sum(list_transform(range(1, 33), lambda i: abs(a.head[i] - b.head[i]))), 6) AS manhattan,
-  round(list_max(list_transform(range(1, 33), lambda i: abs(a.head[i] - b.head[i]))), 6) AS chebyshev, round(list_min(list_transform(range(1, 33), lambda i: abs(a.head[i] - b.head[i]))), 6) AS smallest,
-  round(sqrt(list_sum(list_transform(range(1, 33), lambda i: pow(least(abs(a.head[i] - b.head[i]), 2 * pi() - abs(a.head[i] - b.head[i])), 2)))), 6) AS angular FROM h a, h b WHERE a.id % 50 = 0""")
+@query(f"""WITH {HALVES_SQL} SELECT a.id AS query_id, b.id, round(list_distance(a.vec, b.vec), 6) AS euclidean, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.vec[i] - b.vec[i]))), 6) AS manhattan,
+  round(list_max(list_transform(range(1, 65), lambda i: abs(a.vec[i] - b.vec[i]))), 6) AS chebyshev, round(list_min(list_transform(range(1, 65), lambda i: abs(a.vec[i] - b.vec[i]))), 6) AS smallest,
+  round(sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(least(abs(a.vec[i] - b.vec[i]), 2 * pi() - abs(a.vec[i] - b.vec[i])), 2)))), 6) AS angular FROM h a, h b WHERE a.id % 50 = 0""")
 def pairwise_distances(t):
-    h = _halves(t)
-    both = ranking.pairs(_asked(h, F.col("head").alias("qh")), h.select("id", "head"))
+    v = _vectors(t)
+    both = ranking.pairs(_asked(v, F.col("vec").alias("qv")), v.select("id", "vec"))
     each = {"euclidean": vectors.euclidean, "manhattan": vectors.manhattan, "chebyshev": vectors.chebyshev, "smallest": vectors.smallest_difference, "angular": vectors.angular}
-    return both.select("query_id", "id", *[r(f("qh", "head")).alias(n) for n, f in each.items()])
+    return both.select("query_id", "id", *[r(f("qv", "vec")).alias(n) for n, f in each.items()])
 
 
 def _extreme_sql(side: str, pick: str) -> str:
@@ -889,6 +894,18 @@ def sweep_search(t):
     return search.sweep_search(each, F.col("id") % 50 == 0, 3, digits=9)
 
 
+@query(f"WITH RECURSIVE {recurrences.PAIRS}, {recurrences.band(window=0.2)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank_s2 FROM cdtw) SELECT query_id, id, round(distance, 6) AS dtw_dist, rank_s2 FROM k WHERE rank_s2 <= 10")
+def exact_rerank(t):
+    """The ten nearest by constrained DTW; bounds spare only distances that cannot be among them."""
+    return prediction.exact_rerank(_sequence_pairs(t), 10, window=0.2).select("query_id", "id", r("dtw_dist").alias("dtw_dist"), "rank_s2")
+
+
+@query(f"WITH RECURSIVE {recurrences.PAIRS}, {recurrences.band(window=0.2)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank_s1 FROM cdtw) SELECT query_id, id, rank_s1, round(distance, 6) AS dtw_dist, row_number() OVER (PARTITION BY query_id ORDER BY distance, rank_s1) AS rank_s2 FROM k")
+def adaptive_rerank(t):
+    rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
+    return prediction.adaptive_rerank(rows, window=0.2).select("query_id", "id", "rank_s1", r("dtw_dist").alias("dtw_dist"), "rank_s2")
+
+
 @query(recurrences.SAVINGS)
 def rerank_savings(t):
     rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
@@ -993,7 +1010,7 @@ def angular_rates(t):
 
 @query(f"""WITH {HALVES_SQL}, {_topk_sql('head', 1, 'near')} SELECT query_id, id, distance FROM near""")
 def nearest_pair_subset(t):
-    return ranking.pair_subset(_head(t).select("query_id", "id", "distance"), "nearest")
+    return ranking.pair_subset(_head(t, 1).select("query_id", "id", "distance"), "nearest")
 
 
 @query(recurrences.POSES)
