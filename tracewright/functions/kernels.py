@@ -71,8 +71,18 @@ def discrete_frechet(x: np.ndarray, y: np.ndarray):
     return i, j, local[i, j], float(acc[-1, -1])
 
 
+#: Cells of point and edge that are compared at once.
+CELLS = 2_000_000
+
+
 def point_to_polyline(curve: np.ndarray, points: np.ndarray):
-    """(foot points, distances, arc-length share of the foot) of each point on a polyline."""
+    """(foot points, distances, arc-length share of the foot) of each point on a polyline. Points are taken in blocks."""
+    step = max(1, CELLS // len(curve))
+    parts = [_to_polyline(curve, points[at : at + step]) for at in range(0, len(points), step)] or [_to_polyline(curve, points)]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _to_polyline(curve: np.ndarray, points: np.ndarray):
     start, step = curve[:-1], np.diff(curve, axis=0)
     length2 = (step**2).sum(1)
     nearest = distances(points, curve)

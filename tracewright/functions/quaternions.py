@@ -24,11 +24,13 @@ def conjugate(q: Column | str) -> Column:
 
 
 def inverse(q: Column | str) -> Column:
-    return bound(q, lambda a: scale(conjugate(a), 1 / dot(a, a)))
+    """Null for a zero quaternion."""
+    return bound(q, lambda a: bound(dot(a, a), lambda d: F.when(d > 0, scale(conjugate(a), 1 / d))))
 
 
 def normalised(q: Column | str) -> Column:
-    return bound(q, lambda a: scale(a, 1 / norm(a)))
+    """Null for a zero quaternion."""
+    return bound(q, lambda a: bound(norm(a), lambda n: F.when(n > 0, scale(a, 1 / n))))
 
 
 def product(p: Column | str, q: Column | str) -> Column:
@@ -160,9 +162,10 @@ def _euler(m: Column) -> Column:
 
 
 def from_axis_angle(axis: Column | str, angle: Column) -> Column:
+    """Null for an axis without direction."""
     a, n = col(axis), norm(axis)
-    s = F.sin(angle / 2) / n
-    return F.array(F.cos(angle / 2), s * a[0], s * a[1], s * a[2])
+    s = F.when(n > 0, F.sin(angle / 2) / n)
+    return F.when(s.isNotNull(), F.array(F.cos(angle / 2), s * a[0], s * a[1], s * a[2]))
 
 
 def axis_angle(q: Column | str) -> Column:
@@ -179,11 +182,11 @@ def axis_angle(q: Column | str) -> Column:
 
 
 def rodrigues(q: Column | str, modified: bool = False) -> Column:
-    """Rodrigues vector tan(angle/2) axis, or the modified one tan(angle/4) axis."""
+    """Rodrigues vector tan(angle/2) axis, or the modified one tan(angle/4) axis; null where that is infinite (a half or a whole turn)."""
 
     def body(q: Column) -> Column:
         d = 1 + q[0] if modified else q[0]
-        return F.array(q[1] / d, q[2] / d, q[3] / d)
+        return F.when(d != 0, F.array(q[1] / d, q[2] / d, q[3] / d))
 
     return bound(q, body)
 
@@ -257,7 +260,7 @@ def from_vectors(u: Column | str, v: Column | str) -> Column:
 
 
 def _from_vectors(u: Column, v: Column) -> Column:
-    size = norm(u) * norm(v)
+    size = F.nullif(norm(u) * norm(v), F.lit(0.0))
     c = dot(u, v) / size
     cross = F.array(u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0])
     normal = F.when(F.abs(u[0]) < 0.9 * norm(u), F.array(F.lit(0.0), u[2], -u[1])).otherwise(F.array(-u[2], F.lit(0.0), u[0]))
@@ -302,6 +305,34 @@ def to_euler(order: str, q: Column | str) -> Column:
     return bound(q, body)
 
 
+def complex_matrix(q: Column | str) -> Column:
+    """The 2x2 complex matrix [[w + ix, y + iz], [-y + iz, w - ix]], row by row, each entry as real and imaginary part."""
+    return bound(q, lambda p: F.array(p[0], p[1], p[2], p[3], -p[2], p[3], p[0], -p[1]))
+
+
+def from_complex_matrix(m: Column | str) -> Column:
+    """The quaternion of complex_matrix(), from the means of the entries that say the same."""
+    return bound(m, lambda c: F.array((c[0] + c[6]) / 2, (c[1] - c[7]) / 2, (c[2] - c[4]) / 2, (c[3] + c[5]) / 2))
+
+
+def rotate_tensor(q: Column | str, tensor: Column | str) -> Column:
+    """R T R' for a row-by-row 3x3 tensor and the rotation R of a unit quaternion."""
+
+    def body(m: Column, t: Column) -> Column:
+        left = lambda i, k: m[3 * i] * t[k] + m[3 * i + 1] * t[3 + k] + m[3 * i + 2] * t[6 + k]
+        return bound(F.array(*[left(i, k) for i in range(3) for k in range(3)]), lambda a: F.array(*[a[3 * i] * m[3 * j] + a[3 * i + 1] * m[3 * j + 1] + a[3 * i + 2] * m[3 * j + 2] for i in range(3) for j in range(3)]))
+
+    return bound(rotation(q), lambda m: bound(tensor, lambda t: body(m, t)))
+
+
+def turned_by_angles(q: Column | str, matrix: Column, calibration: Column | str, reference: Column | str) -> Column:
+    """An orientation whose XYZ angles are mapped by a 3x3 matrix (angles as a row times it), followed by a calibration
+    quaternion, with the sign that is nearer to a reference. Null if an input has no direction."""
+    angles = bound(to_euler("XYZ", normalised(q)), lambda e: bound(matrix, lambda m: F.array(*[e[0] * m[j] + e[1] * m[3 + j] + e[2] * m[6 + j] for j in range(3)])))
+    turned = normalised(product(from_euler("XYZ", angles), calibration))
+    return bound(turned, lambda t: bound(reference, lambda f: F.when(dot(t, f) < 0, F.transform(t, lambda x: -x)).otherwise(t)))
+
+
 def derivative(q: Column | str, rate: Column | str) -> Column:
     """Time derivative of an orientation that turns with an angular rate given in its own frame."""
     return scale(product(q, F.concat(F.array(F.lit(0.0)), col(rate))), F.lit(0.5))

@@ -57,6 +57,24 @@ def smallest_difference(a: Column | str, b: Column | str) -> Column:
     return F.array_min(F.transform(subtract(a, b), F.abs))
 
 
+def edge_projection(p: Column | str, a: Column | str, b: Column | str) -> Column:
+    """share and distance of a point's foot on the line through an edge's ends; the distance is infinite where the foot lies
+    beyond an end. On an edge without length the share is 0."""
+
+    def body(p: Column, a: Column, b: Column) -> Column:
+        step, size = subtract(b, a), F.nullif(dot(subtract(b, a), subtract(b, a)), F.lit(0.0))
+        share = F.coalesce(dot(subtract(p, a), step) / size, F.lit(0.0))
+        foot = lambda t: norm(F.zip_with(subtract(p, a), step, lambda x, y: x - t * y))
+        return bound(share, lambda t: F.struct(t.alias("share"), F.when((t >= 0) & (t <= 1), foot(t)).otherwise(F.lit(float("inf"))).alias("distance")))
+
+    return bound(p, lambda x: bound(a, lambda y: bound(b, lambda z: body(x, y, z))))
+
+
+def array_literal(a: Column | str) -> Column:
+    """'{v1,v2,...}', the text form of an array in a relational database."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(col(a), lambda x: x.cast("string")), ",", "NULL"), F.lit("}"))
+
+
 def angular(a: Column | str, b: Column | str) -> Column:
     """Euclidean distance of angle vectors whose components wrap at a full turn."""
     turn = 2 * F.pi()

@@ -2,7 +2,9 @@
 
 Both sides are dealt by the trajectory id and met in one cogroup; ids already in place are not shuffled again. What a
 kernel holds is one trajectory, whose points are bounded by its recording, never a group that grows with the corpus.
-A trajectory that a kernel cannot handle yields one row with its error text in `status`, and the others go on.
+A trajectory that is no input for a kernel (one side without points, points that are not finite) yields one row that says so in
+`status`, and the others go on; errors of the kernels themselves are raised. Kernels hold planes of (nominal x measured) cells:
+eight bytes a cell for the metrics on DTW's recurrence, under two hundred for sidtw.
 """
 
 from __future__ import annotations
@@ -18,31 +20,34 @@ METRICS = ("point_to_curve", "sidtw", "dtw", "frechet", "lcss", "qad", "qdtw")
 _AXES = "xyzw"
 
 
-def _rows(metric: str, x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray):
-    """(nominal points, measured points, distances, segment ids, overall value) of a metric."""
+def _rows(metric: str, x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndarray, own: int):
+    """(nominal points, measured points, distances, segment ids, overall value) of a metric on the first `own` coordinates;
+    the others, such as the time, come along."""
+    a, b = x[:, :own], y[:, :own]
     if metric == "point_to_curve":
-        foot, d, _ = k.point_to_polyline(x, y)
+        foot, d, _ = k.point_to_polyline(a, b)
         return foot, y, d, ys, d.mean()
     if metric == "sidtw":
-        px, py, d, ix, iy, row = k.selective_dtw(x, y)
+        _, _, d, ix, iy, row = k.selective_dtw(a, b)
         # the nominal segment of the row, but the measured one along the first row
         segs = np.where(row == 0, ys[np.minimum(np.ceil(iy).astype(int), len(ys) - 1)], xs[row])
         segs[-1] = xs[-1]
-        return px, py, d, segs, d.mean()
+        return k.along(x, ix), k.along(y, iy), d, segs, d.mean()
     if metric == "qad":
-        between, d = k.quaternion_distance(x, y)
+        between, d = k.quaternion_distance(a, b)
         return between, y, d, ys, d.mean()
     if metric == "lcss":
-        i, j, d, score, _ = k.lcss(x, y)
+        i, j, d, score, _ = k.lcss(a, b)
         return x[i], y[j], d, ys[j], score
-    i, j, d, total = {"dtw": k.dtw, "frechet": k.discrete_frechet, "qdtw": k.quaternion_dtw}[metric](x, y)
+    i, j, d, total = {"dtw": k.dtw, "frechet": k.discrete_frechet, "qdtw": k.quaternion_dtw}[metric](a, b)
     return x[i], y[j], d, ys[j] if metric == "qdtw" else xs[i], total if metric == "frechet" else d.mean()
 
 
-def align(nominal: DataFrame, measured: DataFrame, metric: str, dims: int = 3, traj: str = "traj_id", granularity: str = "trajectory") -> DataFrame:
+def align(nominal: DataFrame, measured: DataFrame, metric: str, dims: int = 3, traj: str = "traj_id", granularity: str = "trajectory", carried: int = 0) -> DataFrame:
     """Deviations of each pair on the metric's path: traj_id, seg_id, points_order, distance, nominal, measured, value, status.
 
-    Both inputs have traj_id, seg_id, ord and v (array<double>); granularity 'segment' aligns each segment by itself."""
+    Both inputs have traj_id, seg_id, ord and v (array<double>); granularity 'segment' aligns each segment by itself. The
+    distance takes the first `dims` coordinates; `carried` more are interpolated with the points (a time, say)."""
     if metric not in METRICS:
         raise ValueError(metric)
     keys = [traj, "seg_id"] if granularity == "segment" else [traj]
@@ -51,20 +56,25 @@ def align(nominal: DataFrame, measured: DataFrame, metric: str, dims: int = 3, t
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        try:
-            if not len(left) or not len(right):
-                raise ValueError("one side has no points")
-            left, right = left.sort_values("ord"), right.sort_values("ord")
-            x, y = np.vstack(left.v)[:, :dims].astype(float), np.vstack(right.v)[:, :dims].astype(float)
-            px, py, d, segs, value = _rows(metric, x, y, left.seg_id.to_numpy(), right.seg_id.to_numpy())
-            return pd.DataFrame({traj: key[0], "seg_id": segs, "points_order": np.arange(1, len(d) + 1), "distance": d, "nominal": list(px), "measured": list(py), "value": float(value), "status": "ok"})[columns]
-        except Exception as e:  # noqa: BLE001  one bad trajectory must not stop the others
-            return pd.DataFrame([{**dict.fromkeys(columns), traj: key[0], "status": f"{type(e).__name__}: {e}"}])[columns]
+        left, right = left.sort_values("ord"), right.sort_values("ord")
+        x, y = (np.vstack(side.v)[:, : dims + carried].astype(float) if len(side) else np.zeros((0, dims)) for side in (left, right))
+        problem = "one side has no points" if not len(x) or not len(y) else "" if np.isfinite(x[:, :dims]).all() and np.isfinite(y[:, :dims]).all() else "points that are not finite"
+        if not problem and metric in ("qad", "qdtw") and not (x[:, :dims].any(axis=1).all() and y[:, :dims].any(axis=1).all()):
+            problem = "an orientation of length zero"
+        if problem:
+            return pd.DataFrame([{**dict.fromkeys(columns), **dict(zip(keys, key)), "status": problem}])[columns]
+        px, py, d, segs, value = _rows(metric, x, y, left.seg_id.to_numpy(), right.seg_id.to_numpy(), dims)
+        return pd.DataFrame({traj: key[0], "seg_id": segs, "points_order": np.arange(1, len(d) + 1), "distance": d, "nominal": list(px), "measured": list(py), "value": float(value), "status": "ok"})[columns]
 
     need = [traj, "seg_id", "ord", "v"]
     return nominal.select(*need).groupBy(*keys).cogroup(measured.select(*need).groupBy(*keys)).applyInPandas(run, schema)
 
 
+def failed(deviations: DataFrame, traj: str = "traj_id") -> DataFrame:
+    """traj_id, seg_id and status of what could not be aligned."""
+    return deviations.where("status <> 'ok'").select(traj, "seg_id", "status")
+
+
 def pair_distances(pairs: DataFrame, a: str, b: str, measure: str = "constrained_dtw", alias: str = "distance", **options) -> DataFrame:
     """pairs with the distance of two sequence columns (array<array<double>>), computed batch by batch where the pairs are.
 

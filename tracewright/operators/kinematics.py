@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import quaternions as q
+from . import joins
 from .series import along
 
 
@@ -22,6 +23,22 @@ def angular_rates(rows: DataFrame, keys: list[str], at: str, quaternion: str, al
     return rows.withColumn(alias, F.when(F.col("q__").isNotNull() & (F.col("dt__") != 0), rate)).drop("q__", "dt__")
 
 
+def turns(rows: DataFrame, keys: list[str], order: list, quaternion: str, alias: str = "turn") -> DataFrame:
+    """rows with the turn since the row before: the inverse of that orientation times this one; null at the start."""
+    before = F.lag(quaternion).over(along(keys, order))
+    return rows.withColumn("q__", before).withColumn(alias, F.when(F.col("q__").isNotNull(), q.product(q.inverse("q__"), quaternion))).drop("q__")
+
+
+def interpolated(samples: DataFrame, wanted: DataFrame, keys: list[str], at: str, quaternion: str, alias: str = "orientation") -> DataFrame:
+    """wanted (keys, at) with the orientation between the nearest samples before and after, on the shorter arc; null outside."""
+    some = samples.select(*keys, F.col(at).alias("s__"), F.col(quaternion).alias("q__"))
+    before = joins.asof(wanted, some.select(*keys, "s__", F.col("s__").alias("a__"), F.col("q__").alias("p__")), at, "s__", keys, right_columns=["a__", "p__"])
+    both = joins.asof(before, some.select(*keys, "s__", F.col("s__").alias("b__"), F.col("q__").alias("n__")), at, "s__", keys, "forward", right_columns=["b__", "n__"])
+    share = F.when(F.col("b__") == F.col("a__"), F.lit(0.0)).otherwise((F.col(at) - F.col("a__")) / (F.col("b__") - F.col("a__")))
+    between = F.when(F.col("a__").isNotNull() & F.col("b__").isNotNull(), q.slerp("p__", "n__", F.col("t__")))
+    return both.withColumn("t__", share).withColumn(alias, between).drop("a__", "b__", "p__", "n__", "t__")
+
+
 def _times(p: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.concatenate([[p[0] * r[0] - p[1:] @ r[1:]], p[0] * r[1:] + r[0] * p[1:] + np.cross(p[1:], r[1:])])
 

@@ -110,6 +110,16 @@ def most_frequent(rows: DataFrame, keys: list[str], values: list[str]) -> DataFr
     return counted.withColumn("k__", F.row_number().over(w)).where("k__ = 1").drop("k__")
 
 
+def points_between(events: DataFrame, keys: list[str], order: list, coordinates: list[str], count: Column) -> DataFrame:
+    """Nominal points: for each row and the next one of its series `count` (at least one) points at even steps on the line
+    between, with segment (from 1), point (from 1) and the coordinates."""
+    w = along(keys, order)
+    rows = events.select(*keys, F.row_number().over(w).cast("long").alias("segment"), count.cast("int").alias("count__"), *[F.struct(F.col(c).alias("a"), F.lead(c).over(w).alias("b")).alias(c) for c in coordinates], F.lead(F.lit(1)).over(w).alias("next__"))
+    rows = rows.where("next__ = 1 and count__ >= 1").withColumn("i__", F.explode(F.sequence(F.lit(0), F.col("count__") - 1)))
+    share = F.when(F.col("count__") > 1, F.col("i__") / (F.col("count__") - 1)).otherwise(F.lit(1.0))  # a single point is the last one
+    return rows.select(*keys, "segment", (F.col("i__") + 1).cast("long").alias("point"), *[(F.col(f"{c}.a") + share * (F.col(f"{c}.b") - F.col(f"{c}.a"))).alias(c) for c in coordinates])
+
+
 def running_total(rows: DataFrame, keys: list[str], order: list[str], value: Column, alias: str) -> DataFrame:
     """rows with the total of value over the rows of their group up to and with them. Groups of any size are split: rows are
     dealt to ranges of (keys, order), and the totals of a group's earlier ranges, a row for each, are added.

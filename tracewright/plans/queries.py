@@ -1062,6 +1062,166 @@ def rest_point_means(t):
     return m.select("user_id", r(F.col("v")[0], 10).alias("x"), r(F.col("v")[1], 10).alias("y"), "n")
 
 
+# --- further geometry, interpolation and result handling -----------------------------------------------------------
+
+
+@query("""WITH e AS (SELECT event_id, [value, (event_id % 100)::DOUBLE] AS p, lag([value, (event_id % 100)::DOUBLE]) OVER w AS b, lag([value, (event_id % 100)::DOUBLE], 2) OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  t AS (SELECT *, coalesce(((p[1] - a[1]) * (b[1] - a[1]) + (p[2] - a[2]) * (b[2] - a[2])) / nullif(pow(b[1] - a[1], 2) + pow(b[2] - a[2], 2), 0), 0) AS t FROM e WHERE a IS NOT NULL)
+  SELECT event_id, round(t, 6) + 0.0 AS share, CASE WHEN t BETWEEN 0 AND 1 THEN round(sqrt(pow(p[1] - a[1] - t * (b[1] - a[1]), 2) + pow(p[2] - a[2] - t * (b[2] - a[2]), 2)), 6) ELSE 'infinity'::DOUBLE END AS distance FROM t""")
+def edge_projection(t):
+    """Each point against the edge of the two points before it."""
+    e, w = t("events").withColumn("p", F.array("value", (F.col("event_id") % 100).cast("double"))), _w()
+    rows = e.select("event_id", "p", F.lag("p", 2).over(w).alias("a"), F.lag("p").over(w).alias("b")).where("a is not null")
+    rows = rows.withColumn("e", vectors.edge_projection("p", "a", "b"))
+    return rows.select("event_id", (r("e.share") + 0.0).alias("share"), r("e.distance").alias("distance"))
+
+
+@query(f"""WITH {QUAT_SQL}, m AS (SELECT event_id, a + 0.5 AS a FROM a), r AS (SELECT event_id, [cos(a) + 0.36 * (1 - cos(a)), 0.48 * (1 - cos(a)), 0.8 * sin(a), 0.48 * (1 - cos(a)), cos(a) + 0.64 * (1 - cos(a)), -0.6 * sin(a), -0.8 * sin(a), 0.6 * sin(a), cos(a)] AS m FROM m),
+  e AS (SELECT event_id, {_euler_sql('XYZ')} AS e FROM r), d AS (SELECT event_id, [e[2], -e[1], e[3]] AS h FROM e),
+  z AS (SELECT event_id, {recurrences._times(recurrences._times('[cos(h[1] / 2), sin(h[1] / 2), 0.0, 0.0]', '[cos(h[2] / 2), 0.0, sin(h[2] / 2), 0.0]'), '[cos(h[3] / 2), 0.0, 0.0, sin(h[3] / 2)]')} AS z FROM d),
+  c AS (SELECT event_id, {recurrences._times('z', '[0.5, 0.5, 0.5, 0.5]')} AS c FROM z), v AS (SELECT event_id, CASE WHEN c[1] + c[2] < 0 THEN list_transform(c, lambda z: -z) ELSE c END AS v FROM c) {_exploded_sql('v', 'event_id')}""")
+def turned_by_angles(t):
+    """Orientations mapped by their angles (the first two exchanged, one negated), calibrated, and signed like a reference."""
+    h = (F.radians("value") + 0.5) / 2
+    rows = t("events").select("event_id", q.quat(F.cos(h), F.sin(h) * 0.6, F.sin(h) * 0.8, F.lit(0.0)).alias("p"))
+    numbers = lambda *xs: F.array(*[F.lit(float(x)) for x in xs])
+    turned = q.turned_by_angles("p", numbers(0, -1, 0, 1, 0, 0, 0, 0, 1), numbers(0.5, 0.5, 0.5, 0.5), numbers(1, 1, 0, 0))
+    return _exploded(rows, turned, "event_id")
+
+
+@query(f"""WITH e AS (SELECT user_id, row_number() {BY_USER}) AS segment, value AS x0, (event_id % 100)::DOUBLE AS y0, lead(value) {BY_USER}) AS x1, lead((event_id % 100)::DOUBLE) {BY_USER}) AS y1, event_id % 4 + 1 AS n FROM events),
+  p AS (SELECT *, unnest(range(n)) AS i FROM e WHERE x1 IS NOT NULL)
+  SELECT user_id, segment, i + 1 AS point, round(x0 + CASE WHEN n > 1 THEN i / (n - 1)::DOUBLE ELSE 1 END * (x1 - x0), 6) AS x, round(y0 + CASE WHEN n > 1 THEN i / (n - 1)::DOUBLE ELSE 1 END * (y1 - y0), 6) AS y FROM p""")
+def nominal_points(t):
+    e = t("events").withColumn("x", F.col("value")).withColumn("y", (F.col("event_id") % 100).cast("double"))
+    p = series.points_between(e, ["user_id"], ["ts", "event_id"], ["x", "y"], F.col("event_id") % 4 + 1)
+    return p.select("user_id", "segment", "point", r("x").alias("x"), r("y").alias("y"))
+
+
+@query(f"""WITH d AS (SELECT event_id, radians(value - lag(value) {BY_USER})) AS turn, radians(lag(value) {BY_USER})) AS from_ FROM events), m AS (SELECT event_id, turn, from_ + (turn / 2 - pi() * round(turn / 2 / pi())) AS middle FROM d)
+  SELECT event_id, round(cos(turn / 2), 6) + 0.0 AS w, round(sin(turn / 2) * 0.6, 6) + 0.0 AS x, round(cos(middle / 2), 6) + 0.0 AS middle_w, round(sin(middle / 2) * 0.6, 6) + 0.0 AS middle_x FROM m WHERE turn IS NOT NULL""")
+def orientation_steps(t):
+    """The turn since the pose before, and the orientation half-way, by interpolation in time."""
+    rows = _quats(t).join(_events(t).select("event_id", "at"), "event_id").withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("at", "event_id")) * 2)
+    turned = kinematics.turns(rows, ["user_id"], ["at", "event_id"], "p")
+    wanted = rows.where("place > 2").select("event_id", "user_id", (F.col("place") - 1).alias("place"))
+    between = kinematics.interpolated(rows.select("user_id", "place", "p"), wanted, ["user_id"], "place", "p")
+    both = between.join(turned.select("event_id", "turn"), "event_id")
+    return both.select("event_id", *[(r(F.col(c)[i]) + 0.0).alias(n) for n, c, i in (("w", "turn", 0), ("x", "turn", 1), ("middle_w", "orientation", 0), ("middle_x", "orientation", 1))])
+
+
+@query(f"""WITH s AS (SELECT event_id, sum(radians(value)) {BY_USER} ROWS UNBOUNDED PRECEDING) / 2 AS h FROM events) SELECT event_id, round(cos(h), 6) + 0.0 AS w, round(sin(h) * 0.6, 6) + 0.0 AS x, round(sin(h) * 0.8, 6) + 0.0 AS y, 0.0 AS z FROM s""")
+def cumulative_turns(t):
+    rows = _quats(t).select("event_id", "user_id", "p").join(_events(t).select("event_id", F.struct("at", "event_id").alias("o")), "event_id")
+    rows = rows.withColumn("o", F.row_number().over(Window.partitionBy("user_id").orderBy("o")))
+    total = kinematics.cumulative_product(rows, ["user_id"], "o", "p")
+    return total.select("event_id", *[(r(F.col("product")[i]) + 0.0).alias(c) for i, c in enumerate("wxyz")])
+
+
+@query(f"""WITH d AS (SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) {BY_USER})) / 3600000000.0 AS hours, value / 100 AS rate, user_id, ts FROM events), s AS (SELECT event_id, sum(coalesce(hours, 0) * rate) {BY_USER} ROWS UNBOUNDED PRECEDING) / 2 AS h FROM d)
+  SELECT event_id, round(cos(h), 5) + 0.0 AS w, round(sin(h), 5) + 0.0 AS z FROM s""")
+def integrated_rates(t):
+    """Orientations that a rate about the z axis leads to (events of a user have distinct times)."""
+    e = _events(t).select("event_id", "user_id", (F.col("at") / 3_600_000_000.0).alias("hours"), F.array(F.lit(0.0), F.lit(0.0), F.col("value") / 100).alias("rate"))
+    out = kinematics.integrated(e, ["user_id"], "hours", "rate")
+    return out.select("event_id", (r(F.col("orientation")[0], 5) + 0.0).alias("w"), (r(F.col("orientation")[3], 5) + 0.0).alias("z"))
+
+
+@query(f"""WITH {QUAT_SQL}, m AS (SELECT event_id, value, [cos(a), -sin(a), 0.0, sin(a), cos(a), 0.0, 0.0, 0.0, 1.0] AS m, b FROM (SELECT a.event_id, e.value, a.b AS a, a.b FROM a JOIN events e USING (event_id)))
+  SELECT event_id, round(m[1] * m[1] * 2 + m[2] * m[2] * 3, 6) + 0.0 AS xx, round(m[1] * m[4] * 2 + m[2] * m[5] * 3, 6) + 0.0 AS xy, round(m[4] * m[4] * 2 + m[5] * m[5] * 3, 6) + 0.0 AS yy, round(cos(b / 2), 6) + 0.0 AS re, round(sin(b / 2), 6) + 0.0 AS im, round(cos(b / 2), 6) + 0.0 AS back FROM m""")
+def tensors_and_complex_matrices(t):
+    """A tensor turned about z, entries of the complex matrix of the turn, and its real part when read back."""
+    rows = _quats(t).withColumn("c", q.complex_matrix("r")).withColumn("t", q.rotate_tensor("r", F.array(*[F.lit(float(x)) for x in (2, 0, 0, 0, 3, 0, 0, 0, 5)])))
+    return rows.select("event_id", *[(r(F.col("t")[i]) + 0.0).alias(n) for i, n in ((0, "xx"), (1, "xy"), (4, "yy"))], (r(F.col("c")[0]) + 0.0).alias("re"), (r(F.col("c")[3]) + 0.0).alias("im"), (r(q.from_complex_matrix("c")[0]) + 0.0).alias("back"))
+
+
+@query(recurrences.DTW.replace("'ok' AS status", "round(tx[i + 1], 6) AS nominal_at, round(ty[j + 1], 6) AS measured_at").replace("round(avg(d[i + 1][j + 1]) OVER u, 6) AS value, ", "")
+  .replace("JOIN (SELECT user_id, xs, ys FROM xy)", f"JOIN (SELECT a.user_id, a.t AS tx, b.t AS ty FROM (SELECT user_id, event_id % 2 AS side, list({HOUR_SQL} * 2 ORDER BY ts, event_id) AS t FROM events GROUP BY ALL) a JOIN (SELECT user_id, event_id % 2 AS side, list({HOUR_SQL} * 2 ORDER BY ts, event_id) AS t FROM events GROUP BY ALL) b ON a.user_id = b.user_id AND a.side = 0 AND b.side = 1) USING (user_id) JOIN (SELECT user_id, xs, ys FROM xy)"))
+def dtw_with_time(t):
+    """DTW on three coordinates with a fourth, a time, that comes along."""
+    def timed(rest):
+        e = t("events").where(F.col("event_id") % 2 == rest).withColumn("hour", hour()).withColumn("z", (F.col("event_id") % 100).cast("double")).withColumn("when", F.col("hour") * 2)
+        return tables.points(e, "user_id", "event_type", ["ts", "event_id"], ["value", "hour", "z", "when"])
+
+    d = alignment.align(timed(0), timed(1), "dtw", 3, carried=1)
+    return d.select("traj_id", "seg_id", "points_order", r("distance").alias("distance"), r(F.col("nominal")[3]).alias("nominal_at"), r(F.col("measured")[3]).alias("measured_at"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE lower(o_orderstatus) = 'o' AND contains(lower(o_orderpriority), 'high') AND o_orderkey % 10 IN (1, 3, 7) AND o_orderkey % 7 = o_custkey % 7 AND starts_with(lower(o_orderpriority), '2')")
+def result_filters(t):
+    o = t("orders").withColumn("last", F.col("o_orderkey") % 10).withColumn("a", F.col("o_orderkey") % 7).withColumn("b", F.col("o_custkey") % 7)
+    return joins.selected(o, equals={"o_orderstatus": "o"}, contains={"o_orderpriority": "HIGH"}, starts={"o_orderpriority": "2"}, among={"last": [1, 3, 7]}, same=[("a", "b")]).select("o_orderkey")
+
+
+@query("""WITH s AS (SELECT c_custkey AS traj, c_nationkey AS g, c_custkey || '_' || k AS seg, k AS number FROM customer, (SELECT unnest([1, 2]) AS k) WHERE k = 1 OR c_custkey % 3 = 0)
+  SELECT a.seg AS query, a.number, string_agg(b.seg, ',' ORDER BY b.seg) AS matches FROM s a JOIN s b ON a.g = b.g AND a.number = b.number AND a.traj <> b.traj WHERE a.traj % 50 = 0 GROUP BY ALL""")
+def same_group_by_number(t):
+    c = t("customer").select(F.col("c_custkey").alias("traj"), F.col("c_nationkey").alias("g"), F.explode(F.array(F.lit(1), F.lit(2))).alias("number")).where("number = 1 or traj % 3 = 0")
+    c = c.withColumn("seg", F.concat_ws("_", "traj", "number"))
+    found = joins.same_group_by_number(c.where("traj % 50 = 0"), c, "g", "traj", "seg", "number")
+    return found.select("query", "number", F.array_join("matches", ",").alias("matches"))
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS mode, o_custkey AS label, round(sum(o_totalprice), 4) AS score FROM orders GROUP BY ALL)
+  SELECT mode, label, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY mode ORDER BY score DESC, label) AS rank FROM m) WHERE rank <= 5""")
+def top_labels(t):
+    sums = t("orders").groupBy(F.col("o_orderpriority").alias("mode"), F.col("o_custkey").alias("label")).agg(r(F.sum("o_totalprice"), 4).alias("total"))
+    return summary.top_labels(sums, ["mode"], F.col("total"), "label", 5)
+
+
+@query("""WITH x AS (SELECT event_type, CASE WHEN event_id % 5 = 0 THEN 'infinity'::DOUBLE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS v FROM events)
+  SELECT event_type, round(avg(v) FILTER (v IS NOT NULL AND isfinite(v)), 6) AS v, count(*) FILTER (v IS NOT NULL AND isfinite(v)) AS n_v FROM x GROUP BY 1""")
+def finite_means(t):
+    i = F.col("event_id")
+    v = F.when(i % 5 == 0, F.lit(float("inf"))).when(i % 7 == 0, F.lit(float("nan"))).when(i % 11 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
+    return summary.finite_means(t("events").select("event_type", v.alias("v")), ["event_type"], ["v"]).select("event_type", r("v").alias("v"), "n_v")
+
+
+@query("""SELECT c_custkey, 'both' AS part FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'idle' FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+def set_operations(t):
+    ids, o = t("customer").select("c_custkey"), t("orders")
+    both = ids.intersect(o.select(F.col("o_custkey").alias("c_custkey"))).withColumn("part", F.lit("both"))
+    return both.unionByName(ids.subtract(o.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))).withColumn("part", F.lit("idle")))
+
+
+@query(f"WITH {FUSED_SQL} SELECT query_id, fused.id, rrf_score, fused.rank, label, CASE WHEN ra.id IS NOT NULL THEN ra.distance ELSE rb.distance END AS distance FROM fused JOIN (SELECT id, label FROM v) USING (id) LEFT JOIN ra USING (query_id, id) LEFT JOIN rb USING (query_id, id)")
+def rrf_with_metadata(t):
+    """Fusion with the label and the distance of the first modality that lists a row."""
+    rows = _rankings(t).join(_vectors(t).select("id", "label"), "id")
+    fused = ranking.reciprocal_rank_fusion(rows, carry=["label", "distance"], first="head")
+    scored = fused.select("query_id", "id", r("rrf_score", 12).alias("rrf_score"), "label", "distance")
+    return ranking.rank_by(scored, ["query_id"], [F.desc("rrf_score"), "id"])
+
+
+@query(f"""WITH {HALVES_SQL}, {_topk_sql('vec', 30, 'top')}, {TRUTH_SQL}, m AS (SELECT query_id, max(distance) AS far FROM top GROUP BY 1)
+  SELECT truth.query_id, truth.id, coalesce(round(1 / (1 + distance / far), 6), 0) AS relevance FROM truth LEFT JOIN top USING (query_id, id) LEFT JOIN m USING (query_id)""")
+def relevance_of_truths(t):
+    """Truths outside of the first thirty count as not found."""
+    found = ranking.relevance_of_truths(_truth(t), _full(t, 30), "distance")
+    return found.select("query_id", "id", r("relevance").alias("relevance"))
+
+
+@query("""WITH g AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), s AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)
+  SELECT CASE WHEN user_id % 50 = 0 THEN 'queries' ELSE 'candidates' END AS part, user_id::VARCHAR AS id, n FROM g UNION ALL SELECT CASE WHEN user_id % 50 = 0 THEN 'query segments' ELSE 'candidate segments' END, user_id || '/' || event_type, n FROM s""")
+def experiment_preload(t):
+    e = t("events")
+    points = _points(t)
+    meta = e.select(F.col("user_id").alias("traj_id"), F.col("user_id").cast("string").alias("seg_id")).union(e.select("user_id", "event_type")).groupBy("traj_id", "seg_id").agg(F.count("*").alias("rows"))
+    data = search.experiment_data(points, meta, e.where("user_id % 50 = 0").select("user_id"))
+    out = None
+    for part in ("queries", "candidates"):
+        df = data[part].select(F.lit(part).alias("part"), F.col("traj_id").cast("string").alias("id"), "n")
+        out = df if out is None else out.unionByName(df)
+    parts = data["segments"].select(F.when(F.col("is_query"), F.lit("query segments")).otherwise(F.lit("candidate segments")).alias("part"), F.concat_ws("/", "traj_id", "seg_id").alias("id"), "n")
+    return out.unionByName(parts)
+
+
+@query("SELECT vec_id, '{' || array_to_string(list_transform(embedding[1:64], lambda x: (round(x * 1000))::BIGINT::VARCHAR), ',') || '}' AS literal FROM embeddings")
+def array_literals(t):
+    rows = t("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("long")).alias("v"))
+    return rows.select("vec_id", vectors.array_literal("v").alias("literal"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-modality search with rank fusion."""
     return QUERIES["rrf_fusion"](spark, sf_dir)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import alignment, prediction, ranking
+from ..sources import tables
 
 
 def first_stage(queries: DataFrame, rows: DataFrame, modalities: list[str], k: int, weights: DataFrame | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -28,6 +29,17 @@ def two_stage(queries: DataFrame, rows: DataFrame, modalities: list[str], sequen
     return prediction.staged_rerank(with_seq, **rerank)
 
 
+def experiment_data(points: DataFrame, metadata: DataFrame, query_ids: DataFrame, traj: str = "traj_id", seg: str = "seg_id") -> dict[str, DataFrame]:
+    """What an experiment reads, each out of one scan: `queries` and `candidates` (whole trajectories with sequence and metadata;
+    queries are no candidates), and the `segments` of either with their sequences.
+
+    points(traj_id, seg_id, ord, v), metadata with both ids; metadata whose segment id is the trajectory id is of the whole one."""
+    whole = tables.sequences(points, [traj]).join(tables.at_level(metadata, "trajectory", traj, seg).drop(seg), traj)
+    ids = query_ids.select(F.col(query_ids.columns[0]).alias(traj)).distinct()
+    parts = tables.sequences(points, [traj, seg]).join(tables.at_level(metadata, "segment", traj, seg), [traj, seg], "left")
+    return {"queries": whole.join(ids, traj, "left_semi"), "candidates": whole.join(ids, traj, "left_anti"), "segments": parts.join(ids.withColumn("is_query", F.lit(True)), traj, "left").withColumn("is_query", F.coalesce("is_query", F.lit(False)))}
+
+
 def predict(found: DataFrame, targets: DataFrame, target: str, n: int, rank: str = "rank_s2", rrf_power: int = 1) -> DataFrame:
     return prediction.from_neighbours(found.withColumn("rank", F.col(rank)), targets, target, n, "score", rrf_power)
 

@@ -98,10 +98,24 @@ def recording_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def result_csvs(spark: SparkSession, pattern: str, expected: list[str]) -> tuple[DataFrame, list[str]]:
-    """All CSVs of a pattern under each other with source_file and run_stamp from the file name; expected columns that are missing."""
-    df = spark.read.option("header", True).option("inferSchema", True).csv(pattern)
-    df = df.withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
-    return df.withColumn("run_stamp", F.regexp_extract("source_file", r"(\d{8}_\d{6})", 1)), [c for c in expected if c not in df.columns]
+    """All CSVs of a pattern under each other by column name, with source_file and run_stamp from the file name; expected
+    columns that none has. Files are grouped by their header line, and each group is one read; absent columns are null."""
+    lines = spark.read.text(pattern, wholetext=False).select(F.input_file_name().alias("path"), "value", F.monotonically_increasing_id().alias("n"))
+    first = lines.groupBy("path").agg(F.min_by("value", "n").alias("header"))
+    layouts = first.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()  # one row a layout
+    out = None
+    for layout in layouts:
+        part = spark.read.option("header", True).option("inferSchema", True).csv(layout.paths)
+        part = part.withColumn("source_file", F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1))
+        if out is not None:  # numbers of one name meet as doubles, anything else as text
+            mine, theirs = dict(part.dtypes), dict(out.dtypes)
+            for c in (c for c in mine if c in theirs and mine[c] != theirs[c]):
+                common = "double" if {mine[c], theirs[c]} <= {"int", "bigint", "double"} else "string"
+                part, out = part.withColumn(c, F.col(f"`{c}`").cast(common)), out.withColumn(c, F.col(f"`{c}`").cast(common))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no file meets {pattern}")
+    return out.withColumn("run_stamp", F.regexp_extract("source_file", r"(\d{8}_\d{6})", 1)), [c for c in expected if c not in out.columns]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -118,6 +132,32 @@ def write_jdbc(df: DataFrame, table: str, options: dict[str, str], batch: int =
     clean.write.format("jdbc").mode("append").options(dbtable=table, batchsize=str(batch), **options).save()
 
 
+def write_jdbc_in_batches(df: DataFrame, table: str, options: dict[str, str], batches: tuple[int, ...] = (10_000, 250, 10)) -> int:
+    """Insert through a table of its own, `<table>_incoming`, with the largest batch size that the database takes; that size.
+
+    A failed attempt leaves nothing behind: the next one overwrites the incoming table, and only a complete one is appended."""
+    incoming = f"{table}_incoming"
+    clean = df.select(*[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    for batch in batches:
+        try:
+            clean.write.format("jdbc").mode("overwrite").options(dbtable=incoming, batchsize=str(batch), **options).save()
+        except Exception:
+            if batch == batches[-1]:
+                raise
+            continue
+        write_jdbc(jdbc(df.sparkSession, incoming, options), table, options, batch)
+        return batch
+    raise ValueError("no batch size given")
+
+
+def write_transformed_poses(poses: DataFrame, path: str, traj: str = "traj_id") -> None:
+    """Poses in the robot frame (position, orientation w, x, y, z) in place of those stored for the same trajectories, as
+    columns x, y, z, qx, qy, qz, qw with the ids and the calibration's id."""
+    keep = [c for c in poses.columns if c not in ("position", "orientation")]
+    columns = [F.col("position")[i].alias(c) for i, c in enumerate("xyz")] + [F.col("orientation")[i].alias(c) for i, c in ((1, "qx"), (2, "qy"), (3, "qz"), (0, "qw"))]
+    write_replacing(poses.select(*keep, *columns), path, traj)
+
+
 def write_replacing(df: DataFrame, path: str, partition: str) -> None:
     """Overwrite only the partitions that df has; the other stored keys stay as they are."""
     df.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
