@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from tracewright.operators import alignment, joins, prediction, ranking, series, summary
+from tracewright.functions import kernels, quaternions, stats, vectors
+from tracewright.operators import alignment, joins, kinematics, prediction, ranking, series, summary
 from tracewright.plans import accuracy, queries
 from tracewright.sources import tables
 from tracewright.streaming import summaries
@@ -81,7 +82,11 @@ def test_alignment_isolates_errors(spark):
     for metric in alignment.METRICS[:5]:
         rows = alignment.align(a, b, metric).collect()
         assert {r.status for r in rows if r.traj_id == 1} == {"ok"} and all(r.distance == pytest.approx(1) for r in rows if r.traj_id == 1)
-        assert [r.status.startswith("ValueError") for r in rows if r.traj_id == 2] == [True]
+        assert [r.status for r in rows if r.traj_id == 2] == ["one side has no points"]
+        assert [(r.traj_id, r.status) for r in alignment.failed(alignment.align(a, b, metric)).collect()] == [(2, "one side has no points")]
+    holes = points([(1, 1, [0.0, math.nan, 0.0]), (3, 1, [0.0, 0.0, 0.0])])
+    assert {r.status for r in alignment.align(holes, b, "dtw").collect()} == {"points that are not finite", "one side has no points"}
+    assert alignment.align(points([(1, 1, [0.0] * 4)]), points([(1, 1, [1.0, 0.0, 0.0, 0.0])]), "qad", 4).first().status == "an orientation of length zero"
     assert accuracy.evaluate(a, b, ("dtw",), done=spark.createDataFrame([(1,)], "traj_id long"))["dtw"][0].count() == 0
 
 
@@ -157,3 +162,125 @@ def test_sequences_of_missing_ids_are_empty(spark):
     got = {r.id: (r.seq, r.n) for r in tables.sequences_of(spark.createDataFrame([("1",), ("1_1",), ("9",)], "id string"), pts).collect()}
     assert got["9"] == ([], 0) and got["1"][1] == got["1_1"][1] == 1 and math.isnan(got["1"][0][0][1])
     assert tables.at_level(pts, "trajectory").count() == 0 and pts.where(F.size("v") == 2).count() == 1
+
+
+def test_result_csvs_meet_by_name(spark, tmp_path):
+    (tmp_path / "run_20240101_120000.csv").write_text("a,b\n1,2\n")
+    (tmp_path / "run_20240102_120000.csv").write_text("b,a\n20,10.5\n")
+    (tmp_path / "run_20240103_120000.csv").write_text("c,a\nx,100\n")
+    df, missing = tables.result_csvs(spark, str(tmp_path / "run_*.csv"), ["a", "b", "c", "d"])
+    assert missing == ["d"] and sorted((r.a, r.b, r.c, r.run_stamp[:8]) for r in df.collect()) == [(1.0, 2, None, "20240101"), (10.5, 20, None, "20240102"), (100.0, None, "x", "20240103")]
+
+
+def test_database_tables_and_batches(spark):
+    options = {"url": "jdbc:derby:memory:tracewright;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.createDataFrame([(i, float("nan") if i == 3 else i / 2) for i in range(50)], "id long, x double")
+    tables.write_jdbc(rows.where("id < 40"), "poses", options)
+    assert tables.write_jdbc_in_batches(rows.where("id >= 40"), "poses", options) == 10_000
+    back = tables.jdbc(spark, "poses", options, {"partitionColumn": "id", "lowerBound": "0", "upperBound": "50", "numPartitions": "3"})
+    assert back.rdd.getNumPartitions() == 3 and sorted((r.ID if hasattr(r, "ID") else r.id, r[1]) for r in back.collect()) == [(i, None if i == 3 else i / 2) for i in range(50)]
+    bad = rows.select("id", "x", "x")
+    with pytest.raises(Exception):  # noqa: B017  whatever the database says; each batch size is tried
+        tables.write_jdbc_in_batches(bad, "poses", options)
+    assert tables.jdbc(spark, "poses", options).count() == 50
+
+
+def test_poses_are_stored_with_the_real_part_last(spark, tmp_path):
+    path = str(tmp_path / "poses")
+    frame = lambda t, x: spark.createDataFrame([(t, "s", 1, [x, 2.0, 3.0], [0.1, 0.2, 0.3, 0.4], "c")], "traj_id long, seg_id string, timestamp long, position array<double>, orientation array<double>, calibration_id string")
+    tables.write_transformed_poses(frame(1, 1.0).union(frame(2, 5.0)), path)
+    tables.write_transformed_poses(frame(2, 7.0), path)
+    rows = {r.traj_id: r for r in spark.read.parquet(path).collect()}
+    assert (rows[1].x, rows[2].x) == (1.0, 7.0) and (rows[1].qx, rows[1].qy, rows[1].qz, rows[1].qw) == (0.2, 0.3, 0.4, 0.1)
+
+
+def test_orientations_without_direction_are_null(spark):
+    rows = spark.createDataFrame([([0.0] * 4,), ([0.0, 1.0, 0.0, 0.0],), (None,)], "p array<double>")
+    numbers = lambda *xs: F.array(*[F.lit(float(x)) for x in xs])
+    some = {
+        "inverse": quaternions.inverse("p"), "unit": quaternions.normalised("p"), "rodrigues": quaternions.rodrigues("p"), "tracker": quaternions.tracker_to_instrument("p"), "power": quaternions.power(quaternions.normalised("p"), 0.5),
+        "axis": quaternions.from_axis_angle(F.slice("p", 2, 3), F.lit(1.0)), "turned": quaternions.turned_by_angles("p", numbers(1, 0, 0, 0, 1, 0, 0, 0, 1), numbers(1, 0, 0, 0), numbers(1, 0, 0, 0)), "between": quaternions.from_vectors(F.slice("p", 2, 3), numbers(0, 0, 1)),
+    }
+    zero, half, none = rows.select(*[v.alias(n) for n, v in some.items()]).collect()
+    assert all(zero[n] is None for n in some) and all(none[n] is None for n in some)
+    assert half.rodrigues is None and half.inverse == [0.0, -1.0, 0.0, 0.0] and half.axis == pytest.approx([math.cos(0.5), math.sin(0.5), 0, 0]) and half.turned == pytest.approx([0, 1, 0, 0], abs=1e-9)
+
+
+def test_means_leave_infinite_values_out(spark):
+    rows = spark.createDataFrame([(1.0, 1.0), (float("inf"), 5.0), (float("nan"), 5.0), (None, 5.0), (4.0, 2.0), (9.0, None)], "v double, w double")
+    assert rows.agg(stats.weighted_mean("v", "w").alias("m")).first().m == 3.0
+
+
+@pytest.mark.parametrize("direction", ["backward", "forward"])
+@pytest.mark.parametrize("strict", [False, True])
+def test_asof_without_keys(spark, direction, strict):
+    rng = np.random.default_rng(3)
+    left = [(i, None if i == 7 else int(t)) for i, t in enumerate(rng.integers(0, 500, 200))] + [(900 + i, 250) for i in range(300)]
+    right = [(int(t), f"r{t}") for t in rng.choice(500, 40, replace=False)] + [(None, "never")]
+    a, b = spark.createDataFrame(left, "id int, at int"), spark.createDataFrame(right, "rt int, v string")
+    df = joins.asof(a, b, "at", "rt", direction=direction, strict=strict, right_columns=["v"])
+    assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+    known = sorted((t, v) for t, v in right if t is not None)
+    for r in df.collect():
+        fits = [v for t, v in known if r.at is not None and ((t < r.at or t == r.at and not strict) if direction == "backward" else (t > r.at or t == r.at and not strict))]
+        assert r.v == (fits[-1 if direction == "backward" else 0] if fits else None)
+    assert df.count() == 500 and joins.asof(a.limit(0), b, "at", "rt", right_columns=["v"]).count() == 0
+    assert joins.asof(a, b.limit(0), "at", "rt", right_columns=["v"]).where("v is null").count() == 500
+
+
+def test_running_totals_over_ranges(spark):
+    rows = [("hot", i, i % 5) for i in range(3000)] + [(None, i, 1) for i in range(20)] + [("b", 0, 2)]
+    df = spark.createDataFrame(rows, "k string, o int, x int").repartition(5)
+    got = {(r.k, r.o): r.total for r in series.running_total(df, ["k"], ["o"], F.col("x"), "total").collect()}
+    for k in ("hot", None, "b"):
+        total = 0
+        for _, o, x in [r for r in rows if r[0] == k]:
+            total += x
+            assert got[k, o] == total
+    assert series.running_total(df.limit(0), ["k"], ["o"], F.col("x"), "total").count() == 0
+
+
+def test_exact_rerank_finds_the_nearest_and_spares_distances(spark):
+    rng = np.random.default_rng(4)
+    walk = lambda n: np.cumsum(rng.normal(size=(n, 3)), axis=0)
+    query = walk(30)
+    others = [(query + 0.3 * rng.normal(size=query.shape) + 50).tolist() if i % 4 == 0 else (walk(int(rng.integers(20, 45))) * 4).tolist() for i in range(60)]
+    rows = spark.createDataFrame([(0, i + 1, query.tolist(), s) for i, s in enumerate(others)], "query_id long, id long, query_seq array<array<double>>, seq array<array<double>>")
+    want = sorted((kernels.constrained_dtw(query, np.array(s), window=0.2), i + 1) for i, s in enumerate(others))[:5]
+    got = prediction.exact_rerank(rows, 5).orderBy("rank_s2").collect()
+    assert [r.id for r in got] == [i for _, i in want] and [r.dtw_dist for r in got] == pytest.approx([d for d, _ in want])
+    assert got[0].dtw_calls < 60
+    bound = rows.select("id", vectors.kim_bound(vectors.relative_to_first("query_seq"), vectors.relative_to_first("seq"), 3).alias("b"))
+    assert all(r.b <= kernels.constrained_dtw(query, np.array(others[r.id - 1]), window=0.2) + 1e-9 for r in bound.collect())
+
+
+def test_adaptive_rerank_looks_at_the_list(spark, monkeypatch):
+    rows = spark.createDataFrame([(q, i, i, [[0.0, 0.0, 0.0], [1.0, 0.0, 0.0]], [[0.0, 0.0, 0.0], [1.0, float(i), 0.0]]) for q, n in ((0, 4), (1, 30)) for i in range(1, n + 1)], "query_id long, id long, rank_s1 long, query_seq array<array<double>>, seq array<array<double>>")
+    monkeypatch.setattr(prediction, "SMALL_LIST", 10)
+    out = prediction.adaptive_rerank(rows).collect()
+    assert sum(math.isinf(r.dtw_dist) for r in out if r.query_id == 0) == 0 and sum(math.isinf(r.dtw_dist) for r in out if r.query_id == 1) == 20
+
+
+def test_whole_rankings_equal_top_k(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(90)], "id long, vec array<double>")
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"))
+    key = lambda df: sorted((r.query_id, r.rank, r.id, r.distance) for r in df.collect())
+    assert key(ranking.cosine_ranking(asked, rows, 9)) == key(ranking.cosine_top_k(asked, rows, 1000, 9))
+
+
+def test_points_are_compared_in_blocks(monkeypatch):
+    rng = np.random.default_rng(6)
+    curve, points = rng.normal(size=(12, 3)), rng.normal(size=(50, 3))
+    whole = kernels.point_to_polyline(curve, points)
+    monkeypatch.setattr(kernels, "CELLS", 30)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, kernels.point_to_polyline(curve, points)))
+
+
+def test_interpolated_orientations_outside_are_null(spark):
+    half = math.sqrt(0.5)
+    samples = spark.createDataFrame([("a", 0, [1.0, 0.0, 0.0, 0.0]), ("a", 10, [half, half, 0.0, 0.0])], "k string, at int, p array<double>")
+    wanted = spark.createDataFrame([("a", -1), ("a", 0), ("a", 5), ("a", 10), ("a", 11), ("b", 5)], "k string, at int")
+    got = {(r.k, r.at): r.orientation for r in kinematics.interpolated(samples, wanted, ["k"], "at", "p").collect()}
+    assert got["a", -1] is None and got["a", 11] is None and got["b", 5] is None
+    assert got["a", 0] == pytest.approx([1, 0, 0, 0]) and got["a", 10] == pytest.approx([half, half, 0, 0]) and got["a", 5] == pytest.approx([math.cos(math.pi / 8), math.sin(math.pi / 8), 0, 0])

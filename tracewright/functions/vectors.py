@@ -21,8 +21,9 @@ def col(c: Column | str) -> Column:
 
 
 def bound(c: Column | str, body) -> Column:
-    """body(c) with c computed once: a nested expression is bound to a lambda's variable instead of being repeated."""
-    return body(F.col(c)) if isinstance(c, str) else F.get(F.transform(F.array(c), body), F.lit(0))
+    """body(c) with c computed once, null where c is null: a nested expression is bound to a lambda's variable instead of being repeated."""
+    known = lambda v: F.when(v.isNotNull(), body(v))
+    return known(F.col(c)) if isinstance(c, str) else F.get(F.transform(F.array(c), known), F.lit(0))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
