@@ -190,3 +190,30 @@ def test_euler_orders_vectors_and_rates(spark):
     assert all(np.allclose(r.orientation, r.p) for r in back)
     turning = spin.select(q.derivative("p", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.2))).alias("d")).first()
     assert np.allclose(turning.d, [0, 0, 0, 0.1])
+
+
+@settings(max_examples=40, deadline=None)
+@given(paths, paths)
+def test_kept_diagonals_equal_the_whole_plane(x, y):
+    """Also where values between are computed again on the way back."""
+    some = (k.dtw, k.discrete_frechet, lambda a, b: k.lcss(a, b, 2.5), lambda a, b: k.lcss(a, b))
+    whole = [f(x, y) for f in some]
+    cells, k.PLANE_CELLS = k.PLANE_CELLS, 0
+    try:
+        again = [f(x, y) for f in some]
+    finally:
+        k.PLANE_CELLS = cells
+    for a, b in zip(whole, again):
+        assert all(np.array_equal(u, v) for u, v in zip(a, b))
+
+
+def test_a_long_pair_keeps_few_diagonals():
+    rng = np.random.default_rng(1)
+    x, y = np.cumsum(rng.normal(size=(3000, 3)), axis=0), np.cumsum(rng.normal(size=(2500, 3)), axis=0)
+    i, j, d, total = k.dtw(x, y)
+    cells, k.PLANE_CELLS = k.PLANE_CELLS, 1000
+    try:
+        again = k.dtw(x, y)
+    finally:
+        k.PLANE_CELLS = cells
+    assert all(np.array_equal(u, v) for u, v in zip((i, j, d, total), again))

@@ -40,35 +40,88 @@ def accumulate(cost: np.ndarray, bottleneck: bool = False) -> np.ndarray:
     return acc[1:, 1:]
 
 
-def trace(acc: np.ndarray, order: tuple = (UP, LEFT, DIAGONAL)) -> tuple[np.ndarray, np.ndarray]:
-    """Path from the first to the last cell; among equal predecessors the first of `order`."""
-    i, j = acc.shape[0] - 1, acc.shape[1] - 1
+#: Cells of a plane that is kept whole. A larger program keeps every so many diagonals, and computes those between again
+#: on the way back, so its memory grows with the power 1.5 of the lengths.
+PLANE_CELLS = 16_000_000
+#: The value before the first cell.
+START = 0.0
+
+
+def _sweep(m: int, n: int, cost, step, outside: float, cells: int):
+    """(last value, cell -> value) of a program over (m, n) cells, along diagonals. step(up, left, diagonal, cost) gives the values of
+    a diagonal from those before; cost(i, j) its local costs; `outside` is the value beyond the first row and column.
+
+    Values are to be asked for in the order of a walk back to the first cell."""
+    every = m + n if m * n <= cells else max(2, int(np.sqrt(m + n)))
+    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def diagonals(first: int, last: int, one: np.ndarray, two: np.ndarray):
+        for s in range(first, last):
+            i = np.arange(max(0, s - n + 1), min(m, s + 1))
+            now = np.full(m + 1, outside)
+            now[i + 1] = step(one[i], one[i + 1], two[i], cost(i, s - i))
+            if s == 0:
+                now[1] = step(np.array([outside]), np.array([outside]), np.array([START]), cost(i, s - i))[0]
+            yield s, now
+            one, two = now, one
+
+    none = np.full(m + 1, outside)
+    one = two = none
+    block: dict[int, np.ndarray] = {}
+    for s, now in diagonals(0, m + n - 1, one, two):
+        if s % every == 0:
+            kept[s] = one, two
+            block = {}
+        block[s] = now
+        one, two = now, one
+
+    def value(i: int, j: int) -> float:
+        if i < 0 or j < 0:
+            return outside
+        s = i + j
+        if s not in block:
+            start = s - s % every
+            recent = {k: v for k, v in block.items() if k < start + every + 2}  # a walk compares cells of two diagonals
+            block.clear()
+            block.update(recent)
+            block.update(diagonals(start, min(m + n - 1, start + every), *kept[start]))
+        return float(block[s][i + 1])
+
+    return value(m - 1, n - 1), value
+
+
+def _cheapest(x: np.ndarray, y: np.ndarray, distance, bottleneck: bool = False, order: tuple = (UP, LEFT, DIAGONAL), free_start: bool = False):
+    """(x rows, y rows, distances on the path, total) of the cheapest monotone path; among equal predecessors the first of `order`."""
+
+    def cost(i, j):
+        d = distance(x[i], y[j])
+        if free_start:
+            d = np.where((i == 0) & (j == 0), 0.0, d)
+        return d
+
+    join = np.maximum if bottleneck else np.add
+    total, value = _sweep(len(x), len(y), cost, lambda up, left, diagonal, c: join(np.minimum(np.minimum(up, left), diagonal), c), np.inf, PLANE_CELLS)
+    i, j = len(x) - 1, len(y) - 1
     path = [(i, j)]
     while i or j:
-        moves = [(di, dj) for di, dj in order if i >= di and j >= dj]
-        di, dj = min(moves, key=lambda d: acc[i - d[0], j - d[1]])
+        di, dj = min((d for d in order if i >= d[0] and j >= d[1]), key=lambda d: value(i - d[0], j - d[1]))
         i, j = i - di, j - dj
         path.append((i, j))
     rows, columns = np.array(path[::-1]).T
-    return rows, columns
+    return rows, columns, distance(x[rows], y[columns]), total
+
+
+def _apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.sqrt(((p - q) ** 2).sum(-1))
 
 
 def dtw(x: np.ndarray, y: np.ndarray, free_start: bool = True):
     """(x rows, y rows, distances on the path, total). With free_start the first pair costs nothing."""
-    local = distances(x, y)
-    cost = local.copy()
-    if free_start:
-        cost[0, 0] = 0.0
-    acc = accumulate(cost)
-    i, j = trace(acc)
-    return i, j, local[i, j], float(acc[-1, -1])
+    return _cheapest(x, y, _apart, free_start=free_start)
 
 
 def discrete_frechet(x: np.ndarray, y: np.ndarray):
-    local = distances(x, y)
-    acc = accumulate(local, bottleneck=True)
-    i, j = trace(acc, (UP, DIAGONAL, LEFT))
-    return i, j, local[i, j], float(acc[-1, -1])
+    return _cheapest(x, y, _apart, bottleneck=True, order=(UP, DIAGONAL, LEFT))
 
 
 #: Cells of point and edge that are compared at once.
@@ -108,23 +161,20 @@ def lcss(x: np.ndarray, y: np.ndarray, epsilon: float | None = None):
     """(x rows, y rows, distances of matched pairs, score, epsilon). epsilon: one and a half times the largest distance of y from the polyline x."""
     if epsilon is None:
         epsilon = 1.5 * float(point_to_polyline(x, y)[1].max())
-    local = distances(x, y)
-    match = local <= epsilon
-    m, n = local.shape
-    acc = np.zeros((m + 1, n + 1))
-    for i, j in _diagonals(m, n):
-        acc[i + 1, j + 1] = np.where(match[i, j], acc[i, j] + 1, np.maximum(acc[i + 1, j], acc[i, j + 1]))
-    i, j, path = m, n, []
-    while i and j:
-        if match[i - 1, j - 1]:
-            i, j = i - 1, j - 1
+    match = lambda i, j: _apart(x[i], y[j]) <= epsilon
+    m, n = len(x), len(y)
+    total, value = _sweep(m, n, match, lambda up, left, diagonal, hit: np.where(hit, diagonal + 1, np.maximum(up, left)), 0.0, PLANE_CELLS)
+    i, j, path = m - 1, n - 1, []
+    while i >= 0 and j >= 0:
+        if match(i, j):
             path.append((i, j))
-        elif acc[i - 1, j] > acc[i, j - 1]:
+            i, j = i - 1, j - 1
+        elif value(i - 1, j) > value(i, j - 1):
             i -= 1
         else:
             j -= 1
     rows, columns = np.array(path[::-1], int).reshape(-1, 2).T
-    return rows, columns, local[rows, columns], float(acc[-1, -1] / min(m, n)), epsilon
+    return rows, columns, _apart(x[rows], y[columns]), float(total / min(m, n)), epsilon
 
 
 def _edges(path: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,10 +317,7 @@ def quaternion_distance(nominal: np.ndarray, measured: np.ndarray):
 
 def quaternion_dtw(nominal: np.ndarray, measured: np.ndarray):
     p, q = _units(without_jumps(nominal)), _units(measured)
-    local = quaternion_angles(p[:, None, :], q[None, :, :])
-    acc = accumulate(local)
-    i, j = trace(acc)
-    return i, j, local[i, j], float(acc[-1, -1])
+    return _cheapest(p, q, quaternion_angles)
 
 
 def pchip(y: np.ndarray, at: np.ndarray) -> np.ndarray:
