@@ -217,3 +217,18 @@ def test_a_long_pair_keeps_few_diagonals():
     finally:
         k.PLANE_CELLS = cells
     assert all(np.array_equal(u, v) for u, v in zip((i, j, d, total), again))
+
+
+def test_splines_go_through_their_points_and_keep_cubics():
+    t = np.arange(9.0)
+    cubic = lambda u: np.stack([u**3 - 4 * u**2 + u - 7, 2 * u**3 - u], 1)
+    at = np.linspace(0, 8, 41)
+    assert np.allclose(k.spline(cubic(t), at), cubic(at))
+    y = np.random.default_rng(2).normal(size=(9, 2))
+    assert np.allclose(k.spline(y, t), y)
+    e = 1e-4  # slopes and curvatures meet at the points
+    for i in range(1, 8):
+        left, here, right = (k.spline(y, np.array([i + d * e, i + d * 2 * e])) for d in (-1, 0, 1))
+        assert np.allclose((here[0] - left[0]) / e, (right[0] - here[0]) / e, atol=1e-2)
+    for n in (1, 2, 3):
+        assert np.allclose(k.spline(cubic(t[:n]), t[:n]), cubic(t[:n]))

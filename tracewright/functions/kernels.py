@@ -340,6 +340,31 @@ def pchip(y: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (1 + 2 * s) * (1 - s) ** 2 * y[low] + s * (1 - s) ** 2 * slope[low] + s**2 * (3 - 2 * s) * y[low + 1] + s**2 * (s - 1) * slope[low + 1]
 
 
+def spline(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cubic spline through rows y at unit steps, at fractional positions; the third derivative goes on over the second and the
+    last but one point, and three points give a parabola, two a line."""
+    n = len(y)
+    if n < 4:
+        base = np.vander(np.arange(n), increasing=True).astype(float)
+        return np.vander(at, n, increasing=True) @ np.linalg.solve(base, y)
+    # slopes s: s[i-1] + 4 s[i] + s[i+1] = 3 (y[i+1] - y[i-1]); the ends' equations are s[0] + 2 s[1] = (5 d[0] + d[1]) / 2
+    d = np.diff(y, axis=0)
+    lower, main, upper = np.ones(n), np.full(n, 4.0), np.ones(n)
+    main[0], upper[0], main[-1], lower[-1] = 1.0, 2.0, 1.0, 2.0
+    right = np.vstack([(5 * d[0] + d[1]) / 2, 3 * (d[:-1] + d[1:]), (5 * d[-1] + d[-2]) / 2])
+    for i in range(1, n):  # elimination of a matrix of three diagonals
+        f = lower[i] / main[i - 1]
+        main[i] -= f * upper[i - 1]
+        right[i] -= f * right[i - 1]
+    slope = np.empty_like(right)
+    slope[-1] = right[-1] / main[-1]
+    for i in range(n - 2, -1, -1):
+        slope[i] = (right[i] - upper[i] * slope[i + 1]) / main[i]
+    low = np.clip(np.floor(at).astype(int), 0, n - 2)
+    s = (at - low)[:, None]
+    return (1 + 2 * s) * (1 - s) ** 2 * y[low] + s * (1 - s) ** 2 * slope[low] + s**2 * (3 - 2 * s) * y[low + 1] + s**2 * (s - 1) * slope[low + 1]
+
+
 def resampled(y: np.ndarray, n: int) -> np.ndarray:
     return y if len(y) == n else pchip(y, np.linspace(0, len(y) - 1, n))
 

@@ -97,6 +97,18 @@ def pair_distances(pairs: DataFrame, a: str, b: str, measure: str = "constrained
     return pairs.withColumn(alias, distance(a, b))
 
 
+def resampled_sequences(rows: DataFrame, seq: str, n: int, method: str = "pchip", alias: str = "resampled") -> DataFrame:
+    """rows with a sequence's n points at even steps: 'linear', shape-preserving cubic 'pchip', or cubic 'spline'. Empty stays empty."""
+    at = {"linear": k.along, "pchip": k.pchip, "spline": k.spline}[method]
+
+    @F.pandas_udf("array<array<double>>")
+    def resample(s: pd.Series) -> pd.Series:
+        some = [np.vstack(x).astype(float) if x is not None and len(x) else None for x in s]
+        return pd.Series([None if x is None else [] if y is None else at(y, np.linspace(0, len(y) - 1, n)).tolist() for x, y in zip(s, some)])
+
+    return rows.withColumn(alias, resample(seq))
+
+
 def velocity_embeddings(rows: DataFrame, seq: str, coarse: int, fine: int, alias: str = "velocity_embedding") -> DataFrame:
     @F.pandas_udf("array<double>")
     def embed(s: pd.Series) -> pd.Series:

@@ -1216,6 +1216,13 @@ def experiment_preload(t):
     return out.unionByName(parts)
 
 
+@query(f"""WITH {recurrences.PAIRS.split('pairs AS')[0]} pairs AS (SELECT id AS query_id, id, list_transform(range(40), lambda i: [i, i, i]::DOUBLE[]) AS a, seq AS b, 40 AS n, len(seq) AS m FROM seqs), {recurrences.PCHIP}
+  SELECT id AS user_id, t + 1 AS k, round(max(v) FILTER (dim = 1), 6) AS x, round(max(v) FILTER (dim = 2), 6) AS y, round(max(v) FILTER (dim = 3), 6) AS z FROM both_ GROUP BY ALL""")
+def resample_shape_preserving(t):
+    rows = alignment.resampled_sequences(_seqs(t), "seq", 40).select("user_id", F.posexplode("resampled").alias("i", "p"))
+    return rows.select("user_id", (F.col("i") + 1).cast("long").alias("k"), *[r(F.col("p")[i]).alias(c) for i, c in enumerate("xyz")])
+
+
 @query("SELECT vec_id, '{' || array_to_string(list_transform(embedding[1:64], lambda x: (round(x * 1000))::BIGINT::VARCHAR), ',') || '}' AS literal FROM embeddings")
 def array_literals(t):
     rows = t("embeddings").select("vec_id", F.transform("embedding", lambda x: F.round(x * 1000).cast("long")).alias("v"))
