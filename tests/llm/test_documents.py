@@ -166,8 +166,8 @@ def test_quality_and_toxicity_on_rows_not_trained_on(spark):
     scored = toxicity.score(docs, toxicity.fit(docs, labels)).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
     tox = scored.where("held_out").toPandas()
     hit = tox.predicted == tox.toxic
-    # toxic words of the other languages are rare in a table of this size; half of them are still found
-    assert hit[(tox.toxic == 1) & (tox.lang == "en")].mean() > 0.8 and hit[tox.toxic == 1].mean() > 0.55
+    # toxic words of the other languages are rare in a table of this size
+    assert hit[(tox.toxic == 1) & (tox.lang == "en")].mean() > 0.85 and hit[tox.toxic == 1].mean() > 0.7
     assert hit[tox.toxic == 0].mean() > 0.99
     assert tox.held_out.eq([zlib.crc32(str(i).encode()) % 3 == 1 for i in tox.doc_id]).all()
     judged = quality.judge(docs, quality.fit(docs, labels, per_class=(300, 600))).withColumnRenamed("quality", "p")

@@ -120,6 +120,16 @@ def test_toxicity_training_equals_a_plain_loop():
     assert model.offset == pytest.approx(bias[1] - bias[0])
 
 
+def test_rare_buckets_are_left_out():
+    features = toxicity.document_features([t.encode() for t in TEXTS])
+    kept = toxicity.frequent(LABELS, *flat(features))
+    have = collections.Counter(b for label, (own, _) in zip(LABELS, features) if label for b in own.tolist())
+    least = max(1, int(LABELS.sum()) // 16)
+    for i, (own, weights) in enumerate(features):
+        want = {b: v for b, v in zip(own.tolist(), weights) if have[b] >= least}
+        assert dict(zip(kept[2][kept[1][i] : kept[1][i + 1]].tolist(), kept[3][kept[1][i] : kept[1][i + 1]])) == want
+
+
 def test_most_toxic_passage_by_hand():
     rng = np.random.default_rng(1)
     model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.25)
@@ -129,6 +139,9 @@ def test_most_toxic_passage_by_hand():
         kept = [s for i, s in enumerate(own) if i == 0 or s != own[i - 1]]
         parts = [kept[i : i + toxicity.PASSAGE] for i in range(max(1, len(kept) - toxicity.PASSAGE + 1))]
         want = 0.25 + (max(sum(p) / len(p) for p in parts) if kept else 0)
+        best = toxicity.words_of(toxicity.Scorer(model).most_toxic(text))
+        if kept:
+            assert 0.25 + np.mean([float(np.mean(model.value[toxicity.subwords([w])[1]].astype(float))) for w in best]) == pytest.approx(want, abs=1e-6) and len(best) <= toxicity.PASSAGE
         assert toxicity.Scorer(model)([text])[0] == pytest.approx(want, abs=1e-9)
 
 
