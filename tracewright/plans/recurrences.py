@@ -38,7 +38,7 @@ def path(combine: str = "{c} + {before}", first: str = "d[1][1]", order: tuple =
     return f"""acc AS (SELECT user_id, m, n, d, 0 AS s, [list_transform(range(m), lambda i: CASE WHEN i = 0 THEN {first} ELSE {INF} END)] AS diags FROM local
     UNION ALL SELECT user_id, m, n, d, s + 1, list_append(diags, list_transform(range(m), lambda i: CASE WHEN s + 1 - i BETWEEN 0 AND n - 1 THEN {step} ELSE {INF} END)) FROM acc WHERE s + 1 < m + n - 1),
   done AS (SELECT * FROM acc WHERE s = m + n - 2),
-  walk AS (SELECT user_id, m - 1 AS i, n - 1 AS j, 0 AS k FROM done UNION ALL SELECT walk.user_id, {pick(0)}, {pick(1)}, walk.k + 1 FROM walk JOIN done USING (user_id) WHERE walk.i > 0 OR walk.j > 0)"""
+  walk AS (SELECT user_id, m - 1 AS i, n - 1 AS j, 0::BIGINT AS k FROM done UNION ALL SELECT walk.user_id, {pick(0)}, {pick(1)}, walk.k + 1 FROM walk JOIN done USING (user_id) WHERE walk.i > 0 OR walk.j > 0)"""
 
 
 def aligned(seg: str, value: str) -> str:
@@ -58,7 +58,7 @@ LCSS = f"""WITH RECURSIVE {SIDES}, {LOCAL}, eps AS (SELECT user_id, 1.5 * list_m
     UNION ALL SELECT user_id, m, n, d, eps, s + 1, list_append(diags, list_transform(range(m), lambda i: CASE WHEN s + 1 - i NOT BETWEEN 0 AND n - 1 THEN 0 WHEN d[i + 1][s + 2 - i] <= eps THEN coalesce(diags[s][i], 0) + 1
       ELSE greatest(diags[s + 1][i], diags[s + 1][i + 1]) END)) FROM acc WHERE s + 1 < m + n - 1),
   done AS (SELECT * FROM acc WHERE s = m + n - 2),
-  walk AS (SELECT user_id, m - 1 AS i, n - 1 AS j, 0 AS k FROM done
+  walk AS (SELECT user_id, m - 1 AS i, n - 1 AS j, 0::BIGINT AS k FROM done
     UNION ALL SELECT user_id, CASE WHEN hit OR up > left_ THEN i - 1 ELSE i END, CASE WHEN hit OR up <= left_ THEN j - 1 ELSE j END, k + 1
       FROM (SELECT walk.*, d[i + 1][j + 1] <= eps AS hit, CASE WHEN i > 0 THEN coalesce(diags[i + j][i], 0) ELSE 0 END AS up, CASE WHEN j > 0 THEN coalesce(diags[i + j][i + 1], 0) ELSE 0 END AS left_ FROM walk JOIN done USING (user_id) WHERE i >= 0 AND j >= 0)),
   hits AS (SELECT user_id, i, j, ys[j + 1] AS seg, d[i + 1][j + 1] AS distance, diags[s + 1][m]::DOUBLE / least(m, n) AS score, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS points_order
@@ -212,7 +212,7 @@ SIDTW_CTE = f"""{SIDES}, {LOCAL},
   planes AS (SELECT user_id, m, n, d, sx, sy, rx, ry, 0 AS s, [list_transform(range(m), lambda i: CASE WHEN i = 0 THEN {_CORNER} END)] AS diags FROM local JOIN edges USING (user_id)
     UNION ALL SELECT user_id, m, n, d, sx, sy, rx, ry, s + 1, list_append(diags, list_transform(range(m), lambda i: {_STEP})) FROM planes WHERE s + 1 < m + n - 1),
   done AS (SELECT user_id, m, n, diags FROM planes WHERE s = m + n - 2),
-  walk AS (SELECT user_id, m - 1 AS i, n - 1 AS j, 'v' AS plane, (m - 1)::DOUBLE AS ix, (n - 1)::DOUBLE AS iy, m - 1 AS at_row, 0 AS k FROM done
+  walk AS (SELECT user_id, m - 1 AS i, n - 1 AS j, 'v' AS plane, (m - 1)::DOUBLE AS ix, (n - 1)::DOUBLE AS iy, m - 1 AS at_row, 0::BIGINT AS k FROM done
     UNION ALL SELECT user_id, CASE WHEN a = 0 THEN i - 1 ELSE i END, CASE WHEN b = 0 THEN j - 1 ELSE j END, CASE WHEN a > 0 AND a < 1 THEN 'x' WHEN b > 0 AND b < 1 THEN 'y' ELSE 'v' END, i - 1 + a, j - 1 + b, i, k + 1
       FROM (SELECT walk.*, CASE plane WHEN 'v' THEN c.va WHEN 'x' THEN c.xa ELSE c.ya END AS a, CASE plane WHEN 'v' THEN c.vb WHEN 'x' THEN c.xb ELSE c.yb END AS b FROM (SELECT walk.*, done.diags[walk.i + walk.j + 1][walk.i + 1] AS c FROM walk JOIN done USING (user_id) WHERE walk.i > 0 OR walk.j > 0) AS walk)),
   pairs_ AS (SELECT walk.*, floor(greatest(ix, 0))::BIGINT + 1 AS a, least(floor(greatest(ix, 0))::BIGINT + 2, m) AS a2, greatest(ix, 0) - floor(greatest(ix, 0)) AS fa, floor(greatest(iy, 0))::BIGINT + 1 AS b, least(floor(greatest(iy, 0))::BIGINT + 2, n) AS b2, greatest(iy, 0) - floor(greatest(iy, 0)) AS fb, x, y, xs, ys, m, n FROM walk JOIN xy USING (user_id)),
