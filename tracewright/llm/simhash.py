@@ -221,4 +221,5 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     rooted = groups.join(linked, groups.fp == linked.node, "left").select(F.coalesce("root", "fp").alias("root"), "first")
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).where("first is not null").select(F.col("first.row").alias(row))
     without = numbered.where(F.col(f"`{id_col}`").isNull())
-    return numbered.join(common.written(kept, "simhash-kept"), row, "left_semi").unionByName(without).select(*[f"`{c}`" for c in df.columns])
+    # the rows meet their decisions in the same way at every size
+    return numbered.join(common.written(kept, "simhash-kept").hint("merge"), row, "left_semi").unionByName(without).select(*[f"`{c}`" for c in df.columns])
