@@ -96,27 +96,27 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T.StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
-def map_texts(df: DataFrame, columns: list, schema: str, kernel: Callable[[], Callable[[pa.RecordBatch], list]], text: int = 1) -> DataFrame:
+def map_texts(df: DataFrame, columns: list, schema: str, kernel: Callable[[], Callable[[pa.RecordBatch], list]], text: int = 1, limit: int = SLICE_BYTES) -> DataFrame:
     """Select `columns`, and turn each slice into the columns of `schema`. `kernel()` runs once in a task and returns the slice function."""
     out = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = kernel()
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([pa.array(x, out.field(i).type) if not isinstance(x, pa.Array) else x.cast(out.field(i).type) for i, x in enumerate(step(part))], schema=out)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def keep_rows(df: DataFrame, text_col: str, kernel: Callable[[], Callable[[list[bytes]], list[bool]]]) -> DataFrame:
+def keep_rows(df: DataFrame, text_col: str, kernel: Callable[[], Callable[[list[bytes]], list[bool]]], limit: int = SLICE_BYTES) -> DataFrame:
     """df without the rows for which the kernel says False; all columns pass through in Arrow batches."""
     index = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = kernel()
         for batch in batches:
-            for part in slices(batch, index):
+            for part in slices(batch, index, limit):
                 yield part.filter(pa.array(step(bytes_of(part.column(index))), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -29,6 +29,8 @@ from .samples import platt, row_sums, sample_ids, sampled_rows, sparse_rows
 BITS = 16
 CHAR_SIZES = (2, 4)
 PER_CLASS = (1500, 1500)
+#: Bytes of a slice: its arrays have up to sixty times as many.
+SLICE_BYTES = 1 << 20
 #: A text is kept if it is good with this probability at least.
 THRESHOLD = 0.5
 MIN_WORDS = 50
@@ -203,7 +205,7 @@ def judge(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
         return step
 
     schema = f"doc_id {dict(df.dtypes)[id_col]}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
-    return common.map_texts(df, [F.col(f"`{id_col}`").alias("doc_id"), common.text_column(df, text_col)], schema, kernel)
+    return common.map_texts(df, [F.col(f"`{id_col}`").alias("doc_id"), common.text_column(df, text_col)], schema, kernel, limit=SLICE_BYTES)
 
 
 def kept_rows(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -218,7 +220,7 @@ def kept_rows(df: DataFrame, model: Model, text_col: str = "text", threshold: fl
 
         return step
 
-    return common.keep_rows(df, text_col, kernel)
+    return common.keep_rows(df, text_col, kernel, SLICE_BYTES)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
