@@ -16,7 +16,7 @@ def test_queries_equal_their_sql(spark, name):
 
     folder = "/root/testdata/sf0.01"
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     result = c.execute(queries.SQL[name])
     names = [d[0] for d in result.description]
