@@ -1,6 +1,6 @@
 """The corpus operators' registered queries and, where SQL can express them, their DuckDB SQL.
 
-Further queries show the base figures of quality rules, secret scans and whitening alone, which SQL can express; what the
+Further queries show the base figures of quality rules, secret scans, whitening and language-model scoring alone, which SQL can express; what the
 operators' methods add to them, models, decoders and eigenvectors, it cannot.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, common, html, packing, quality, resampling, secrets, simhash, toxicity, warc, whitening, wordpiece
+from . import ann, bpe, common, html, lm_scoring, packing, quality, resampling, secrets, simhash, toxicity, warc, whitening, wordpiece
 
 
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +34,11 @@ QUERIES = {
     "op10_ann": ann.op10_ann,
     "op11_whitening": whitening.op11_whitening,
     "op12_resampling": resampling.op12_resampling,
+    "op13_lm_scoring": lm_scoring.op13_lm_scoring,
     "quality_base": quality_base,
     "secrets_base": secrets_base,
     "whitening_base": whitening.whitening_base,
+    "lm_base": lm_scoring.lm_base,
 }
 
 QUALITY_BASE_SQL = r"""
@@ -71,4 +73,4 @@ WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coa
 SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, ((i // 4) * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to FROM d JOIN k USING (hex)"""
 
-SQL: dict[str, str] = {"op7_warc": WARC_SQL, "op12_resampling": resampling.SQL, "whitening_base": whitening.BASE_SQL, "quality_base": QUALITY_BASE_SQL, "secrets_base": SECRETS_BASE_SQL}
+SQL: dict[str, str] = {"op7_warc": WARC_SQL, "op12_resampling": resampling.SQL, "whitening_base": whitening.BASE_SQL, "lm_base": lm_scoring.BASE_SQL, "quality_base": QUALITY_BASE_SQL, "secrets_base": SECRETS_BASE_SQL}
