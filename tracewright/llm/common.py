@@ -44,14 +44,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{own}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, instead_of: list[str] | None = None) -> DataFrame:
+def written(df: DataFrame, label: str, instead_of: list[str] | None = None, by: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a lost executor costs nothing already done.
 
     `instead_of`, a list kept by a caller that writes one state after the other, holds the path of the state before; it is
     deleted and replaced by the new one's."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)  # `by`: a column of few values, of which later reads want one
     if instead_of is not None:
         for old in instead_of:
             old, system = _hadoop_path(spark, old)
