@@ -195,6 +195,28 @@ def test_nearest_neighbours_odd_vectors(spark):
     assert ann.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_probes_score_few_pairs_of_clustered_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 32))
+    vectors = centres[rng.integers(0, 60, 3000)] + 0.4 * rng.normal(size=(3000, 32))
+    vectors[::3] = vectors[1] / 2  # a third of all rows are one vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(5)
+    params = ann.Params(8, 8, 1.5, 100)
+    monkeypatch.setattr(ann, "GROUP_ROWS", 300)  # many groups, and hot buckets in parts
+    asked = F.col("id") % 50 == 1
+    pairs = ann.visits(ann.Index(df, params=params), asked).collect()
+    assert len(pairs) == 60 and sum(r.pairs for r in pairs) / params.tables < 0.25 * 60 * 3000
+    found = collections.defaultdict(list)
+    for r in ann.search(df, asked, params=params).collect():
+        found[r.query_id].append(r.score)
+    hits = 0
+    for q, got in found.items():
+        best = np.sort(np.delete(vectors @ vectors[q], q))[::-1][:20]
+        assert len(got) == 20
+        hits += sum(s >= best[-1] - 1e-9 for s in got)
+    assert len(found) == 60 and hits >= 0.9 * 60 * 20
+
+
 def test_pipeline_equals_its_steps_in_plain_python(spark, sf):
     docs, labels = common.table(spark, sf, "documents"), common.table(spark, sf, "labels")
     tox = toxicity.fit(docs, labels)
@@ -234,7 +256,7 @@ def plain_toxicity(model, text):
     """Probability of the most toxic passage, word by word."""
     words = toxicity.words_of((text or "").encode())
     own = [float(np.mean(model.value[toxicity.subwords([w])[1]].astype(float))) for w in words]
-    kept = [s for i, s in enumerate(own) if i == 0 or s != own[i - 1]]
+    kept = [s for i, s in enumerate(own) if i == 0 or words[i] != words[i - 1]]
     parts = [kept[i : i + toxicity.PASSAGE] for i in range(max(1, len(kept) - toxicity.PASSAGE + 1))]
     z = model.offset + (max(sum(p) / len(p) for p in parts) if kept else 0)
     return 1 / (1 + np.exp(-(model.slope * z + model.intercept)))
