@@ -467,8 +467,9 @@ def test_packing_is_gapless_and_whole(spark, odd, docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
-    for df in (odd, docs):
+    special = ["<|endoftext|>", "ab <|endoftext|> cd", "<|endoftext|>x", "x<|endoftext|>", "a<|endoftext|>b<|endoftext|>c", "<|endoftext|><|endoftext|>", "<|endoftext|", " <|endoftext|>  y\n<|endoftext|> "]
+    special = odd.sparkSession.createDataFrame([(i, t) for i, t in enumerate(special)], "doc_id long, text string")
+    for df in (odd, docs, special):
         rows = packing.pack(df, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
         want = collections.Counter()
         for r in df.collect():

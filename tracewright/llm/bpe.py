@@ -317,7 +317,32 @@ def read_tokenizer(data: bytes) -> tuple[Merges, int]:
         if rank <= last:
             raise ValueError("ids do not follow the merges")
         pairs[vocab[left], vocab[right]] = last = rank
-    return Merges(vocab, pairs), max(vocab.values()) + 1
+    return Merges(vocab, pairs), max([*vocab.values(), *(t["id"] for t in file.get("added_tokens") or [])]) + 1
+
+
+def added_tokens(data: bytes):
+    """text -> its stretches as (text, None) or (None, id): the strings of a tokenizer file's added tokens are cut out first,
+    the leftmost, and of those the longest, with the blanks around them that the file gives to them."""
+    tokens = sorted(json.loads(data).get("added_tokens") or [], key=lambda t: -len(t["content"]))
+    ids = {t["content"]: t["id"] for t in tokens}
+    if not tokens:
+        return lambda text: [(text, None)]
+    side = lambda t, key, lone: (r"\s*" if t[key] else "") if not t["single_word"] else lone
+    found = re.compile("|".join(side(t, "lstrip", r"(?<!\w)") + f"({re.escape(t['content'])})" + side(t, "rstrip", r"(?!\w)") for t in tokens))
+    contents = tuple(ids)
+
+    def cut(text: str) -> list[tuple[str | None, int | None]]:
+        if not any(c in text for c in contents):
+            return [(text, None)]
+        out, at = [], 0
+        for m in found.finditer(text):
+            if m.start() > at:
+                out.append((text[at : m.start()], None))
+            out.append((None, ids[m[m.lastindex]]))
+            at = m.end()
+        return [*out, (text[at:], None)] if at < len(text) else out
+
+    return cut
 
 
 def decode(vocab: dict[int, bytes], ids: Iterable[int]) -> bytes:

@@ -10,8 +10,8 @@ key, so equal keys, such as copies, spread over ranges); sums within ranges and
 document's place in the stream. Token ids then meet their place in one equi-join on the unique row number.
 
 Ids are those that the tokenizers library gives for the file: its merges are read into the matrix encoder of
-bpe.py, which encodes each distinct piece of a task once (the tests hold the ids against the library's). Strings of special
-tokens in a text are ordinary text.
+bpe.py, which encodes each distinct piece of a task once (the tests hold the ids against the library's). Strings of the file's
+added tokens, such as <|endoftext|>, become their ids, as the library has it; add_special_tokens=False keeps none out that a text holds.
 
 Defined cases: null and empty texts have the end id alone; repeated rows are packed as often as they occur; null ids
 are packed like others; other columns are ignored, whatever their names; an empty table gives an empty result.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common
-from .bpe import _file_bytes, encoder, read_tokenizer
+from .bpe import _file_bytes, added_tokens, encoder, read_tokenizer
 
 LENGTH = 2048
 END_ID = 1
@@ -90,13 +90,15 @@ def tokenized(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = EN
     data = df.sparkSession.sparkContext.broadcast(_file_bytes(tokenizer_path))
 
     def kernel():
-        merges, size = read_tokenizer(data.value)
+        merges, size = read_tokenizer(data.value)  # the size counts added tokens, too
         kind = "<u2" if size <= 1 << 16 else "<u4"
-        encode, table = encoder(merges, pattern, kind), signs(max(size, end_id + 1))
+        encode, cut, table = encoder(merges, pattern, kind), added_tokens(data.value), signs(max(size, end_id + 1))
 
         def step(batch):
-            blobs = encode(common.texts_of(batch.column(1)))
-            ids = [np.append(np.frombuffer(b, kind), np.array(end_id, kind)) for b in blobs]
+            parts = [cut(t) for t in common.texts_of(batch.column(1))]
+            blobs = iter(encode([t for some in parts for t, _ in some if t is not None]))
+            joined = [b"".join([next(blobs) if t is not None else np.array(i, kind).tobytes() for t, i in some]) for some in parts]
+            ids = [np.append(np.frombuffer(b, kind), np.array(end_id, kind)) for b in joined]
             return [batch.column(0), document_keys(ids, table), [len(x) for x in ids], [_thin(x) for x in ids]]
 
         return step
