@@ -33,8 +33,8 @@ def sampled_rows(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", tex
     return common.written(rows.select("sample_id", "least.text", "y").repartition(16), "sampled")
 
 
-#: Most bytes of features that come to the driver, half of them for each class.
-FEATURE_BYTES = 512 << 20
+#: Most bytes of features that come to the driver, half of them for each class; as arrays there they take about three times that.
+FEATURE_BYTES = 128 << 20
 
 
 def sparse_rows(rows: DataFrame, features: Callable, most: int = FEATURE_BYTES):

@@ -44,8 +44,8 @@ THRESHOLD = 0.7
 PER_CLASS = (2000, 1000)
 #: Epochs of the first step, and the most toxic texts that a bucket must occur in.
 FIRST_EPOCHS, FREQUENT = 8, 16
-#: Most words of a task's score cache; a full cache is emptied.
-CACHE_WORDS = 400_000
+#: Most words of a task's score cache, and bytes of them; a full cache is emptied.
+CACHE_WORDS, CACHE_BYTES = 400_000, 64 << 20
 _BREAKS = bytes(32 if (b < 48 or 57 < b < 65 or 90 < b < 97 or 122 < b < 128) and b != 39 else b for b in range(256))
 
 
@@ -163,33 +163,41 @@ class Scorer:
     """texts -> value of the most toxic passage; words are scored once and remembered."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
+        self._empty()
 
-    def __call__(self, texts: list[bytes]) -> np.ndarray:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
+    def _empty(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.values, self.held = np.zeros(0), 0
+
+    def words(self, texts: list[bytes]) -> list[tuple[list[bytes], np.ndarray]]:
+        """Each text's words, without those that repeat the word before, and their numbers."""
+        if len(self.numbers) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self._empty()
         lists = [words_of(t) for t in texts]
-        new = list(set(chain.from_iterable(lists)) - self.known.keys())
+        new = list(set(chain.from_iterable(lists)) - self.numbers.keys())
         if new:
             starts, ids = subwords(new)
-            self.known.update(zip(new, (row_sums(self.model.value[ids].astype(np.float64), starts) / np.diff(starts)).tolist(), strict=True))
-        get = self.known.__getitem__
-        return np.array([self.passage(np.fromiter(map(get, words), np.float64, len(words))) for words in lists])
+            self.values = np.append(self.values, row_sums(self.model.value[ids].astype(np.float64), starts) / np.diff(starts))
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.values)), strict=True))
+            self.held += sum(map(len, new))
+        return [(words, np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))) for words in lists]
+
+    def __call__(self, texts: list[bytes]) -> np.ndarray:
+        return np.array([self.passage(self.values[numbers[_changes(numbers)]]) for _, numbers in self.words(texts)])
 
     def most_toxic(self, text: bytes) -> bytes:
         """The words of the most toxic passage."""
-        words = words_of(text)
-        self([text])
-        scores = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-        kept = np.flatnonzero(_changes(scores))
+        [(words, numbers)] = self.words([text])
+        kept = np.flatnonzero(_changes(numbers))
         if len(kept) > PASSAGE:
-            total = np.concatenate([[0.0], np.cumsum(scores[kept])])
+            total = np.concatenate([[0.0], np.cumsum(self.values[numbers[kept]])])
             at = int((total[PASSAGE:] - total[:-PASSAGE]).argmax())
             kept = kept[at : at + PASSAGE]
         return b" ".join(words[i] for i in kept)
 
     def passage(self, scores: np.ndarray) -> float:
-        scores = scores[_changes(scores)]
+        """The largest mean of PASSAGE words in a row, or the mean of a shorter text."""
         if not len(scores):
             return self.model.offset
         if len(scores) <= PASSAGE:
@@ -198,9 +206,9 @@ class Scorer:
         return self.model.offset + float((total[PASSAGE:] - total[:-PASSAGE]).max()) / PASSAGE
 
 
-def _changes(scores: np.ndarray) -> np.ndarray:
-    """False where a score repeats the one before."""
-    return np.concatenate([[True], scores[1:] != scores[:-1]]) if len(scores) else np.zeros(0, bool)
+def _changes(numbers: np.ndarray) -> np.ndarray:
+    """False where a word repeats the one before."""
+    return np.concatenate([[True], numbers[1:] != numbers[:-1]]) if len(numbers) else np.zeros(0, bool)
 
 
 def held_out(doc_id):
