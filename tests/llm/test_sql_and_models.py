@@ -1,6 +1,7 @@
 """Corpus queries against their SQL, the registered word pieces against greedy matching, and both classifiers' training against plain loops."""
 
 import collections
+import time
 
 import numpy as np
 import pytest
@@ -135,8 +136,9 @@ def test_most_toxic_passage_by_hand():
     model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.25)
     for n in (0, 1, 5, 16, 17, 60):
         text = " ".join(rng.choice(["one", "two", "three", "four", "five"], n)).encode()
-        own = [float(np.mean(model.value[toxicity.subwords([w])[1]].astype(float))) for w in toxicity.words_of(text)]
-        kept = [s for i, s in enumerate(own) if i == 0 or s != own[i - 1]]
+        read = toxicity.words_of(text)
+        own = [float(np.mean(model.value[toxicity.subwords([w])[1]].astype(float))) for w in read]
+        kept = [s for i, s in enumerate(own) if i == 0 or read[i] != read[i - 1]]
         parts = [kept[i : i + toxicity.PASSAGE] for i in range(max(1, len(kept) - toxicity.PASSAGE + 1))]
         want = 0.25 + (max(sum(p) / len(p) for p in parts) if kept else 0)
         best = toxicity.words_of(toxicity.Scorer(model).most_toxic(text))
@@ -145,6 +147,28 @@ def test_most_toxic_passage_by_hand():
         assert toxicity.Scorer(model)([text])[0] == pytest.approx(want, abs=1e-9)
 
 
+def test_neutral_words_dilute_a_passage():
+    """Words whose value is equal are still words of their own, as long as they differ."""
+    value = np.zeros(toxicity.BUCKETS, np.float32)
+    value[toxicity.subwords([b"idiot"])[1]] = 4.0
+    score = toxicity.Scorer(toxicity.Model(value, 0.0))
+    neutral = [f"w{i}q".encode() for i in range(300)]
+    around = lambda n: score([b" ".join([*neutral[:n], b"idiot", *neutral[150 : 150 + n]])])[0]
+    assert around(3) == pytest.approx(4 / 7, abs=1e-3) and around(15) == around(150) == pytest.approx(4 / toxicity.PASSAGE, abs=1e-3)
+    assert score([b"idiot " * 9])[0] == pytest.approx(4) and score([b" ".join(neutral)])[0] == pytest.approx(0, abs=1e-3)
+
+
+def test_long_words_are_counted_as_short_ones_are(monkeypatch):
+    initial, continuing = {b"a", b"ab", b"abcd", b"the"}, {b"a", b"b", b"c", b"cd", b"bcx", b"d", b"x"}
+    matcher, rng = wordpiece.LinearMatcher(initial, continuing), np.random.default_rng(3)
+    some = [bytes(rng.choice(list(b"abcdx"), rng.integers(0, 40)).tolist()) for _ in range(3000)] + [b"a" * 5000, b"the" * 700, b"a" + b"bcx" * 500]
+    monkeypatch.setattr(wordpiece, "LONG", 7)
+    assert matcher.counts(some).tolist() == [greedy(w, initial, continuing) for w in some]
+    monkeypatch.undo()
+    start = time.time()
+    assert matcher.counts([b"ab" * 500_000, *some[:100]])[0] == greedy(b"ab" * 20, initial, continuing) + 2 * (500_000 - 20) and time.time() - start < 5
+
+
 def test_quality_features_training_and_verdict_by_hand():
     texts = [t.encode() for t in TEXTS]
     part = quality.Slice(texts)

@@ -26,6 +26,8 @@ from .samples import row_sums
 
 #: Most words of a task's count cache; a full cache is emptied.
 CACHE_WORDS = 400_000
+#: Words of more bytes are walked alone.
+LONG = 1024
 
 
 class LinearMatcher:
@@ -69,6 +71,7 @@ class LinearMatcher:
         order = np.argsort(keys)
         self.keys, self.nodes = keys[order], np.fromiter(child.values(), np.int64, len(child))[order]
         self.fail, self.pops = np.array(fail), np.array(pops)
+        self.child, self.fail_list, self.pops_list = child, fail, pops
 
     def _child(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
         key = node << 8 | byte
@@ -83,11 +86,31 @@ class LinearMatcher:
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(-lengths, kind="stable")
         state, total, dead = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
-        for i in range(int(lengths.max()) if n else 0):
-            live = order[: np.searchsorted(-lengths[order], -i)]  # words longer than i
+        longest = min(int(lengths.max()) if n else 0, LONG)
+        longer = n - np.cumsum(np.bincount(np.minimum(lengths, LONG), minlength=longest + 1))  # words longer than i, in one pass
+        first = int((lengths > LONG).sum())  # these few are walked alone: a step over all words for each of their bytes would be wasted
+        for i in range(longest):
+            live = order[first : max(first, longer[i])] if i < LONG else order[:0]
             self._read(live[~dead[live]], data, starts, i, state, total, dead)
-        self._finish(np.flatnonzero(~dead & (lengths > 0)), state, total, dead)
+        self._finish(np.flatnonzero(~dead & (lengths > 0) & (lengths <= LONG)), state, total, dead)
         total[dead] = 1
+        for w in order[:first].tolist():
+            total[w] = self._walk(words[w])
+        return total
+
+    def _walk(self, word: bytes) -> int:
+        """The count of one word, byte by byte."""
+        child, fail, pops, node, total = self.child, self.fail_list, self.pops_list, self.START, 0
+        for b in word:
+            while (to := child.get(node << 8 | b)) is None:
+                if fail[node] < 0:
+                    return 1
+                total, node = total + pops[node], fail[node]
+            node = to
+        while node != self.CONTINUE:
+            if fail[node] < 0:
+                return 1
+            total, node = total + pops[node], fail[node]
         return total
 
     def _read(self, rows, data, starts, i, state, total, dead) -> None:
