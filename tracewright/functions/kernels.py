@@ -297,8 +297,17 @@ def without_jumps(q: np.ndarray) -> np.ndarray:
 
 
 def quaternion_angles(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Degrees between rows of unit quaternions."""
-    return 2 * np.degrees(np.arccos(np.minimum(np.abs((p * q).sum(-1)), 1.0)))
+    """Degrees between rows of unit quaternions, from the relative rotation's vector and scalar: exact for small angles, too."""
+    a, b = np.moveaxis(p, -1, 0), np.moveaxis(q, -1, 0)
+    w = a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3]
+    x = a[0] * b[1] - a[1] * b[0] - a[2] * b[3] + a[3] * b[2]
+    y = a[0] * b[2] + a[1] * b[3] - a[2] * b[0] - a[3] * b[1]
+    z = a[0] * b[3] - a[1] * b[2] + a[2] * b[1] - a[3] * b[0]
+    return 2 * np.degrees(np.arctan2(np.sqrt(x * x + y * y + z * z), np.abs(w)))
+
+
+#: Digits of a degree that decide between paths.
+COST_DIGITS = 9
 
 
 def _units(q: np.ndarray) -> np.ndarray:
@@ -316,8 +325,9 @@ def quaternion_distance(nominal: np.ndarray, measured: np.ndarray):
 
 
 def quaternion_dtw(nominal: np.ndarray, measured: np.ndarray):
+    """The cheapest path by angles to COST_DIGITS digits, so that ties do not hang on a machine's last bit."""
     p, q = _units(without_jumps(nominal)), _units(measured)
-    return _cheapest(p, q, quaternion_angles)
+    return _cheapest(p, q, lambda a, b: np.round(quaternion_angles(a, b), COST_DIGITS))
 
 
 def pchip(y: np.ndarray, at: np.ndarray) -> np.ndarray:

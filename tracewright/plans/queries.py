@@ -748,11 +748,11 @@ def kim_bound(t):
 # --- alignment -----------------------------------------------------------------------------------------------------
 
 
-def _aligned(t, metric, digits: int = 6, off: float = 0.0):
+def _aligned(t, metric, digits: int = 6):
     turned = metric in accuracy.ORIENTATION_METRICS
     sides = (_orientations(t, 0), _orientations(t, 1)) if turned else (_points(t, 0), _points(t, 1))
     d = alignment.align(*sides, metric, 4 if turned else 3)
-    return d.select("traj_id", "seg_id", "points_order", r(F.col("distance") + off, digits).alias("distance"), r(F.col("value") + off, digits).alias("value"), "status")
+    return d.select("traj_id", "seg_id", "points_order", r("distance", digits).alias("distance"), r("value", digits).alias("value"), "status")
 
 
 POINT_RAW_SQL = f"""WITH p AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS ord, event_id % 2 AS side, value AS x, {HOUR_SQL} AS y, (event_id % 100)::DOUBLE AS z FROM events),
@@ -789,12 +789,12 @@ def lcss(t):
 
 @query(recurrences.QAD)
 def qad(t):
-    return _aligned(t, "qad", 5, 1e-7)  # a cosine near one leaves no more digits of its angle, and these angles often end in a half
+    return _aligned(t, "qad", 8)
 
 
 @query(recurrences.QDTW)
 def qdtw(t):
-    return _aligned(t, "qdtw", 5, 1e-7)
+    return _aligned(t, "qdtw", 8)
 
 
 @query(recurrences.accuracy_summary(POINT_RAW_SQL))
@@ -900,7 +900,7 @@ def exact_rerank(t):
     return prediction.exact_rerank(_sequence_pairs(t), 10, window=0.2).select("query_id", "id", r("dtw_dist").alias("dtw_dist"), "rank_s2")
 
 
-@query(f"WITH RECURSIVE {recurrences.PAIRS}, {recurrences.band(window=0.2)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank_s1 FROM cdtw) SELECT query_id, id, rank_s1, round(distance, 6) AS dtw_dist, row_number() OVER (PARTITION BY query_id ORDER BY distance, rank_s1) AS rank_s2 FROM k")
+@query(recurrences.adaptive(prediction.SMALL_LIST))
 def adaptive_rerank(t):
     rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
     return prediction.adaptive_rerank(rows, window=0.2).select("query_id", "id", "rank_s1", r("dtw_dist").alias("dtw_dist"), "rank_s2")

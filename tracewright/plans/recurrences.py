@@ -24,7 +24,16 @@ def gap(p: str, q: str) -> str:
 
 
 LOCAL = f"local AS (SELECT user_id, m, n, list_transform(x, lambda p: list_transform(y, lambda q: {gap('p', 'q')})) AS d FROM xy)"
-ANGLES = "local AS (SELECT user_id, m, n, list_transform(x, lambda p: list_transform(y, lambda q: 2 * degrees(acos(least(abs(p[1] * q[1] + p[2] * q[2] + p[3] * q[3] + p[4] * q[4]), 1.0))))) AS d FROM xy)"
+
+
+def angle(p: str, q: str) -> str:
+    """Degrees between two unit quaternions, from the vector and the scalar of the rotation between them."""
+    w = f"{p}[1] * {q}[1] + {p}[2] * {q}[2] + {p}[3] * {q}[3] + {p}[4] * {q}[4]"
+    v = (f"{p}[1] * {q}[2] - {p}[2] * {q}[1] - {p}[3] * {q}[4] + {p}[4] * {q}[3]", f"{p}[1] * {q}[3] + {p}[2] * {q}[4] - {p}[3] * {q}[1] - {p}[4] * {q}[2]", f"{p}[1] * {q}[4] - {p}[2] * {q}[3] + {p}[3] * {q}[2] - {p}[4] * {q}[1]")
+    return f"2 * degrees(atan2(sqrt({' + '.join(f'({c}) * ({c})' for c in v)}), abs({w})))"
+
+
+ANGLES = f"local AS (SELECT user_id, m, n, list_transform(x, lambda p: list_transform(y, lambda q: round({angle('p', 'q')}, 9))) AS d FROM xy)"
 MOVES = {"up": ("i - 1", "j"), "left": ("i", "j - 1"), "diagonal": ("i - 1", "j - 1")}
 
 
@@ -94,12 +103,12 @@ TURNED = f"""turns AS (SELECT user_id, event_id, event_id % 2 AS side, ts, event
   measured AS (SELECT user_id, event_type, i, u FROM units WHERE side = 1),
   xy AS (SELECT * FROM (SELECT user_id, list(u ORDER BY i) AS x, list(event_type ORDER BY i) AS xs, count(*) AS m FROM nominal GROUP BY 1) JOIN (SELECT user_id, list(u ORDER BY i) AS y, list(event_type ORDER BY i) AS ys, count(*) AS n FROM measured GROUP BY 1) USING (user_id))"""
 
-QDTW = f"WITH RECURSIVE {TURNED}, {ANGLES}, {path()} {aligned('ys[j + 1]', 'avg(d[i + 1][j + 1]) OVER u')}".replace(", 6) AS distance", " + 1e-7, 5) AS distance").replace(", 6) AS value", " + 1e-7, 5) AS value")
+QDTW = f"WITH RECURSIVE {TURNED}, {ANGLES}, {path()} {aligned('ys[j + 1]', 'avg(d[i + 1][j + 1]) OVER u')}".replace(", 6) AS distance", ", 8) AS distance").replace(", 6) AS value", ", 8) AS value")
 QAD = f"""WITH {TURNED}, places AS (SELECT user_id, i, ys[i + 1] AS seg, y[i + 1] AS w, x, m, CASE WHEN n = 1 OR i = n - 1 THEN m - 1 ELSE i * ((m - 1) / (n - 1)::DOUBLE) END AS pos FROM (SELECT *, unnest(range(n)) AS i FROM xy)),
   two AS (SELECT user_id, i, seg, w, x[floor(pos)::BIGINT + 1] AS p, x[least(ceil(pos)::BIGINT, m - 1) + 1] AS q, pos - floor(pos) AS t FROM places),
   between_ AS ({_slerp('two', 'user_id, i, seg, w', '0.9995')}),
-  angle AS (SELECT *, 2 * degrees(acos(least(abs({_dot4('o', 'w')}), 1.0))) AS d FROM between_)
-  SELECT user_id AS traj_id, seg AS seg_id, i + 1 AS points_order, round(d + 1e-7, 5) AS distance, round(avg(d) OVER (PARTITION BY user_id) + 1e-7, 5) AS value, 'ok' AS status FROM angle"""
+  angle AS (SELECT *, {angle('o', 'w')} AS d FROM between_)
+  SELECT user_id AS traj_id, seg AS seg_id, i + 1 AS points_order, round(d, 8) AS distance, round(avg(d) OVER (PARTITION BY user_id), 8) AS value, 'ok' AS status FROM angle"""
 
 
 def band(pairs: str = "pairs", window: float = 0.15) -> str:
@@ -144,14 +153,27 @@ RESAMPLED = f"""WITH {PAIRS}, spots AS (SELECT *, CASE WHEN t = n - 1 THEN m - 1
   lows AS (SELECT *, floor(pos)::BIGINT AS low, least(floor(pos)::BIGINT + 1, m - 1) AS high FROM spots),
   points AS (SELECT query_id, id, {', '.join(f'a[t + 1][{k}] - a[1][{k}] - (b[low + 1][{k}] + (pos - low) * (b[high + 1][{k}] - b[low + 1][{k}]) - b[1][{k}]) AS e{k}' for k in (1, 2, 3))} FROM lows)
   SELECT query_id, id, round(sqrt(sum(e1 * e1 + e2 * e2 + e3 * e3)), 6) AS distance FROM points GROUP BY ALL"""
-#: staged(query_id, id, rank_s1, d, rank_s2): half of the candidates pass Kim's bound, twenty of those Keogh's.
-STAGED_CTE = f"""{KIM_CTE}, {keogh(0.2)}, {band(window=0.2)},
+
+
+def staged(keep: str, most: int) -> str:
+    """staged(query_id, id, rank_s1, d, rank_s2): `keep` (of total) candidates pass Kim's bound, `most` of those Keogh's."""
+    return f"""{KIM_CTE}, {keogh(0.2)}, {band(window=0.2)},
   one AS (SELECT query_id, id, kim.bound AS kim, keogh.bound AS keogh, cdtw.distance AS d, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank_s1, count(*) OVER (PARTITION BY query_id) AS total FROM kim JOIN keogh USING (query_id, id) JOIN cdtw USING (query_id, id)),
-  two_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kim, rank_s1) <= ceil(total * 0.5) AS stay FROM one),
-  three AS (SELECT *, stay AND row_number() OVER (PARTITION BY query_id ORDER BY stay DESC, keogh, rank_s1) <= 20 AS done FROM two_),
+  two_ AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY kim, rank_s1) <= {keep} AS stay FROM one),
+  three AS (SELECT *, stay AND row_number() OVER (PARTITION BY query_id ORDER BY stay DESC, keogh, rank_s1) <= {most} AS done FROM two_),
   four AS (SELECT *, CASE WHEN done THEN d ELSE {INF} END AS dtw FROM three),
   staged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dtw, rank_s1) AS rank_s2 FROM four)"""
+
+
+STAGED_CTE = staged("ceil(total * 0.5)", 20)
 STAGED = f"WITH RECURSIVE {PAIRS}, {STAGED_CTE} SELECT query_id, id, rank_s1, round(dtw, 6) AS dtw_dist, rank_s2, rank_s1 - rank_s2 AS rank_change FROM staged"
+
+
+def adaptive(small: int) -> str:
+    """Lists of up to `small` candidates are compared whole; of longer ones nine tenths pass Kim's bound and `small` Keogh's."""
+    return f"WITH RECURSIVE {PAIRS}, {staged(f'CASE WHEN total <= {small} THEN total ELSE ceil(total * 0.9) END', small)} SELECT query_id, id, rank_s1, round(dtw, 6) AS dtw_dist, rank_s2 FROM staged"
+
+
 SAVINGS = f"WITH RECURSIVE {PAIRS}, {STAGED_CTE} SELECT query_id, count(*) AS candidates, count(*) FILTER (done) AS dtw_calls, round(100 * (1 - count(*) FILTER (done) / count(*)::DOUBLE), 6) AS saved_percent FROM staged GROUP BY 1"
 
 
