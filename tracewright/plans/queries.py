@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import quaternions as q
 from ..functions import stats, vectors
 from ..operators import alignment, calibration, joins, kinematics, prediction, ranking, series, summary
+from ..operators.vector_index import CosineIndex
 from ..sources import tables
+from ..sources.scratch import scratch_path, settled
 from . import accuracy, recurrences, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +138,15 @@ def cosine_topk(t):
     return _full(t, 10)
 
 
+@query(f"WITH {HALVES_SQL}, {_topk_sql('vec', 10, 'top')} SELECT query_id, id, distance, rank FROM top")
+def cosine_index_topk(t):
+    """The ten nearest out of a stored index to which a tenth of the rows was appended; every cell may be visited, so nothing is lost."""
+    v = _vectors(t).select("id", "vec")
+    index = CosineIndex.build(v.where("id % 10 <> 9"), scratch_path(v.sparkSession, "cosine-index"))
+    index.append(v.where("id % 10 = 9"))
+    return index.search(_asked(v, F.col("vec").alias("query_vec")), 10, digits=9).select("query_id", "id", "distance", "rank")
+
+
 @query(f"WITH {FUSED_SQL} SELECT query_id, id, rrf_score, rank FROM fused")
 def rrf_fusion(t):
     return _fused(t)
@@ -852,11 +863,25 @@ TWO_STAGE_SQL = f"""WITH RECURSIVE {_shape_cte(5, 10)}, jm AS (SELECT user_id, s
   SELECT query_id, round(avg(target), 6) AS mean, round(sum(target * score * score) / sum(score * score), 6) AS weighted, count(*) AS n FROM again JOIN targets USING (id) WHERE rank <= 5 GROUP BY 1"""
 
 
+def _shapes(t):
+    return _seqs(t).select(F.col("user_id").alias("id"), "seq").withColumn("position", vectors.position_embedding("seq", 5, 10)).withColumn("joint", vectors.joint_embedding("seq", 8, 0, 3))
+
+
 @query(TWO_STAGE_SQL)
 def two_stage_search(t):
     """Fused candidates by position and joint embeddings, reranked, and the mean value of their first five as prediction."""
-    s = _seqs(t).select(F.col("user_id").alias("id"), "seq").withColumn("position", vectors.position_embedding("seq", 5, 10)).withColumn("joint", vectors.joint_embedding("seq", 8, 0, 3))
-    found = search.two_stage(_asked(s, "position", "joint"), s, ["position", "joint"], s, 20, window=0.2)
+    return _two_stage(t, _shapes(t))
+
+
+@query(TWO_STAGE_SQL)
+def two_stage_indexed(t):
+    """two_stage_search with both embeddings searched in stored indexes."""
+    s = settled(_shapes(t))
+    return _two_stage(t, s, {m: CosineIndex.build(s.select("id", F.col(m).alias("vec")), scratch_path(s.sparkSession, m)) for m in ("position", "joint")})
+
+
+def _two_stage(t, s, indexes=None):
+    found = search.two_stage(_asked(s, "position", "joint"), s, ["position", "joint"], s, 20, indexes=indexes, window=0.2)
     targets = t("events").groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("target"))
     p = search.predict(found, targets, "target", 5, rrf_power=2)
     return p.select("query_id", r("mean").alias("mean"), r("weighted").alias("weighted"), "n")

@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import alignment, prediction, ranking
+from ..operators.vector_index import CosineIndex
 from ..sources import tables
 
 
-def first_stage(queries: DataFrame, rows: DataFrame, modalities: list[str], k: int, weights: DataFrame | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rankings of each modality, fused ranking). queries(query_id, <modality>), rows(id, <modality>); null vectors are left out."""
+def first_stage(queries: DataFrame, rows: DataFrame, modalities: list[str], k: int, weights: DataFrame | None = None, digits: int | None = None, indexes: dict[str, CosineIndex] | None = None, probes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rankings of each modality, fused ranking). queries(query_id, <modality>), rows(id, <modality>); null vectors are left out.
+
+    A modality with an index (of the same rows) is searched in it, in `probes` cells of each query; others, and all by default, exactly."""
     long = None
     for m in modalities:
         q = queries.where(F.col(m).isNotNull()).select("query_id", F.col(m).alias("query_vec"))
         r = rows.where(F.col(m).isNotNull()).select("id", F.col(m).alias("vec"))
-        ranked = ranking.cosine_top_k(q, r, k, digits).withColumn("modality", F.lit(m))
+        found = indexes[m].search(q, k, probes, digits) if indexes and m in indexes else ranking.cosine_top_k(q, r, k, digits)
+        ranked = found.select("query_id", "id", "distance", "rank").withColumn("modality", F.lit(m))
         long = ranked if long is None else long.unionByName(ranked)
     return long, ranking.reciprocal_rank_fusion(long, weights)
 
 
-def two_stage(queries: DataFrame, rows: DataFrame, modalities: list[str], sequences: DataFrame, k: int = 10, weights: DataFrame | None = None, **rerank) -> DataFrame:
+def two_stage(queries: DataFrame, rows: DataFrame, modalities: list[str], sequences: DataFrame, k: int = 10, weights: DataFrame | None = None, indexes: dict[str, CosineIndex] | None = None, probes: int | None = None, **rerank) -> DataFrame:
     """Fused candidates of each query reranked by constrained DTW. sequences(id, seq)."""
-    _, fused = first_stage(queries, rows, modalities, k, weights)
+    _, fused = first_stage(queries, rows, modalities, k, weights, indexes=indexes, probes=probes)
     best = fused.where(F.col("rank") <= k).withColumnRenamed("rank", "rank_s1")
     with_seq = best.join(sequences.select("id", "seq"), "id").join(sequences.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id")
     return prediction.staged_rerank(with_seq, **rerank)
