@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ode
 from ..functions import quaternions as q
 from . import joins
 from .series import along
@@ -65,3 +66,91 @@ def integrated(rows: DataFrame, keys: list[str], at: str, rate: str, alias: str
     r = F.coalesce(F.col(rate), F.array(*[F.lit(0.0)] * 3))
     step = q.exponential(F.concat(F.array(F.lit(0.0)), F.transform(r, lambda x: x * F.col("dt__") / 2)))
     return cumulative_product(rows.withColumn("dt__", dt).withColumn("step__", step), keys, at, "step__", alias).drop("dt__", "step__")
+
+
+def _quaternion_slope(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Half the product of quaternions (first four columns of y) with body rates w."""
+    a, x, b, c = y[:, 0], y[:, 1], y[:, 2], y[:, 3]
+    return 0.5 * np.stack([-x * w[:, 0] - b * w[:, 1] - c * w[:, 2], a * w[:, 0] + b * w[:, 2] - c * w[:, 1], a * w[:, 1] + c * w[:, 0] - x * w[:, 2], a * w[:, 2] + x * w[:, 1] - b * w[:, 0]], axis=1)
+
+
+def _unit_rows(y: np.ndarray) -> np.ndarray:
+    return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def propagated(rows: DataFrame, quaternion: str, rate: str, inertia: str, times: str, torque=None, relative: float = 1e-10, alias: str = "motion") -> DataFrame:
+    """rows with the motion of a free or driven rigid body: an array of (t, orientation, rate), one for each of its times.
+
+    A row starts at the first of its times (array, rising or falling) with an orientation and a body rate, and has principal moments
+    of inertia; Euler's equations are integrated with step control, all bodies of an Arrow batch side by side.
+    torque(t, orientations, rates), on arrays with a row for each body, gives torques in the body frame; without it only the moments' ratios count. Rows with
+    a null, or with a moment that is not positive, have none; a motion that cannot be followed on is not a number from there."""
+    schema = "array<struct<t: double, orientation: array<double>, rate: array<double>>>"
+
+    @F.pandas_udf(schema)
+    def move(q0: pd.Series, w0: pd.Series, moments: pd.Series, at: pd.Series) -> pd.Series:
+        usable = [i for i, four in enumerate(zip(q0, w0, moments, at)) if all(x is not None and len(x) for x in four) and min(four[2]) > 0 and np.any(four[0])]
+        out: list = [None] * len(q0)
+        if usable:
+            pick = lambda s: np.array([np.asarray(s.iloc[i], float) for i in usable])
+            i3 = pick(moments)
+            ratio = np.stack([(i3[:, 1] - i3[:, 2]) / i3[:, 0], (i3[:, 2] - i3[:, 0]) / i3[:, 1], (i3[:, 0] - i3[:, 1]) / i3[:, 2]], axis=1)
+
+            def slope(which, t, y):
+                w = y[:, 4:]
+                change = w[:, [1, 2, 0]] * w[:, [2, 0, 1]] * ratio[which]
+                if torque is not None:
+                    change = change + torque(t, _unit_rows(y[:, :4]), w) / i3[which]
+                return np.hstack([_quaternion_slope(y, w), change])
+
+            start = np.hstack([_unit_rows(pick(q0)), pick(w0)])
+            stops = [np.asarray(at.iloc[i], float) for i in usable]
+            for i, stop, states in zip(usable, stops, ode.solve(slope, start, stops, relative)):
+                turned = _unit_rows(states[:, :4])
+                out[i] = [{"t": float(t), "orientation": q_.tolist(), "rate": s[4:].tolist()} for t, q_, s in zip(stop, turned, states)]
+        return pd.Series(out)
+
+    return rows.withColumn(alias, move(quaternion, rate, inertia, times))
+
+
+def integrated_by_spline(rows: DataFrame, keys: list[str], at: str, rate: str, start: list[float] = (1.0, 0.0, 0.0, 0.0), relative: float = 1e-10, alias: str = "orientation") -> DataFrame:
+    """keys, at and the orientation at each of a series' distinct times, from body rates that a cubic spline joins.
+
+    integrated() keeps each rate until the next; here the rate changes smoothly, and the equation is solved with step control, all series of an Arrow
+    batch side by side. Rows with a null or non-finite time or rate are left out; of several at a time the first rate in order counts."""
+    known = rows.where(F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double")) & F.col(rate).isNotNull() & F.expr(f"size(`{rate}`) = 3 and forall(`{rate}`, x -> x is not null and abs(x) < double('Infinity'))"))
+    once = known.groupBy(*keys, F.col(at).cast("double").alias("t__")).agg(F.min(F.col(rate).cast("array<double>")).alias("w__"))
+    series_ = once.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t__", "w__"))).alias("s__"))  # a series is bounded by its recording
+    begin = np.asarray(start, float) / np.linalg.norm(start)
+
+    @F.pandas_udf("array<struct<t: double, q: array<double>>>")
+    def integrate(all_: pd.Series) -> pd.Series:
+        times = [np.array([r["t__"] for r in s]) for s in all_]
+        pieces = [ode.cubic(t, np.array([r["w__"] for r in s], float)) for t, s in zip(times, all_)]
+        offset = np.cumsum([0, *[len(p) for p in pieces]])
+        table = np.concatenate(pieces) if pieces else np.zeros((0, 4, 3))
+        knots = np.concatenate([t[: len(p)] for t, p in zip(times, pieces)]) if pieces else np.zeros(0)
+        spot = offset[:-1].copy()  # the piece that each series is in
+
+        def slope(which, t, y):
+            here = spot[which]
+            last = offset[which + 1] - 1
+            while True:
+                go = (here < last) & (t > knots[np.minimum(here + 1, len(knots) - 1)])
+                if not go.any():
+                    break
+                here = here + go
+            while True:  # a rejected step goes back
+                go = (here > offset[which]) & (t < knots[here])
+                if not go.any():
+                    break
+                here = here - go
+            spot[which] = here
+            s = (t - knots[here])[:, None]
+            c = table[here]
+            return _quaternion_slope(y, c[:, 0] + s * (c[:, 1] + s * (c[:, 2] + s * c[:, 3])))
+
+        states = ode.solve(slope, np.tile(begin, (len(times), 1)), times, relative)
+        return pd.Series([[{"t": float(a), "q": b.tolist()} for a, b in zip(t, _unit_rows(y))] for t, y in zip(times, states)])
+
+    return series_.select(*keys, F.explode(integrate("s__")).alias("e__")).select(*keys, F.col("e__.t").alias(at), F.col("e__.q").alias(alias))

@@ -1152,6 +1152,32 @@ def integrated_rates(t):
     return out.select("event_id", (r(F.col("orientation")[0], 5) + 0.0).alias("w"), (r(F.col("orientation")[3], 5) + 0.0).alias("z"))
 
 
+@query("""WITH d AS (SELECT user_id, row_number() OVER w AS n, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 86400000000.0 AS t FROM (SELECT DISTINCT user_id, ts FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  a AS (SELECT user_id, n, (0.1 * t + 0.02 * t * t / 2 - 0.003 * t * t * t / 3 + 0.0001 * t * t * t * t / 4) / 2 AS h FROM d) SELECT user_id, n, round(cos(h), 5) + 0.0 AS w, round(sin(h) * 0.6, 5) + 0.0 AS x, round(sin(h) * 0.8, 5) + 0.0 AS z FROM a""")
+def integrated_by_spline(t):
+    """Orientations that a rate about a fixed axis leads to, which is a cubic of the time and sampled at a user's events."""
+    first = F.min("at").over(Window.partitionBy("user_id"))
+    e = _events(t).withColumn("days", (F.col("at") - first) / 86_400_000_000.0)
+    d = F.col("days")
+    rate = 0.1 + 0.02 * d - 0.003 * d * d + 0.0001 * d * d * d
+    out = kinematics.integrated_by_spline(e.select("user_id", "days", F.array(rate * 0.6, F.lit(0.0), rate * 0.8).alias("rate")), ["user_id"], "days", "rate")
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("days")).cast("long")
+    o = F.col("orientation")
+    return out.select("user_id", n.alias("n"), *[(r(o[i], 5) + 0.0).alias(c) for i, c in ((0, "w"), (1, "x"), (3, "z"))])
+
+
+@query(recurrences.TOP)
+def propagated_top(t):
+    """Orientation and rate of a free symmetric top for every event, at three times."""
+    i = F.col("event_id")
+    rates = F.array((i % 7) / 10.0, (i % 5) / 10.0, (i % 11) / 10.0 - 0.5)
+    times = F.when(i % 40 == 0, F.array(*[F.lit(0.0)] * 3)).otherwise(F.array(*[F.lit(f) * (i % 40) / 8 for f in (0.0, 0.5, 1.0)]))
+    rows = _quats(t).withColumn("rate", rates).withColumn("moments", F.array(F.lit(2.0), F.lit(2.0), F.lit(3.0))).withColumn("times", times)
+    out = kinematics.propagated(rows, "p", "rate", "moments", "times", relative=1e-11).select("event_id", F.explode("motion").alias("m"))
+    each = [(r(F.col("m.orientation")[k], 4) + 0.0).alias(c) for k, c in enumerate("wxyz")] + [(r(F.col("m.rate")[k], 4) + 0.0).alias(f"w{c}") for k, c in enumerate("xyz")]
+    return out.select("event_id", r("m.t").alias("t"), *each)
+
+
 @query(f"""WITH {QUAT_SQL}, m AS (SELECT event_id, value, [cos(a), -sin(a), 0.0, sin(a), cos(a), 0.0, 0.0, 0.0, 1.0] AS m, b FROM (SELECT a.event_id, e.value, a.b AS a, a.b FROM a JOIN events e USING (event_id)))
   SELECT event_id, round(m[1] * m[1] * 2 + m[2] * m[2] * 3, 6) + 0.0 AS xx, round(m[1] * m[4] * 2 + m[2] * m[5] * 3, 6) + 0.0 AS xy, round(m[4] * m[4] * 2 + m[5] * m[5] * 3, 6) + 0.0 AS yy, round(cos(b / 2), 6) + 0.0 AS re, round(sin(b / 2), 6) + 0.0 AS im, round(cos(b / 2), 6) + 0.0 AS back FROM m""")
 def tensors_and_complex_matrices(t):

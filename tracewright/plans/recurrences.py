@@ -310,3 +310,11 @@ POSES = f"""WITH e AS (SELECT event_id, ts::DATE AS day, radians(value) / 2 AS h
     UNION ALL SELECT event_id, 'angles', [CASE WHEN abs(up) > 0.99999 THEN 0 ELSE degrees(atan2(2 * (o[3] * o[4] + o[2] * o[1]), 1 - 2 * (o[2] * o[2] + o[3] * o[3]))) END, CASE WHEN abs(up) > 0.99999 THEN sign(up) * 90 ELSE degrees(asin(greatest(-1, least(1, up)))) END,
       CASE WHEN abs(up) > 0.99999 THEN degrees(atan2(-(2 * (o[2] * o[3] - o[4] * o[1])), 1 - 2 * (o[2] * o[2] + o[4] * o[4]))) ELSE degrees(atan2(2 * (o[2] * o[3] + o[4] * o[1]), 1 - 2 * (o[3] * o[3] + o[4] * o[4]))) END] FROM g)
   SELECT event_id, part, generate_subscripts(v, 1) AS k, unnest(list_transform(v, lambda z: round(z, 4) + 0.0)) AS x FROM h"""
+
+
+#: A free symmetric top, moments 2, 2 and 3: the angular momentum turns the body in space, and the body turns under its axis.
+TOP = f"""WITH e AS (SELECT event_id, radians(value) / 2 AS h, (event_id % 7) / 10.0::DOUBLE AS a, (event_id % 5) / 10.0::DOUBLE AS b, (event_id % 11) / 10.0::DOUBLE - 0.5 AS c, unnest([0.0, 0.5, 1.0]) * (event_id % 40) / 8 AS t FROM events),
+  f AS (SELECT *, -c / 2 AS lam, sqrt(a * a + b * b + 2.25 * c * c) AS m, [cos(h), sin(h) * 0.6, sin(h) * 0.8, 0.0] AS q FROM e),
+  g AS (SELECT event_id, t, lam, a, b, c, {_times('q', '[cos(m * t / 2), sin(m * t / 2) * coalesce(a / nullif(m, 0), 0), sin(m * t / 2) * coalesce(b / nullif(m, 0), 0), sin(m * t / 2) * coalesce(1.5 * c / nullif(m, 0), 0)]')} AS q FROM f),
+  k AS (SELECT event_id, t, a * cos(lam * t) + b * sin(lam * t) AS wx, b * cos(lam * t) - a * sin(lam * t) AS wy, c AS wz, {_times('q', '[cos(lam * t / 2), 0.0, 0.0, sin(lam * t / 2)]')} AS q FROM g)
+  SELECT event_id, round(t, 6) AS t, round(q[1], 4) + 0.0 AS w, round(q[2], 4) + 0.0 AS x, round(q[3], 4) + 0.0 AS y, round(q[4], 4) + 0.0 AS z, round(wx, 4) + 0.0 AS wx, round(wy, 4) + 0.0 AS wy, round(wz, 4) + 0.0 AS wz FROM k"""
