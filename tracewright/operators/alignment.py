@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import curves
 from ..functions import kernels as k
 
-METRICS = ("point_to_curve", "sidtw", "dtw", "frechet", "lcss", "qad", "qdtw")
+METRICS = ("point_to_curve", "point_to_pchip", "point_to_spline", "sidtw", "dtw", "frechet", "lcss", "qad", "qdtw")
 _AXES = "xyzw"
 
 
@@ -28,6 +29,9 @@ def _rows(metric: str, x: np.ndarray, y: np.ndarray, xs: np.ndarray, ys: np.ndar
     if metric == "point_to_curve":
         foot, d, _ = k.point_to_polyline(a, b)
         return foot, y, d, ys, d.mean()
+    if metric in ("point_to_pchip", "point_to_spline"):  # the nominal path as a cubic curve
+        foot, d, _ = curves.nearest(a, b, metric.removeprefix("point_to_"))
+        return foot, y, d, ys, d.mean()
     if metric == "sidtw":
         _, _, d, ix, iy, row = k.selective_dtw(a, b)
         # the nominal segment of the row, but the measured one along the first row

@@ -778,6 +778,13 @@ def point_to_curve(t):
     return _aligned(t, "point_to_curve").select("traj_id", "seg_id", "points_order", "distance")
 
 
+@query(recurrences.POINT_TO_PCHIP)
+def point_to_pchip(t):
+    """Distances from the shape-preserving cubic through the nominal points."""
+    d = _aligned(t, "point_to_pchip", 4)
+    return d.select("traj_id", "seg_id", "points_order", "distance")
+
+
 @query(recurrences.SIDTW)
 def sidtw(t):
     return _aligned(t, "sidtw")

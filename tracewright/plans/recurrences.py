@@ -318,3 +318,27 @@ TOP = f"""WITH e AS (SELECT event_id, radians(value) / 2 AS h, (event_id % 7) /
   g AS (SELECT event_id, t, lam, a, b, c, {_times('q', '[cos(m * t / 2), sin(m * t / 2) * coalesce(a / nullif(m, 0), 0), sin(m * t / 2) * coalesce(b / nullif(m, 0), 0), sin(m * t / 2) * coalesce(1.5 * c / nullif(m, 0), 0)]')} AS q FROM f),
   k AS (SELECT event_id, t, a * cos(lam * t) + b * sin(lam * t) AS wx, b * cos(lam * t) - a * sin(lam * t) AS wy, c AS wz, {_times('q', '[cos(lam * t / 2), 0.0, 0.0, sin(lam * t / 2)]')} AS q FROM g)
   SELECT event_id, round(t, 6) AS t, round(q[1], 4) + 0.0 AS w, round(q[2], 4) + 0.0 AS x, round(q[3], 4) + 0.0 AS y, round(q[4], 4) + 0.0 AS z, round(wx, 4) + 0.0 AS wx, round(wy, 4) + 0.0 AS wy, round(wz, 4) + 0.0 AS wz FROM k"""
+
+
+def _on(s: str) -> list[str]:
+    return [f"(c[{k}][1] + {s} * (c[{k}][2] + {s} * (c[{k}][3] + {s} * c[{k}][4])))" for k in (1, 2, 3)]
+
+
+def _from_point(s: str) -> str:
+    return "(" + " + ".join(f"pow({p} - q[{k}], 2)" for k, p in zip((1, 2, 3), _on(s))) + ")"
+
+
+#: Distance from a shape-preserving cubic: 40 samples of every piece, and the best three of a point refined by thirds of their brackets.
+POINT_TO_PCHIP = f"""WITH p AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS ord, event_id % 2 AS side, [value, {HOUR}, (event_id % 100)::DOUBLE] AS p FROM events),
+  steps AS (SELECT *, {gap('p', 'p2')} AS h FROM (SELECT user_id, ord, p, lead(p) OVER (PARTITION BY user_id ORDER BY ord) AS p2 FROM p WHERE side = 0)),
+  long AS (SELECT user_id, ord, k, h, p[k] AS y, p2[k] AS y2, (p2[k] - p[k]) / h AS d FROM steps, (SELECT unnest([1, 2, 3]) AS k)),
+  near AS (SELECT *, lag(d) OVER w AS dl, lag(h) OVER w AS hl, lag(d, 2) OVER w AS dll, lag(h, 2) OVER w AS hll, lead(d) OVER w AS dr, lead(h) OVER w AS hr FROM long WINDOW w AS (PARTITION BY user_id, k ORDER BY ord)),
+  ends AS (SELECT *, CASE WHEN dl IS NULL THEN d ELSE dl END AS x, CASE WHEN dl IS NULL THEN dr ELSE dll END AS z, CASE WHEN dl IS NULL THEN h ELSE hl END AS hx, CASE WHEN dl IS NULL THEN hr ELSE hll END AS hz FROM near),
+  edge AS (SELECT *, ((2 * hx + hz) * x - hx * z) / (hx + hz) AS e FROM ends),
+  slopes AS (SELECT *, CASE WHEN d IS NOT NULL AND dl IS NOT NULL THEN CASE WHEN d * dl > 0 THEN 3 * (h + hl) / ((2 * hl + h) / d + (hl + 2 * h) / dl) ELSE 0 END WHEN z IS NULL THEN x WHEN e * x <= 0 THEN 0 WHEN x * z < 0 AND abs(e) > 3 * abs(x) THEN 3 * x ELSE e END AS m FROM edge),
+  cubic AS (SELECT user_id, ord, k, [y, m * h, 3 * (y2 - y) - 2 * m * h - m2 * h, 2 * (y - y2) + m * h + m2 * h] AS c FROM (SELECT *, lead(m) OVER (PARTITION BY user_id, k ORDER BY ord) AS m2 FROM slopes) WHERE y2 IS NOT NULL),
+  pieces AS (SELECT user_id, ord AS piece, list(c ORDER BY k) AS c FROM cubic GROUP BY ALL),
+  sampled AS (SELECT user_id, b.event_type, b.ord, b.p AS q, c, unnest(range(41)) / 40.0 AS s FROM p b JOIN pieces USING (user_id) WHERE side = 1),
+  best AS (SELECT user_id, event_type, ord, q, c, s FROM (SELECT *, {_from_point('s')} AS d FROM sampled) QUALIFY row_number() OVER (PARTITION BY user_id, ord ORDER BY d) <= 3),
+  fine AS (SELECT user_id, event_type, ord, q, c, list_reduce(list_prepend([greatest(s - 0.025, 0), least(s + 0.025, 1)], list_transform(range(70), lambda z: [0.0, 0.0]::DOUBLE[])), lambda i, z: CASE WHEN {_from_point('((2 * i[1] + i[2]) / 3)')} < {_from_point('((i[1] + 2 * i[2]) / 3)')} THEN [i[1], (i[1] + 2 * i[2]) / 3] ELSE [(2 * i[1] + i[2]) / 3, i[2]] END)[1] AS s FROM best)
+  SELECT user_id AS traj_id, event_type AS seg_id, ord AS points_order, round(sqrt(min({_from_point('s')})), 4) AS distance FROM fine GROUP BY ALL"""
