@@ -232,3 +232,36 @@ def test_splines_go_through_their_points_and_keep_cubics():
         assert np.allclose((here[0] - left[0]) / e, (right[0] - here[0]) / e, atol=1e-2)
     for n in (1, 2, 3):
         assert np.allclose(k.spline(cubic(t[:n]), t[:n]), cubic(t[:n]))
+
+
+def test_selective_dtw_is_the_same_however_much_is_kept(monkeypatch):
+    rng = np.random.default_rng(12)
+    for t in range(60):
+        m, n = rng.integers(1, 45, 2)
+        x = np.cumsum(rng.normal(size=(m, 3)), axis=0)
+        y = x[np.sort(rng.integers(0, m, n))] + 0.3 * rng.normal(size=(n, 3)) if t % 2 else np.cumsum(rng.normal(size=(n, 3)), axis=0)
+        if t % 5 == 0:
+            x, y = np.round(x), np.round(y)  # ties, repeated points
+        monkeypatch.setattr(k, "KEPT_CELLS", 1_000_000)
+        whole = k.selective_dtw(x, y)
+        monkeypatch.setattr(k, "KEPT_CELLS", 0)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, k.selective_dtw(x, y)))
+
+
+def test_selective_dtw_of_long_paths_takes_little_memory():
+    """Planes of 2,500 x 2,500 cells would take over a gigabyte; the peak of the process must not grow by a tenth of that."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from tracewright.functions import kernels as k
+x = np.cumsum(np.random.default_rng(1).normal(size=(2500, 3)), axis=0)
+k.selective_dtw(x[:300], x[:300])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+d = k.selective_dtw(x, x + 0.01)[2]
+assert len(d) >= 2500 and np.median(d) < 0.02
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert float(out.stdout) < 100, out.stdout + out.stderr

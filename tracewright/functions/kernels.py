@@ -177,12 +177,110 @@ def lcss(x: np.ndarray, y: np.ndarray, epsilon: float | None = None):
     return rows, columns, _apart(x[rows], y[columns]), float(total / min(m, n)), epsilon
 
 
-def _edges(path: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance of each point from each edge of the path, and the clamped share of the edge where it is reached."""
-    start, step = path[:-1, None, :], np.diff(path, axis=0)[:, None, :]
-    size = np.maximum((step**2).sum(-1), np.finfo(float).eps)
-    t = np.clip(((points[None] - start) * step).sum(-1) / size, 0, 1)
-    return np.sqrt(((points[None] - start - t[..., None] * step) ** 2).sum(-1)), t
+#: Cells of diagonals that selective_dtw keeps, at most, before it computes them again on the way back.
+KEPT_CELLS = 1_000_000
+
+
+class _Planes:
+    """The three cost planes of selective_dtw along anti-diagonals s = i + j.
+
+    A diagonal is six arrays over i: the planes v, x and y, the distance of the vertices, and the shares of the edges that end at i and at j
+    where the other path's point reaches them. Step s needs the two diagonals before and what those local figures are on its own."""
+
+    FIELDS = 6
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.m, self.n = len(x), len(y)
+        pad = lambda p: np.vstack([np.zeros((1, p.shape[1])), np.diff(p, axis=0)])
+        before = lambda p: np.vstack([p[:1], p[:-1]])
+        size = lambda d: np.maximum((d**2).sum(axis=1), np.finfo(float).eps)
+        dx, dy = pad(x), pad(y)
+        # the second path backwards, so that the cells of a diagonal are slices of both
+        self.x, self.x0, self.dx, self.x_size = x.T.copy(), before(x).T.copy(), dx.T.copy(), size(dx)
+        self.y, self.y0, self.dy, self.y_size = y[::-1].T.copy(), before(y)[::-1].T.copy(), dy[::-1].T.copy(), size(dy)[::-1].copy()
+
+    def empty(self) -> np.ndarray:
+        out = np.full((self.FIELDS, self.m), np.inf)
+        out[4:] = np.nan
+        return out
+
+    def _local(self, now: np.ndarray, s: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fill in distances and shares of the cells lo..hi - 1; their distances from the edges that end at i and at j."""
+        i, j = slice(lo, hi), slice(self.n - 1 - s + lo, self.n - 1 - s + hi)
+        x, y = self.x[:, i], self.y[:, j]
+        now[3, i] = np.sqrt(((x - y) ** 2).sum(axis=0))
+        t = np.clip(((y - self.x0[:, i]) * self.dx[:, i]).sum(axis=0) / self.x_size[i], 0, 1)
+        reach_x = np.sqrt(((y - self.x0[:, i] - t * self.dx[:, i]) ** 2).sum(axis=0))
+        now[4, i] = t
+        t = np.clip(((x - self.y0[:, j]) * self.dy[:, j]).sum(axis=0) / self.y_size[j], 0, 1)
+        reach_y = np.sqrt(((x - self.y0[:, j] - t * self.dy[:, j]) ** 2).sum(axis=0))
+        now[5, i] = t
+        if lo == 0:
+            now[4, 0], reach_x[0] = np.nan, np.inf  # no edge ends at the first point
+        if s - hi + 1 == 0:
+            now[5, hi - 1], reach_y[-1] = np.nan, np.inf
+        return reach_x, reach_y
+
+    def step(self, s: int, one: np.ndarray, two: np.ndarray, codes: bool = False):
+        """The diagonal s after the diagonals s - 1 and s - 2; with `codes` also which option each plane's cells took."""
+        lo, hi = max(0, s - self.n + 1), min(self.m, s + 1)
+        now = self.empty()
+        rx, ry = self._local(now, s, lo, hi)
+        how = np.zeros((3, self.m), np.int8) if codes else None
+        if lo == 0:  # the first row
+            now[0, 0] = now[3, 0] + (one[0, 0] if s else 0.0)
+            if s:
+                now[2, 0] = one[0, 0] + ry[0]
+        if s and s - hi + 1 == 0:  # the first column
+            now[0, s] = one[0, s - 1] + now[3, s]
+        a, b = max(lo, 1), min(hi, s)
+        if a >= b:
+            return now, how
+        here, left, up, back = slice(a, b), one[:, a:b], one[:, a - 1 : b - 1], two[:, a - 1 : b - 1]
+        rx, ry = rx[a - lo : b - lo], ry[a - lo : b - lo]
+        d, px, py = now[3, here], now[4, here], now[5, here]
+        x_here, y_here = (px > 0) & (px < 1), (py > 0) & (py < 1)
+        x_left, y_up = (left[4] > 0) & (left[4] < 1), (up[5] > 0) & (up[5] < 1)
+        from_x, from_y = np.where(x_left, left[1], np.inf), np.where(y_up, up[2], np.inf)
+        with np.errstate(invalid="ignore"):
+            options = np.where(left[4] <= px, from_x, np.inf), from_y, up[0]
+            cost = self._first(options, how, 1, here)
+            now[1, here] = np.where(x_here, rx + cost, np.inf)
+            options = from_x, np.where(up[5] <= py, from_y, np.inf), left[0]
+            cost = self._first(options, how, 2, here)
+            now[2, here] = np.where(y_here, ry + cost, np.inf)
+            straight = ~(x_here | y_here | x_left | y_up) & (d <= up[3]) & (d <= left[3]) & (back[3] <= up[3]) & (back[3] <= left[3])
+            only = lambda ok, c: np.where(ok, c, np.inf)
+            best = now[1, here].copy()  # infinite where no point of the edge is reached
+            code = np.zeros(b - a, np.int8)
+            for k, c in enumerate(
+                (
+                    now[2, here],
+                    only((d <= left[3]) & ~y_here & ((px < left[4]) | ~x_here), from_x),
+                    only((d <= up[3]) & ~x_here & ((py < up[5]) | ~y_here), from_y),
+                    only(~y_here, left[0]),
+                    only(~x_here, up[0]),
+                    only(straight, back[0]),
+                ),
+                1,
+            ):
+                less = c < best
+                np.copyto(best, c, where=less)
+                if codes:
+                    code[less] = k
+        now[0, here] = best + d
+        if codes:
+            how[0, here] = code
+        return now, how
+
+    @staticmethod
+    def _first(options: tuple, how: np.ndarray | None, plane: int, here: slice) -> np.ndarray:
+        """The first finite option of each cell."""
+        a, b, c = options
+        one, two = np.isfinite(a), np.isfinite(b)
+        if how is not None:
+            how[plane, here] = np.where(one, 0, np.where(two, 1, np.where(np.isfinite(c), 2, 0)))
+        return np.where(one, a, np.where(two, b, np.where(np.isfinite(c), c, np.inf)))
 
 
 def selective_dtw(x: np.ndarray, y: np.ndarray):
@@ -191,66 +289,53 @@ def selective_dtw(x: np.ndarray, y: np.ndarray):
     Three cost planes: vertex pairs, pairs with a point on the x edge that ends at i, and on the y edge that ends at j.
     An edge plane takes its first admissible predecessor, the vertex plane its cheapest (first on ties). Every move is the
     pair (part of an x step, part of a y step) that the predecessor stands at: 0 is one step back, 1 stays.
-    Returns (x points, y points, distances, x positions, y positions, row i of each pair)."""
+    Every so many diagonals are kept, and those between are computed again on the way back, so memory grows with the power 1.5
+    of the lengths. Returns (x points, y points, distances, x positions, y positions, row i of each pair)."""
     m, n = len(x), len(y)
-    near = distances(x, y)
-    share = {"x": np.full((m, n), np.nan), "y": np.full((m, n), np.nan)}
-    reach = {"x": np.full((m, n), np.inf), "y": np.full((m, n), np.inf)}
-    if m > 1:
-        reach["x"][1:], share["x"][1:] = _edges(x, y)
-    if n > 1:
-        d, t = _edges(y, x)
-        reach["y"][:, 1:], share["y"][:, 1:] = d.T, t.T
-    inside = {k: (v > 0) & (v < 1) for k, v in share.items()}
-    plane = {"v": np.full((m, n), np.inf), "x": np.full((m, n), np.inf), "y": np.full((m, n), np.inf)}
-    move = {k: np.full((m, n, 2), np.nan) for k in plane}
-    plane["v"][:, 0], plane["v"][0] = np.cumsum(near[:, 0]), np.cumsum(near[0])
-    move["v"][1:, 0], move["v"][0, 1:] = (0, 1), (1, 0)
-    move["x"][1:, 0], move["y"][0, 1:] = (0, 1), (1, 0)
-    plane["y"][0, 1:] = plane["v"][0, :-1] + reach["y"][0, 1:]
-
-    def pick(costs, moves, first: bool):
-        """Cost and move of the first finite option, or of the cheapest."""
-        costs = np.stack(costs)
-        at = np.isfinite(costs).argmax(0) if first else costs.argmin(0)
-        row = np.arange(costs.shape[1])
-        table = np.stack([np.stack(np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), costs[0])[:2], -1) for a, b in moves])
-        return costs[at, row], table[at, row]
-
-    only = lambda ok, c: np.where(ok, c, np.inf)
-    for i, j in _diagonals(m, n):
-        keep = (i > 0) & (j > 0)
-        i, j = i[keep], j[keep]
-        if not len(i):
-            continue
-        up, left = (i - 1, j), (i, j - 1)
-        x_here, y_here, x_left, y_up = inside["x"][i, j], inside["y"][i, j], inside["x"][left], inside["y"][up]
-        px, py, px_left, py_up = share["x"][i, j], share["y"][i, j], share["x"][left], share["y"][up]
-        from_x, from_y = only(x_left, plane["x"][left]), only(y_up, plane["y"][up])
-        v_up, v_left, v_diagonal = plane["v"][up], plane["v"][left], plane["v"][i - 1, j - 1]
-        cost, how = pick([only(px_left <= px, from_x), from_y, v_up], [(px_left, 0), (0, py_up), (0, 1)], first=True)
-        plane["x"][i, j], move["x"][i, j] = only(x_here, reach["x"][i, j] + cost), how
-        cost, how = pick([from_x, only(py_up <= py, from_y), v_left], [(px_left, 0), (0, py_up), (1, 0)], first=True)
-        plane["y"][i, j], move["y"][i, j] = only(y_here, reach["y"][i, j] + cost), how
-        here, d_up, d_left, d_diagonal = near[i, j], near[up], near[left], near[i - 1, j - 1]
-        straight = ~(x_here | y_here | x_left | y_up) & (here <= d_up) & (here <= d_left) & (d_diagonal <= d_up) & (d_diagonal <= d_left)
-        options = [
-            (only(x_here, plane["x"][i, j]), (px, 1)),
-            (only(y_here, plane["y"][i, j]), (1, py)),
-            (only((here <= d_left) & ~y_here & ((px < px_left) | ~x_here), from_x), (px_left, 0)),
-            (only((here <= d_up) & ~x_here & ((py < py_up) | ~y_here), from_y), (0, py_up)),
-            (only(~y_here, v_left), (1, 0)),
-            (only(~x_here, v_up), (0, 1)),
-            (only(straight, v_diagonal), (0, 0)),
-        ]
-        cost, how = pick([c for c, _ in options], [w for _, w in options], first=False)
-        plane["v"][i, j], move["v"][i, j] = cost + here, how
+    planes = _Planes(np.asarray(x, float), np.asarray(y, float))
+    whole = (m + n) * m <= KEPT_CELLS  # short pairs keep every diagonal
+    every = max(2, int(np.sqrt(m + n)))
+    kept: dict[int, tuple] = {}
+    block: dict[int, tuple] = {}
+    one = two = planes.empty()
+    block[-1] = one, None
+    for s in range(m + n - 1):
+        if s % every == 0 and not whole:
+            kept[s] = one, two
+        now, how = planes.step(s, one, two, whole)
+        if whole:
+            block[s] = now, how
+        one, two = now, one
+
+    def diagonal(s: int):
+        if s not in block or block[s][1] is None:
+            start = s - s % every
+            block.clear()
+            one, two = kept[start]
+            block[start - 1] = one, None  # only its shares are asked for
+            for k in range(start, min(m + n - 1, start + every)):
+                now, how = planes.step(k, one, two, True)
+                block[k] = now, how
+                one, two = now, one
+        return block[s]
+
+    def move(plane: str, i: int, j: int) -> tuple[float, float]:
+        if j == 0:
+            return 0.0, 1.0
+        if i == 0:
+            return 1.0, 0.0
+        now, how = diagonal(i + j)
+        before = block[i + j - 1][0]
+        code = int(how["vxy".index(plane), i])
+        if plane != "v":
+            return [(before[4, i], 0.0), (0.0, before[5, i - 1]), (0.0, 1.0) if plane == "x" else (1.0, 0.0)][code]
+        return [(now[4, i], 1.0), (1.0, now[5, i]), (before[4, i], 0.0), (0.0, before[5, i - 1]), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)][code]
 
     i, j = m - 1, n - 1
     pairs, rows = [(float(i), float(j))], [i]
     at = "v"
     while i or j:
-        a, b = move[at][i, j]
+        a, b = move(at, i, j)
         pairs.append((i - 1 + a, j - 1 + b))
         rows.append(i)
         at = "x" if 0 < a < 1 else "y" if 0 < b < 1 else "v"
