@@ -284,3 +284,28 @@ def test_interpolated_orientations_outside_are_null(spark):
     got = {(r.k, r.at): r.orientation for r in kinematics.interpolated(samples, wanted, ["k"], "at", "p").collect()}
     assert got["a", -1] is None and got["a", 11] is None and got["b", 5] is None
     assert got["a", 0] == pytest.approx([1, 0, 0, 0]) and got["a", 10] == pytest.approx([half, half, 0, 0]) and got["a", 5] == pytest.approx([math.cos(math.pi / 8), math.sin(math.pi / 8), 0, 0])
+
+
+def test_percentiles_by_selection_in_large_and_small_groups(spark, monkeypatch):
+    import numpy as np
+
+    from tracewright.operators import series
+
+    rng = np.random.default_rng(7)
+    groups = {"a": rng.normal(size=4000), "b": np.round(rng.normal(size=3000), 1), "c": np.full(900, 2.5), "d": rng.normal(size=3), None: rng.normal(size=50)}
+    df = spark.createDataFrame([(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("e", None)], "k string, v double").repartition(3)
+    percents = [0, 1, 25, 50, 99.5, 100]
+    monkeypatch.setattr(series, "SMALL_GROUP", 60)  # others are bracketed
+    monkeypatch.setattr(series, "SKETCH", 100)
+    for few in (series.FEW_GROUPS, 2):
+        monkeypatch.setattr(series, "FEW_GROUPS", few)
+        got = {r.k: r[1:] for r in series.midpoint_percentiles(df, ["k"], "v", percents).collect()}
+        assert set(got) == set(groups)
+        for k, v in groups.items():
+            assert np.allclose(got[k], np.percentile(v, percents, method="hazen"))
+    every = np.concatenate(list(groups.values()))
+    row = series.midpoint_percentiles(df, [], "v", percents)
+    assert np.allclose(row.first(), np.percentile(every, percents, method="hazen"))
+    plan = row._jdf.queryExecution().toString()
+    assert "RDDScan" not in plan and "RangePartitioning" not in plan
+    assert series.midpoint_percentiles(df.limit(0), ["k"], "v", [50]).count() == 0

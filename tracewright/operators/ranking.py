@@ -63,16 +63,17 @@ def cosine_top_k(queries: DataFrame, rows: DataFrame, k: int, digits: int | None
     """queries(query_id, query_vec), rows(id, vec) -> query_id, id, distance, rank; the query itself is left out.
 
     Norms are computed once a row, not once a pair. Ties go to the smaller id; `digits` rounds before ranking."""
-    return top_k(_cosine_distances(queries, rows, digits, allowed), ["query_id"], ["distance", "id"], k)
+    return top_k(cosine_distances(queries, rows, digits, allowed), ["query_id"], ["distance", "id"], k)
 
 
 def cosine_ranking(queries: DataFrame, rows: DataFrame, digits: int | None = None, allowed: Column | None = None) -> DataFrame:
     """All rows of cosine_top_k, ranked in ranges of (query, distance). Where the first few are wanted, that is cheaper."""
-    scored = _cosine_distances(queries, rows, digits, allowed)
+    scored = cosine_distances(queries, rows, digits, allowed)
     return series.running_total(scored, ["query_id"], ["distance", "id"], F.lit(1).cast("long"), "rank")
 
 
-def _cosine_distances(queries: DataFrame, rows: DataFrame, digits: int | None, allowed: Column | None) -> DataFrame:
+def cosine_distances(queries: DataFrame, rows: DataFrame, digits: int | None = None, allowed: Column | None = None) -> DataFrame:
+    """query_id, id, distance of every allowed pair, in no order."""
     q = queries.withColumn("qn__", vectors.norm("query_vec"))
     r = rows.withColumn("rn__", vectors.norm("vec"))
     both = pairs(q, r).where(F.col("id") != F.col("query_id") if allowed is None else allowed)
@@ -113,13 +114,20 @@ def reciprocal_ranks(ranking: DataFrame, truth: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.avg(1 / F.col("rank")).alias("mrr"), F.avg("rank").alias("mean_rank"))
 
 
-def ndcg(ranking: DataFrame, relevance: str, k: int, exponential: bool = False) -> DataFrame:
-    """NDCG of the first k rows against the ideal order of all rows of the query."""
-    gain = (F.pow(F.lit(2.0), F.col(relevance)) - 1) if exponential else F.col(relevance)
-    rows = ranking.select("query_id", "id", "rank", F.col(relevance).alias("rel__"), gain.alias("gain__"))
-    ideal = top_k(rows, ["query_id"], [F.desc("rel__"), "id"], k, "ideal__")  # the first k of either order are enough
-    both = rows.where(F.col("rank") <= k).select("query_id", "gain__", F.col("rank").alias("place__"), F.lit(1).alias("found__")).unionByName(ideal.select("query_id", "gain__", F.col("ideal__").alias("place__"), F.lit(0).alias("found__")))
-    share = lambda found: F.sum(F.when(F.col("found__") == found, F.col("gain__") / F.log2(F.col("place__") + 1.0)))
+def ndcg(ranking: DataFrame, relevance: str, k: int, exponential: bool = False, relevances: DataFrame | None = None) -> DataFrame:
+    """NDCG of the first k rows against the ideal order of all rows of the query.
+
+    Of the ranking only the first k rows are looked at; `relevances`(query_id, id, relevance) has those of all rows, if the
+    ranking has not. The ideal order is a top k of relevances, so nothing else is ranked."""
+    every = ranking if relevances is None else relevances
+    ideal = top_k(every.select("query_id", "id", F.col(relevance).alias("rel__")), ["query_id"], [F.desc("rel__"), "id"], k, "place__")
+    found = ranking.where(F.col("rank") <= k).select("query_id", "id", F.col("rank").alias("place__"), *([F.col(relevance).alias("rel__")] if relevances is None else []))
+    if relevances is not None:
+        few = found.select("query_id", "id", "place__")
+        found = every.select("query_id", "id", F.col(relevance).alias("rel__")).join(few, ["query_id", "id"])
+    both = found.select("query_id", "rel__", "place__", F.lit(1).alias("found__")).unionByName(ideal.select("query_id", "rel__", "place__", F.lit(0).alias("found__")))
+    gain = (F.pow(F.lit(2.0), F.col("rel__")) - 1) if exponential else F.col("rel__")
+    share = lambda found: F.sum(F.when(F.col("found__") == found, gain / F.log2(F.col("place__") + 1.0)))
     return both.groupBy("query_id").agg(F.coalesce(share(1) / F.nullif(share(0), F.lit(0.0)), F.lit(0.0)).alias("ndcg"))
 
 

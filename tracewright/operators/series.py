@@ -137,21 +137,44 @@ def running_total(rows: DataFrame, keys: list[str], order: list[str], value: Col
     return out.select(*[f"`{c}`" for c in rows.columns], (F.col("inside__") + F.col("before__")).alias(alias))
 
 
+#: Accuracy of the sketch that brackets percentiles; groups of up to SMALL_GROUP values are looked at whole; groups whose brackets are broadcast.
+SKETCH, SMALL_GROUP, FEW_GROUPS = 10_000, 20_000, 5_000
+
+
 def midpoint_percentiles(rows: DataFrame, keys: list[str], c: str, percents: list[float]) -> DataFrame:
-    """p<percent> columns: the i-th of n sorted values stands at (i - 1/2) / n, with linear steps between.
-
-    Equal values are counted before the ordered pass, so its rows are distinct values, not readings, and a large group is
-    dealt to several ranges."""
-    counted = rows.where(F.col(c).isNotNull()).groupBy(*keys, F.col(c).cast("double").alias("v__")).agg(F.count("*").alias("m__"))
-    upto = running_total(counted, keys, ["v__"], F.col("m__"), "upto__")
-    sizes = upto.groupBy(*keys).agg(F.max("upto__").alias("n__"))
-    upto = upto.join(sizes, keys) if keys else upto.crossJoin(F.broadcast(sizes))  # without keys there is one size
+    """p<percent> columns: the i-th of n sorted values stands at (i - 1/2) / n, with linear steps between. Exact, by selection.
+
+    A mergeable sketch of each group gives brackets that hold the wanted places for certain (its rank error is a SKETCH-th of the group at most). One pass then
+    counts the values below each bracket where they are and keeps the few inside, value by value; only those are put in order."""
+    v = rows.where(F.col(c).isNotNull()).select(*keys, F.col(c).cast("double").alias("v__"))
+    margin = 2.5 / SKETCH
+    shares = [min(1.0, max(0.0, p / 100 + side * margin)) for p in percents for side in (-1, 1)]
+    sketch = v.groupBy(*keys).agg(F.count("*").alias("n__"), F.min("v__").alias("lo__"), F.max("v__").alias("hi__"), F.percentile_approx("v__", shares, SKETCH).alias("q__"))
+    one = lambda i, low, high: F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))
+    end = lambda k, column: F.col(column) if shares[k] in (0.0, 1.0) else F.col("q__")[k]
+    whole = F.array(one(-1, F.col("lo__"), F.col("hi__")))
+    narrow = F.array(*[one(i, end(2 * i, "lo__"), end(2 * i + 1, "hi__")) for i in range(len(percents))])
+    sketch = sketch.select(*[F.col(k).alias(f"{k}__of") for k in keys], "n__", F.when(F.col("n__") <= SMALL_GROUP, whole).otherwise(narrow).alias("b__"))
+    few = sketch.limit(FEW_GROUPS + 1).collect()  # of many groups none is large, and a join by key deals them evenly
+    if len(few) <= FEW_GROUPS:
+        sketch = F.broadcast(rows.sparkSession.createDataFrame(few, sketch.schema))
+    if keys:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}__of"))
+        met = v.join(sketch, same)
+    else:
+        met = v.crossJoin(sketch)
+    spot = F.transform(F.filter("b__", lambda b: F.col("v__") <= b["high"]), lambda b: F.struct(b["i"].alias("i__"), F.when(F.col("v__") >= b["low"], F.col("v__")).alias("x__")))
+    counted = met.select(*keys, "n__", F.explode(spot).alias("s__")).groupBy(*keys, "n__", "s__.i__", "s__.x__").agg(F.count("*").alias("m__"))  # those below are one row
+    upto = counted.withColumn("upto__", F.sum("m__").over(Window.partitionBy(*keys, "i__").orderBy(F.col("x__").asc_nulls_first())))
     out = []
-    for p in percents:
+    for i, p in enumerate(percents):
         at = F.greatest(F.lit(1.0), F.least(F.col("n__").cast("double"), p / 100 * F.col("n__") + 0.5))
         low = F.floor(at)
-        covers = lambda k: (F.col("upto__") >= k) & (F.col("upto__") - F.col("m__") < k)
-        a = F.max(F.when(covers(low), F.col("v__")))
-        b = F.max(F.when(covers(F.least(low + 1, F.col("n__"))), F.col("v__")))
+        mine = F.col("i__").isin(-1, i) & F.col("x__").isNotNull()
+        covers = lambda k: mine & (F.col("upto__") >= k) & (F.col("upto__") - F.col("m__") < k)  # noqa: E731, B023
+        a = F.max(F.when(covers(low), F.col("x__")))
+        b = F.max(F.when(covers(F.least(low + 1, F.col("n__"))), F.col("x__")))
         out.append((a + (b - a) * F.max(at - low)).alias(f"p{p:g}".replace(".", "_")))
     return upto.groupBy(*keys).agg(*out)

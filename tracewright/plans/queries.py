@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quaternions as q
 from ..functions import stats, vectors
-from ..operators import alignment, calibration, joins, kinematics, prediction, ranking, series, summary
+from ..operators import alignment, calibration, dealt, joins, kinematics, prediction, ranking, series, summary
 from ..operators.vector_index import CosineIndex
 from ..sources import tables
 from ..sources.scratch import scratch_path, settled
@@ -233,8 +233,10 @@ def _ndcg_sql(gain: str, relevance: str) -> str:
 
 
 def _ndcg(t, variant, exponential):
-    rel = ranking.relevance_of_distance(_full(t).select("query_id", "id", "distance"), "distance", variant).select("query_id", "id", r("relevance", 9).alias("relevance"))
-    return ranking.ndcg(_head(t).select("query_id", "id", "rank").join(rel, ["query_id", "id"]), "relevance", 10, exponential).select("query_id", r("ndcg").alias("ndcg"))
+    v = _vectors(t)
+    distances = ranking.cosine_distances(_asked(v, F.col("vec").alias("query_vec")), v.select("id", "vec"), 9)  # of all rows, in no order
+    rel = ranking.relevance_of_distance(distances, "distance", variant).select("query_id", "id", r("relevance", 9).alias("relevance"))
+    return ranking.ndcg(_head(t, 10), "relevance", 10, exponential, rel).select("query_id", r("ndcg").alias("ndcg"))
 
 
 @query(_ndcg_sql("rel", "round(1 / (1 + f.distance / max(f.distance) OVER (PARTITION BY query_id)), 9)"))
@@ -563,6 +565,20 @@ def _segs(t):
     return t("events").withColumn("seg", series.groups_of(10, _w()))
 
 
+@query("""WITH w AS (SELECT event_id, median(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS middle, avg(value) OVER (ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS mean, value - lag(value) OVER (ORDER BY ts, event_id) AS step FROM events)
+  SELECT event_id, round(middle, 6) AS median, round(mean, 6) AS mean, round(step, 6) AS step FROM w""")
+def windows_of_one_series(t):
+    """Moving median, mean and differences of all events as one series, which no task holds whole."""
+    made = lambda w: {"median": r(series.moving_median("value", w, 9)), "mean": r(series.moving_mean("value", w, 5)), "step": r(series.difference("value", w))}
+    return dealt.framed(t("events").select("event_id", "ts", "value"), [], ["ts", "event_id"], 4, 4, made).select("event_id", "median", "mean", "step")
+
+
+@query("""WITH f AS (SELECT event_id, ts, coalesce(value > 20, false) AS flag FROM events), s AS (SELECT *, (flag AND NOT coalesce(lag(flag) OVER (ORDER BY ts, event_id), false))::INT AS st FROM f),
+  i AS (SELECT *, sum(st) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM s) SELECT event_id, island FROM i WHERE flag""")
+def islands_of_one_series(t):
+    return dealt.islands(t("events").select("event_id", "ts", "value"), F.col("value") > 20, [], ["ts", "event_id"]).select("event_id", "island")
+
+
 @query(f"WITH {SEGS_SQL} SELECT event_id, seg FROM s")
 def fixed_size_groups(t):
     return _segs(t).select("event_id", "seg")
@@ -1150,6 +1166,14 @@ def cumulative_turns(t):
     return total.select("event_id", *[(r(F.col("product")[i]) + 0.0).alias(c) for i, c in enumerate("wxyz")])
 
 
+@query("""WITH s AS (SELECT event_id, sum(radians(value)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / 2 AS h FROM events) SELECT event_id, round(cos(h), 5) + 0.0 AS w, round(sin(h) * 0.6, 5) + 0.0 AS x, round(sin(h) * 0.8, 5) + 0.0 AS y FROM s""")
+def cumulative_turns_of_long_series(t):
+    """Products of the turns of each event type, a fifth of all events, by block scans."""
+    rows = _quats(t).select("event_id", "p").join(t("events").select("event_id", "event_type", "ts"), "event_id")
+    total = dealt.cumulative_product(rows, ["event_type"], ["ts", "event_id"], "p")
+    return total.select("event_id", *[(r(F.col("product")[i], 5) + 0.0).alias(c) for i, c in enumerate("wxy")])
+
+
 @query(f"""WITH d AS (SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) {BY_USER})) / 3600000000.0 AS hours, value / 100 AS rate, user_id, ts FROM events), s AS (SELECT event_id, sum(coalesce(hours, 0) * rate) {BY_USER} ROWS UNBOUNDED PRECEDING) / 2 AS h FROM d)
   SELECT event_id, round(cos(h), 5) + 0.0 AS w, round(sin(h), 5) + 0.0 AS z FROM s""")
 def integrated_rates(t):
