@@ -265,3 +265,18 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert float(out.stdout) < 100, out.stdout + out.stderr
+
+
+def test_alignments_are_given_up_when_they_cannot_come_up_to_a_figure():
+    rng = np.random.default_rng(21)
+    pairs = [(np.cumsum(rng.normal(size=(n, 3)), axis=0), np.cumsum(rng.normal(size=(m, 3)), axis=0)) for n, m in rng.integers(1, 40, (80, 2))]
+    whole = np.array([k.constrained_dtw(a, b, window=0.2) for a, b in pairs])
+    assert np.allclose(k.constrained_dtw_many(pairs, window=0.2), whole)
+    limits = whole * rng.choice([0.3, 0.999, 1.0, 2.0, np.inf], len(pairs))
+    k.COUNTED["cells"] = 0
+    got = np.array(k.constrained_dtw_many(pairs, window=0.2, best=limits * (1 + 1e-12)))
+    some, kept = k.COUNTED["cells"], whole <= limits
+    assert np.allclose(got[kept], whole[kept]) and ((got[~kept] > limits[~kept]) | np.isinf(got[~kept])).all() and np.isinf(got).any()
+    k.COUNTED["cells"] = 0
+    k.constrained_dtw_many(pairs, window=0.2)
+    assert some < 0.9 * k.COUNTED["cells"]

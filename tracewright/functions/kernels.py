@@ -506,9 +506,17 @@ def constrained_dtw(a: np.ndarray, b: np.ndarray, mode: str = "position", window
     return float(best) if (acc.min(1) > best).any() else float(acc[-1, -1])
 
 
-def constrained_dtw_many(pairs: list, mode: str = "position", window: float = 0.15, rotate: bool = False, normalise: bool = False, cells: int = 2_000_000) -> list[float]:
-    """constrained_dtw of many pairs without a bound to beat: pairs are padded to one size, and each diagonal is one step for all."""
+#: Cells that constrained_dtw_many has computed in this process, for figures.
+COUNTED = {"cells": 0}
+
+
+def constrained_dtw_many(pairs: list, mode: str = "position", window: float = 0.15, rotate: bool = False, normalise: bool = False, cells: int = 2_000_000, best: np.ndarray | None = None) -> list[float]:
+    """constrained_dtw of many pairs: pairs are padded to one size, and each diagonal is one step for all.
+
+    With `best`, a figure to beat for each pair, pairs that can no longer come below or up to it leave the batch, and are infinite: every path
+    crosses one of any two neighbouring diagonals."""
     out: list[float] = []
+    limits = np.full(len(pairs), np.inf) if best is None else np.asarray(best, float)
     ready = []
     for a, b in pairs:
         a, b = _prepared(a, b, mode, normalise)
@@ -536,15 +544,39 @@ def constrained_dtw_many(pairs: list, mode: str = "position", window: float = 0.
         centre = np.floor(np.arange(1, n + 1) * ms / ns + 0.5)
         inside = np.abs(np.arange(1, m + 1) - centre[:, :, None]) <= reach[:, :, None]
         cost = np.where(inside, np.sqrt(sum((x[:, :, None, d] - y[:, None, :, d]) ** 2 for d in range(x.shape[2]))), np.inf)
-        acc = np.full((len(part), n + 1, m + 1), np.inf)
-        acc[:, 0, 0] = 0.0
-        for i, j in _diagonals(n, m):
-            acc[:, i + 1, j + 1] = cost[:, i, j] + np.minimum(np.minimum(acc[:, i, j + 1], acc[:, i + 1, j]), acc[:, i, j])
-        out += acc[np.arange(len(part)), sizes[:, 0], sizes[:, 1]].tolist()
+        out += _banded(cost, sizes, limits[at:end]).tolist()
         at = end
     return out
 
 
+def _banded(cost: np.ndarray, sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
+    """The cheapest path's cost of each plane of local costs, by diagonals of which only two are kept."""
+    count, n, m = cost.shape
+    found, live = np.full(count, np.inf), np.arange(count)
+    one = two = np.full((count, n + 1), np.inf)
+    last = sizes.sum(axis=1) - 2
+    bounded = np.isfinite(limits).any()
+    for s, (i, j) in enumerate(_diagonals(n, m)):
+        now = np.full((len(live), n + 1), np.inf)
+        before = np.minimum(np.minimum(one[:, i], one[:, i + 1]), two[:, i])
+        if s == 0:
+            before[:, 0] = 0.0
+        now[:, i + 1] = cost[live[:, None], i, j] + before
+        COUNTED["cells"] += len(live) * len(i)
+        ended = last[live] == s
+        if ended.any():
+            found[live[ended]] = now[ended, sizes[live[ended], 0]]
+        stay = ~ended
+        if bounded and s:
+            stay &= np.minimum(now.min(axis=1), one.min(axis=1)) <= limits[live]
+        if not stay.all():
+            live, now, one = live[stay], now[stay], one[stay]
+            if not len(live):
+                break
+        one, two = now, one
+    return found
+
+
 def resampled_distance(a: np.ndarray, b: np.ndarray) -> float:
     """Frobenius distance after linear resampling to a's length and removal of the first points."""
     b = along(b, np.linspace(0, len(b) - 1, len(a)))

@@ -80,25 +80,32 @@ def failed(deviations: DataFrame, traj: str = "traj_id") -> DataFrame:
     return deviations.where("status <> 'ok'").select(traj, "seg_id", "status")
 
 
-def pair_distances(pairs: DataFrame, a: str, b: str, measure: str = "constrained_dtw", alias: str = "distance", **options) -> DataFrame:
+def pair_distances(pairs: DataFrame, a: str, b: str, measure: str = "constrained_dtw", alias: str = "distance", best: str | None = None, **options) -> DataFrame:
     """pairs with the distance of two sequence columns (array<array<double>>), computed batch by batch where the pairs are.
 
     measure: constrained_dtw, kim_bound, keogh_bound or resampled_distance of the kernels, with their options. Rows with
-    a null or empty sequence get null."""
+    a null or empty sequence get null. `best` names a column with a figure that constrained_dtw has to keep to: above it, it may be infinite."""
     kernel = getattr(k, measure)
-
     together = measure == "constrained_dtw" and "best" not in options
 
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+    def found(x: pd.Series, y: pd.Series, limits) -> pd.Series:
         rows = [i for i, (p, q) in enumerate(zip(x, y)) if p is not None and q is not None and len(p) and len(q)]
         both = [(np.vstack(x.iloc[i]).astype(float), np.vstack(y.iloc[i]).astype(float)) for i in rows]
-        found = k.constrained_dtw_many(both, **options) if together else [kernel(p, q, **options) for p, q in both]
+        some = {} if limits is None else {"best": limits.fillna(np.inf).to_numpy(float)[rows]}
+        values = k.constrained_dtw_many(both, **options, **some) if together else [kernel(p, q, **options) for p, q in both]
         out = np.full(len(x), None, object)
-        out[rows] = found
+        out[rows] = values
         return pd.Series(out, dtype="Float64").astype(object).where(lambda s: s.notna(), None)
 
-    return pairs.withColumn(alias, distance(a, b))
+    @F.pandas_udf("double")
+    def distance(x: pd.Series, y: pd.Series) -> pd.Series:
+        return found(x, y, None)
+
+    @F.pandas_udf("double")
+    def distance_within(x: pd.Series, y: pd.Series, limit: pd.Series) -> pd.Series:
+        return found(x, y, limit)
+
+    return pairs.withColumn(alias, distance(a, b) if best is None else distance_within(a, b, F.col(best).cast("double")))
 
 
 def resampled_sequences(rows: DataFrame, seq: str, n: int, method: str = "pchip", alias: str = "resampled") -> DataFrame:

@@ -84,57 +84,101 @@ def neighbour_coverage(neighbours: DataFrame, errors: DataFrame) -> DataFrame:
     return nearest.join(errors, "query_id").agg(F.count("*").alias("n"), F.corr("distance", "error").alias("correlation"))
 
 
-def staged_rerank(candidates: DataFrame, query_seq: str = "query_seq", seq: str = "seq", kim_share: float | Column = 1.0, keogh_most: int = 500, window: float = 0.2, mode: str = "position", normalise: bool = False, half_up: bool = False) -> DataFrame:
-    """candidates(query_id, id, rank_s1, sequences) with dtw_dist, rank_s2 and rank_change after two lower-bound filters.
+def split(candidates: DataFrame, sequences: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(candidates without sequences, sequences(id, seq), queries(query_id, query_seq)): candidates that carry both sequences give them up,
+    one an id; for others the queries' are those of their ids in `sequences`."""
+    if sequences is None:
+        return candidates.drop("query_seq", "seq"), candidates.select("id", "seq").dropDuplicates(["id"]), candidates.select("query_id", "query_seq").dropDuplicates(["query_id"])
+    return candidates, sequences.select("id", "seq"), sequences.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq"))
+
+
+def with_sequences(pairs: DataFrame, sequences: DataFrame, queries: DataFrame) -> DataFrame:
+    """pairs(query_id, id, …) with query_seq and seq.
+
+    A pair travels as its ids; each sequence goes once to the pairs of its id, and the queries' sequences to all tasks while they have
+    ranking.MAX_BROADCAST_BYTES at most."""
+    asked = queries.join(pairs.select("query_id").distinct(), "query_id", "left_semi")
+    size = asked.agg(F.coalesce(F.sum(ranking.row_bytes(asked)), F.lit(0))).first()[0]
+    return pairs.join(sequences, "id").join(F.broadcast(asked) if size <= ranking.MAX_BROADCAST_BYTES else asked, "query_id")
+
+
+def staged_rerank(candidates: DataFrame, sequences: DataFrame | None = None, kim_share: float | Column = 1.0, keogh_most: int = 500, window: float = 0.2, mode: str = "position", normalise: bool = False, half_up: bool = False) -> DataFrame:
+    """candidates(query_id, id, rank_s1, …) with dtw_dist, rank_s2 and rank_change after two lower-bound filters. sequences(id, seq), unless the candidates carry query_seq and seq.
 
     kim_share of a query's candidates (rounded up, or half up) survive the first bound, keogh_most of those the second; the rest
     keep an infinite distance and their first-stage order. The bounds are heuristic for position sequences, so near ones may be
-    lost; exact_rerank() loses none."""
+    lost; exact_rerank() loses none. Only ids, bounds and ranks are put in order; sequences meet the pairs that a stage compares."""
     from .alignment import pair_distances
 
     q = Window.partitionBy("query_id")
-    rows = pair_distances(candidates, query_seq, seq, "kim_bound", "kim__", mode=mode, normalise=normalise)
+
+    def measured(pairs: DataFrame, measure: str, alias: str, **options) -> DataFrame:
+        both = pair_distances(with_sequences(pairs.select("query_id", "id"), sequences, queries), "query_seq", "seq", measure, alias, mode=mode, normalise=normalise, **options)
+        return settled(both.select("query_id", "id", alias))
+
+    candidates, sequences, queries = split(candidates, sequences)
+    candidates = settled(candidates)
     limit = F.count("*").over(q) * (kim_share if isinstance(kim_share, Column) else F.lit(kim_share))
     limit = F.floor(limit + 0.5) if half_up else F.ceil(limit)
+    rows = candidates.join(measured(candidates, "kim_bound", "kim__"), ["query_id", "id"])
     rows = rows.withColumn("k__", F.row_number().over(q.orderBy("kim__", "rank_s1"))).withColumn("stay__", F.col("k__") <= limit)
-    only = lambda c: F.when(F.col("stay__"), F.col(c))
-    rows = pair_distances(rows.withColumn("s__", only(seq)), query_seq, "s__", "keogh_bound", "keogh__", mode=mode, normalise=normalise, window=window)
+    rows = settled(rows.drop("k__", "kim__"))
+    second = measured(rows.where("stay__"), "keogh_bound", "keogh__", window=window)
+    rows = rows.join(second, ["query_id", "id"], "left")
     rows = rows.withColumn("k__", F.row_number().over(q.orderBy(F.col("stay__").desc(), F.col("keogh__").asc_nulls_last(), "rank_s1")))
-    rows = rows.withColumn("stay__", F.col("stay__") & (F.col("k__") <= keogh_most)).withColumn("s__", only(seq))
-    rows = pair_distances(rows, query_seq, "s__", "constrained_dtw", "d__", mode=mode, normalise=normalise, window=window)
-    rows = rows.withColumn("dtw_dist", F.coalesce("d__", F.lit(float("inf"))))
+    rows = settled(rows.withColumn("stay__", F.col("stay__") & (F.col("k__") <= keogh_most)).drop("k__", "keogh__"))
+    third = measured(rows.where("stay__"), "constrained_dtw", "d__", window=window)
+    rows = rows.join(third, ["query_id", "id"], "left").withColumn("dtw_dist", F.coalesce("d__", F.lit(float("inf"))))
     rows = ranking.rank_by(rows, ["query_id"], ["dtw_dist", "rank_s1"], "rank_s2")
-    return rows.withColumn("rank_change", F.col("rank_s1") - F.col("rank_s2")).drop("kim__", "keogh__", "k__", "stay__", "s__", "d__", query_seq, seq)
+    return rows.withColumn("rank_change", F.col("rank_s1") - F.col("rank_s2")).drop("stay__", "d__")
 
 
 #: Lists of up to so many candidates are compared whole by the full distance.
 SMALL_LIST = 500
 
 
-def adaptive_rerank(candidates: DataFrame, **options) -> DataFrame:
+def adaptive_rerank(candidates: DataFrame, sequences: DataFrame | None = None, **options) -> DataFrame:
     """staged_rerank that filters only queries with more than SMALL_LIST candidates: nine tenths pass the first bound, SMALL_LIST the second."""
     share = F.when(F.count("*").over(Window.partitionBy("query_id")) <= SMALL_LIST, F.lit(1.0)).otherwise(F.lit(0.9))
-    return staged_rerank(candidates, kim_share=share, keogh_most=SMALL_LIST, **options)
+    return staged_rerank(candidates, sequences, kim_share=share, keogh_most=SMALL_LIST, **options)
+
+
+#: How many times more candidates each round of exact_rerank looks at than all before it.
+GROWTH = 4
 
 
-def exact_rerank(candidates: DataFrame, k: int, query_seq: str = "query_seq", seq: str = "seq", window: float = 0.2, dims: int = 3) -> DataFrame:
+def exact_rerank(candidates: DataFrame, k: int, sequences: DataFrame | None = None, window: float = 0.2, dims: int = 3) -> DataFrame:
     """The k candidates of each query with the smallest constrained DTW of positions: query_id, id, dtw_dist, rank_s2, dtw_calls.
 
     A path pairs both last points and pairs every extreme with something inside the other's extent, so Kim's bound of the
-    moved, not resampled sequences never exceeds the distance. The k candidates with the smallest bounds are compared first;
-    then only those whose bound is not over the k-th distance so far. Nothing else can be among the k nearest."""
+    moved, not resampled sequences never exceeds the distance. Candidates are looked at in the order of that bound, in rounds of growing size. A
+    round gets the k-th distance of each query so far: candidates whose bound is over it are skipped, with all after them, and
+    an alignment is given up as soon as no path can come up to it. Nothing else can be among the k nearest. Ids, bounds and distances are
+    what rounds hand on; sequences only meet the pairs of a round."""
     from .alignment import pair_distances
 
-    bound = vectors.kim_bound(vectors.relative_to_first(query_seq), vectors.relative_to_first(seq), dims)
-    rows = ranking.rank_by(candidates.withColumn("bound__", bound), ["query_id"], ["bound__", "id"], "order__")
-    first = settled(pair_distances(rows.where(F.col("order__") <= k), query_seq, seq, "constrained_dtw", "dtw_dist", window=window).select("query_id", "id", "dtw_dist"))
-    limits = first.groupBy("query_id").agg(F.max("dtw_dist").alias("limit__"))
-    # a hair of slack, as both sides are rounded
-    more = rows.where(F.col("order__") > k).join(limits, "query_id").where(F.col("bound__") <= F.col("limit__") * (1 + 1e-9) + 1e-9)
-    more = pair_distances(more, query_seq, seq, "constrained_dtw", "dtw_dist", window=window).select("query_id", "id", "dtw_dist")
-    every = first.unionByName(more)
-    calls = every.groupBy("query_id").agg(F.count("*").alias("dtw_calls"))
-    return ranking.top_k(every, ["query_id"], ["dtw_dist", "id"], k, "rank_s2").join(calls, "query_id").select("query_id", "id", "dtw_dist", "rank_s2", "dtw_calls")
+    candidates, sequences, queries = split(candidates, sequences)
+    pairs = candidates.select("query_id", "id")
+    bound = vectors.kim_bound(vectors.relative_to_first("query_seq"), vectors.relative_to_first("seq"), dims)
+    ordered = with_sequences(pairs, sequences, queries).select("query_id", "id", bound.alias("bound__"))
+    ordered = settled(ranking.rank_by(ordered, ["query_id"], ["bound__", "id"], "order__"))
+    most = ordered.agg(F.coalesce(F.max("order__"), F.lit(0))).first()[0]
+    done, upto, best = None, 0, None
+    while upto < most or done is None:
+        first, upto = upto, max(k, GROWTH * upto)
+        part = ordered.where((F.col("order__") > first) & (F.col("order__") <= upto))
+        if best is not None:  # a hair of slack, as both sides are rounded
+            limits = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("dtw_dist")).alias("limit__"))
+            part = part.join(limits, "query_id", "left").where(F.col("limit__").isNull() | (F.col("bound__") <= F.col("limit__") * (1 + 1e-9) + 1e-9))
+        else:
+            part = part.withColumn("limit__", F.lit(None).cast("double"))
+        part = part.select("query_id", "id", (F.col("limit__") * (1 + 1e-9) + 1e-9).alias("limit__"))
+        fresh = pair_distances(with_sequences(part, sequences, queries), "query_seq", "seq", "constrained_dtw", "dtw_dist", best="limit__", window=window)
+        fresh = settled(fresh.select("query_id", "id", "dtw_dist"))
+        done = fresh if done is None else done.unionByName(fresh)
+        best = settled(ranking.top_k(done, ["query_id"], ["dtw_dist", "id"], k, "rank_s2"))
+    calls = done.groupBy("query_id").agg(F.count("*").alias("dtw_calls"))
+    return best.join(calls, "query_id").select("query_id", "id", "dtw_dist", "rank_s2", "dtw_calls")
 
 
 def savings(reranked: DataFrame) -> DataFrame:

@@ -845,6 +845,13 @@ def _sequence_pairs(t):
     return ranking.pairs(s.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), s).where("id <> query_id")
 
 
+def _candidates(t):
+    """(every user for each user divisible by 50, in the order of ids, as ids alone; the users' sequences)."""
+    s = settled(_seqs(t).select(F.col("user_id").alias("id"), "seq"))
+    both = ranking.pairs(s.where("id % 50 = 0").select(F.col("id").alias("query_id")), s.select("id")).where("id <> query_id")
+    return ranking.rank_by(both, ["query_id"], ["id"], "rank_s1"), s
+
+
 @query(recurrences.CDTW)
 def cdtw(t):
     d = alignment.pair_distances(_sequence_pairs(t), "query_seq", "seq", "constrained_dtw", window=0.15)
@@ -872,8 +879,7 @@ def resampled_distance(t):
 
 @query(recurrences.STAGED)
 def staged_rerank(t):
-    rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
-    out = prediction.staged_rerank(rows, kim_share=0.5, keogh_most=20, window=0.2)
+    out = prediction.staged_rerank(*_candidates(t), kim_share=0.5, keogh_most=20, window=0.2)
     return out.select("query_id", "id", "rank_s1", r("dtw_dist").alias("dtw_dist"), "rank_s2", "rank_change")
 
 
@@ -945,19 +951,18 @@ def sweep_search(t):
 @query(f"WITH RECURSIVE {recurrences.PAIRS}, {recurrences.band(window=0.2)}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank_s2 FROM cdtw) SELECT query_id, id, round(distance, 6) AS dtw_dist, rank_s2 FROM k WHERE rank_s2 <= 10")
 def exact_rerank(t):
     """The ten nearest by constrained DTW; bounds spare only distances that cannot be among them."""
-    return prediction.exact_rerank(_sequence_pairs(t), 10, window=0.2).select("query_id", "id", r("dtw_dist").alias("dtw_dist"), "rank_s2")
+    candidates, sequences = _candidates(t)
+    return prediction.exact_rerank(candidates, 10, sequences, window=0.2).select("query_id", "id", r("dtw_dist").alias("dtw_dist"), "rank_s2")
 
 
 @query(recurrences.adaptive(prediction.SMALL_LIST))
 def adaptive_rerank(t):
-    rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
-    return prediction.adaptive_rerank(rows, window=0.2).select("query_id", "id", "rank_s1", r("dtw_dist").alias("dtw_dist"), "rank_s2")
+    return prediction.adaptive_rerank(*_candidates(t), window=0.2).select("query_id", "id", "rank_s1", r("dtw_dist").alias("dtw_dist"), "rank_s2")
 
 
 @query(recurrences.SAVINGS)
 def rerank_savings(t):
-    rows = ranking.rank_by(_sequence_pairs(t), ["query_id"], ["id"], "rank_s1")
-    out = prediction.savings(prediction.staged_rerank(rows, kim_share=0.5, keogh_most=20, window=0.2))
+    out = prediction.savings(prediction.staged_rerank(*_candidates(t), kim_share=0.5, keogh_most=20, window=0.2))
     return out.withColumn("saved_percent", r("saved_percent"))
 
 

@@ -29,8 +29,7 @@ def two_stage(queries: DataFrame, rows: DataFrame, modalities: list[str], sequen
     """Fused candidates of each query reranked by constrained DTW. sequences(id, seq)."""
     _, fused = first_stage(queries, rows, modalities, k, weights, indexes=indexes, probes=probes)
     best = fused.where(F.col("rank") <= k).withColumnRenamed("rank", "rank_s1")
-    with_seq = best.join(sequences.select("id", "seq"), "id").join(sequences.select(F.col("id").alias("query_id"), F.col("seq").alias("query_seq")), "query_id")
-    return prediction.staged_rerank(with_seq, **rerank)
+    return prediction.staged_rerank(best, sequences, **rerank)
 
 
 def experiment_data(points: DataFrame, metadata: DataFrame, query_ids: DataFrame, traj: str = "traj_id", seg: str = "seg_id") -> dict[str, DataFrame]:
