@@ -309,3 +309,30 @@ def test_percentiles_by_selection_in_large_and_small_groups(spark, monkeypatch):
     plan = row._jdf.queryExecution().toString()
     assert "RDDScan" not in plan and "RangePartitioning" not in plan
     assert series.midpoint_percentiles(df.limit(0), ["k"], "v", [50]).count() == 0
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_joins_in_time_over_ranges_equal_those_by_key(spark, keys):
+    rng = np.random.default_rng(11)
+    some = lambda n: ["hot"] * (n - 30) + ["b"] * 20 + [None] * 10
+    left = spark.createDataFrame([(k, int(t), i) for i, (k, t) in enumerate(zip(some(200), rng.integers(0, 300, 200)))] + [("hot", None, 1000)], "k string, at int, id int").repartition(3)
+    right = spark.createDataFrame([(k, int(t), float(i)) for i, (k, t) in enumerate(zip(some(80), rng.permutation(300)[:80]))], "k string, rt int, v double").repartition(2)
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        for direction in ("backward", "forward"):
+            for strict in (False, True):
+                got = {r.id: r.v for r in joins.asof(left, right, "at", "rt", keys, direction, strict, ["v"], spread=True).collect()}
+                rows, others = left.collect(), right.collect()
+                assert len(got) == len(rows)
+                for r in rows:
+                    back = direction == "backward"
+                    fit = [o for o in others if r["at"] is not None and (not keys or o.k == r.k) and ((o.rt < r["at"] or not strict and o.rt == r["at"]) if back else (o.rt > r["at"] or not strict and o.rt == r["at"]))]
+                    assert got[r.id] == (None if not fit else (max if back else min)(fit, key=lambda o: o.rt).v)
+        near = {r.id: r.v for r in joins.nearest(left, right, "at", "rt", keys, ["v"], F.col("gap__") <= 40, spread=True).collect()}
+        for r in rows:
+            fit = sorted((abs(o.rt - r["at"]), o.rt, o.v) for o in others if r["at"] is not None and (not keys or o.k == r.k))
+            assert near[r.id] == (fit[0][2] if fit and fit[0][0] <= 40 else None)
+        plan = joins.nearest(left, right, "at", "rt", keys, ["v"], spread=True)._jdf.queryExecution().toString()
+        assert "SinglePartition" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quaternions as q
 from ..functions import stats, vectors
-from ..operators import alignment, calibration, dealt, joins, kinematics, prediction, ranking, series, summary
+from ..operators import alignment, calibration, dealt, joins, kinematics, prediction, proximity, ranking, series, summary
 from ..operators.vector_index import CosineIndex
 from ..sources import tables
 from ..sources.scratch import scratch_path, settled
@@ -338,6 +338,16 @@ def window_pairing(t):
     return _nearest(t, F.col("gap__") <= 43_200_000_000)
 
 
+@query("""WITH l AS (SELECT event_id, epoch_us(ts) AS m FROM events WHERE event_type = 'purchase'), r AS (SELECT epoch_us(ts) AS m, max(event_id) AS near_id FROM events WHERE event_type = 'click' GROUP BY ALL),
+  b AS (SELECT l.event_id, l.m, r.near_id AS p, r.m AS pm FROM l ASOF LEFT JOIN r ON l.m >= r.m), f AS (SELECT l.event_id, r.near_id AS n, r.m AS nm FROM l ASOF LEFT JOIN r ON l.m <= r.m)
+  SELECT event_id, CASE WHEN n IS NULL OR m - pm <= nm - m THEN p ELSE n END AS near_id FROM b JOIN f USING (event_id)""")
+def nearest_without_keys(t):
+    """The click of any user nearest to each purchase."""
+    e = _events(t)
+    clicks = e.where("event_type = 'click'").groupBy("at").agg(F.max("event_id").alias("near_id"))
+    return joins.nearest(e.where("event_type = 'purchase'"), clicks, "at", "at").select("event_id", "near_id")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
 def anti_join_pending(t):
     done = t("orders").select(F.when(F.col("o_orderstatus") == "P", F.col("o_custkey")).alias("c_custkey"))  # null where nothing is done
@@ -1063,7 +1073,55 @@ def angular_rates(t):
 
 @query(f"""WITH {HALVES_SQL}, {_topk_sql('head', 1, 'near')} SELECT query_id, id, distance FROM near""")
 def nearest_pair_subset(t):
-    return ranking.pair_subset(_head(t, 1).select("query_id", "id", "distance"), "nearest")
+    """The nearest row of each query out of all pairs of half vectors."""
+    h = _halves(t)
+    return ranking.pair_subset(ranking.cosine_distances(_asked(h, F.col("head").alias("query_vec")), h.select("id", F.col("head").alias("vec")), 9), "nearest")
+
+
+def _subset_sql(where: str = "true", order: str | None = None, most: int = 1) -> str:
+    chosen = f" QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {order}, id) <= {most}" if order else ""
+    return f"""WITH p AS (SELECT c_custkey AS id, [c_acctbal / 1000, c_nationkey::DOUBLE, (c_custkey % 17)::DOUBLE] AS v FROM customer),
+  d AS (SELECT a.id AS query_id, b.id, round(list_distance(a.v, b.v), 6) AS distance FROM p a JOIN p b ON a.id <> b.id WHERE a.id % 50 = 0) SELECT query_id, id, distance FROM d WHERE {where}{chosen}"""
+
+
+def _subset(t, subset: str, limit=None):
+    points = t("customer").select(F.col("c_custkey").alias("id"), F.array(F.col("c_acctbal") / 1000, F.col("c_nationkey").cast("double"), (F.col("c_custkey") % 17).cast("double")).alias("vec"))
+    return proximity.pairs_of_points(_asked(points, F.col("vec").alias("query_vec")), points, subset, limit, digits=6)
+
+
+@query(_subset_sql())
+def point_pairs_all(t):
+    return _subset(t, "all")
+
+
+@query(_subset_sql("distance >= 20"))
+def point_pairs_minimum(t):
+    return _subset(t, "minimum", 20)
+
+
+@query(_subset_sql("distance <= 3"))
+def point_pairs_maximum(t):
+    return _subset(t, "maximum", 3)
+
+
+@query(_subset_sql(order="distance", most=6))
+def point_pairs_smallest(t):
+    return _subset(t, "smallest", 6)
+
+
+@query(_subset_sql(order="distance DESC", most=6))
+def point_pairs_largest(t):
+    return _subset(t, "largest", 6)
+
+
+@query(_subset_sql(order="distance"))
+def point_pairs_nearest(t):
+    return _subset(t, "nearest")
+
+
+@query(_subset_sql(order="distance DESC"))
+def point_pairs_farthest(t):
+    return _subset(t, "farthest")
 
 
 @query(recurrences.POSES)
