@@ -23,14 +23,13 @@ def in_robot_frame(poses: DataFrame, matrices: DataFrame, date: str = "recording
     return out.withColumn("angles", q.euler_fixed_xyz("orientation")).drop("p__", "o__", "t__", "offset", "instrument_to_robot")
 
 
-def evaluate(nominal: DataFrame, measured: DataFrame, metrics: tuple[str, ...] = POSITION_METRICS, granularity: str = "trajectory", done: DataFrame | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """metric -> (info, deviations), lazily, over all trajectories that are not done yet."""
+def evaluate(nominal: DataFrame, measured: DataFrame, metrics: tuple[str, ...] = POSITION_METRICS, granularity: str = "trajectory", done: DataFrame | None = None, dims: int = 3) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """metric -> (info, deviations), lazily, over all trajectories that are not done yet; positions have `dims` coordinates."""
     if done is not None:
         nominal, measured = (joins.pending(df, done, "traj_id") for df in (nominal, measured))
     out = {}
     for metric in metrics:
-        dims = 4 if metric in ORIENTATION_METRICS else len(nominal.select("v").first().v) if nominal.take(1) else 3
-        deviations = alignment.align(nominal, measured, metric, dims, granularity=granularity)
+        deviations = alignment.align(nominal, measured, metric, 4 if metric in ORIENTATION_METRICS else dims, granularity=granularity)
         out[metric] = (summary.info(deviations.where("status = 'ok'"), "distance"), deviations)
     return out
 

@@ -20,6 +20,7 @@ from ..operators.vector_index import CosineIndex
 from ..sources import tables
 from ..sources.scratch import scratch_path, settled
 from . import accuracy, recurrences, search
+from .store import EmbeddingStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -939,14 +940,25 @@ SWEEP_SQL = " UNION ALL ".join(
 )
 
 
+_KINDS = {"position": lambda c, f: vectors.position_embedding("seq", c, f), "joint": lambda c, f: vectors.joint_embedding("seq", c, f, 3)}
+
+
 @query(SWEEP_SQL)
 def embedding_sweep(t):
     """Position, joint and velocity embeddings of every user's sequence in two configurations."""
-    kinds = {"position": lambda c, f: vectors.position_embedding("seq", c, f), "joint": lambda c, f: vectors.joint_embedding("seq", c, f, 3)}
-    rows = search.embedding_sweep(_seqs(t).select(F.col("user_id").alias("id"), "seq"), SWEEP, kinds, velocity="seq")
+    rows = search.embedding_sweep(_seqs(t).select(F.col("user_id").alias("id"), "seq"), SWEEP, _KINDS, velocity="seq")
     return _exploded(rows, "vec", "config", "modality", "id")
 
 
+@query(SWEEP_SQL)
+def stored_embedding_sweep(t):
+    """The sweep out of a store that had a third of the users under one configuration before."""
+    rows = _seqs(t).select(F.col("user_id").alias("id"), F.lit("trajectory").alias("level"), "seq")
+    store = EmbeddingStore(rows.sparkSession, scratch_path(rows.sparkSession, "embeddings"))
+    store.ensure(rows.where("id % 3 = 0"), SWEEP[1:], _KINDS, "seq")
+    return _exploded(store.sweep(rows, SWEEP, _KINDS, "seq"), "vec", "config", "modality", "id")
+
+
 @query(f"""WITH h AS (SELECT event_id AS id, user_id AS parent, value AS x, (event_id % 100)::DOUBLE AS y FROM events), e AS (SELECT id, parent, 'plain' AS config, [x, y, 1.0] AS v FROM h UNION ALL SELECT id, parent, 'wide', [x * 3, y, 1.0] FROM h),
   d AS (SELECT config, a.id AS query_id, b.id, round(1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-10), 9) AS distance FROM e a JOIN e b USING (config) WHERE a.id % 50 = 0 AND a.parent <> b.parent)
   SELECT * FROM (SELECT config, 'shape' AS modality, 'segment' AS level, query_id, id, distance, row_number() OVER (PARTITION BY config, query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 3""")
