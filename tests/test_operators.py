@@ -336,3 +336,22 @@ def test_joins_in_time_over_ranges_equal_those_by_key(spark, keys):
         assert "SinglePartition" not in plan
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_csv_writer_round_trip(spark, tmp_path):
+    from tracewright.sources import tables
+
+    rows = spark.createDataFrame([(1, "a,b", 1.5), (2, 'quote "x"', None), (3, None, -0.25)], "id int, name string, v double")
+    tables.write_csv(rows, str(tmp_path / "out"))
+    tables.write_csv(rows.where("id < 3"), str(tmp_path / "out"))  # a second call replaces the first
+    back = spark.read.schema(rows.schema).option("header", True).option("escape", "\\").csv(str(tmp_path / "out"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.where("id < 3").collect()))
+
+
+def test_points_of_ids_are_counted_as_their_sequences_say(spark):
+    from tracewright.sources import tables
+
+    points_ = spark.createDataFrame([(1, "1_a", i, [0.0]) for i in range(4)] + [(1, "1_b", 9, [0.0]), (2, "2", 1, [0.0])], "traj_id long, seg_id string, ord int, v array<double>")
+    ids = spark.createDataFrame([("1",), ("1_a",), ("2",), ("x",), (None,)], "id string")
+    counts = {r.id: r.n for r in tables.counts_of(ids, points_).collect()}
+    assert counts == {"1": 5, "1_a": 4, "2": 1, "x": 0, None: 0} == {r.id: r.n for r in tables.sequences_of(ids, points_).collect()}

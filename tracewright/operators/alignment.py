@@ -75,6 +75,26 @@ def align(nominal: DataFrame, measured: DataFrame, metric: str, dims: int = 3, t
     return nominal.select(*need).groupBy(*keys).cogroup(measured.select(*need).groupBy(*keys)).applyInPandas(run, schema)
 
 
+def without_jumps(orientations: DataFrame, traj: str = "traj_id") -> DataFrame:
+    """orientations(traj_id, ord, v) with `cleaned`: unit quaternions in which runs of large steps, and what follows them at once, are arcs.
+
+    Rows with a null, non-finite or zero orientation stay as they are and are looked past."""
+    kind = dict(orientations.dtypes)
+    schema = f"{traj} {kind[traj]}, ord {kind['ord']}, v array<double>, cleaned array<double>"
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ord").reset_index(drop=True)
+        usable = [i for i, v in enumerate(part.v) if v is not None and len(v) == 4 and None not in list(v) and np.isfinite(np.asarray(v, float)).all() and np.any(v)]
+        out: list = list(part.v)
+        if usable:
+            q = k.without_jumps(np.vstack([np.asarray(part.v[i], float) for i in usable]))
+            for i, row in zip(usable, q / np.linalg.norm(q, axis=1, keepdims=True)):
+                out[i] = row.tolist()
+        return part.assign(cleaned=out)[[traj, "ord", "v", "cleaned"]]
+
+    return orientations.select(traj, "ord", "v").groupBy(traj).applyInPandas(run, schema)
+
+
 def failed(deviations: DataFrame, traj: str = "traj_id") -> DataFrame:
     """traj_id, seg_id and status of what could not be aligned."""
     return deviations.where("status <> 'ok'").select(traj, "seg_id", "status")

@@ -64,6 +64,12 @@ def feature_neighbours(queries: DataFrame, rows: DataFrame, k: int, same_parent:
     return ranking.top_k(scored, ["query_id"], ["distance", "id"], k)
 
 
+def reranked_by_dtw(neighbours: DataFrame, sequences: DataFrame, **rerank) -> DataFrame:
+    """feature_neighbours() in the order of constrained DTW: rank is the new place, distance the DTW distance; target stays. sequences(id, seq)."""
+    done = staged_rerank(neighbours.select("query_id", "id", F.col("rank").alias("rank_s1"), "target"), sequences, **rerank)
+    return done.select("query_id", "id", "target", F.col("dtw_dist").alias("distance"), F.col("rank_s2").alias("rank"))
+
+
 def predictions_at(neighbours: DataFrame, ks: list[int]) -> DataFrame:
     """query_id, k, mean, weighted for several k out of one neighbour list."""
     rows = neighbours.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where(F.col("rank") <= F.col("k"))

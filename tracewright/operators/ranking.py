@@ -184,6 +184,12 @@ def hash_sample(rows: DataFrame, key: str, seed: str | int, n: int) -> DataFrame
     return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed)))), key).limit(n)
 
 
+def stable_unique(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """value, first (the smallest order at which it stands), place (from 1, in the order of first appearance), one row a distinct value."""
+    firsts = rows.groupBy(value).agg(F.min(order).alias("first"))  # distinct values, not rows, are put in order
+    return series.running_total(firsts, [], ["first", value], F.lit(1).cast("long"), "place")
+
+
 #: Pair subsets of a distance table.
 SUBSETS = ("all", "minimum", "maximum", "smallest", "largest", "nearest", "farthest")
 

@@ -403,7 +403,23 @@ def sequences_by_mixed_ids(t):
     e = t("events")
     ids = e.select(F.col("user_id").cast("string").alias("id")).union(e.select("event_type")).distinct()
     ids = ids.unionByName(e.sparkSession.createDataFrame([("none",)], "id string"))
-    return tables.sequences_of(ids, _points(t)).select("id", "n")
+    return tables.counts_of(ids, _points(t)).select("id", "n")
+
+
+@query("""WITH p AS (SELECT user_id::VARCHAR AS traj, user_id || '_' || event_type AS seg, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events), ids AS (SELECT DISTINCT traj AS id FROM p UNION SELECT DISTINCT seg FROM p UNION SELECT 'none_x'),
+  b AS (SELECT traj AS id, value, ord FROM p UNION ALL SELECT seg, value, ord FROM p) SELECT id, count(value) AS n, round(coalesce(sum(value), 0), 4) AS total, round(arg_max(value, ord), 6) AS last FROM ids LEFT JOIN b USING (id) GROUP BY id""")
+def sequences_of_trajectories_and_segments(t):
+    """The sequence of every trajectory and of every segment, whose id holds its trajectory's: length, total and last value."""
+    p = _points(t).withColumn("seg_id", F.concat_ws("_", F.col("traj_id").cast("string"), "seg_id"))
+    ids = p.select(F.col("traj_id").cast("string").alias("id")).union(p.select("seg_id")).distinct()
+    ids = ids.unionByName(ids.sparkSession.createDataFrame([("none_x",)], "id string"))
+    total = F.aggregate("seq", F.lit(0.0), lambda a, v: a + v[0])
+    return tables.sequences_of(ids, p).select("id", "n", r(total, 4).alias("total"), r(F.try_element_at("seq", F.lit(-1))[0]).alias("last"))
+
+
+@query("SELECT event_type, min(event_id) AS first, row_number() OVER (ORDER BY min(event_id)) AS place FROM events GROUP BY 1")
+def stable_unique(t):
+    return ranking.stable_unique(t("events"), "event_type", "event_id").select("event_type", "first", "place")
 
 
 @query("SELECT user_id AS traj_id, count(DISTINCT event_type) AS segments FROM events GROUP BY user_id")
@@ -837,6 +853,12 @@ def qad(t):
     return _aligned(t, "qad", 8)
 
 
+@query(f"WITH {recurrences.TURNED} SELECT user_id AS traj_id, i + 1 AS ord, round(u[1], 6) + 0.0 AS w, round(u[2], 6) + 0.0 AS x, round(u[3], 6) + 0.0 AS y FROM nominal")
+def orientations_without_jumps(t):
+    out = alignment.without_jumps(_orientations(t, 0))
+    return out.select("traj_id", F.col("ord").cast("long").alias("ord"), *[(r(F.col("cleaned")[i]) + 0.0).alias(c) for i, c in enumerate("wxy")])
+
+
 @query(recurrences.QDTW)
 def qdtw(t):
     return _aligned(t, "qdtw", 8)
@@ -982,6 +1004,19 @@ def adaptive_rerank(t):
     return prediction.adaptive_rerank(*_candidates(t), window=0.2).select("query_id", "id", "rank_s1", r("dtw_dist").alias("dtw_dist"), "rank_s2")
 
 
+@query(f"""WITH RECURSIVE {SEQ_SQL}, f AS (SELECT user_id, avg(value) AS target, [avg(value), count(*) / 10.0, avg(event_id % 100)] AS v FROM events GROUP BY 1),
+  near AS (SELECT a.user_id AS query_id, b.user_id AS id, b.target, row_number() OVER (PARTITION BY a.user_id ORDER BY round(list_distance(a.v, b.v), 6), b.user_id) AS rank_s1 FROM f a JOIN f b ON a.user_id <> b.user_id WHERE a.user_id % 50 = 0 QUALIFY rank_s1 <= 20),
+  pairs AS (SELECT query_id, near.id, q.seq AS a, c.seq AS b, len(q.seq) AS n, len(c.seq) AS m FROM near JOIN seqs q ON q.user_id = query_id JOIN seqs c ON c.user_id = near.id), {recurrences.band(window=0.2)},
+  again AS (SELECT near.*, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, rank_s1) AS rank FROM near JOIN cdtw USING (query_id, id))
+  SELECT query_id, k, round(avg(target), 6) AS mean, round(sum(target / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS weighted FROM again, (SELECT unnest([3, 8]) AS k) WHERE rank <= k GROUP BY ALL""")
+def knn_predictions_by_dtw(t):
+    """Feature neighbours of a user put in the order of constrained DTW, and the predictions of the first three and eight."""
+    f = t("events").groupBy(F.col("user_id").alias("id")).agg(F.avg("value").alias("target"), F.array(F.avg("value"), F.count("*") / 10.0, F.avg(F.col("event_id") % 100)).alias("vec"))
+    near = prediction.feature_neighbours(_asked(f, F.col("vec").alias("query_vec")), f, 20, same_parent=False, digits=6)
+    done = prediction.reranked_by_dtw(near, _seqs(t).select(F.col("user_id").alias("id"), "seq"), window=0.2)
+    return prediction.predictions_at(done, [3, 8]).select("query_id", "k", r("mean").alias("mean"), r("weighted").alias("weighted"))
+
+
 @query(recurrences.SAVINGS)
 def rerank_savings(t):
     out = prediction.savings(prediction.staged_rerank(*_candidates(t), kim_share=0.5, keogh_most=20, window=0.2))

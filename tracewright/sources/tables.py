@@ -71,6 +71,13 @@ def sequences_of(ids: DataFrame, point_rows: DataFrame, id_col: str = "id") -> D
     return out.withColumn("seq", F.coalesce("seq", F.array().cast("array<array<double>>"))).withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
+def counts_of(ids: DataFrame, point_rows: DataFrame, id_col: str = "id") -> DataFrame:
+    """For each id, a trajectory's or a segment's, the number of its points: counted where they are, no sequence is built."""
+    long = point_rows.select("traj_id", F.explode(F.array_distinct(F.array(F.col("traj_id").cast("string"), F.col("seg_id")))).alias("key__"))
+    found = long.groupBy("key__").agg(F.count("*").alias("n"))
+    return ids.join(found, ids[id_col].cast("string") == F.col("key__"), "left").drop("key__").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def segment_counts(rows: DataFrame, traj: str = "traj_id", seg: str = "seg_id") -> DataFrame:
     return at_level(rows, "segment", traj, seg).groupBy(traj).agg(F.countDistinct(seg).alias("segments"))
 
