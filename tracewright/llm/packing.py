@@ -95,10 +95,13 @@ def tokenized(df: DataFrame, tokenizer_path: str, pattern: str, end_id: int = EN
         encode, cut, table = encoder(merges, pattern, kind), added_tokens(data.value), signs(max(size, end_id + 1))
 
         def step(batch):
-            parts = [cut(t) for t in common.texts_of(batch.column(1))]
-            blobs = iter(encode([t for some in parts for t, _ in some if t is not None]))
-            joined = [b"".join([next(blobs) if t is not None else np.array(i, kind).tobytes() for t, i in some]) for some in parts]
-            ids = [np.append(np.frombuffer(b, kind), np.array(end_id, kind)) for b in joined]
+            texts = common.texts_of(batch.column(1))
+            special = {i: parts for i, t in enumerate(texts) if len(parts := cut(t)) > 1 or parts and parts[0][0] is None}  # few, if any
+            blobs = encode(["" if i in special else t for i, t in enumerate(texts)] if special else texts)
+            for i, parts in special.items():
+                some = iter(encode([t for t, _ in parts if t is not None]))
+                blobs[i] = b"".join([next(some) if t is not None else np.array(x, kind).tobytes() for t, x in parts])
+            ids = [np.append(np.frombuffer(b, kind), np.array(end_id, kind)) for b in blobs]
             return [batch.column(0), document_keys(ids, table), [len(x) for x in ids], [_thin(x) for x in ids]]
 
         return step
