@@ -412,7 +412,8 @@ def quaternion_distance(nominal: np.ndarray, measured: np.ndarray):
 def quaternion_dtw(nominal: np.ndarray, measured: np.ndarray):
     """The cheapest path by angles to COST_DIGITS digits, so that ties do not hang on a machine's last bit."""
     p, q = _units(without_jumps(nominal)), _units(measured)
-    return _cheapest(p, q, lambda a, b: np.round(quaternion_angles(a, b), COST_DIGITS))
+    rows, columns, _, total = _cheapest(p, q, lambda a, b: np.round(quaternion_angles(a, b), COST_DIGITS))
+    return rows, columns, quaternion_angles(p[rows], q[columns]), total
 
 
 def pchip(y: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -103,7 +103,7 @@ TURNED = f"""turns AS (SELECT user_id, event_id, event_id % 2 AS side, ts, event
   measured AS (SELECT user_id, event_type, i, u FROM units WHERE side = 1),
   xy AS (SELECT * FROM (SELECT user_id, list(u ORDER BY i) AS x, list(event_type ORDER BY i) AS xs, count(*) AS m FROM nominal GROUP BY 1) JOIN (SELECT user_id, list(u ORDER BY i) AS y, list(event_type ORDER BY i) AS ys, count(*) AS n FROM measured GROUP BY 1) USING (user_id))"""
 
-QDTW = f"WITH RECURSIVE {TURNED}, {ANGLES}, {path()} {aligned('ys[j + 1]', 'avg(d[i + 1][j + 1]) OVER u')}".replace(", 6) AS distance", ", 8) AS distance").replace(", 6) AS value", ", 8) AS value")
+QDTW = f"WITH RECURSIVE {TURNED}, {ANGLES}, {path()} " + aligned("ys[j + 1]", "avg(d[i + 1][j + 1]) OVER u").replace("d[i + 1][j + 1]", angle("x[i + 1]", "y[j + 1]")).replace("SELECT user_id, xs, ys FROM xy", "SELECT user_id, x, y, xs, ys FROM xy").replace(", 6) AS", ", 8) AS")
 QAD = f"""WITH {TURNED}, places AS (SELECT user_id, i, ys[i + 1] AS seg, y[i + 1] AS w, x, m, CASE WHEN n = 1 OR i = n - 1 THEN m - 1 ELSE i * ((m - 1) / (n - 1)::DOUBLE) END AS pos FROM (SELECT *, unnest(range(n)) AS i FROM xy)),
   two AS (SELECT user_id, i, seg, w, x[floor(pos)::BIGINT + 1] AS p, x[least(ceil(pos)::BIGINT, m - 1) + 1] AS q, pos - floor(pos) AS t FROM places),
   between_ AS ({_slerp('two', 'user_id, i, seg, w', '0.9995')}),
@@ -328,7 +328,7 @@ def _from_point(s: str) -> str:
     return "(" + " + ".join(f"pow({p} - q[{k}], 2)" for k, p in zip((1, 2, 3), _on(s))) + ")"
 
 
-#: Distance from a shape-preserving cubic: 40 samples of every piece, and the best three of a point refined by thirds of their brackets.
+#: Distance from a shape-preserving cubic: 40 samples of every piece, and the best of eight half pieces of a point refined by thirds of their brackets.
 POINT_TO_PCHIP = f"""WITH p AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY ts, event_id) AS ord, event_id % 2 AS side, [value, {HOUR}, (event_id % 100)::DOUBLE] AS p FROM events),
   steps AS (SELECT *, {gap('p', 'p2')} AS h FROM (SELECT user_id, ord, p, lead(p) OVER (PARTITION BY user_id ORDER BY ord) AS p2 FROM p WHERE side = 0)),
   long AS (SELECT user_id, ord, k, h, p[k] AS y, p2[k] AS y2, (p2[k] - p[k]) / h AS d FROM steps, (SELECT unnest([1, 2, 3]) AS k)),
@@ -338,7 +338,8 @@ POINT_TO_PCHIP = f"""WITH p AS (SELECT user_id, event_id, event_type, row_number
   slopes AS (SELECT *, CASE WHEN d IS NOT NULL AND dl IS NOT NULL THEN CASE WHEN d * dl > 0 THEN 3 * (h + hl) / ((2 * hl + h) / d + (hl + 2 * h) / dl) ELSE 0 END WHEN z IS NULL THEN x WHEN e * x <= 0 THEN 0 WHEN x * z < 0 AND abs(e) > 3 * abs(x) THEN 3 * x ELSE e END AS m FROM edge),
   cubic AS (SELECT user_id, ord, k, [y, m * h, 3 * (y2 - y) - 2 * m * h - m2 * h, 2 * (y - y2) + m * h + m2 * h] AS c FROM (SELECT *, lead(m) OVER (PARTITION BY user_id, k ORDER BY ord) AS m2 FROM slopes) WHERE y2 IS NOT NULL),
   pieces AS (SELECT user_id, ord AS piece, list(c ORDER BY k) AS c FROM cubic GROUP BY ALL),
-  sampled AS (SELECT user_id, b.event_type, b.ord, b.p AS q, c, unnest(range(41)) / 40.0 AS s FROM p b JOIN pieces USING (user_id) WHERE side = 1),
-  best AS (SELECT user_id, event_type, ord, q, c, s FROM (SELECT *, {_from_point('s')} AS d FROM sampled) QUALIFY row_number() OVER (PARTITION BY user_id, ord ORDER BY d) <= 3),
+  sampled AS (SELECT user_id, b.event_type, b.ord, b.p AS q, c, piece, unnest(range(41)) / 40.0 AS s FROM p b JOIN pieces USING (user_id) WHERE side = 1),
+  halves AS (SELECT * FROM (SELECT *, {_from_point('s')} AS d FROM sampled) QUALIFY row_number() OVER (PARTITION BY user_id, ord, piece, s < 0.5 ORDER BY d) = 1),
+  best AS (SELECT user_id, event_type, ord, q, c, s FROM halves QUALIFY row_number() OVER (PARTITION BY user_id, ord ORDER BY d) <= 8),
   fine AS (SELECT user_id, event_type, ord, q, c, list_reduce(list_prepend([greatest(s - 0.025, 0), least(s + 0.025, 1)], list_transform(range(70), lambda z: [0.0, 0.0]::DOUBLE[])), lambda i, z: CASE WHEN {_from_point('((2 * i[1] + i[2]) / 3)')} < {_from_point('((i[1] + 2 * i[2]) / 3)')} THEN [i[1], (i[1] + 2 * i[2]) / 3] ELSE [(2 * i[1] + i[2]) / 3, i[2]] END)[1] AS s FROM best)
   SELECT user_id AS traj_id, event_type AS seg_id, ord AS points_order, round(sqrt(min({_from_point('s')})), 4) AS distance FROM fine GROUP BY ALL"""
