@@ -199,9 +199,10 @@ def test_probes_score_few_pairs_of_clustered_vectors(spark, monkeypatch):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(60, 32))
     vectors = centres[rng.integers(0, 60, 3000)] + 0.4 * rng.normal(size=(3000, 32))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     vectors[::3] = vectors[1] / 2  # a third of all rows are one vector
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(5)
-    params = ann.Params(8, 8, 1.5, 100)
+    params = ann.Params(6, 8, 1.5, 60)
     monkeypatch.setattr(ann, "GROUP_ROWS", 300)  # many groups, and hot buckets in parts
     asked = F.col("id") % 50 == 1
     pairs = ann.visits(ann.Index(df, params=params), asked).collect()
