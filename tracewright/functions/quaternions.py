@@ -85,15 +85,15 @@ def equivalent(q: Column | str, tolerance: float = 1e-12) -> tuple:
     return bound(q, body)
 
 
-def slerp(p: Column | str, q: Column | str, t: Column, parallel: float = PARALLEL) -> Column:
-    """Unit quaternion at share t of the shorter arc from p to q."""
-    return bound(p, lambda a: bound(q, lambda b: _slerp(a, b, t, parallel)))
+def slerp(p: Column | str, q: Column | str, t: Column, parallel: float = PARALLEL, half_turn: float = 0.0) -> Column:
+    """Unit quaternion at share t of the shorter arc from p to q; dot products below `half_turn` go by -q."""
+    return bound(p, lambda a: bound(q, lambda b: _slerp(a, b, t, parallel, half_turn)))
 
 
-def _slerp(p: Column, q: Column, t: Column, parallel: float) -> Column:
+def _slerp(p: Column, q: Column, t: Column, parallel: float, half_turn: float) -> Column:
     c = dot(p, q)
     near = F.least(F.abs(c), F.lit(1.0))
-    to = scale(q, F.when(c < 0, F.lit(-1.0)).otherwise(F.lit(1.0)))
+    to = scale(q, F.when(c < half_turn, F.lit(-1.0)).otherwise(F.lit(1.0)))
     theta = F.acos(near)
     a = F.when(near > parallel, 1 - t).otherwise(F.sin((1 - t) * theta) / F.sin(theta))
     b = F.when(near > parallel, t).otherwise(F.sin(t * theta) / F.sin(theta))

@@ -14,12 +14,18 @@ from . import joins
 from .series import along
 
 
-def angular_rates(rows: DataFrame, keys: list[str], at: str, quaternion: str, alias: str = "rate") -> DataFrame:
-    """rows with the mean rate since the row before, in the frame of that row: twice the logarithm of the turn between, over the time."""
-    w = along(keys, [at])
-    rows = rows.withColumn("q__", F.lag(quaternion).over(w)).withColumn("dt__", F.col(at) - F.lag(at).over(w))
+#: Scalar parts and dot products this near to zero are half turns, for which both ways round are as long: the second one is taken.
+HALF_TURN = 1e-12
+
+
+def angular_rates(rows: DataFrame, keys: list[str], at: str, quaternion: str, alias: str = "rate", ties: list[str] = [], unit: float = 1.0) -> DataFrame:  # noqa: B006
+    """rows with the mean rate since the row before, in the frame of that row: twice the logarithm of the turn between, over the time.
+
+    Times are subtracted before they are divided by `unit`, so whole ticks lose no digit; `ties` order rows of one time."""
+    w = along(keys, [at, *ties])
+    rows = rows.withColumn("q__", F.lag(quaternion).over(w)).withColumn("dt__", (F.col(at) - F.lag(at).over(w)) / F.lit(unit))
     turn = q.product(q.conjugate("q__"), quaternion)
-    near = q.bound(turn, lambda t: F.when(t[0] < 0, F.transform(t, lambda x: -x)).otherwise(t))  # the shorter way round
+    near = q.bound(turn, lambda t: F.when(t[0] < HALF_TURN, F.transform(t, lambda x: -x)).otherwise(t))  # the shorter way round
     rate = q.bound(q.logarithm(near), lambda v: F.array(*[2 * v[i] / F.col("dt__") for i in (1, 2, 3)]))
     return rows.withColumn(alias, F.when(F.col("q__").isNotNull() & (F.col("dt__") != 0), rate)).drop("q__", "dt__")
 
@@ -36,7 +42,7 @@ def interpolated(samples: DataFrame, wanted: DataFrame, keys: list[str], at: str
     before = joins.asof(wanted, some.select(*keys, "s__", F.col("s__").alias("a__"), F.col("q__").alias("p__")), at, "s__", keys, right_columns=["a__", "p__"])
     both = joins.asof(before, some.select(*keys, "s__", F.col("s__").alias("b__"), F.col("q__").alias("n__")), at, "s__", keys, "forward", right_columns=["b__", "n__"])
     share = F.when(F.col("b__") == F.col("a__"), F.lit(0.0)).otherwise((F.col(at) - F.col("a__")) / (F.col("b__") - F.col("a__")))
-    between = F.when(F.col("a__").isNotNull() & F.col("b__").isNotNull(), q.slerp("p__", "n__", F.col("t__")))
+    between = F.when(F.col("a__").isNotNull() & F.col("b__").isNotNull(), q.slerp("p__", "n__", F.col("t__"), half_turn=HALF_TURN))
     return both.withColumn("t__", share).withColumn(alias, between).drop("a__", "b__", "p__", "n__", "t__")
 
 
