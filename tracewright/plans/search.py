@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import vectors
-from ..operators import alignment, prediction, ranking
+from ..operators import alignment, blocks, prediction, ranking
 from ..operators.vector_index import CosineIndex
 from ..sources import tables
 
@@ -84,11 +83,6 @@ def sweep_search(embedded: DataFrame, is_query, k: int, digits: int | None = Non
     """config, modality, level, query_id, id, distance, rank: the nearest rows of the same configuration, modality and level for
     every row of embedding_sweep() that meets is_query; rows of the query's own trajectory (parent) are left out."""
     same = ["config", "modality", "level"]
-    asked = embedded.where(is_query).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("parent").alias("query_parent"), *[F.col(c).alias(f"query_{c}") for c in same])
-    rows = embedded.withColumn("rn__", vectors.norm("vec"))
-    both = ranking.pairs(asked.withColumn("qn__", vectors.norm("query_vec")), rows).where(~F.col("parent").eqNullSafe(F.col("query_parent")))
-    for c in same:
-        both = both.where(F.col(c) == F.col(f"query_{c}"))
-    d = 1 - vectors.dot("vec", "query_vec") / (F.col("rn__") * F.col("qn__") + vectors.COSINE_GUARD)
-    scored = both.select(*same, "query_id", "id", (F.round(d, digits) if digits is not None else d).alias("distance"))
+    asked = embedded.where(is_query).select(F.col("id").alias("query_id"), F.col("vec").alias("query_vec"), F.col("parent").alias("query_parent"), *same)
+    scored = blocks.distances(asked, embedded, "cosine", k, digits, ("parent", "query_parent"), same)
     return ranking.top_k(scored, [*same, "query_id"], ["distance", "id"], k)
