@@ -46,17 +46,17 @@ def predict(found: DataFrame, targets: DataFrame, target: str, n: int, rank: str
     return prediction.from_neighbours(found.withColumn("rank", F.col(rank)), targets, target, n, "score", rrf_power)
 
 
-def validation(rankings: DataFrame, weight_modes: DataFrame, reference: DataFrame, truth: DataFrame, ks: list[int]) -> DataFrame:
+def validation(rankings: DataFrame, weight_modes: DataFrame, reference: DataFrame, truth: DataFrame, ks: list[int], counts: DataFrame | None = None) -> DataFrame:
     """query_id, mode, k, recall, precision, mrr: fused rankings of every weight mode against a reference and the ground truth.
 
     rankings(query_id, modality, id, rank); weight_modes(mode, modality, weight). A mode is a key of every step, so all modes
-    run in one plan."""
+    run in one plan. With counts(query_id, truths), truth only needs to hold what the rankings have."""
     weighted = rankings.join(F.broadcast(weight_modes.where("weight <> 0")), "modality")
     fused = weighted.groupBy("query_id", "mode", "id").agg(F.sum(F.col("weight") / (ranking.RRF_K + F.col("rank"))).alias("rrf_score"))
     fused = ranking.rank_by(fused, ["query_id", "mode"], [F.desc("rrf_score"), "id"])
     each = fused.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
     marked = each.join(truth.withColumn("is_truth", F.lit(1)), ["query_id", "id"], "left").join(reference.select("query_id", "id", F.col("rank").alias("ref_rank")), ["query_id", "id"], "left")
-    n = truth.groupBy("query_id").agg(F.count("*").alias("truths"))
+    n = truth.groupBy("query_id").agg(F.count("*").alias("truths")) if counts is None else counts
     inside = F.col("rank") <= F.col("k")
     scored = marked.groupBy("query_id", "mode", "k").agg(
         F.sum(F.when(inside, F.col("is_truth"))).alias("hits"), F.sum((inside & (F.col("ref_rank") <= F.col("k"))).cast("int")).alias("common"),
