@@ -4,8 +4,7 @@ A coarse quantiser (spherical k-means, fitted on a bounded sample) gives every v
 angle. The inverted lists are one Parquet table, partitioned by cell, that keeps each row's angle to its centre; new rows
 are appended to it under the same centres. A query visits cells in the order of their centres' angles, in two rounds: first as many as hold k
 rows, then those of its other probes that can still hold a nearer row than the k-th found. What a cell can hold follows from the
-triangle inequality of angles: no row of a cell is nearer than the angle to its centre less the cell's largest angle, and
-none nearer than the difference of both angles to the centre, which spares rows inside a visited cell. So the stop loses nothing, and with
+triangle inequality of angles: no row of a cell is nearer than the angle to its centre less the cell's largest angle. So the stop loses nothing, and with
 as many probes as cells the result is that of ranking.cosine_top_k.
 
 Only the centres and one figure a cell (at most MAX_CELLS) reach the driver. A cell of many rows is joined in parts, so a hot cell
@@ -21,10 +20,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..sources.scratch import settled
-from . import ranking
+from . import blocks, ranking
 
-#: Most cells, and most rows of the sample that the centres are fitted on; rows of a cell's part.
-MAX_CELLS, SAMPLE_ROWS, PART_ROWS = 4096, 20_000, 50_000
+#: Most cells, and most rows of the sample that the centres are fitted on; rows and about how many queries of a cell's part.
+MAX_CELLS, SAMPLE_ROWS, PART_ROWS, PART_QUERIES = 4096, 20_000, 50_000, 8192
 #: The cell of vectors shorter than SHORT, whose direction says little; slack of bounds for rounded angles.
 NO_CELL, SHORT, SLACK = -1, 1e-2, 2e-6
 
@@ -128,37 +127,42 @@ class CosineIndex:
         known = queries.where(F.col("query_vec").isNotNull()).select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec"))
         return known.mapInPandas(run, f"query_id {kind}, query_vec array<double>, cell int, n long, at double, near double, early boolean")
 
-    def _scored(self, visits: DataFrame, digits: int | None, limited: bool) -> DataFrame:
-        """query_id, id, distance of the rows of the visited cells, met in parts of PART_ROWS rows."""
-        figures = self.figures()
+    def _scored(self, visits: DataFrame, k: int, digits: int | None) -> DataFrame:
+        """query_id, id, distance of what can be among the k nearest rows of a visited cell, no farther than the visit's `most`. Cells meet their visits in parts of
+        PART_ROWS rows and about PART_QUERIES queries, each by one matrix product (blocks.nearest)."""
+        figures, slack = self.figures(), 10.0**-digits if digits is not None else 0.0
+        groups = max(1, -(-visits.select("query_id").distinct().count() // PART_QUERIES))
         parts = self.spark.createDataFrame([(int(c), -(-int(n) // PART_ROWS)) for c, n in zip(figures.cell, figures.n)], "cell int, parts int")  # MAX_CELLS rows at most
-        part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.col("parts")).cast("int")
-        rows = self.lists().join(F.broadcast(parts), "cell").withColumn("part", part).drop("parts")
-        asked = visits.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        both = rows.join(asked, ["cell", "part"]).where(F.col("id") != F.col("query_id"))
-        if limited:
-            both = both.where((F.abs(F.col("at") - F.col("angle")) <= F.col("reach")) | (F.col("cell") == NO_CELL))
-        d = vectors.cosine_distance("vec", "query_vec")
-        return both.select("query_id", "id", (F.round(d, digits) if digits is not None else d).alias("distance"))
+        own = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("string")), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        whole = lambda c: f"not exists({c}, x -> x is null)"
+        rows = self.lists().where(whole("vec")).join(F.broadcast(parts), "cell").withColumn("part", own("id", F.col("parts"))).withColumn("asked", every(F.lit(groups)))
+        asked = visits.where(whole("query_vec")).join(F.broadcast(parts), "cell").withColumn("part", every(F.col("parts"))).withColumn("asked", own("query_id", F.lit(groups)))
+        keys = ["cell", "part", "asked"]
+        kinds = visits.schema["query_id"].dataType.simpleString(), self.lists().schema["id"].dataType.simpleString()
+        left, right = asked.select(*keys, "query_id", "query_vec", "most"), rows.select(*keys, "id", "vec")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda q, r: blocks.nearest(q, r, k, slack), f"query_id {kinds[0]}, id {kinds[1]}, distance double")
+        return found.withColumn("distance", F.round("distance", digits)) if digits is not None else found
 
     def rounds(self, queries: DataFrame, k: int, probes: int | None = None, digits: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(found in the first round, visits of the first round, visits of the second)."""
         every = settled(self.probes(queries, k, probes or MAX_CELLS))
         early = every.where("early")
-        first = settled(ranking.top_k(self._scored(early, digits, False), ["query_id"], ["distance", "id"], k))
+        first = settled(ranking.top_k(self._scored(early.withColumn("most", F.lit(float("inf"))), k, digits), ["query_id"], ["distance", "id"], k))
         limits = first.groupBy("query_id").agg(F.max("distance").alias("limit"), F.count("*").alias("found"))
         open_ = F.coalesce(F.col("found"), F.lit(0)) < k
         reach = F.when(open_, F.lit(4.0)).otherwise(F.acos(F.greatest(F.lit(-1.0), 1 - F.col("limit") - SLACK)) + SLACK)
         late = every.where("not early").join(limits, "query_id", "left").withColumn("reach", reach)
         short = vectors.norm("query_vec") < SHORT
         late = late.withColumn("reach", F.when(short, F.lit(4.0)).otherwise(F.col("reach"))).where("near <= reach")
+        late = late.withColumn("most", F.when(open_, F.lit(float("inf"))).otherwise(F.col("limit")))
         return first, early, late
 
     def search(self, queries: DataFrame, k: int, probes: int | None = None, digits: int | None = None) -> DataFrame:
         """query_id, id, distance, rank: the k nearest rows found for queries(query_id, query_vec) in at most `probes` cells (all, if
         none is given); the query itself is left out, ties go to the smaller id."""
         first, _, late = self.rounds(queries, k, probes, digits)
-        rows = first.select("query_id", "id", "distance").unionByName(self._scored(late, digits, True))
+        rows = first.select("query_id", "id", "distance").unionByName(self._scored(late, k, digits))
         return ranking.top_k(rows, ["query_id"], ["distance", "id"], k)
 
     def visited(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
