@@ -103,10 +103,15 @@ def _windows(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _turned(m: np.ndarray) -> np.ndarray:
+    """Each matrix transposed, as a copy: products with it are several times faster."""
+    return np.ascontiguousarray(m.transpose(0, 2, 1))
+
+
 def _logits(q: np.ndarray, k: np.ndarray, near: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Logits of the window's keys for each position, masked; start: where each position's text begins."""
     blocks = len(q)
-    a = q @ k.transpose(0, 2, 1)
+    a = q @ _turned(k)
     a += near
     first = start.reshape(blocks, BLOCK) - (np.arange(blocks)[:, None] - 1) * BLOCK
     cut = np.flatnonzero(first.max(axis=1) > 0)
@@ -115,26 +120,42 @@ def _logits(q: np.ndarray, k: np.ndarray, near: np.ndarray, start: np.ndarray) -
     return a
 
 
+def _row_sums(m: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept; one product, since rows are short."""
+    return (m.reshape(-1, m.shape[-1]) @ np.ones(m.shape[-1], m.dtype)).reshape(*m.shape[:-1], 1)
+
+
+def _largest(m: np.ndarray) -> float:
+    """The largest length of the vectors along the last axis."""
+    return float(np.sqrt(_row_sums(m * m).max(initial=0)))
+
+
 def _attention(q: np.ndarray, k: np.ndarray, near: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Shares of the window's keys for each position."""
     a = _logits(q, k, near, start)
-    a -= a.max(axis=2, keepdims=True)
+    if _largest(q) * _largest(k) + float(np.abs(near[near > OFF]).max()) > SAFE:
+        a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= _row_sums(a)
     return a
 
 
-def _log_softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shares, log of their sum before scaling) of each row; z is overwritten."""
-    top = z.max(axis=1, keepdims=True)
-    z -= top
+def _shares_less_own(z: np.ndarray, own: np.ndarray, n, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(the gradient of the mean of n losses by the logits z, the probabilities of the targets) where each row's target is `own`; z is overwritten."""
+    if not safe:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    total = z.sum(axis=1, keepdims=True)
-    z /= total
-    return z, (np.log(total) + top)[:, 0]
+    at = np.arange(0, z.size, z.shape[1]) + own
+    z /= _row_sums(z)
+    flat = z.ravel()
+    mine = flat.take(at)
+    flat[at] = mine - 1
+    z *= 1 / n
+    return z, mine
 
 
-#: Logits of at most this size need no shift before their exponentials are summed.
+#: Logits whose parts from the layers are at most this size need no shift before their exponentials are summed: of the biases beside
+#: them the largest is 0.
 SAFE = 80.0
 
 
@@ -147,14 +168,6 @@ def _log_total(z: np.ndarray, safe: bool) -> np.ndarray:
     return np.log(np.exp(z, out=z).sum(axis=1)) + top
 
 
-def _by_class(cls: np.ndarray):
-    """(class, rows) of each class that occurs."""
-    order = np.argsort(cls, kind="stable")
-    cuts = np.flatnonzero(np.diff(cls[order])) + 1
-    for rows in np.split(order, cuts) if len(order) else ():
-        yield int(cls[rows[0]]), rows
-
-
 def log_probabilities(model: Model, x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Natural log probability of each place in y after what precedes it: x are the inputs, start[i] where i's text begins. 0 where y < 0."""
     size, most_weight = model.vocabulary.class_size, model.tables[-1]
@@ -163,31 +176,33 @@ def log_probabilities(model: Model, x: np.ndarray, y: np.ndarray, start: np.ndar
     for first in range(0, len(y), STORE):  # ids of a class are many enough here for one product
         last = min(first + STORE, len(y))
         h, found = np.empty((last - first, DIM + 1), np.float32), np.empty(last - first, np.float32)
-        cls, item = np.divmod(np.maximum(y[first:last], 0), size)
+        cls, item = np.divmod(np.maximum(y[first:last], 0).astype(np.int32), np.int32(size))
         for at in range(first, last, CHUNK):
             upto = min(at + CHUNK, last)
             part = slice(at - first, upto - first)
             h[part] = _hidden(model, x, start, at, upto)
-        safe = most_weight * float(np.sqrt((h * h) @ np.ones(DIM + 1, np.float32)).max(initial=0)) < SAFE
+        safe = most_weight * _largest(h[:, :DIM]) < SAFE
         for at in range(0, last - first, CHUNK):
             part = slice(at, min(at + CHUNK, last - first))
             z = h[part] @ classes
-            found[part] = z[np.arange(len(z)), cls[part]]
+            found[part] = z.ravel().take(np.arange(0, z.size, z.shape[1]) + cls[part])
             found[part] -= _log_total(z, safe)
         order = np.argsort(cls.astype(np.int16), kind="stable")
-        h, item = h[order], item[order]
-        cuts = np.searchsorted(cls[order], np.arange(len(items) + 1)).tolist()
+        h, item = h.take(order, axis=0), item.take(order)
+        cuts = np.searchsorted(cls.take(order), np.arange(len(items) + 1)).tolist()
         within = np.empty(len(h), np.float32)
         for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
             for at in range(a, b, CHUNK):
                 part = slice(at, min(at + CHUNK, b))
                 z = h[part] @ items[c]
-                within[part] = z[np.arange(len(z)), item[part]]
+                within[part] = z.ravel().take(np.arange(0, z.size, z.shape[1]) + item[part])
                 within[part] -= _log_total(z, safe)
         found[order] += within
         out[first:last] = found
     last = len(model.vocabulary.counts) - 1
-    return np.where(y < 0, 0.0, out - np.log(max(1, model.vocabulary.unseen)) * (y == last))
+    out[y == last] -= np.log(max(1, model.vocabulary.unseen))
+    out[y < 0] = 0
+    return out
 
 
 def _hidden(model: Model, x: np.ndarray, start: np.ndarray, at: int, upto: int) -> np.ndarray:
@@ -196,7 +211,7 @@ def _hidden(model: Model, x: np.ndarray, start: np.ndarray, at: int, upto: int)
     before = min(at, BLOCK)
     n = upto - at + before
     pad = -n % BLOCK
-    rows = table[np.append(x[at - before : upto], np.zeros(pad, x.dtype))].reshape(-1, BLOCK, 4 * DIM + 1)
+    rows = table.take(np.append(x[at - before : upto], np.zeros(pad, x.dtype)), axis=0).reshape(-1, BLOCK, 4 * DIM + 1)
     begins = np.append(start[at - before : upto] - (at - before), np.full(pad, n))
     a = _logits(rows[:, :, DIM : 2 * DIM], _windows(rows[:, :, 2 * DIM : 3 * DIM]), near, begins)
     if most_attention > SAFE:
@@ -213,58 +228,75 @@ def _hidden(model: Model, x: np.ndarray, start: np.ndarray, at: int, upto: int)
 def loss_and_gradients(model: Model, x: np.ndarray, y: np.ndarray, start: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log probability (unseen ids as one) and its gradients; the number of ids is a multiple of BLOCK, and ids with y < 0 are left out."""
     w, size = model.weights, model.vocabulary.class_size
-    g = {k: np.zeros_like(v) for k, v in w.items()}
-    scale = np.float32(DIM**-0.5)
-    e = w["embed"][x]
-    q, k, v = (e @ w[name] for name in ("query", "key", "value"))
-    cut = lambda m: m.reshape(-1, BLOCK, DIM)
-    k2, v2 = _windows(cut(k)), _windows(cut(v))
-    p = _attention(cut(q) * scale, k2, _distances(w["near"]), start)
+    g, scale = {}, np.float32(DIM**-0.5)
+    cut = lambda m: m.reshape(-1, BLOCK, m.shape[1])
+    e = w["embed"].take(x, axis=0)
+    three = np.hstack([w["query"] * scale, w["key"], w["value"]])
+    made = cut(e @ three)
+    q, kv = made[:, :, :DIM], _windows(made[:, :, DIM:])
+    k2, v2 = kv[:, :, :DIM], kv[:, :, DIM:]
+    p = _attention(q, k2, _distances(w["near"]), start)
     h0 = e + (p @ v2).reshape(-1, DIM)
-    z = np.maximum(h0 @ w["up"] + w["up_bias"], 0)
-    h = h0 + z @ w["down"]
+    z = h0 @ w["up"]
+    z += w["up_bias"]
+    np.maximum(z, 0, out=z)
+    h = np.ones((len(x), DIM + 1), h0.dtype)
+    h[:, :DIM] = h0 + z @ w["down"]
     used = np.flatnonzero(y >= 0)
-    n = np.float32(max(1, len(used)))
-    cls, item = np.divmod(y[used], size)
-    hu = h[used]
-    logits = hu @ w["classes"] + w["class_bias"]
-    own = logits[np.arange(len(used)), cls]
-    share, total = _log_softmax(logits)
-    loss = float((total - own).sum())
-    share[np.arange(len(used)), cls] -= 1
-    share /= n
-    g["classes"], g["class_bias"] = hu.T @ share, share.sum(axis=0)
-    dh = np.zeros_like(h)
-    dhu = share @ w["classes"].T
-    for c, r in _by_class(cls):
-        logits = hu[r] @ w["items"][c].T + w["item_bias"][c]
-        own = logits[np.arange(len(r)), item[r]]
-        share, total = _log_softmax(logits)
-        loss += float((total - own).sum())
-        share[np.arange(len(r)), item[r]] -= 1
-        share /= n
-        g["items"][c], g["item_bias"][c] = share.T @ hu[r], share.sum(axis=0)
-        dhu[r] += share @ w["items"][c]
-    dh[used] = dhu
-    dz = (dh @ w["down"].T) * (z > 0)
-    g["down"], g["up"], g["up_bias"] = z.T @ dh, h0.T @ dz, dz.sum(axis=0)
-    dh0 = dh + dz @ w["up"].T
-    dc = cut(dh0)
-    dp = dc @ v2.transpose(0, 2, 1)
-    da = p * (dp - (dp * p).sum(axis=2, keepdims=True))
+    # ids of a class lie together
+    cls, item = np.divmod(y[used].astype(np.int32), np.int32(size))
+    order = np.argsort(cls.astype(np.int16), kind="stable")
+    used, cls, item = used[order], cls[order], item[order]
+    hu, n = h.take(used, axis=0), np.float32(max(1, len(used)))
+    most = _largest(hu[:, :DIM])
+    # biases less their largest stand below their weights, for the one beside h
+    classes = np.vstack([w["classes"], w["class_bias"] - w["class_bias"].max()])
+    safe = most * _largest(w["classes"].T) < SAFE
+    dhu, likely, gc = np.empty_like(hu), np.empty(len(hu), hu.dtype), np.zeros_like(classes)
+    for at in range(0, len(hu), CHUNK):
+        part = slice(at, at + CHUNK)
+        d, likely[part] = _shares_less_own(hu[part] @ classes, cls[part], n, safe)
+        gc += hu[part].T @ d
+        dhu[part] = d @ classes.T
+    g["classes"], g["class_bias"] = gc[:DIM], gc[DIM]
+    items = np.concatenate([w["items"], (w["item_bias"] - w["item_bias"].max(axis=1, keepdims=True))[:, :, None]], axis=2)
+    gi, safe = np.zeros_like(items), most * _largest(w["items"]) < SAFE
+    cuts = np.searchsorted(cls, np.arange(len(items) + 1)).tolist()
+    for c, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            d, mine = _shares_less_own(hu[a:b] @ items[c].T, item[a:b], n, safe)
+            likely[a:b] *= mine
+            gi[c] = d.T @ hu[a:b]
+            dhu[a:b] += d @ items[c]
+    g["items"], g["item_bias"] = gi[:, :, :DIM], gi[:, :, DIM]
+    dh = np.zeros_like(h0)
+    dh[used] = dhu[:, :DIM]
+    dz = dh @ w["down"].T
+    dz *= z > 0
+    g["down"], g["up"], g["up_bias"] = z.T @ dh, h0.T @ dz, np.ones(len(dz), dz.dtype) @ dz
+    dh += dz @ w["up"].T
+    dc = cut(dh)
+    da = dc @ _turned(v2)
+    da -= _row_sums(da * p)
+    da *= p
     back = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)
     flat = da.sum(axis=0)
     g["near"] = np.bincount(back[back >= 0], flat[back >= 0], 2 * BLOCK).astype(flat.dtype)
-    dv2, dk2 = p.transpose(0, 2, 1) @ dc, da.transpose(0, 2, 1) @ (cut(q) * scale)
-    dq = ((da @ k2) * scale).reshape(-1, DIM)
-    dk, dv = (_unwindowed(m).reshape(-1, DIM) for m in (dk2, dv2))
-    de = dh0
-    for name, d in (("query", dq), ("key", dk), ("value", dv)):
-        g[name] = e.T @ d
-        de = de + d @ w[name].T
-    for i in range(DIM):
-        g["embed"][:, i] = np.bincount(x, de[:, i], len(w["embed"]))
-    return loss / float(n), g
+    dkv = np.empty_like(kv)
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+    np.matmul(p.transpose(0, 2, 1), dc, out=dkv[:, :, DIM:])
+    d = np.empty_like(made)
+    np.matmul(da, k2, out=d[:, :, :DIM])
+    d[:, :, DIM:] = _unwindowed(dkv)
+    d = d.reshape(-1, 3 * DIM)
+    both = e.T @ d
+    g["query"], g["key"], g["value"] = both[:, :DIM] * scale, both[:, DIM : 2 * DIM], both[:, 2 * DIM :]
+    dh += d @ three.T
+    g["embed"] = np.empty_like(w["embed"])
+    for i, column in enumerate(np.ascontiguousarray(dh.T, float)):
+        g["embed"][:, i] = np.bincount(x, column, len(w["embed"]))
+    with np.errstate(divide="ignore"):
+        return float(-np.log(likely).sum()) / float(n), g
 
 
 def _unwindowed(x: np.ndarray) -> np.ndarray:
@@ -298,25 +330,40 @@ def pieces_to_steps(texts: list[tuple[np.ndarray, bool]], end: int) -> tuple[np.
     return stream(xs, ys, np.array([len(x) for x, _ in both], np.int64))[:3]
 
 
+class Trainer:
+    """Adam from a model that stays as it is: `model` is what the batches have made of it so far."""
+
+    def __init__(self, model: Model):
+        self.model = Model({k: v.copy() for k, v in model.weights.items()}, model.vocabulary)
+        self.mean, self.square = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
+        self.steps = self.ids = 0
+
+    def step(self, x: np.ndarray, y: np.ndarray, start: np.ndarray, rate: float) -> None:
+        _, g = loss_and_gradients(self.model, x, y, start)
+        self.steps, self.ids = self.steps + 1, self.ids + int((y >= 0).sum())
+        now = rate * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
+        for k, d in g.items():
+            mean, square, w = self.mean[k], self.square[k], self.model.weights[k]
+            mean += np.float32(0.1) * (d - mean)
+            square += np.float32(0.01) * (d * d - square)
+            w -= np.float32(now) * mean / (np.sqrt(square) + np.float32(1e-8))
+
+
+def batches(x: np.ndarray, y: np.ndarray, start: np.ndarray, batch: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of whole blocks, the last one filled up with ids that count for nothing; texts begin within their batch."""
+    count = -(-len(x) // batch)
+    pad = count * batch - len(x)
+    x, y, start = np.append(x, np.zeros(pad, x.dtype)), np.append(y, np.full(pad, -1)), np.append(start, np.full(pad, len(x)))
+    return [(x[a : a + batch], y[a : a + batch], np.maximum(start[a : a + batch] - a, 0)) for a in range(0, count * batch, batch)]
+
+
 def train(model: Model, x: np.ndarray, y: np.ndarray, start: np.ndarray, epochs: int, rate: float, seed: int = 9) -> Model:
-    """Adam over batches of whole blocks, with a falling rate; the model given stays as it is."""
-    batches = -(-len(x) // BATCH)
+    """Epochs over batches in random order, with a falling rate; the model given stays as it is."""
     if not len(x):
         return model
-    pad = batches * BATCH - len(x)
-    x, y, start = np.append(x, np.zeros(pad, x.dtype)), np.append(y, np.full(pad, -1)), np.append(start, np.full(pad, len(x)))
-    w = {k: v.copy() for k, v in model.weights.items()}
-    out = Model(w, model.vocabulary)
-    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    rng, step, steps = np.random.default_rng(seed), 0, epochs * batches
+    parts, rng = batches(x, y, start, BATCH), np.random.default_rng(seed)
+    trainer, steps = Trainer(model), epochs * len(parts)
     for _ in range(epochs):
-        for b in rng.permutation(batches):
-            rows = slice(b * BATCH, (b + 1) * BATCH)
-            _, g = loss_and_gradients(out, x[rows], y[rows], np.maximum(start[rows] - b * BATCH, 0))
-            step += 1
-            now = rate * (1 - 0.95 * step / steps) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            for k, d in g.items():
-                mean[k] += np.float32(0.1) * (d - mean[k])
-                square[k] += np.float32(0.01) * (d * d - square[k])
-                w[k] -= np.float32(now) * mean[k] / (np.sqrt(square[k]) + np.float32(1e-8))
-    return out
+        for b in rng.permutation(len(parts)):
+            trainer.step(*parts[b], rate * (1 - 0.95 * (trainer.steps + 1) / steps))
+    return trainer.model

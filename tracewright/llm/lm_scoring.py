@@ -7,9 +7,8 @@ score every id once, so the sum is the log probability of the whole text.
 What is learned comes from all training rows, those whose crc32(doc_id as text) mod 5 is not 1:
 
 * one pass counts words; the distinct words, encoded once each, give the counts of the subword ids, the model's biases;
-* one in `ROW_SHARE` of the training rows, by a hash, takes part in training, with one in `SHARE` of its stretches of `STRETCH` words. A start is
-  made on the driver from some of them (`WARM_IDS` ids at most); from there each task trains on all stretches of its rows, and the
-  tasks' weights are averaged in a tree, each by its number of ids. So training reads a fixed share of the text, whatever its size.
+* a start is made on the driver from some stretches of `STRETCH` words (`WARM_IDS` ids at most), from which all tasks set out alike; from
+  there each task trains on every id of all its training rows once, and the tasks' weights are averaged in a tree, each by its number of ids.
 
 Scoring reads every row once. Words that hold a 200,000th of all tokens or more, at most 200,000 of them, are broadcast with their
 counts; all others leave a task as (word, rows), a row for each word and slice of text, meet their count in one join and
@@ -26,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +34,17 @@ from . import attention, common
 from .bpe import Merges, _file_bytes, read_ranks
 
 FOLDS, HELD = 5, 1
-STRETCH, SHARE, ROW_SHARE = 64, 8, 4
+STRETCH = 64
 #: The start reads at most so many ids, at least three times and at most eight, so that small tables take as many steps.
-WARM_IDS, WARM_EPOCHS, WARM_RATE, TASK_RATE = 1 << 21, (3, 8), 0.03, 0.006
+WARM_IDS, WARM_EPOCHS, WARM_RATE = 1 << 21, (3, 8), 0.03
+#: The rate of a task's first step, the steps after which it has halved, and ids of a step.
+TASK_RATE, TASK_STEPS, TASK_BATCH = 0.006, 64, 1 << 14
 #: A word of at least one in so many tokens is frequent.
 FREQUENT = 200_000
 #: Bytes of text that a task takes at once.
 SLICE_BYTES = 2 << 20
+#: Bytes of a word that the library encodes.
+LONG = 256
 #: Most words of a task's tables, and bytes of them; full tables are emptied.
 CACHE_WORDS, CACHE_BYTES = 500_000, 48 << 20
 FAN_IN = 16
@@ -74,10 +78,24 @@ class _Numbers(dict):
 class Pieces:
     """Subword ids of words, one flat array; distinct words are encoded together when they are first met."""
 
-    def __init__(self, merges: Merges, end_id: int):
-        self.merges, self.end_id = merges, end_id
+    def __init__(self, ranks: bytes, end_id: int):
+        found = read_ranks(ranks)
+        self.merges, self.end_id, self.line = Merges(found), end_id, found[b"\n"]
+        self.library = tiktoken.Encoding("words", pat_str=r"[^\n]+|\n", mergeable_ranks=found, special_tokens={})
         self.clear()
 
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, each after a space, one word after the other; how many each has). Words hold no line feed, which stands between them."""
+        text = b"".join(b" %b\n" % w for w in words).decode()
+        ids = self.library.encode_to_numpy(text, disallowed_special=())
+        ends = np.flatnonzero(ids == self.line)
+        return ids[ids != self.line].astype(np.int32), np.diff(ends, prepend=-1) - 1
+
+    def encode_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by matrices: the library takes the square of the time for long words."""
+        blobs = self.merges.encode_pieces([b" " + w for w in words], "<u4")
+        return np.frombuffer(b"".join(blobs), "<u4").astype(np.int32), np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+
     def clear(self) -> None:
         self.numbers, self.held = _Numbers(), 0
         self.flat, self.sizes, self.starts = np.array([self.end_id], np.int32), np.ones(1, np.int64), np.zeros(1, np.int64)
@@ -90,11 +108,11 @@ class Pieces:
         numbers = np.array(list(map(self.numbers.__getitem__, words)), np.int64)
         new, self.numbers.new = self.numbers.new, []
         if new:
-            blobs = self.merges.encode_pieces([b" " + w for w in new], "<u4")
-            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+            long = max(map(len, new)) > LONG
+            ids, sizes = self.encode_long(new) if long else self.encode(new)
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
             self.sizes = np.append(self.sizes, sizes)
-            self.flat = np.append(self.flat, np.frombuffer(b"".join(blobs), "<u4").astype(np.int32))
+            self.flat = np.append(self.flat, ids)
             self.held += sum(map(len, new)) + 4 * int(sizes.sum())
         return numbers, new
 
@@ -132,7 +150,7 @@ def id_counts(words: DataFrame, ranks, size: int, end_id: int) -> np.ndarray:
     """How often each subword id occurs in the counted words; every distinct word is encoded once."""
 
     def run(batches):
-        pieces, total = Pieces(Merges(read_ranks(ranks.value)), end_id), np.zeros(size, np.int64)
+        pieces, total = Pieces(ranks.value, end_id), np.zeros(size, np.int64)
         for batch in batches:
             for part in common.slices(batch, 0):
                 if pieces.full():
@@ -162,13 +180,13 @@ def stretches(texts: list[bytes], row_hashes: list[int], share: int) -> list[tup
     return out
 
 
-def training_ids(training: DataFrame, ranks, vocabulary: attention.Vocabulary, share: int, row_share: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", step=None, schema: str = "places binary, begins boolean, hash long") -> DataFrame:
-    """The chosen stretches as places of subword ids; or, with `step`, what a task makes of the list of its stretches."""
+def some_ids(training: DataFrame, ranks, vocabulary: attention.Vocabulary, share: int, row_share: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stretches that a hash chooses for the start, as places of subword ids."""
     row_hash = F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.col("text"))
     place = training.sparkSession.sparkContext.broadcast(vocabulary.place)
 
     def run(batches):
-        pieces, mine = Pieces(Merges(read_ranks(ranks.value)), end_id), []
+        pieces = Pieces(ranks.value, end_id)
         for batch in batches:
             for part in common.slices(batch, 0):
                 chosen = stretches(common.bytes_of(part.column(0)), part.column(1).to_pylist(), share)
@@ -176,17 +194,12 @@ def training_ids(training: DataFrame, ranks, vocabulary: attention.Vocabulary, s
                     pieces.clear()
                 pieces.of([w for words, _ in chosen for w in words])  # new words are encoded together
                 found = [(place.value[pieces.ids(pieces.of(words)[0])], begins) for words, begins in chosen]
-                if step is None:
-                    hashes = [int(hash_of(p)) for p, _ in found]
-                    yield pa.RecordBatch.from_arrays([pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()), pa.array([b for _, b in found], pa.bool_()), pa.array(hashes, pa.int64())], ["places", "begins", "hash"])
-                else:
-                    mine += found
-        if step is not None:
-            yield step(mine)
+                hashes = [int(hash_of(p)) for p, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array([p.astype("<i4").tobytes() for p, _ in found], pa.binary()), pa.array([b for _, b in found], pa.bool_()), pa.array(hashes, pa.int64())], ["places", "begins", "hash"])
 
     rows = training.select(F.coalesce(common.text_column(training, text_col), F.lit("")).alias("text"), F.col(f"`{id_col}`"))
     rows = rows.select("text", row_hash.alias("row_hash"))
-    return rows.where(F.pmod("row_hash", F.lit(row_share)) == 0).mapInArrow(run, schema)  # texts of other rows do not reach Python
+    return rows.where(F.pmod("row_hash", F.lit(row_share)) == 0).mapInArrow(run, "places binary, begins boolean, hash long")  # texts of other rows do not reach Python
 
 
 def hash_of(places: np.ndarray) -> int:
@@ -195,8 +208,28 @@ def hash_of(places: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(places.tobytes()) >> 1
 
 
+def task_weights(training: DataFrame, model: attention.Model, ranks, end_id: int, text_col: str = "text") -> DataFrame:
+    """weights, n: what each task makes of the model by training on the n ids of all its rows, slice by slice."""
+    shared = training.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        pieces, trainer, rng = Pieces(ranks.value, end_id), attention.Trainer(shared.value), np.random.default_rng(5)
+        for batch in batches:
+            for part in common.slices(batch, 0, SLICE_BYTES):
+                if pieces.full():
+                    pieces.clear()
+                (x, y, start, _), *_ = laid_out(pieces, shared.value.vocabulary.place, [words_of(t) for t in common.bytes_of(part.column(0))])
+                steps = attention.batches(x, y, start, TASK_BATCH)
+                for k in rng.permutation(len(steps)):
+                    trainer.step(*steps[k], TASK_RATE / (1 + trainer.steps / TASK_STEPS))
+        blob = trainer.model.flat().tobytes() if trainer.ids else b""
+        yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([float(trainer.ids)])], ["weights", "n"])
+
+    return training.select(common.text_column(training, text_col)).mapInArrow(run, "weights binary, n double")
+
+
 def fit(training: DataFrame, counts: np.ndarray, ranks, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> attention.Model:
-    """The start on the driver, then one round over all tasks, averaged."""
+    """The start on the driver, then one round of all tasks over all training rows, averaged."""
     vocabulary = attention.Vocabulary.of(counts)
     model = attention.Model.fresh(vocabulary)
     total = int(counts.sum())
@@ -205,7 +238,7 @@ def fit(training: DataFrame, counts: np.ndarray, ranks, end_id: int, id_col: str
     end = int(vocabulary.place[end_id])
     warm_share = max(1, -(-total // WARM_IDS))  # of rows and stretches together
     warm_rows = max(1, int(warm_share**0.5))
-    some = training_ids(training, ranks, vocabulary, -(-warm_share // warm_rows), warm_rows, end_id, id_col, text_col)
+    some = some_ids(training, ranks, vocabulary, -(-warm_share // warm_rows), warm_rows, end_id, id_col, text_col)
     picked = some.orderBy("hash", "begins").limit(4 * WARM_IDS // STRETCH).collect()  # about what was chosen; a bound for skewed rows
     lists, n = [], 0
     for r in picked:
@@ -216,13 +249,6 @@ def fit(training: DataFrame, counts: np.ndarray, ranks, end_id: int, id_col: str
         n += len(p)
     epochs = min(WARM_EPOCHS[1], max(WARM_EPOCHS[0], WARM_EPOCHS[0] * WARM_IDS // max(1, n)))
     model = attention.train(model, *attention.pieces_to_steps(lists, end), epochs, WARM_RATE)
-    shared = training.sparkSession.sparkContext.broadcast(model)
-
-    def local(found):
-        x, y, start = attention.pieces_to_steps(found, end)
-        weights = attention.train(shared.value, x, y, start, 1, TASK_RATE).flat() if len(x) else np.zeros(0, np.float32)
-        return pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([float(len(x))])], ["weights", "n"])
-
     def average(key, table):
         total, n = 0.0, 0.0
         for blob, k in zip(table.column("weights").to_pylist(), table.column("n").to_pylist(), strict=True):
@@ -231,7 +257,7 @@ def fit(training: DataFrame, counts: np.ndarray, ranks, end_id: int, id_col: str
         blob = (total / n).astype(np.float32).tobytes() if n else b""
         return pa.table({"weights": pa.array([blob], pa.binary()), "n": pa.array([n]), "node": pa.array([key[0].as_py() // FAN_IN], pa.int64())})
 
-    parts = training_ids(training, ranks, vocabulary, SHARE, ROW_SHARE, end_id, id_col, text_col, local, "weights binary, n double")
+    parts = task_weights(training, model, ranks, end_id, text_col)
     parts = common.written(parts.withColumn("node", F.shiftright(F.monotonically_increasing_id(), 33) * 1), "task-weights")
     count = int(parts.agg(F.coalesce(F.max("node"), F.lit(0))).first()[0]) + 1
     parts = parts.withColumn("node", F.floor(F.col("node") / FAN_IN))
@@ -242,6 +268,19 @@ def fit(training: DataFrame, counts: np.ndarray, ranks, end_id: int, id_col: str
     return model.with_flat(np.frombuffer(last[0].weights, np.float32)) if last else model
 
 
+def laid_out(pieces: Pieces, place: np.ndarray, lists: list[list[bytes]]):
+    """(attention.stream() of whole texts, given as their words; the numbers of all words and the text that each is of, the new words, the texts'
+    numbers of words and of ids)."""
+    numbers, new = pieces.of([w for words in lists for w in words])
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    row = np.repeat(np.arange(len(lists)), sizes)
+    y = place[pieces.ids(numbers)].astype(np.int64)
+    lengths = np.bincount(row, pieces.sizes[numbers], len(sizes)).astype(np.int64)  # one at least
+    x = np.roll(y, 1)
+    x[np.cumsum(lengths) - lengths] = place[pieces.end_id]
+    return attention.stream(x, y, lengths), numbers, row, new, sizes, lengths
+
+
 def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", trained: bool = True) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs; an untrained model knows the ids' counts alone."""
     spark = docs.sparkSession
@@ -260,9 +299,9 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
     out = common.arrow_schema(schema)
 
     def run(batches):
-        (model, frequent), pieces = shared.value, Pieces(Merges(read_ranks(ranks.value)), end_id)
+        (model, frequent), pieces = shared.value, Pieces(ranks.value, end_id)
         model.prepared()
-        place, end = model.vocabulary.place, int(model.vocabulary.place[end_id])
+        place = model.vocabulary.place
         counts = np.array([frequent.get(END, -1)], np.int64)  # of words by number; -1: not frequent
         slice_id = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -271,16 +310,8 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
                     pieces.clear()
                     counts = counts[:1]
                 lists = [words_of(t) for t in common.bytes_of(part.column(1))]
-                flat = [w for ws in lists for w in ws]
-                numbers, new = pieces.of(flat)
+                (x, y, start, spot), numbers, row, new, sizes, lengths = laid_out(pieces, place, lists)
                 counts = np.append(counts, np.fromiter((frequent.get(w, -1) for w in new), np.int64, len(new)))
-                sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-                row = np.repeat(np.arange(len(lists)), sizes)
-                y = place[pieces.ids(numbers)].astype(np.int64)
-                lengths = np.bincount(row, pieces.sizes[numbers], len(sizes)).astype(np.int64)  # ids of each text, one at least
-                x = np.append(end, y[:-1])
-                x[np.cumsum(lengths) - lengths] = end
-                x, y, start, spot = attention.stream(x, y, lengths)
                 logs = attention.log_probabilities(model, x, y, start)[spot]
                 logs = np.bincount(np.repeat(np.arange(len(sizes)), lengths), logs, len(sizes)) / np.log(10)
                 c = counts[numbers]
@@ -288,6 +319,7 @@ def score(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
                 base = np.bincount(row[often], np.log10((c[often] + 0.5) / smooth), len(lists))
                 known = np.bincount(row[often & (c > 0)], minlength=len(lists))
                 first, blobs = _by_word(numbers[~often], row[~often])
+                flat = [w for ws in lists for w in ws]
                 names = [flat[i] for i in np.flatnonzero(~often)[first].tolist()]
                 slice_id += 1
                 del lists, flat
