@@ -184,3 +184,5 @@ def test_words_are_encoded_by_the_library_as_by_matrices():
     blobs = [w.encode() for w in words]
     for got, want in zip(pieces.encode(blobs), pieces.encode_long(blobs), strict=True):
         assert got.tolist() == want.tolist()
+    numbers, new = pieces.of([b"\xff\xfe", b"the"])
+    assert pieces.ids(numbers).tolist() == pieces.encode_long([b"\xff\xfe", b"the"])[0].tolist() and len(new) == 2

@@ -108,8 +108,10 @@ class Pieces:
         numbers = np.array(list(map(self.numbers.__getitem__, words)), np.int64)
         new, self.numbers.new = self.numbers.new, []
         if new:
-            long = max(map(len, new)) > LONG
-            ids, sizes = self.encode_long(new) if long else self.encode(new)
+            try:
+                ids, sizes = self.encode_long(new) if max(map(len, new)) > LONG else self.encode(new)
+            except UnicodeDecodeError:  # the library takes text only
+                ids, sizes = self.encode_long(new)
             self.starts = np.append(self.starts, len(self.flat) + np.cumsum(sizes) - sizes)
             self.sizes = np.append(self.sizes, sizes)
             self.flat = np.append(self.flat, ids)
