@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,8 @@ from .series import along
 
 #: Scalar parts and dot products this near to zero are half turns, for which both ways round are as long: the second one is taken.
 HALF_TURN = 1e-12
+#: Points of the series that are integrated side by side.
+POINTS_AT_ONCE = 50_000
 
 
 def angular_rates(rows: DataFrame, keys: list[str], at: str, quaternion: str, alias: str = "rate", ties: list[str] = [], unit: float = 1.0) -> DataFrame:  # noqa: B006
@@ -123,19 +126,17 @@ def integrated_by_spline(rows: DataFrame, keys: list[str], at: str, rate: str, s
     """keys, at and the orientation at each of a series' distinct times, from body rates that a cubic spline joins.
 
     integrated() keeps each rate until the next; here the rate changes smoothly, and the equation is solved with step control, all series of an Arrow
-    batch side by side. Rows with a null or non-finite time or rate are left out; of several at a time the first rate in order counts."""
+    batch side by side, POINTS_AT_ONCE points at a time. Rows with a null or non-finite time or rate are left out; of several at a time the first rate in order counts."""
     known = rows.where(F.col(at).isNotNull() & ~F.isnan(F.col(at).cast("double")) & F.col(rate).isNotNull() & F.expr(f"size(`{rate}`) = 3 and forall(`{rate}`, x -> x is not null and abs(x) < double('Infinity'))"))
     once = known.groupBy(*keys, F.col(at).cast("double").alias("t__")).agg(F.min(F.col(rate).cast("array<double>")).alias("w__"))
     series_ = once.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("t__", "w__"))).alias("s__"))  # a series is bounded by its recording
     begin = np.asarray(start, float) / np.linalg.norm(start)
 
-    @F.pandas_udf("array<struct<t: double, q: array<double>>>")
-    def integrate(all_: pd.Series) -> pd.Series:
-        times = [np.array([r["t__"] for r in s]) for s in all_]
-        pieces = [ode.cubic(t, np.array([r["w__"] for r in s], float)) for t, s in zip(times, all_)]
+    def integrate(times: list[np.ndarray], rates: list[np.ndarray]) -> list[np.ndarray]:
+        pieces = [ode.cubic(t, w) for t, w in zip(times, rates)]
         offset = np.cumsum([0, *[len(p) for p in pieces]])
-        table = np.concatenate(pieces) if pieces else np.zeros((0, 4, 3))
-        knots = np.concatenate([t[: len(p)] for t, p in zip(times, pieces)]) if pieces else np.zeros(0)
+        table = np.concatenate(pieces)
+        knots = np.concatenate([t[: len(p)] for t, p in zip(times, pieces)])
         spot = offset[:-1].copy()  # the piece that each series is in
 
         def slope(which, t, y):
@@ -156,7 +157,24 @@ def integrated_by_spline(rows: DataFrame, keys: list[str], at: str, rate: str, s
             c = table[here]
             return _quaternion_slope(y, c[:, 0] + s * (c[:, 1] + s * (c[:, 2] + s * c[:, 3])))
 
-        states = ode.solve(slope, np.tile(begin, (len(times), 1)), times, relative)
-        return pd.Series([[{"t": float(a), "q": b.tolist()} for a, b in zip(t, _unit_rows(y))] for t, y in zip(times, states)])
-
-    return series_.select(*keys, F.explode(integrate("s__")).alias("e__")).select(*keys, F.col("e__.t").alias(at), F.col("e__.q").alias(alias))
+        return ode.solve(slope, np.tile(begin, (len(times), 1)), times, relative)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(batch.num_columns - 1)
+            ends, inner = column.offsets.to_numpy(), column.values
+            all_t, all_w = inner.field("t__").to_numpy(zero_copy_only=False), inner.field("w__")
+            all_w = all_w.values.to_numpy(zero_copy_only=False).reshape(-1, 3)[all_w.offsets[0].as_py() // 3 :]
+            sizes, first = np.diff(ends), 0
+            while first < len(sizes):  # as many series as have POINTS_AT_ONCE points together, the longest counting for all
+                most = np.maximum.accumulate(sizes[first:]) * np.arange(1, len(sizes) - first + 1)
+                last = first + max(1, int(np.searchsorted(most, POINTS_AT_ONCE, side="right")))
+                parts = [slice(a, b) for a, b in zip(ends[first:last], ends[first + 1 : last + 1])]
+                states = np.concatenate(integrate([all_t[p] for p in parts], [all_w[p] for p in parts]))
+                which = pa.array(np.repeat(np.arange(first, last), sizes[first:last]))
+                made = pa.ListArray.from_arrays(np.arange(0, 4 * len(states) + 1, 4, dtype=np.int32), pa.array(_unit_rows(states).ravel()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).take(which) for i in range(len(keys))], pa.array(all_t[ends[first] : ends[last]]), made], names=[*keys, at, alias])
+                first = last
+
+    schema = T.StructType([*[once.schema[c] for c in keys], T.StructField(at, T.DoubleType()), T.StructField(alias, T.ArrayType(T.DoubleType()))])
+    return series_.select(*keys, "s__").mapInArrow(run, schema)
